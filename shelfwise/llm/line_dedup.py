@@ -262,7 +262,7 @@ class LineStore:
         """docs with repeated lines gone from text, and n_lines (before) and n_dropped. docs must be in the store.
 
         Documents without a key that a filter knows are finished where they are read. The others' text is shuffled
-        once, to meet the keys that the exact table confirms. kept=False: (doc_id, n_lines, n_dropped, kept_sha256).
+        once, to meet the keys that the exact table confirms, whatever the size. kept=False: (doc_id, n_lines, n_dropped, kept_sha256).
         """
         probe = self.spark.sparkContext.broadcast(self.probe())
         drops = self._drops(probe)
@@ -272,7 +272,7 @@ class LineStore:
             docs = docs.where("doc_id is not null").drop("n_lines", "n_dropped")
         marked = docs.withColumn("__hit", F.lit(0)).mapInArrow(_mark(probe, self.min_chars), docs.withColumn("__hit", F.lit(0)).schema)
         clean = marked.where("__hit = 0").drop("__hit").withColumn("__keys", F.lit(None).cast("array<struct<hi:bigint,lo:bigint>>"))
-        rest = marked.where("__hit = 1").drop("__hit").join(drops.withColumnRenamed("doc_id", "__doc_id"), F.col("doc_id") == F.col("__doc_id"), "left").drop("__doc_id")
+        rest = marked.where("__hit = 1").drop("__hit").join(drops.withColumnRenamed("doc_id", "__doc_id").hint("merge"), F.col("doc_id") == F.col("__doc_id"), "left").drop("__doc_id")
         none = [F.lit(0).cast("long").alias("n_dropped")]
         lines = F.when(F.col("text").isNull(), 1).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")
         first = clean.select(*docs.columns, lines, *none)
