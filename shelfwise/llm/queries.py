@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import common, line_dedup
+from shelfwise.llm import common, line_dedup, packing, token_files
 
 
 def op1_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(common.table(spark, sf_dir, "documents"), kept=False)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark, sf_dir):
+    return token_files.encode_to_files(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_best_fit_packing, op5_token_files)}
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE}
