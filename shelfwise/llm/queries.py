@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import common, line_dedup, packing, token_files
+from shelfwise.llm import common, line_dedup, packing, pieces, simhash, token_files
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -17,5 +17,13 @@ def op5_token_files(spark, sf_dir):
     return token_files.encode_to_files(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_best_fit_packing, op5_token_files)}
+def op9_simhash(spark, sf_dir):
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def op10_pieces(spark, sf_dir):
+    return pieces.encode_decode(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_best_fit_packing, op5_token_files, op9_simhash, op10_pieces)}
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE}
