@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import common, line_dedup, packing, pieces, simhash, token_files
+from shelfwise.llm import ann, bitslice, common, line_dedup, packing, pieces, quality, simhash, token_files
 
 
 def op1_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(common.table(spark, sf_dir, "documents"), kept=False)
 
 
+def op2_quality(spark, sf_dir):
+    return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op4_kmeans_tree(spark, sf_dir):
+    return ann.nearest(common.table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_files(spark, sf_dir):
     return token_files.encode_to_files(common.table(spark, sf_dir, "documents"))
 
 
+def op8_bit_sliced_top_k(spark, sf_dir):
+    return bitslice.top_k(common.table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -25,5 +37,5 @@ def op10_pieces(spark, sf_dir):
     return pieces.encode_decode(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_best_fit_packing, op5_token_files, op9_simhash, op10_pieces)}
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_best_fit_packing, op4_kmeans_tree, op5_token_files, op8_bit_sliced_top_k, op9_simhash, op10_pieces)}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op8_bit_sliced_top_k": bitslice.ORACLE}
