@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import ann, bitslice, common, line_dedup, packing, pieces, quality, simhash, token_files
+from shelfwise.llm import ann, bitslice, common, html_text, licenses, line_dedup, packing, pieces, quality, simhash, token_files
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -25,6 +25,14 @@ def op5_token_files(spark, sf_dir):
     return token_files.encode_to_files(common.table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark, sf_dir):
+    return html_text.extract(common.table(spark, sf_dir, "pages"))
+
+
+def op7_licenses(spark, sf_dir):
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op8_bit_sliced_top_k(spark, sf_dir):
     return bitslice.top_k(common.table(spark, sf_dir, "embeddings"))
 
@@ -37,5 +45,5 @@ def op10_pieces(spark, sf_dir):
     return pieces.encode_decode(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_best_fit_packing, op4_kmeans_tree, op5_token_files, op8_bit_sliced_top_k, op9_simhash, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_best_fit_packing, op4_kmeans_tree, op5_token_files, op6_html_text, op7_licenses, op8_bit_sliced_top_k, op9_simhash, op10_pieces)}
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op8_bit_sliced_top_k": bitslice.ORACLE}
