@@ -32,7 +32,7 @@ PASSES, CONFIRMS = 0.95, 0.5
 UNKNOWN = "unknown"
 
 # Words that licences use, and typical sentences of each family.
-LICENCE_WORDS = "licen[cs]\\w* copyright\\w* warrant\\w* redistribut\\w* sublicen\\w* gpl\\w* lgpl agpl mit bsd apache mozilla mpl cc creative commons gnu permission\\w* reserved proprietary domain unlicense spdx noncommercial sharealike isc eclipse".split()
+LICENCE_WORDS = "licen[cs]\\w* copyright\\w* warrant\\w* redistribut\\w* sublicen\\w* gpl\\w* lgpl agpl bsd apache mozilla mpl cc creative commons gnu permission\\w* reserved proprietary unlicense spdx noncommercial sharealike".split()
 TEMPLATES = {
     "mit": """Released under the MIT License.
 Licensed under the MIT License.
@@ -173,18 +173,18 @@ def train(counter: list[str], copies: int = 12) -> dict:
 def _grams(text: Column) -> Column:
     """The distinct n-grams that hold a licence word."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    joined = [
-        F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i, n=n: F.array_join(F.slice(words, i + 1, F.lit(n)), " ")) if n > 1 else words
-        for n in range(1, GRAMS + 1)
-    ]
-    long_enough = [F.when(F.size(words) >= n, g).otherwise(F.array().cast("array<string>")) for n, g in enumerate(joined, 1)]
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - n)
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
     held = "(^| )(" + "|".join(LICENCE_WORDS) + ")( |$)"
-    return F.array_distinct(F.filter(F.concat(*long_enough), lambda g: g.rlike(held)))
+    return F.array_distinct(F.filter(F.concat(*(of(n) for n in range(1, GRAMS + 1))), lambda g: g.rlike(held)))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, row, paragraph, text) of the lines with a licence word; row tells repeated doc_ids apart."""
-    some = "(?i)(" + "|".join(w.replace("\\w*", "") for w in LICENCE_WORDS) + ")"
+    some = "(?i)\\b(" + "|".join(w.replace("\\w*", "") for w in LICENCE_WORDS) + ")"
     own = common.own_ids(docs).where(F.col("text").rlike(some))
     lines = own.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
     return lines.where(F.col("text").rlike(some))
