@@ -47,6 +47,14 @@ def own_ids(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """A string column's UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()

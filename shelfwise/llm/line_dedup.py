@@ -270,14 +270,14 @@ class LineStore:
             docs = common.own_ids(docs)
         else:
             docs = docs.where("doc_id is not null").drop("n_lines", "n_dropped")
-        marked = docs.withColumn("__hit", F.lit(0)).mapInArrow(_mark(probe, self.min_chars), docs.withColumn("__hit", F.lit(0)).schema)
-        clean = marked.where("__hit = 0").drop("__hit").withColumn("__keys", F.lit(None).cast("array<struct<hi:bigint,lo:bigint>>"))
-        rest = marked.where("__hit = 1").drop("__hit").join(drops.withColumnRenamed("doc_id", "__doc_id").hint("merge"), F.col("doc_id") == F.col("__doc_id"), "left").drop("__doc_id")
-        none = [F.lit(0).cast("long").alias("n_dropped")]
-        lines = F.when(F.col("text").isNull(), 1).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")
-        first = clean.select(*docs.columns, lines, *none)
-        last = rest.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")})
-        last = last.mapInArrow(_drop(self.min_chars), last.schema).drop("__keys")
+        hit, keys, other = (common.fresh(docs, name) for name in ("__hit", "__keys", "__doc_id"))
+        unmarked = docs.withColumn(hit, F.lit(0))
+        marked = unmarked.mapInArrow(_mark(probe, self.min_chars, hit), unmarked.schema)
+        lines = F.when(F.col("text").isNull(), 1).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+        first = marked.where(F.col(hit) == 0).select(*docs.columns, lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+        met = marked.where(F.col(hit) == 1).drop(hit).join(drops.withColumnsRenamed({"doc_id": other, "__keys": keys}).hint("merge"), F.col("doc_id") == F.col(other), "left").drop(other)
+        last = met.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")})
+        last = last.mapInArrow(_drop(self.min_chars, keys), last.schema).drop(keys)
         out = first.unionByName(last)
         if not kept:
             return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -297,8 +297,8 @@ class LineStore:
         return common.written(found.groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("__keys")), "drops")
 
 
-def _mark(probe, min_chars: int):
-    """Sets __hit on the documents with a line that a filter knows."""
+def _mark(probe, min_chars: int, to: str):
+    """Sets a column to 1 on the documents with a line that a filter knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,16 +310,16 @@ def _mark(probe, min_chars: int):
             hit = np.zeros(b.num_rows, np.int32)
             if keys:
                 hit[np.array(at)[probe.value(_halves(keys))]] = 1
-            yield b.set_column(b.schema.get_field_index("__hit"), "__hit", pa.array(hit))
+            yield b.set_column(b.schema.get_field_index(to), to, pa.array(hit))
 
     return run
 
 
-def _drop(min_chars: int):
+def _drop(min_chars: int, by: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, dropped = [], [], []
-            for text, keys in zip(common.raw(b.column("text")), b.column("__keys").to_pylist(), strict=True):
+            for text, keys in zip(common.raw(b.column("text")), b.column(by).to_pylist(), strict=True):
                 lines = keyed_lines(text, min_chars)
                 gone = {np.int64([k["hi"], k["lo"]]).tobytes() for k in keys or ()}
                 stay = [line for line, k in lines if k not in gone] if gone else None

@@ -187,4 +187,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """docs without those scored under the threshold, with the columns of docs."""
-    return scores(docs, fit(docs, labels, sample), "__score").where(F.col("__score") >= threshold).drop("__score")
+    to = common.fresh(docs, "__score")
+    return scores(docs, fit(docs, labels, sample), to).where(F.col(to) >= threshold).drop(to)

@@ -103,5 +103,6 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without those that have a smaller doc_id in their group. Rows without doc_id stay."""
-    gone = near_duplicates(docs, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(common.written(gone, "gone"), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    name = common.fresh(docs, "__gone")
+    gone = near_duplicates(docs, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(common.written(gone, "gone"), docs["doc_id"].cast("long") == F.col(name), "left_anti")
