@@ -45,7 +45,7 @@ def scope(name: str) -> Column:
 def predicate(*, scope_name: str | None = None, producer: str | None = None, rule: str | None = None, layer: str | None = None, severity: str | None = None, attr: str | None = None, photo: bool | None = None, is_open: bool | None = None, search: str | None = None, route: str | None = None, verdict: str | None = None) -> Column:
     """All filters that are given, and-ed. A rule that ends in * is a family; verdict 'none' is no verdict."""
     parts = [F.lit(True)]
-    parts += [scope(scope_name)] * bool(scope_name)
+    parts += [scope(scope_name)] if scope_name else []
     parts += [F.col("rule_id").startswith(rule[:-1]) if rule.endswith("*") else F.col("rule_id") == rule] if rule else []
     parts += [F.col(c) == v for c, v in (("producer", producer), ("layer", layer), ("severity", severity), ("attr", attr)) if v]
     parts += [(F.coalesce("photo", F.lit("")) != "") == photo] if photo is not None else []
