@@ -30,7 +30,8 @@ def overall(findings: DataFrame, log: DataFrame, states: DataFrame) -> DataFrame
     f = findings.agg(F.count("*").alias("findings"), F.countDistinct("id").alias("products"))
     d = current(log).agg(F.count("*").alias("decided"), F.count_if(F.col("status") == APPLIED).alias("applied"), F.count_if(F.col("batch_id").isNotNull()).alias("exported"))
     v = states.agg(F.count_if(F.col("state") == "weszlo").alias("won"), F.count("*").alias("verified"))
-    return f.crossJoin(d).crossJoin(v)  # of single rows
+    rows = f.unionByName(d, allowMissingColumns=True).unionByName(v, allowMissingColumns=True)
+    return rows.agg(*(F.max(c).alias(c) for c in rows.columns))
 
 
 def producers(products: DataFrame, findings: DataFrame, log: DataFrame) -> DataFrame:
@@ -47,9 +48,10 @@ def producers(products: DataFrame, findings: DataFrame, log: DataFrame) -> DataF
 
 def half_of_errors(metrics: DataFrame) -> DataFrame:
     """How many producers make half of the confirmed errors; the window runs over a row for each producer."""
-    before = Window.orderBy(F.desc("errors"), "producer").rowsBetween(Window.unboundedPreceding, -1)
-    total = metrics.agg(F.sum("errors").alias("total"))
-    return metrics.where("errors > 0").select("errors", F.coalesce(F.sum("errors").over(before), F.lit(0)).alias("before")).crossJoin(F.broadcast(total)).agg(F.count_if(F.col("before") * 2 < F.col("total")).alias("producers"), F.max("total").alias("errors"))
+    order = Window.orderBy(F.desc("errors"), "producer")
+    before = F.coalesce(F.sum("errors").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("errors").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return metrics.where("errors > 0").select(before.alias("before"), total.alias("total")).agg(F.count_if(F.col("before") * 2 < F.col("total")).alias("producers"), F.max("total").alias("errors"))
 
 
 def by_producer(findings: DataFrame, products: DataFrame, log: DataFrame, column: str) -> DataFrame:

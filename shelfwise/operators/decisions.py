@@ -23,8 +23,8 @@ def current(log: DataFrame) -> DataFrame:
 def decide_group(rows: DataFrame, group: str, status: str) -> DataFrame:
     """A decision row for each open member of a group; none if its old or proposed values differ."""
     members = rows.where((F.col("grp") == group) & F.col("status").isNull())
-    kinds = members.agg(F.countDistinct(F.coalesce("old_value", F.lit(""))).alias("olds"), F.countDistinct(F.coalesce("new_value", F.lit(""))).alias("news"))
-    return members.crossJoin(F.broadcast(kinds)).where("olds <= 1 and news <= 1").select("id", "attr", "old_value", F.lit(status).alias("status"), "new_value")
+    kinds = members.groupBy("grp").agg(F.countDistinct(F.coalesce("old_value", F.lit(""))).alias("olds"), F.countDistinct(F.coalesce("new_value", F.lit(""))).alias("news"))
+    return members.join(kinds, "grp").where("olds <= 1 and news <= 1").select("id", "attr", "old_value", F.lit(status).alias("status"), "new_value")
 
 
 def decide_product(rows: DataFrame, product: str, status: str) -> DataFrame:
