@@ -243,3 +243,9 @@ def verdict(c: Column) -> Column:
 def yes_no(c: Column, yes: tuple[str, ...] = ("tak", "1", "true", "yes"), no: tuple[str, ...] = ("nie", "0", "false", "no")) -> Column:
     n = norm(c)
     return F.when(n.isin(*yes), "tak").when(n.isin(*no), "nie")
+
+
+def producer_code(codes: Column) -> Column:
+    """The producer's code out of a map of codes, whatever its spelling."""
+    own = F.map_filter(codes, lambda k, v: norm(k) == "kod producenta")
+    return F.get(F.map_values(own), F.lit(0))

@@ -210,3 +210,8 @@ def assemble(layer0: list[DataFrame], others: list[DataFrame], gaps: DataFrame,
     rest = f.without(f.union(others), disabled_rules, disabled_attrs)
     open_gaps = f.without(gaps, disabled_rules, disabled_attrs).join(zero.select("id", "attr").distinct(), ["id", "attr"], "left_anti")
     return zero.unionByName(rest).unionByName(open_gaps.select(*f.COLUMNS))
+
+
+def with_category_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """names (category, shown, furniture): the display name and whether it is furniture; unknown categories show themselves."""
+    return rows.join(F.broadcast(names), "category", "left").withColumns({"shown": F.coalesce("shown", "category"), "furniture": F.coalesce("furniture", F.lit(True))})

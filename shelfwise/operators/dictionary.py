@@ -126,3 +126,14 @@ def enum_label(counts: DataFrame, dictionary: DataFrame) -> DataFrame:
     words = dictionary.select("attr", "pos", "label", text.count_in_label(F.col("label")).alias("lo"), text.norm(F.col("label")).contains("wiecej").alias("more"))
     near = counts.select("attr", "count").distinct().join(F.broadcast(words), "attr").where("(lo = count and not more) or (more and count >= lo)")
     return near.groupBy("attr", "count").agg(F.min_by("label", F.struct("more", "pos")).alias("label"))
+
+
+def canonical(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """cells with the shop's spelling of their value, null where the shop doesn't know it."""
+    spelled = labels.select("attr", text.norm(F.col("label")).alias("__n"), F.col("label").alias("canonical")).dropDuplicates(["attr", "__n"])
+    return cells.withColumn("__n", text.norm(F.col("value"))).join(F.broadcast(spelled), ["attr", "__n"], "left").drop("__n")
+
+
+def bad_lists(cells: DataFrame, multi: DataFrame) -> DataFrame:
+    """Cells with a comma in an attribute (attr) that takes one value."""
+    return cells.where(F.col("value").contains(",")).join(F.broadcast(multi.select("attr").distinct()), "attr", "left_anti")

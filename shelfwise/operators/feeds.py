@@ -167,3 +167,21 @@ def assign_fields(candidates: DataFrame) -> DataFrame:
 
 def recommended(tabs: DataFrame, mapped: DataFrame, least: int = 5) -> DataFrame:
     return tabs.where(F.col("hits") >= least).join(mapped.select("source").distinct(), "source", "left_semi")
+
+
+def producer_of_tab(tabs: DataFrame, producers: DataFrame) -> DataFrame:
+    """tabs (tab) → the shortest producer (producer) whose name starts the tab's core, or the other way round; cores under three signs don't count."""
+    core = tabs.withColumn("core", text.producer_core(F.col("tab"))).where(F.length("core") >= 3)
+    known = producers.select("producer", text.norm(F.col("producer")).alias("p")).distinct().where(F.length("p") >= 3)
+    near = core.join(F.broadcast(known), F.substring("core", 1, 3) == F.substring("p", 1, 3)).where(F.expr("startswith(core, p) or startswith(p, core)"))
+    best = near.groupBy("tab").agg(F.min_by("producer", F.struct(F.length("p"), F.col("producer"))).alias("producer"))
+    return tabs.join(best, "tab", "left")
+
+
+def scale_hints(long: DataFrame) -> DataFrame:
+    """(source, field, scale): what a field's name says, else the unit that most of its values end in."""
+    unit = F.lower(F.regexp_extract("value", r"(?i)\d\s*(mm|cm|m|kg|g)\s*$", 1))
+    own = long.where(F.trim("value") != "").groupBy("source", "field", unit.alias("unit")).agg(F.count("*").alias("n"))
+    most = own.groupBy("source", "field").agg(F.sum("n").alias("of"), F.max_by("unit", "n").alias("unit"), F.max("n").alias("n"))
+    suffix = F.when((F.col("n") * 2 > F.col("of")) & (F.col("unit") != ""), F.when(F.col("unit") == "mm", 0.1).when(F.col("unit") == "m", 100.0).when(F.col("unit") == "g", 0.001).otherwise(1.0))
+    return most.select("source", "field", F.coalesce(text.scale_from_field(F.col("field")), suffix).alias("scale"))

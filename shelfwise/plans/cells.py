@@ -228,9 +228,9 @@ def d12a_contradictions(spark, d):
     return detect.contradictions(view(spark, d, "attrs"), conditions, spark.sql("SELECT 'SPR-SZUFLADY' AS rule_id, 'Głębokość' AS attr")).select("id", "attr", "rule_id", "old_value")
 
 
-@query(oracle("products", "attrs") + """ SELECT a.id, a.attr, 'SPR-DRZWI-NAZWA' AS rule_id, a.value AS old_value FROM attrs a JOIN products p ON p.id = a.id WHERE a.attr = 'Liczba drzwi' AND a.value = '3-drzwiowe' AND p.name LIKE '%bez drzwi%'""")
+@query(oracle("products", "attrs") + """ SELECT a.id, a.attr, 'SPR-DRZWI-NAZWA' AS rule_id, a.value AS old_value FROM attrs a JOIN products p ON p.id = a.id WHERE a.attr = 'Liczba drzwi' AND a.value = '2-drzwiowe' AND p.name LIKE '%bez drzwi%'""")
 def d12b_name_contradictions(spark, d):
-    conditions = spark.sql("SELECT 'SPR-DRZWI' AS rule_id, 'Liczba drzwi' AS attr, '3-drzwiowe' AS value")
+    conditions = spark.sql("SELECT 'SPR-DRZWI' AS rule_id, 'Liczba drzwi' AS attr, '2-drzwiowe' AS value")
     return detect.name_contradictions(view(spark, d, "products"), view(spark, d, "attrs"), conditions, spark.sql("SELECT 'SPR-DRZWI' AS rule_id, 'bez drzwi' AS fragment")).select("id", "attr", "rule_id", "old_value")
 
 
@@ -324,3 +324,92 @@ def all_findings(spark, d):
 @query()
 def a1_all_findings(spark, d):
     return all_findings(spark, d).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("grp").alias("groups"))
+
+
+@query(oracle("products", "attrs") + " SELECT id, CASE WHEN attr = 'Styl' THEN 'Stylistyka' ELSE attr END AS attr, CASE WHEN attr = 'Materiał' THEN replace(replace(value, 'metal', 'stal'), 'szkło', 'szkło hartowane') ELSE value END AS value FROM attrs")
+def f8_renamed(spark, d):
+    attrs = spark.sql("SELECT 'Styl' AS old, 'Stylistyka' AS new")
+    return dictionary.renamed(view(spark, d, "attrs"), attrs, spark.sql("SELECT * FROM (VALUES ('Materiał', 'metal', 'stal'), ('Materiał', 'szkło', 'szkło hartowane')) AS t(attr, old, new)"))
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_linenumber, {number_text_sql('l_quantity / 4')} AS n, translate(l_returnflag || 'ąŻó', 'ąŻó', 'aZo') AS plain FROM lineitem")
+def f1_f9_number_text(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", text.number_text(F.col("l_quantity") / 4).alias("n"), text.strip_accents(F.concat("l_returnflag", F.lit("ąŻó"))).alias("plain"))
+
+
+@query(oracle("attrs") + " SELECT id, attr, value, list_filter(list_transform(string_split(value, ','), lambda z: trim(z)), lambda z: z <> '') AS parts FROM attrs")
+def f14_members(spark, d):
+    return view(spark, d, "attrs").select("id", "attr", "value", text.members(F.col("value")).alias("parts"))
+
+
+@query(oracle("attrs", "dictionary") + f" SELECT a.id, a.attr, a.value, (SELECT min(d.label) FROM dictionary d WHERE d.attr = a.attr AND {norm_sql('d.label')} = {norm_sql('a.value')}) AS canonical FROM attrs a WHERE a.attr IN ('Styl', 'Materiał')")
+def f17_canonical(spark, d):
+    return dictionary.canonical(view(spark, d, "attrs").where("attr in ('Styl', 'Materiał')"), view(spark, d, "dictionary"))
+
+
+@query(oracle("products") + f" SELECT id, CASE WHEN n % 2 = 0 THEN 'K' || id END AS code, regexp_replace(regexp_replace({norm_sql('name')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, list_sort(list_distinct(list_transform(string_split({norm_sql('name')}, ' '), lambda w: left(w, 5)))) AS stems FROM products")
+def f18_f19_codes_and_slugs(spark, d):
+    codes = F.when(F.col("n") % 2 == 0, F.create_map(F.lit("Kod  Producenta"), F.concat(F.lit("K"), "id"), F.lit("sku"), F.lit("x"))).otherwise(F.create_map(F.lit("sku"), F.lit("x")))
+    return view(spark, d, "products").select("id", text.producer_code(codes).alias("code"), text.slug(F.col("name")).alias("slug"), F.array_sort(text.stems(F.col("name"))).alias("stems"))
+
+
+@query(oracle("products") + " SELECT id, CASE WHEN n % 12 = 8 THEN p_name ELSE p_name END AS compared FROM products JOIN (SELECT cast(p_partkey AS varchar) AS id, p_name FROM part) USING (id) WHERE n % 12 > 8 OR n % 12 = 8")
+def f23_comparable_name(spark, d):
+    return view(spark, d, "products").where("n % 12 >= 8").select("id", text.comparable_name(F.col("name"), F.lit("kolekcja")).alias("compared"))
+
+
+@query("SELECT 'S' AS source, field, scale FROM (VALUES ('Szer (mm)', 0.1), ('wys', 0.1), ('plain', NULL), ('Waga kg', 1.0)) AS t(field, scale)")
+def f26_scale_hints(spark, d):
+    from shelfwise.operators import feeds
+    from shelfwise.sources import readers
+
+    p = table(spark, d, "part").select(F.col("p_size").cast("string").alias("Szer (mm)"), F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(" mm")).alias("wys"), F.col("p_size").cast("string").alias("plain"), F.col("p_size").cast("string").alias("Waga kg"))
+    return feeds.scale_hints(readers.long_form(p, "S"))
+
+
+@query("SELECT o_orderkey, cast(o_custkey AS varchar) AS ident, o_orderpriority AS other FROM orders")
+def f31_identifier(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.identifier(F.concat(F.col("o_custkey").cast("string"), F.lit(".0 "))).alias("ident"), text.identifier(F.col("o_orderpriority")).alias("other"))
+
+
+@query(oracle("attrs") + " SELECT id, attr, value FROM attrs WHERE value LIKE '%,%' AND attr NOT IN ('Materiał')")
+def f34_bad_lists(spark, d):
+    return dictionary.bad_lists(view(spark, d, "attrs"), spark.sql("SELECT 'Materiał' AS attr"))
+
+
+@query(oracle("products") + " SELECT id, n % 2 = 0 AS package, CASE n % 3 WHEN 0 THEN 'tak' WHEN 1 THEN 'nie' END AS yes_no, CASE WHEN photo = '' THEN 1 ELSE 2 END AS n_photos, CASE WHEN photo <> '' THEN 'Front: x' ELSE 'Wnętrze' END AS label FROM products")
+def f36_f38_f39_fields(spark, d):
+    p = view(spark, d, "products")
+    photos = F.concat(F.when(F.col("photo") != "", F.concat(F.lit("Front: x: "), "photo", F.lit(" | none | "))).otherwise(""), F.lit("Wnętrze: http://b/2"))
+    g = text.gallery(photos)
+    answer = F.when(F.col("n") % 3 == 0, "TAK").when(F.col("n") % 3 == 1, " nie").otherwise("może")
+    return p.select("id", text.is_package(F.when(F.col("n") % 2 == 0, "Wymiar paczki").otherwise("Wymiar")).alias("package"), text.yes_no(answer).alias("yes_no"), F.size(g).alias("n_photos"), F.get(g, F.lit(0))["label"].alias("label"))
+
+
+@query("SELECT DISTINCT p_brand || ' nowe produkty' AS tab, p_brand AS producer FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2') AND length(p_brand) = 8")
+def f40_producer_of_tab(spark, d):
+    from shelfwise.operators import feeds
+
+    brands = table(spark, d, "part").select(F.col("p_brand").alias("producer")).distinct().where(F.length("producer") == 8)
+    return feeds.producer_of_tab(brands.select(F.concat("producer", F.lit(" nowe produkty")).alias("tab")), brands)
+
+
+@query(oracle("products") + " SELECT id, CASE WHEN category = 'ECONOMY' THEN 'Tanie' ELSE category END AS shown, category <> 'ECONOMY' AS furniture FROM products")
+def c3_category_names(spark, d):
+    return detect.with_category_names(view(spark, d, "products"), spark.sql("SELECT 'ECONOMY' AS category, 'Tanie' AS shown, false AS furniture")).select("id", "shown", "furniture")
+
+
+@query(oracle("products") + " SELECT 'photo' AS what, count(*) AS n FROM products WHERE photo = '' UNION ALL SELECT 'products', count(*) FROM products")
+def s13_s21_save_and_read(spark, d):
+    """A run written as tables and read back."""
+    import tempfile
+    import uuid
+
+    from shelfwise.sources import readers
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shelfwise-")
+    folder = f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
+    products = view(spark, d, "products")
+    readers.save_run(products, detect.missing_photo(products), folder, 7)
+    found = spark.read.parquet(f"{folder}/findings").where("run_id = 7 and old_hash = 'da39a3ee5e6b'")
+    return found.agg(F.count("*").alias("n")).select(F.lit("photo").alias("what"), "n").unionByName(spark.read.parquet(f"{folder}/products").agg(F.count("*").alias("n")).select(F.lit("products").alias("what"), "n"))

@@ -1,4 +1,4 @@
 """All queries of the engine. Importing a module registers its queries."""
 
-from shelfwise.plans import cells, queue  # noqa: F401
+from shelfwise.plans import cells, more, queue  # noqa: F401
 from shelfwise.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

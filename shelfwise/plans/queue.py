@@ -76,7 +76,8 @@ def q9_by_product(spark, d):
 
 @query(BASE + """, o AS (SELECT * FROM b WHERE status IS NULL), f AS (SELECT 'severity' AS dimension, severity AS value, count(*) AS n FROM o WHERE attr = 'A3' GROUP BY severity
 UNION ALL SELECT 'attr', attr, count(*) FROM o WHERE severity = 'info' GROUP BY attr
-UNION ALL SELECT * FROM (SELECT 'producer', producer, count(*) AS n FROM o WHERE severity = 'info' AND attr = 'A3' GROUP BY producer ORDER BY n DESC, producer LIMIT 40)) SELECT * FROM f""")
+UNION ALL SELECT * FROM (SELECT 'producer', producer, count(*) AS n FROM o WHERE severity = 'info' AND attr = 'A3' GROUP BY producer ORDER BY n DESC, producer LIMIT 40)
+UNION ALL SELECT 'severity', 'info', 0 UNION ALL SELECT 'attr', 'A3', 0) SELECT dimension, value, max(n) AS n FROM f GROUP BY 1, 2""")
 def q10_facets(spark, d):
     return review.facets(base(spark, d).where("status is null"), {"severity": "info", "attr": "A3"}, {"severity": "severity", "attr": "attr", "producer": "producer"})
 
@@ -112,11 +113,11 @@ def s15_corrections(spark, d):
     return forward.withColumn("kind", F.lit("correction")).unionByName(back.withColumn("kind", F.lit("rollback")))
 
 
-@query(BASE + """, o AS (SELECT * FROM b WHERE status IS NULL), u AS (SELECT grp FROM o GROUP BY grp HAVING count(DISTINCT coalesce(old_value, '')) <= 1 AND count(DISTINCT coalesce(new_value, '')) <= 1)
-SELECT o.grp, count(*) AS n FROM o JOIN u ON u.grp = o.grp WHERE o.grp IN ('G1', 'G2', 'G3') GROUP BY o.grp""")
+@query(BASE + """ SELECT rule_id AS grp, count(*) AS n FROM b WHERE status IS NULL AND old_value = 'v1' AND new_value = 'w1' AND rule_id IN ('L1-ZAPIS', 'L2-LUKA-NAZWA') GROUP BY 1""")
 def p1_decide_group(spark, d):
-    rows = base(spark, d)
-    out = [decisions.decide_group(rows, g, decisions.APPLIED).groupBy().agg(F.count("*").alias("n")).select(F.lit(g).alias("grp"), "n").where("n > 0") for g in ("G1", "G2", "G3")]
+    rows = base(spark, d).withColumn("grp", F.col("rule_id"))
+    alike = rows.where("old_value = 'v1' and new_value = 'w1'")
+    out = [decisions.decide_group(r, g, decisions.APPLIED).groupBy().agg(F.count("*").alias("n")).select(F.lit(g).alias("grp"), "n").where("n > 0") for r, g in ((alike, "L1-ZAPIS"), (alike, "L2-LUKA-NAZWA"), (rows, "L2-OUTLIER"))]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
