@@ -33,7 +33,7 @@ from shelfwise.llm import common, tokens
 
 END_ID = 1
 #: Bytes of ids after which a frame is closed, and bytes of text that a file is to get.
-FRAME_BYTES, FILE_BYTES = 1 << 20, 128 << 20
+FRAME_BYTES, FILE_BYTES = 1 << 20, 32 << 20
 DOC, FRAME, FOOT, MAGIC = struct.Struct("<qQ"), struct.Struct("<QQQQI"), struct.Struct("<QQQI4s"), b"TIDS"
 
 
