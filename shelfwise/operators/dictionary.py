@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import fuzzy, text
 from shelfwise.operators import findings as f
+from shelfwise.sources import tables
 
 #: Scores from which a fuzzy match is taken over, or suggested.
 AUTO, SUGGEST = 92, 78
@@ -94,7 +95,7 @@ def enum_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = (F.size(parts) > 1) & (F.size(F.array_distinct(F.transform(parts, text.norm))) == 1)
     rows = cells.withColumn("twice", twice).withColumn("one", F.when(twice, F.get(parts, F.lit(0))).otherwise(F.trim("value")))
     found = f.emit(rows.where("twice"), "L1-ENUM-DUBEL", "L1", f.MIDDLE, 0.97, old=F.trim("value"), new=F.col("one"), evidence="the same value twice")
-    return rows.select("id", "attr", F.col("one").alias("value")), found
+    return rows.select("id", "attr", F.col("one").alias("value"), F.col("value").alias("raw")), found
 
 
 def bool_findings(cells: DataFrame) -> DataFrame:
@@ -102,22 +103,25 @@ def bool_findings(cells: DataFrame) -> DataFrame:
 
 
 def normalise(cells: DataFrame, kinds: DataFrame, dictionary: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All cells by their kind: (id, attr, raw, norm, num), and the findings."""
+    """All cells by their kind: (id, attr, raw, norm, num), and the findings.
+
+    The matches of distinct values are written once: both outputs use them several times, and they are few.
+    """
     typed = cells.join(F.broadcast(kinds), "attr", "left").withColumn("kind", F.coalesce("kind", F.lit("tekst")))
     of = lambda k: typed.where(F.col("kind") == k).select("id", "attr", "value")
     nums, enums, multis = of("liczba"), of("enum"), of("multi_enum")
     single, twice = enum_cells(enums)
-    matched = match(single.unionByName(members_of(multis).select("id", "attr", "value")), dictionary, aliases)
+    matched = tables.written(match(single.select("attr", "value").unionByName(members_of(multis).select("attr", "value")), dictionary, aliases), "matched")
     lists, lists_found = multi_cells(multis, matched)
-    one = single.join(matched, ["attr", "value"], "left").select("id", "attr", F.when(F.col("how").isin("exact", "alias", "fuzzy"), F.col("label")).otherwise(F.col("value")).alias("norm"))
+    one = single.join(matched, ["attr", "value"], "left").select("id", "attr", "raw", F.when(F.col("how").isin("exact", "alias", "fuzzy"), F.col("label")).otherwise(F.col("value")).alias("norm"))
     rest = typed.where(F.col("kind").isin("tekst", "bool")).select("id", "attr", F.col("value").alias("raw"), F.when(F.col("kind") == "bool", F.coalesce(text.yes_no(F.col("value")), "value")).otherwise(F.trim(F.regexp_replace("value", r"\s+", " "))).alias("norm"), F.lit(None).cast("double").alias("num"))
     long = (
         number_cells(nums).select("id", "attr", F.col("value").alias("raw"), F.when(F.col("num").isNotNull(), text.number_text(F.col("num"))).otherwise(F.col("value")).alias("norm"), "num")
-        .unionByName(enums.join(one, ["id", "attr"]).select("id", "attr", F.col("value").alias("raw"), "norm", F.lit(None).cast("double").alias("num")))
+        .unionByName(one.select("id", "attr", "raw", "norm", F.lit(None).cast("double").alias("num")))
         .unionByName(lists.select("id", "attr", F.col("value").alias("raw"), "norm", F.lit(None).cast("double").alias("num")))
         .unionByName(rest)
     )
-    found = [number_findings(nums), twice, lists_found, match_findings(single, matched), match_findings(members_of(multis).select("id", "attr", "value"), matched), bool_findings(of("bool"))]
+    found = [number_findings(nums), twice, lists_found, match_findings(single.select("id", "attr", "value"), matched), match_findings(members_of(multis).select("id", "attr", "value"), matched), bool_findings(of("bool"))]
     return long, f.union(found)
 
 

@@ -9,6 +9,7 @@ from shelfwise.operators import detect, dictionary
 from shelfwise.operators import findings as fs
 from shelfwise.plans.bridge import norm_sql, number_sql, number_text_sql, oracle, table, view
 from shelfwise.plans.registry import query
+from shelfwise.sources import tables
 
 OUT = "id, attr, rule_id, layer, severity, confidence, old_value, new_value, grp"
 
@@ -310,9 +311,9 @@ def c1_c2_categories(spark, d):
 
 def all_findings(spark, d):
     """The findings of layers 0 to 2 over the bridge's catalogue."""
-    products, raw, components = (view(spark, d, n) for n in ("products", "attrs", "components"))
-    _, cells = _normalised(spark, d)
-    nums = _nums(spark, d)
+    products, raw, components = (tables.written(view(spark, d, n), n) for n in ("products", "attrs", "components"))  # some twenty detectors read them
+    long, cells = dictionary.normalise(raw, view(spark, d, "kinds"), view(spark, d, "dictionary"), view(spark, d, "aliases"))
+    nums = tables.written(long.where("num is not null").select("id", "attr", "num"), "nums")
     panel = spark.sql(PANEL)
     zero = [detect.moved_components(components, raw, panel), detect.component_conflicts(components, raw, panel)]
     covered = detect.coverage(products, raw)
@@ -402,13 +403,11 @@ def c3_category_names(spark, d):
 @query(oracle("products") + " SELECT 'photo' AS what, count(*) AS n FROM products WHERE photo = '' UNION ALL SELECT 'products', count(*) FROM products")
 def s13_s21_save_and_read(spark, d):
     """A run written as tables and read back."""
-    import tempfile
     import uuid
 
     from shelfwise.sources import readers
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shelfwise-")
-    folder = f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
+    folder = f"{tables.shared_dir(spark)}/run-{uuid.uuid4().hex}"
     products = view(spark, d, "products")
     readers.save_run(products, detect.missing_photo(products), folder, 7)
     found = spark.read.parquet(f"{folder}/findings").where("run_id = 7 and old_hash = 'da39a3ee5e6b'")
