@@ -136,7 +136,7 @@ class Index:
         common.small_batches(rows.sparkSession)
         self.spark = rows.sparkSession
         usable = vectors.usable(rows, zero=False)
-        chosen = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+        chosen = common.smallest(usable, sample, "vec_id").collect()
         self.tree = self.sizes = None
         if chosen:
             n = usable.count()
@@ -156,7 +156,7 @@ class Index:
 
     def calibrate(self, queries: DataFrame, k: int, recall: float = RECALL, probes: int = PROBES) -> tuple[int, float]:
         """(visits, recall that they have on the probes)."""
-        chosen = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).collect()
+        chosen = common.smallest(queries, probes, "vec_id").collect()
         vs, ids = np.array([r.v for r in chosen]), np.array([r.vec_id for r in chosen])
         true: dict[int, list[int]] = {}
         for r in exact(self.rows, vs, ids, k).select("query_id", "leaf").collect():

@@ -283,7 +283,7 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars."""
     common.small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    chosen = own.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()
+    chosen = common.smallest(own.where("html is not null"), sample, "page_id").select("html").collect()
     weights = fit([r.html for r in chosen])
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -195,7 +195,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark = docs.sparkSession
     found = paragraphs(docs).select("doc_id", "row", "paragraph", _grams(F.col("text")).alias("grams"), "text").where(F.size("grams") > 0)
     found = common.written(found, "licence-paragraphs")
-    counter = [r.text for r in found.orderBy(F.xxhash64("text"), "doc_id", "paragraph").select("text").limit(sample).collect()]
+    counter = [r.text for r in common.smallest(found, sample, "doc_id", "paragraph").select("text").collect()]
     model = train([c[:2000] for c in counter])
     table = lambda name, rows, kind: spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>"))).alias(name)
     weights = table("w", [{"gram": g, "family": f, "weight": round(x, 6)} for f, w in model["weights"].items() for g, x in w.items() if g and abs(x) > 1e-3], "gram:string,family:string,weight:double")

@@ -157,7 +157,7 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> ByteNet | None:
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").where(~held_out(F.col("doc_id")))
-    chosen = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = common.smallest(marked.groupBy("doc_id").agg(F.max("label").alias("label")), sample, "doc_id")
     rows = common.own_ids(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "label").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     if not rows:
         return None
