@@ -52,7 +52,7 @@ FINDINGS = """
 SELECT event_id AS fid, cast(user_id AS string) AS id, 'A' || cast(event_id % 9 AS string) AS attr,
        CASE event_type WHEN 'click' THEN 'L1-ZAPIS' WHEN 'view' THEN 'L2-OUTLIER' WHEN 'error' THEN 'L2-LUKA-NAZWA' WHEN 'purchase' THEN 'L1-LUKA-BRAK' ELSE 'L0-KONFLIKT' END AS rule_id,
        CASE event_id % 3 WHEN 0 THEN 'krytyczna' WHEN 1 THEN 'srednia' ELSE 'info' END AS severity,
-       round((event_id * 7 % 101) / 100.0, 2) AS confidence,
+       cast(round((event_id * 7 % 101) / 100.0, 2) AS double) AS confidence,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'v' || cast(event_id % 13 AS string) END AS old_value,
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'w' || cast(event_id % 6 AS string) END AS new_value,
        'L' || cast(event_id % 5 AS string) AS layer, 'G' || cast(event_id % 997 AS string) AS grp, ts

@@ -201,7 +201,7 @@ def g11_reconcile(spark, d):
 # ---- feeds: three sources over parts; S2 in millimetres
 
 FEED = """SELECT s AS source, p_partkey AS rec, p_partkey AS n, 'P-' || cast(p_partkey AS string) AS code, p_name || ' model' AS title, p_brand AS producer, 'C' || cast(p_partkey % 50 AS string) AS collection,
-(p_size + 40.0) * CASE WHEN s = 'S2' THEN 10 ELSE 1 END * CASE WHEN p_partkey % 20 = 0 THEN 1.5 WHEN p_partkey % 33 = 0 AND s = 'S3' THEN 1.2 ELSE 1 END AS width FROM part JOIN (VALUES ('S1', 3), ('S2', 2), ('S3', 5)) AS v(s, m) ON p_partkey % m = 0"""
+cast((p_size + 40.0) * CASE WHEN s = 'S2' THEN 10 ELSE 1 END * CASE WHEN p_partkey % 20 = 0 THEN 1.5 WHEN p_partkey % 33 = 0 AND s = 'S3' THEN 1.2 ELSE 1 END AS double) AS width FROM part JOIN (VALUES ('S1', 3), ('S2', 2), ('S3', 5)) AS v(s, m) ON p_partkey % m = 0"""
 
 
 def _feed(spark, d):
@@ -362,7 +362,7 @@ def x17_recommended(spark, d):
 # ---- photos: verdicts out of events
 
 VERDICTS = """SELECT event_id AS seq, cast(user_id AS string) AS id, 'A' || cast(event_id % 5 AS string) AS attr, CASE event_id % 7 WHEN 0 THEN 'blad' WHEN 1 THEN 'zgodne' WHEN 2 THEN 'nie_widac' ELSE 'niezgodne' END AS verdict,
-CASE WHEN event_id % 5 = 0 THEN '' ELSE 'W' || cast(event_id % 4 AS string) END AS read, 0.5 + (event_id % 5) / 10.0 AS confidence, event_id % 900 AS tokens_in, event_id % 70 AS tokens_out, CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'big' END AS model FROM events WHERE event_id % 6 = 0"""
+CASE WHEN event_id % 5 = 0 THEN '' ELSE 'W' || cast(event_id % 4 AS string) END AS read, cast(0.5 + (event_id % 5) / 10.0 AS double) AS confidence, event_id % 900 AS tokens_in, event_id % 70 AS tokens_out, CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'big' END AS model FROM events WHERE event_id % 6 = 0"""
 V = oracle("findings", "people") + f", verdicts AS ({VERDICTS})"
 
 
