@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from shelfwise.llm import common, tokens
 
 SPACE = "▁"
-#: Stretches and pairs that the memos hold before they start anew.
-MEMO = 400_000
+#: Stretches and pairs that a memo holds before it starts anew; of stretches, the memo before is kept to take from.
+MEMO = 250_000
 
 
 class PieceModel:
@@ -61,6 +61,7 @@ class PieceModel:
         self.cut = re.compile(r" *[^ \n]+|\n| +")
         self.unknown = re.compile("[^" + re.escape("".join(sorted(self.single))) + "]")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pair: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
 
@@ -97,24 +98,32 @@ class PieceModel:
         failed = bytearray((len(text) >> 3) + 1)
         ids: list[int] = []
         taken: list[int] = []  # which of its position's pieces each is
-        place, k, n = 0, len(at[0]) - 1, len(text)
+        pair, any_failed = self.pair, False
+        place, k, n, last = 0, len(at[0]) - 1, len(text), -1
         while place < n:
             here = at[place]
             while k >= 0:
                 length, i = here[k]
                 end = place + length
-                if not failed[end >> 3] >> (end & 7) & 1 and (self.compatible(ids[-1], i) if ids else self.reachable(i)):
-                    break
+                if not any_failed or not failed[end >> 3] >> (end & 7) & 1:
+                    if last < 0:
+                        good = self.reachable(i)
+                    elif (good := pair.get((last, i))) is None:
+                        good = self.compatible(last, i)
+                    if good:
+                        break
                 k -= 1
             if k >= 0:
                 ids.append(i)
                 taken.append(k)
-                place = end
+                last, place = i, end
                 k = len(at[place]) - 1 if place < n else 0
             else:
                 failed[place >> 3] |= 1 << (place & 7)
+                any_failed = True
                 place -= len(self.pieces[ids.pop()])
                 k = taken.pop() - 1
+                last = ids[-1] if ids else -1
         return ids
 
     def stretch(self, text: str) -> list[int]:
@@ -164,10 +173,12 @@ class PieceModel:
             data = b"".join([memo[p] for p in parts])
         except KeyError:
             if len(memo) > MEMO:
-                memo = self.memo = {}
+                self.older, memo = memo, {}
+                self.memo = memo
+            older = self.older
             for p in parts:
                 if p not in memo:
-                    memo[p] = array("I", self.stretch(p)).tobytes()
+                    memo[p] = older.get(p) or array("I", self.stretch(p)).tobytes()
             data = b"".join([memo[p] for p in parts])
         return self.begin.to_bytes(4, "little") + data + self.end.to_bytes(4, "little")
 
