@@ -14,8 +14,8 @@ import re
 import unicodedata
 from array import array
 
-#: Words a memo holds before it starts anew: bounds a worker's memory.
-MEMO = 300_000
+#: Words a memo holds before it starts anew; the memo before is kept to take from. Bounds a worker's memory.
+MEMO = 200_000
 #: Characters on which the library's and the quick split agree: printable ASCII and Latin letters, tab and line feed.
 COMMON = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ž]*")
 
@@ -53,7 +53,7 @@ class _Words:
     def __init__(self, path: str, ranks: dict[bytes, int], end: str = ""):
         import tiktoken
 
-        self.path, self.memo, self.end = path, {}, end
+        self.path, self.memo, self.older, self.end = path, {}, {}, end
         with open(path, encoding="utf-8") as f:
             special = {t["content"] for t in json.load(f)["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, special))) if special else re.compile(r"(?!)")
@@ -71,10 +71,12 @@ class _Words:
             return b"".join([memo[w] for w in words])
         except KeyError:
             if len(memo) > MEMO:
-                memo = self.memo = {}
+                self.older, memo = memo, {}
+                self.memo = memo
+            older = self.older
             for w in words:
                 if w not in memo:
-                    memo[w] = _pack(self.merge(w + self.end))
+                    memo[w] = older.get(w) or _pack(self.merge(w + self.end))
             return b"".join([memo[w] for w in words])
 
 
