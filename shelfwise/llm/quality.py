@@ -103,7 +103,7 @@ class ByteNet:
             responses.append(self.pooled(np.concatenate(held)))
         return self.head(self.combine(np.concatenate(responses), starts))[1].astype(np.float64)
 
-    def train(self, texts: list[bytes | None], labels: np.ndarray, rounds: int = 10, steps: int = 600, size: int = 48, rate: float = 4e-3, chunk_bound: int = 8, seed: int = SEED) -> ByteNet:
+    def train(self, texts: list[bytes | None], labels: np.ndarray, rounds: int = 20, steps: int = 600, size: int = 48, rate: float = 4e-3, chunk_bound: int = 8, seed: int = SEED) -> ByteNet:
         """Adam on log loss, for so many rounds and steps at least. In each round a text longer than chunk_bound chunks is trained on so many of its chunks, drawn anew."""
         rng, w = np.random.default_rng(seed), self.w
         parts = [chunks(t) for t in texts]
