@@ -21,6 +21,12 @@ PART_ATTRIBUTES = {"doors": "Liczba drzwi", "drawers": "Liczba szuflad", "shelve
 REQUIRED, LEAST_VALUES, FAMILY_SIZE, FAMILY_SHARE = 0.95, 30, 4, 0.8
 
 
+def analysed(products: DataFrame, norm: DataFrame, least: int = 3) -> DataFrame:
+    """Products with data enough to be checked; the empty and sparse ones are for their source to fill."""
+    enough = norm.where(F.trim("value") != "").groupBy("id").agg(F.countDistinct("attr").alias("n")).where(F.col("n") >= least)
+    return products.join(enough.select("id"), "id", "left_semi")
+
+
 def moved_components(components: DataFrame, raw: DataFrame, panel: DataFrame) -> DataFrame:
     """L0-ZE-SKLADOWYCH: an attribute that only the components have and the panel (attr, status) knows as active."""
     own = components.join(raw.select("id", "attr"), ["id", "attr"], "left_anti").join(F.broadcast(panel.where("status = 'ACTIVE'").select("attr").distinct()), "attr", "left_semi")

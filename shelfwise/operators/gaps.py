@@ -101,6 +101,38 @@ def from_photos(own: DataFrame, values: DataFrame, reads: DataFrame, labels: Dat
     return _row(rows, "L2-LUKA-ZDJECIE", f.MIDDLE, F.least(F.col("confidence"), F.lit(PHOTO_MOST)), F.col("label"), "photo", layer="L3")
 
 
+def candidates(products: DataFrame, own: DataFrame, values: DataFrame, labels: DataFrame, *, subtypes: DataFrame | None = None, names: DataFrame | None = None, reads: DataFrame | None = None, size: tuple[str, tuple[str, str]] = ("Rozmiar", ("Szerokość powierzchni spania", "Długość powierzchni spania")), family: list | None = None) -> DataFrame:
+    """What all six sources propose. Rules of subtypes and names, and reads of photos, only where there are any; products without a collection have no family."""
+    family = family or [F.col("producer"), F.col("category"), text.norm(F.col("collection"))]
+    found = [from_size(own, values, *size), from_sleep(products, own, values), from_family(products.where(F.trim("collection") != ""), own, values, labels, family)]
+    if subtypes is not None:
+        found.append(from_subtype(products, own, values, subtypes))
+    if names is not None:
+        found.append(from_name(products, own, values, names))
+    if reads is not None:
+        found.append(from_photos(own, values, reads, labels))
+    return f.union(found)
+
+
+def grouped(found: DataFrame, products: DataFrame) -> DataFrame:
+    """Gaps with the group of one decision: by subtype, value, family or, where nothing is proposed, by scope (node, else category) and producer."""
+    said = products.select("id", "subtype", "producer", F.col("category").alias("kind"), text.norm(F.col("collection")).alias("line"), F.coalesce(F.concat(F.lit("w"), F.col("node").cast("string")), F.col("category")).alias("scope"))
+    proof = F.when(F.col("confidence") >= 0.92, "pole").when(F.col("confidence") >= 0.90, "typ").otherwise("nazwa")
+    of = {
+        "L2-LUKA-PODTYP": ("subtype", "attr"),
+        "L2-LUKA-PODTYP-SPRZECZNE": ("subtype", "attr", "old_value"),
+        "L2-LUKA-NAZWA": ("attr", "new_value"),
+        "L2-LUKA-ROZMIAR": ("attr", "new_value"),
+        "L2-LUKA-ROZMIAR-SPRZECZNE": ("attr",),
+        "L2-LUKA-FUNKCJA-SPANIA": (proof, "scope"),
+        "L2-LUKA-RODZINA": ("attr", "new_value", "producer", "kind", "line"),
+        "L2-LUKA-ZDJECIE": ("kind", "attr", "new_value", "producer"),
+        "L1-LUKA-BRAK": ("scope", "attr", "producer"),
+    }
+    group = F.coalesce(*(F.when(F.col("rule_id") == rule, F.concat_ws("|", "rule_id", *parts)) for rule, parts in of.items()))
+    return found.join(said, "id", "left").withColumn("grp", group).select(*f.COLUMNS)
+
+
 def best(candidates: DataFrame, disabled: DataFrame | None = None) -> DataFrame:
     """One candidate for each cell: the surest, then the first source."""
     if disabled is not None:
@@ -123,16 +155,17 @@ def reconcile(existing: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFram
     DISPUTED_MOST, and its group says so; with none, the gap stays.
     """
     keys = ["id", "attr"]
-    theirs = existing.where("old_value is null").groupBy(*keys).agg(F.max_by("new_value", F.struct(F.col("new_value").isNotNull(), "confidence")).alias("e_new"), F.max(F.when(F.col("new_value").isNotNull(), F.col("confidence"))).alias("e_sure"))
-    ours = gaps.where("old_value is null").groupBy(*keys).agg(F.max_by("new_value", F.struct(F.col("new_value").isNotNull(), "confidence")).alias("g_new"), F.max(F.when(F.col("new_value").isNotNull(), F.col("confidence"))).alias("g_sure"))
+    empty = F.trim(F.coalesce("old_value", F.lit(""))) == ""
+    theirs = existing.where(empty).groupBy(*keys).agg(F.max_by("new_value", F.struct(F.col("new_value").isNotNull(), "confidence")).alias("e_new"), F.max(F.when(F.col("new_value").isNotNull(), F.col("confidence"))).alias("e_sure"))
+    ours = gaps.where(empty).groupBy(*keys).agg(F.max_by("new_value", F.struct(F.col("new_value").isNotNull(), "confidence")).alias("g_new"), F.max(F.when(F.col("new_value").isNotNull(), F.col("confidence"))).alias("g_sure"))
     both = theirs.join(ours, keys)
     stay = F.when(F.col("e_new").isNull(), "gap").when(F.col("g_new").isNull(), "existing").when(F.col("g_sure") >= F.col("e_sure"), "gap").otherwise("existing")
     clash = F.col("e_new").isNotNull() & F.col("g_new").isNotNull() & (text.norm(F.col("e_new")) != text.norm(F.col("g_new")))
     plan = both.select(*keys, stay.alias("stay"), F.coalesce(clash, F.lit(False)).alias("clash"), "e_new", "g_new")
 
     def kept(rows: DataFrame, side: str, other: str) -> DataFrame:
-        out = rows.join(plan, keys, "left").where(F.col("old_value").isNotNull() | F.col("stay").isNull() | (F.col("stay") == side))
-        disputed = F.col("old_value").isNull() & F.coalesce("clash", F.lit(False))
+        out = rows.join(plan, keys, "left").where(~empty | F.col("stay").isNull() | (F.col("stay") == side))
+        disputed = empty & F.coalesce("clash", F.lit(False))
         grp = F.when(disputed, F.concat_ws("|", "grp", F.lit("SPOR"), other)).otherwise(F.col("grp"))
         return out.withColumn("confidence", F.when(disputed, F.least("confidence", F.lit(DISPUTED_MOST))).otherwise(F.col("confidence"))).withColumn("grp", grp).select(*f.COLUMNS)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
@@ -310,16 +312,32 @@ def c1_c2_categories(spark, d):
 
 
 def all_findings(spark, d):
-    """The findings of layers 0 to 2 over the bridge's catalogue."""
-    products, raw, components = (tables.written(view(spark, d, n), n) for n in ("products", "attrs", "components"))  # some twenty detectors read them
+    """All findings of layers 0 to 2 and the gaps over the bridge's catalogue."""
+    from shelfwise.plans import jobs, more
+
+    g = more._Gaps(spark, d)
+    products, raw, components = (tables.written(df, n) for n, df in (("products", g.products), ("attrs", view(spark, d, "attrs")), ("components", view(spark, d, "components"))))  # some thirty detectors read them
     long, cells = dictionary.normalise(raw, view(spark, d, "kinds"), view(spark, d, "dictionary"), view(spark, d, "aliases"))
-    nums = tables.written(long.where("num is not null").select("id", "attr", "num"), "nums")
-    panel = spark.sql(PANEL)
-    zero = [detect.moved_components(components, raw, panel), detect.component_conflicts(components, raw, panel)]
-    covered = detect.coverage(products, raw)
-    others = [cells, detect.missing_photo(products), detect.missing_required(products, raw, covered, 0.85), detect.name_against_sizes(products, nums), detect.family_outliers(products, raw, [F.col("producer"), F.col("category")]), detect.duplicates(products, nums)]
-    none = fs.without(detect.missing_photo(products.where("false")))
-    return detect.assemble(zero, others, none, spark.sql("SELECT 'L2-DUPLIKAT' AS rule_id"), spark.sql("SELECT 'stary klucz' AS attr"))
+    long = tables.written(long, "long")
+    config = {
+        "dictionary": view(spark, d, "dictionary"),
+        "panel": spark.sql(PANEL),
+        "junk": spark.sql("SELECT 'stary klucz' AS attr, 'old' AS reason"),
+        "disabled_rules": spark.sql("SELECT 'L2-DUPLIKAT' AS rule_id"),
+        "disabled_attrs": spark.sql("SELECT 'stary klucz' AS attr"),
+        "parents": products.select("category").distinct().withColumn("parent", F.lit("all")),
+        "conditions": spark.sql("SELECT * FROM (VALUES ('SPR-SZUFLADY', 'Liczba szuflad', 'bez szuflad'), ('SPR-SZUFLADY', 'Styl', 'klasyczny'), ('SPR-DRZWI', 'Liczba drzwi', '2-drzwiowe')) AS t(rule_id, attr, value)"),
+        "forbidden": spark.sql("SELECT 'SPR-SZUFLADY' AS rule_id, 'Głębokość' AS attr"),
+        "fragments": spark.sql("SELECT 'SPR-DRZWI' AS rule_id, 'bez drzwi' AS fragment"),
+        "relations": spark.sql("SELECT 'REL-SZER-WYS' AS rule_id, 'Szerokość' AS low, 'Wysokość' AS high, false AS strict"),
+        "node_filters": spark.sql(more.NODE_FILTERS),
+        "category_filters": spark.sql(more.FILTERS),
+        "subtypes": g.subtype_rules(),
+        "names": g.name_rules(),
+        "reads": g.reads(),
+        "optional": spark.sql("SELECT 'Kolor' AS attr"),
+    }
+    return jobs.find_all(products, raw, components, long, cells, config, f"{tables.shared_dir(spark)}/import-{uuid.uuid4().hex}", 0.85, [F.col("producer"), F.col("category")])
 
 
 @query()

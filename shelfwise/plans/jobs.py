@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators import analytics, detect, dictionary, feeds, maintenance, photos
+from shelfwise.operators import analytics, detect, dictionary, feeds, gaps, maintenance, photos
 from shelfwise.operators import findings as fs
-from shelfwise.sources import readers
+from shelfwise.sources import readers, tables
 
 
 def long_attributes(products: DataFrame) -> DataFrame:
@@ -22,18 +22,68 @@ def learn_ranges(products: DataFrame, nums: DataFrame, parents: DataFrame, folde
     return products.sparkSession.read.parquet(f"{folder}/ranges")
 
 
+def find_all(products: DataFrame, raw: DataFrame, components: DataFrame, long: DataFrame, cells: DataFrame, config: dict[str, DataFrame], folder: str, least: float = detect.REQUIRED, family: list | None = None) -> DataFrame:
+    """Layers 0 to 2 and the gaps. long and cells come from dictionary.normalise(); long is a written table.
+
+    Ranges and coverage are learned over all rows; detectors then leave out products with too little data, layer 0 does
+    not. Where filters are known, a missing filter is a gap and no L1-BRAK-WYMAGANEGO; switched-off rules go before gaps
+    are reconciled, so that they take no cell from others.
+
+    config: dictionary, panel, junk, disabled_rules, disabled_attrs; and where there are any: parents (category, parent),
+    non_furniture (category), conditions, forbidden, fragments, relations, node_filters, category_filters, subtypes,
+    names, reads, optional (attr).
+    """
+    spark = products.sparkSession
+    for name in ("subtype", "collection", "node"):
+        products = products if name in products.columns else products.withColumn(name, F.lit(None).cast("string"))
+    zero = [detect.moved_components(components, raw, config["panel"]), detect.component_conflicts(components, raw, config["panel"])]
+    parents = config.get("parents")
+    parents = products.select("category").limit(0).withColumn("parent", F.col("category")) if parents is None else parents
+    ranges = learn_ranges(products, long.where("num is not null").select("id", "attr", "num"), parents, folder)
+    covered = detect.coverage(products, raw)
+
+    some = tables.written(detect.analysed(products, long.select("id", "attr", F.col("norm").alias("value"))), "analysed")
+    ids = some.select("id")
+    long = tables.written(long.join(ids, "id", "left_semi"), "analysed-attributes")
+    raw = raw.join(ids, "id", "left_semi")
+    nums, norm = long.where("num is not null").select("id", "attr", "num"), long.select("id", "attr", F.col("norm").alias("value"))
+    furniture = some if config.get("non_furniture") is None else some.join(F.broadcast(config["non_furniture"]), "category", "left_anti")
+    required = detect.missing_required(furniture, raw, covered, least)
+    labels = dictionary.enum_label(detect.named_parts(some), config["dictionary"])
+    ranged = detect.with_range(nums.join(furniture.select("id", "category"), "id"), ranges, parents)
+    others = [cells.join(ids, "id", "left_semi"), detect.missing_photo(some), detect.junk_keys(raw, config["junk"]), detect.out_of_range(ranged), detect.name_against_counts(some, norm, labels), detect.name_against_sizes(some, nums), detect.family_outliers(some, norm, family), detect.duplicates(some, nums)]
+    if config.get("conditions") is not None:
+        if config.get("forbidden") is not None:
+            others.append(detect.contradictions(norm, config["conditions"], config["forbidden"]))
+        if config.get("fragments") is not None:
+            others.append(detect.name_contradictions(some, norm, config["conditions"], config["fragments"]))
+    if config.get("relations") is not None:
+        others.append(detect.relations(nums, config["relations"]))
+
+    filters = [config.get("node_filters"), config.get("category_filters")]
+    if filters[0] is None and filters[1] is None:
+        none = fs.without(others[1].where("false"))
+        return detect.assemble(zero, [*others, required], none, config["disabled_rules"], config["disabled_attrs"])
+    by_node = spark.createDataFrame([], "node string, attr string") if filters[0] is None else filters[0]
+    by_category = spark.createDataFrame([], "category string, attr string") if filters[1] is None else filters[1]
+    values = tables.written(gaps.effective(norm, components.join(ids, "id", "left_semi")), "effective")
+    own = tables.written(gaps.cells(some, by_node, by_category, values), "filter-cells")
+    proposed = gaps.candidates(some, own, values, config["dictionary"].select("attr", "label"), subtypes=config.get("subtypes"), names=config.get("names"), reads=config.get("reads"))
+    best = tables.written(gaps.best(proposed, config["disabled_rules"]), "gaps")
+    optional = spark.createDataFrame([], "attr string") if config.get("optional") is None else config["optional"]
+    missing = fs.without(gaps.grouped(best.unionByName(gaps.remaining(own, values, best, optional)), some), config["disabled_rules"])
+    existing = tables.written(fs.without(fs.union([*others, required.join(own, ["id", "attr"], "left_anti")]), config["disabled_rules"]), "existing")
+    existing, missing = gaps.reconcile(existing, missing)
+    return detect.assemble(zero, [existing], missing, config["disabled_rules"], config["disabled_attrs"])
+
+
 def run_snapshot(products: DataFrame, components: DataFrame, config: dict[str, DataFrame], folder: str, run_id: int) -> DataFrame:
-    """Normalise, detect, assemble and save; returns the report. config: kinds, dictionary, aliases, panel, junk, disabled_rules, disabled_attrs."""
+    """Normalise, detect, assemble and save; returns the report. config: kinds, aliases, and what find_all() takes."""
     raw = long_attributes(products)
     long, cells = dictionary.normalise(raw, config["kinds"], config["dictionary"], config["aliases"])
     long.write.mode("overwrite").parquet(f"{folder}/attributes")
     long = products.sparkSession.read.parquet(f"{folder}/attributes")
-    nums, norm = long.where("num is not null").select("id", "attr", "num"), long.select("id", "attr", F.col("norm").alias("value"))
-    zero = [detect.moved_components(components, raw, config["panel"]), detect.component_conflicts(components, raw, config["panel"])]
-    covered = detect.coverage(products, raw)
-    labels = dictionary.enum_label(detect.named_parts(products), config["dictionary"])
-    others = [cells, detect.missing_photo(products), detect.junk_keys(raw, config["junk"]), detect.missing_required(products, raw, covered), detect.name_against_counts(products, norm, labels), detect.name_against_sizes(products, nums), detect.family_outliers(products, norm), detect.duplicates(products, nums)]
-    found = detect.assemble(zero, others, fs.without(others[1].where("false")), config["disabled_rules"], config["disabled_attrs"])
+    found = find_all(products, raw, components, long, cells, config, folder)
     readers.save_run(products, found, folder, run_id)
     return analytics.report(products.sparkSession.read.parquet(f"{folder}/findings").where(F.col("run_id") == run_id))
 

@@ -92,13 +92,20 @@ class _Gaps:
         self.values = gaps.effective(view(spark, d, "attrs"), view(spark, d, "components"))
         self.own = gaps.cells(self.products, spark.sql(NODE_FILTERS), spark.sql(FILTERS), self.values)
 
+    def subtype_rules(self):
+        return self.spark.sql("SELECT * FROM (VALUES ('Stojąca', 'Styl', 'klasyczny', array('loftt')), ('wisząca', 'Materiał', 'metal', array('szkło'))) AS t(subtype, attr, value, allowed)")
+
+    def name_rules(self):
+        return self.spark.sql("SELECT * FROM (VALUES (0, 'Styl', 'retro', 'small', 'ring', array('PROMO', 'ECONOMY')), (1, 'Styl', 'loft', 'red', CAST(NULL AS STRING), CAST(NULL AS ARRAY<STRING>))) AS t(pos, attr, value, include, exclude, categories)")
+
+    def reads(self):
+        return self.products.select("id", F.lit("Styl").alias("attr"), F.when(F.col("n") % 2 == 0, "LOFT").otherwise("inny").alias("read"), (0.5 + (F.col("n") % 5) / 10).alias("confidence"))
+
     def subtype(self):
-        rules = self.spark.sql("SELECT * FROM (VALUES ('Stojąca', 'Styl', 'klasyczny', array('loftt')), ('wisząca', 'Materiał', 'metal', array('szkło'))) AS t(subtype, attr, value, allowed)")
-        return gaps.from_subtype(self.products, self.own, self.values, rules)
+        return gaps.from_subtype(self.products, self.own, self.values, self.subtype_rules())
 
     def name(self):
-        rules = self.spark.sql("SELECT * FROM (VALUES (0, 'Styl', 'retro', 'small', 'ring', array('PROMO', 'ECONOMY')), (1, 'Styl', 'loft', 'red', CAST(NULL AS STRING), CAST(NULL AS ARRAY<STRING>))) AS t(pos, attr, value, include, exclude, categories)")
-        return gaps.from_name(self.products, self.own, self.values, rules)
+        return gaps.from_name(self.products, self.own, self.values, self.name_rules())
 
     def family(self):
         return gaps.from_family(self.products, self.own, self.values.where("attr = 'Liczba drzwi' and value <> 'bez drzwi' and value <> '3-drzwiowe'"), self.spark.sql("SELECT 'Liczba drzwi' AS attr, '2-drzwiowe' AS label"), [F.col("category"), F.col("producer")])
@@ -161,8 +168,7 @@ def g7_from_family(spark, d):
 @query(G + """ SELECT o.id, 'loft' AS new_value, least(0.8, 0.5 + (cast(o.id AS bigint) % 5) / 10.0) AS confidence FROM own o LEFT JOIN eff e ON e.id = o.id AND e.attr = 'Styl' WHERE o.attr = 'Styl' AND e.id IS NULL AND cast(o.id AS bigint) % 2 = 0""")
 def g8_from_photos(spark, d):
     g = _Gaps(spark, d)
-    reads = g.products.select("id", F.lit("Styl").alias("attr"), F.when(F.col("n") % 2 == 0, "LOFT").otherwise("inny").alias("read"), (0.5 + (F.col("n") % 5) / 10).alias("confidence"))
-    return gaps.from_photos(g.own, g.values, reads, spark.sql("SELECT 'Styl' AS attr, 'loft' AS label")).select("id", "new_value", F.round("confidence", 4).alias("confidence"))
+    return gaps.from_photos(g.own, g.values, g.reads(), spark.sql("SELECT 'Styl' AS attr, 'loft' AS label")).select("id", "new_value", F.round("confidence", 4).alias("confidence"))
 
 
 BEST = f"""{SUB}, {NAM}, allc AS (SELECT *, 1 AS r FROM sub UNION ALL SELECT *, 2 FROM nam), best AS (SELECT * EXCLUDE (r, k) FROM (SELECT *, row_number() OVER (PARTITION BY id, attr ORDER BY confidence DESC, r, new_value) AS k FROM allc) WHERE k = 1)"""
