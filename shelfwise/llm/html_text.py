@@ -10,7 +10,8 @@ landmarks (nav, footer, article and the like) are its examples; what it learns o
 blocks outside of any landmark.
 
 Defined results: null or empty html gives an empty text; markup that is cut off or badly nested is read as far as it
-goes; rows that repeat a page_id, or have none, get one row each; an empty table gives an empty result; other columns play no part.
+goes; a head without end tags ends at its first other content; of a skipped element without an end tag only the tag is
+skipped, but raw text (script, style, iframe, textarea) reaches to the body or the page's end, as in HTML; rows that repeat a page_id, or have none, get one row each; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -38,7 +39,12 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # HTML's elements by their kind, and words that name a part of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("script style template svg math iframe object canvas noscript select textarea datalist head video audio map".split())
+SKIPPED = frozenset("script style template svg math iframe object canvas noscript select textarea datalist title video audio map".split())
+#: Those that hold raw text: without an end tag they reach to the end of the page.
+RAW = frozenset("script style iframe textarea".split())
+#: Where a title or raw text of the head ends at the latest, and the options of a list without an end tag.
+BODY = re.compile(r"</head\b|<body\b", re.I)
+OPTIONS = re.compile(r"(?:\s*+<(?:option|optgroup)\b[^>]*>[^<]*+(?:</(?:option|optgroup)\s*>)*+)*+", re.I)
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table div article section main aside nav header footer form body html blockquote td th figure".split())
 PARTS = {
@@ -96,6 +102,7 @@ def blocks(page: str) -> list[Block]:
     buffer: list[str] = []
     linked = made = place = 0
     end = len(page)
+    unclosed: set[str] = set()  # skipped elements without an end tag in the rest of the page
 
     def flush():
         nonlocal buffer, linked
@@ -132,13 +139,27 @@ def blocks(page: str) -> list[Block]:
                     flush()
                 del stack[at:]
             continue
+        if tag == "head":  # its end tag is optional: what it may hold is skipped by itself, anything else is of the body
+            flush()
+            continue
         if tag in SKIPPED:
             inline = tag in ("svg", "math", "select")
             if not inline:
                 flush()
             if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, place)
-                place = end if close is None else close.start() if close[0][1] != "/" else close.end()
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>" + (r"|</head\b|<body\b" if tag == "title" else ""), re.I).search(page, place)
+                if close is not None:
+                    place = close.end() if close[0].endswith(">") else close.start()
+                    continue
+                unclosed.add(tag)
+                if tag == "title":
+                    at = page.find("<", place)
+                    place = end if at < 0 else at
+                elif tag in RAW:
+                    body = BODY.search(page, place)
+                    place = end if body is None else body.start()
+                elif tag in ("select", "datalist"):
+                    place = OPTIONS.match(page, place).end()
             continue
         if tag in VOID:
             if tag == "br":

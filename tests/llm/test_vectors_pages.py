@@ -101,6 +101,32 @@ def test_main_text(body, text):
     assert html_text.main_text(PAGE % body, html_text.fit([PAGE % body])) == text
 
 
+MAIN = "<p>A long sentence of the main text stands here, and it goes on for some time.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><article>{MAIN}",
+        f"<head><meta charset=x><script>a < b</script><title>T</title><link rel=x>{MAIN}",
+        f"<head><title>T</title></head><body>{MAIN}",
+        f"<head><title>T</head><body>{MAIN}<svg><title>x</title></svg>",
+        f"<head><title>T{MAIN}",
+        f"<head><script>T</head><body>{MAIN}",
+        f"<head><noscript><title>T</title>{MAIN}",
+        *(f"<body><{tag}>{MAIN}" for tag in ("noscript", "object", "map", "audio", "video", "canvas", "svg", "math", "template")),
+        f"<body><select><option>A<option>B</option>{MAIN}",
+    ],
+)
+def test_skipped_elements_without_end_tags(page):
+    assert " ".join(b.text for b in html_text.blocks(page)) == MAIN[3:-4]
+    assert html_text.main_text(page, html_text.prior()) == MAIN[3:-4]
+
+
+def test_raw_text_without_end_tag_has_no_text():
+    assert html_text.blocks(f"<body><script>{MAIN}") == [] and html_text.blocks("<body>" + "<svg>" * 50000) == []
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):
