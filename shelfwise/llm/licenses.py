@@ -1,9 +1,10 @@
 """Licence scans: a paragraph classifier in DataFrame operations.
 
-Features of a paragraph are the word n-grams (one to three words, lower case) that hold a licence word. For each licence
-family there is a logistic regression over these sparse features, and one more for "any licence at all". A paragraph
-with no licence word has no feature and can't be called a licence, so paragraphs are first filtered by those words; that
-drops nothing. A paragraph that looks like a licence, but whose best family stays under that family's calibrated
+Features of a paragraph are the word n-grams (one to three words, lower case, versions split from short names: "LGPLv3" is
+"lgpl 3") that hold a licence word or phrase. For each licence family there is a logistic regression over these sparse
+features, and one more for "any licence at all". A paragraph with no such word or phrase has no feature and gives no row, so
+paragraphs are first filtered by them; that drops none with a feature, but a licence that is worded without any of them
+isn't found. A paragraph that looks like a licence, but whose best family stays under that family's calibrated
 bound or isn't confirmed by comparison with the family's templates, is of the class `unknown`.
 
 The regressions are trained on templates below and on at most SAMPLE paragraphs of the corpus as counter-examples; that
@@ -31,22 +32,33 @@ SAMPLE, SEED, GRAMS = 2000, 3, 3
 PASSES, CONFIRMS = 0.95, 0.5
 UNKNOWN = "unknown"
 
-# Words that licences use, and typical sentences of each family.
-LICENCE_WORDS = "licen[cs]\\w* copyright\\w* warrant\\w* redistribut\\w* sublicen\\w* gpl\\w* lgpl agpl bsd apache mozilla mpl cc creative commons gnu permission\\w* reserved proprietary unlicense spdx noncommercial sharealike".split()
+# Words and phrases that licences use, short names that versions are written to, and typical sentences of each family.
+LICENCE_WORDS = "licen[cs]\\w* copyright\\w* warrant\\w* redistribut\\w* sublicen\\w* gpl\\w* lgpl\\w* agpl\\w* bsd\\w* apache mozilla mpl\\w* epl\\w* eupl\\w* isc wtfpl zlib cecill\\w* cc cc0 ccby\\w* unencumbered creative commons gnu permission\\w* reserved proprietary unlicense spdx noncommercial sharealike".split()
+PHRASES = ["under mit", "under the mit", "mit terms", "identifier mit", "public domain", "boost software", "under artistic", "under the artistic", "under boost", "under eclipse", "under the eclipse"]
+VERSIONED = "(?<![a-z0-9])([al]?gpl|[me]pl|eupl|cc|bsd|apache)v?(?=[0-9])"
 TEMPLATES = {
     "mit": """Released under the MIT License.
+Released under MIT terms.
 Licensed under the MIT License.
 This project is licensed under the terms of the MIT license.
 SPDX-License-Identifier: MIT
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
-    "apache": """Licensed under the Apache License, Version 2.0.
+    "apache": """Apache License
+Apache-2.0
+Licensed under the Apache License, Version 2.0.
 Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
 You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Released under the Apache License 2.0.
 SPDX-License-Identifier: Apache-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
-    "gpl": """This work is licensed under the GNU General Public License, version 3.
+    "gpl": """Distributed under LGPLv3 or later.
+Distributed under AGPLv3 or later.
+Distributed under GPLv3
+GPLv2
+LGPL-2.1
+AGPLv3
+This work is licensed under the GNU General Public License, version 3.
 This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 This library is licensed under the GNU Lesser General Public License, version 2.1.
 SPDX-License-Identifier: GPL-3.0-or-later
@@ -58,14 +70,17 @@ SPDX-License-Identifier: BSD-3-Clause
 Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.
 Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
-    "cc": """Licensed under CC BY-NC 4.0.
+    "cc": """CC0 1.0 Universal
+CC BY-SA 4.0
+Licensed under CC BY-NC 4.0.
 Licensed under CC BY 4.0.
 Licensed under CC BY-SA 4.0.
 This work is licensed under a Creative Commons Attribution 4.0 International License.
 This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.
 SPDX-License-Identifier: CC-BY-4.0
 Content is available under the Creative Commons Attribution-ShareAlike License.""",
-    "mpl": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+    "mpl": """MPL-2.0
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
 Licensed under the Mozilla Public License 2.0.
 SPDX-License-Identifier: MPL-2.0
 If a copy of the MPL was not distributed with this file, you can obtain one at http://mozilla.org/MPL/2.0/.""",
@@ -81,6 +96,10 @@ This is free and unencumbered software released into the public domain.
 Licensed under the Artistic License.
 Distributed under the Boost Software License, Version 1.0.
 This work is licensed under the Open Data Commons Open Database License.
+EPL-2.0
+Released under EPL-1.0.
+ISC License
+Dedicated to the public domain.
 SPDX-License-Identifier: ISC"""
 #: Sentences with licence words that license nothing.
 NEITHER = """He asked for permission to leave the room.
@@ -92,20 +111,22 @@ The Apache helicopters flew over the base.
 Students at MIT met their professor.
 The creative team met in the commons.
 Copyright law is taught in the second year.
-The general public was not admitted."""
+The general public was not admitted.
+He scored twice in the EPL last season.
+Please cc me when you reply.
+He studied under the MIT professor for two years."""
 
 WORD = "[a-z0-9\\u00e0-\\u024f]+"
 _WORDS = re.compile(WORD)
-_ANCHOR = re.compile("|".join(LICENCE_WORDS))
-
-
-def _anchored(words: list[str]) -> set[str]:
-    held = [bool(_ANCHOR.fullmatch(w)) for w in words]
-    return {" ".join(words[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(words) - n + 1) if any(held[i : i + n])}
+_VERSIONED = re.compile(VERSIONED)
+HELD = "(?:^| )(?:" + "|".join([*LICENCE_WORDS, *PHRASES]) + ")(?: |$)"
+_HELD = re.compile(HELD, re.A)
 
 
 def _grams_of(text: str) -> set[str]:
-    return _anchored(_WORDS.findall(text.lower()))
+    words = _WORDS.findall(_VERSIONED.sub(r"\1 ", text.lower()))
+    grams = (" ".join(words[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(words) - n + 1))
+    return {g for g in grams if _HELD.search(g)}
 
 
 def _varied(text: str, filler: list[str], rng: random.Random) -> str:
@@ -154,7 +175,7 @@ def train(counter: list[str], copies: int = 12) -> dict:
             rows.append((_grams_of(sentence), family))
             for n in range(copies):
                 (held if n % 4 == 3 else rows).append((_grams_of(_varied(sentence, filler, rng)), family))
-    templates = [_grams_of(s) for s in "\n".join(TEMPLATES.values()).split("\n")]
+    templates = [_grams_of(s) for s in "\n".join([*TEMPLATES.values(), OTHERS]).split("\n")]
     for c in counter:
         own = _grams_of(c)
         if own and not any(len(own & t) >= CONFIRMS * len(own) for t in templates):  # the corpus has licences too
@@ -171,20 +192,20 @@ def train(counter: list[str], copies: int = 12) -> dict:
 
 
 def _grams(text: Column) -> Column:
-    """The distinct n-grams that hold a licence word."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """The distinct n-grams that hold a licence word or phrase."""
+    words = F.regexp_extract_all(F.regexp_replace(F.lower(text), VERSIONED, "$1 "), F.lit(WORD), F.lit(0))
 
     def of(n: int) -> Column:
         starts = F.sequence(F.lit(0), F.size(words) - n)
         return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
-    held = "(^| )(" + "|".join(LICENCE_WORDS) + ")( |$)"
-    return F.array_distinct(F.filter(F.concat(*(of(n) for n in range(1, GRAMS + 1))), lambda g: g.rlike(held)))
+    return F.array_distinct(F.filter(F.concat(*(of(n) for n in range(1, GRAMS + 1))), lambda g: g.rlike(HELD)))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, paragraph, text) of the lines with a licence word; row tells repeated doc_ids apart."""
-    some = "(?i)\\b(" + "|".join(w.replace("\\w*", "") for w in LICENCE_WORDS) + ")"
+    """(doc_id, row, paragraph, text) of the lines with a licence word or phrase; row tells repeated doc_ids apart."""
+    gap = f"[^{WORD[1:-2]}]+"
+    some = f"(?i)(?<!{WORD[:-1]})(" + "|".join([w.replace("\\w*", "") for w in LICENCE_WORDS] + [x.replace(" ", gap) for x in PHRASES]) + ")"
     own = common.own_ids(docs).where(F.col("text").rlike(some))
     lines = own.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
     return lines.where(F.col("text").rlike(some))
@@ -196,7 +217,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     found = paragraphs(docs).select("doc_id", "row", "paragraph", _grams(F.col("text")).alias("grams"), "text").where(F.size("grams") > 0)
     found = common.written(found, "licence-paragraphs")
     counter = [r.text for r in common.smallest(found, sample, "doc_id", "paragraph").select("text").collect()]
-    model = train([c[:2000] for c in counter])
+    model = train(counter)
     table = lambda name, rows, kind: spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>"))).alias(name)
     weights = table("w", [{"gram": g, "family": f, "weight": round(x, 6)} for f, w in model["weights"].items() for g, x in w.items() if g and abs(x) > 1e-3], "gram:string,family:string,weight:double")
     bias = table("b", [{"family": f, "bias": w[""], "bound": model["bounds"].get(f, 0.5)} for f, w in model["weights"].items()], "family:string,bias:double,bound:double")
