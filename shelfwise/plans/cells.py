@@ -377,6 +377,12 @@ def f23_comparable_name(spark, d):
     return view(spark, d, "products").where("n % 12 >= 8").select("id", text.comparable_name(F.col("name"), F.lit("kolekcja")).alias("compared"))
 
 
+@query()
+def f23_comparable_name_all(spark, d):
+    """Of every product; f23_comparable_name is the part whose result SQL can tell."""
+    return view(spark, d, "products").select("id", text.comparable_name(F.col("name"), F.lit("kolekcja")).alias("compared"))
+
+
 @query("SELECT 'S' AS source, field, scale FROM (VALUES ('Szer (mm)', 0.1), ('wys', 0.1), ('plain', NULL), ('Waga kg', 1.0)) AS t(field, scale)")
 def f26_scale_hints(spark, d):
     from shelfwise.operators import feeds
@@ -413,6 +419,15 @@ def f40_producer_of_tab(spark, d):
     return feeds.producer_of_tab(brands.select(F.concat("producer", F.lit(" nowe produkty")).alias("tab")), brands)
 
 
+@query("WITH b AS (SELECT DISTINCT p_brand AS producer FROM part) SELECT t.producer || ' nowe produkty' AS tab, arg_min(p.producer, (length(p.producer), p.producer)) AS producer FROM b t JOIN b p ON starts_with(t.producer, p.producer) OR starts_with(p.producer, t.producer) GROUP BY t.producer")
+def f40_producer_of_tab_all(spark, d):
+    """Of every producer, where names that start alike clash and the shortest wins; f40_producer_of_tab is the part without clashes."""
+    from shelfwise.operators import feeds
+
+    brands = table(spark, d, "part").select(F.col("p_brand").alias("producer")).distinct()
+    return feeds.producer_of_tab(brands.select(F.concat("producer", F.lit(" nowe produkty")).alias("tab")), brands)
+
+
 @query(oracle("products") + " SELECT id, CASE WHEN category = 'ECONOMY' THEN 'Tanie' ELSE category END AS shown, category <> 'ECONOMY' AS furniture FROM products")
 def c3_category_names(spark, d):
     return detect.with_category_names(view(spark, d, "products"), spark.sql("SELECT 'ECONOMY' AS category, 'Tanie' AS shown, false AS furniture")).select("id", "shown", "furniture")
