@@ -8,7 +8,7 @@ from shelfwise.functions import text
 from shelfwise.operators import feeds, gaps, maintenance, photos, tree
 from shelfwise.plans.bridge import norm_sql, number_text_sql, oracle, table, view
 from shelfwise.plans.registry import query
-from shelfwise.sources import readers
+from shelfwise.sources import readers, tables
 
 # ---- tree: regions and nations; a root above
 
@@ -185,6 +185,52 @@ def g10_remaining(spark, d):
     return gaps.remaining(g.own, g.values, gaps.best(g.all()), spark.sql("SELECT 'Kolor' AS attr")).select("id", "attr")
 
 
+class _AllGaps(_Gaps):
+    """The same catalogue with sleeping sizes and functions for some of PROMO, so that each of the six sources has something to say."""
+
+    def __init__(self, spark, d):
+        super().__init__(spark, d)
+        promo = self.products.where("category = 'PROMO'")
+        said = ((F.col("n") % 5 == 0, "Funkcja spania", "tak"), (F.col("n") % 5 == 2, "Funkcje", "z funkcją spania"), (F.col("n") % 5 == 2, "Rozmiar", "90x200"), (F.col("n") % 10 == 2, "Szerokość powierzchni spania", "95"))
+        cells = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(a).alias("attr"), F.lit(v).alias("value"))) for when, a, v in said)))
+        self.values = tables.written(self.values.unionByName(promo.select("id", F.inline(cells))), "effective")  # six sources read both
+        self.own = tables.written(gaps.cells(self.products, spark.sql(NODE_FILTERS), spark.sql(FILTERS), self.values), "filter-cells")
+
+    def all(self):
+        labels = self.spark.sql("SELECT * FROM (VALUES ('Styl', 'nowoczesny'), ('Styl', 'klasyczny'), ('Styl', 'skandynawski'), ('Styl', 'loft')) AS t(attr, label)")
+        products = self.products.withColumn("collection", F.concat(F.lit("C"), (F.col("n") % 5).cast("string")))
+        return gaps.candidates(products, self.own, self.values, labels, subtypes=self.subtype_rules(), names=self.name_rules(), reads=self.reads(), family=[F.col("category"), F.col("collection")])
+
+
+G6 = oracle("products", "attrs", "components") + f""", filters AS ({FILTERS}), nodefil AS ({NODE_FILTERS}), eff AS (SELECT id, attr, value FROM attrs UNION ALL SELECT id, attr, value FROM components c WHERE NOT EXISTS (SELECT 1 FROM attrs a WHERE a.id = c.id AND a.attr = c.attr)
+ UNION ALL SELECT p.id, v.attr, v.value FROM products p JOIN (VALUES (5, 0, 'Funkcja spania', 'tak'), (5, 2, 'Funkcje', 'z funkcją spania'), (5, 2, 'Rozmiar', '90x200'), (10, 2, 'Szerokość powierzchni spania', '95')) AS v(m, k, attr, value) ON p.n % v.m = v.k WHERE p.category = 'PROMO'),
+own0 AS (SELECT p.id, f.attr FROM products p JOIN nodefil f ON f.node = 1 WHERE p.n % 10 = 1 UNION SELECT p.id, f.attr FROM products p JOIN filters f ON f.category = p.category WHERE p.n % 10 <> 1),
+own AS (SELECT * FROM own0 o WHERE NOT (attr LIKE '%powierzchni spania' AND id IN (SELECT id FROM own0 WHERE attr = 'Funkcje') AND NOT EXISTS (SELECT 1 FROM eff e WHERE e.id = o.id AND e.attr = 'Funkcje'))),
+{SUB}, {NAM},
+siz AS (SELECT o.id, o.attr, CASE WHEN e.id IS NULL THEN 'L2-LUKA-ROZMIAR' ELSE 'L2-LUKA-ROZMIAR-SPRZECZNE' END AS rule_id, e.value AS old_value, CASE WHEN e.id IS NULL THEN CASE WHEN o.attr LIKE 'Szer%' THEN '90' ELSE '200' END END AS new_value, CASE WHEN e.id IS NULL THEN 0.95 ELSE 1.0 END AS confidence
+ FROM own o JOIN eff s ON s.id = o.id AND s.attr = 'Rozmiar' LEFT JOIN eff e ON e.id = o.id AND e.attr = o.attr WHERE o.attr LIKE '%powierzchni spania'),
+sle AS (SELECT o.id, o.attr, 'L2-LUKA-FUNKCJA-SPANIA' AS rule_id, cast(NULL AS varchar) AS old_value, 'z funkcją spania' AS new_value, 0.92 AS confidence FROM own o JOIN eff e ON e.id = o.id AND e.attr = 'Funkcja spania' WHERE o.attr = 'Funkcje'),
+pho AS (SELECT o.id, o.attr, 'L2-LUKA-ZDJECIE' AS rule_id, cast(NULL AS varchar) AS old_value, 'loft' AS new_value, least(0.8, 0.5 + (p.n % 5) / 10.0) AS confidence FROM own o JOIN products p ON p.id = o.id WHERE o.attr = 'Styl' AND p.n % 2 = 0 AND NOT EXISTS (SELECT 1 FROM eff e WHERE e.id = o.id AND e.attr = 'Styl')),
+fam AS (SELECT o.id, p.category, p.n % 5 AS k, e.value FROM own o JOIN products p ON p.id = o.id LEFT JOIN eff e ON e.id = o.id AND e.attr = 'Styl' WHERE o.attr = 'Styl'),
+known AS (SELECT category, k, count(*) AS n, CASE any_value(value) WHEN 'Nowoczesny' THEN 'nowoczesny' ELSE any_value(value) END AS due FROM fam WHERE value IS NOT NULL GROUP BY category, k HAVING count(*) >= 3 AND k IN (1, 2, 3)),
+rod AS (SELECT f.id, 'Styl' AS attr, 'L2-LUKA-RODZINA' AS rule_id, cast(NULL AS varchar) AS old_value, g.due AS new_value, round(least(0.95, (g.n + 1) / (g.n + 2)), 3) AS confidence FROM fam f JOIN known g ON g.category = f.category AND g.k = f.k WHERE f.value IS NULL),
+allc AS (SELECT *, 1 AS r FROM sub UNION ALL SELECT *, 2 FROM nam UNION ALL SELECT *, 3 FROM siz UNION ALL SELECT *, 4 FROM sle UNION ALL SELECT *, 5 FROM pho UNION ALL SELECT *, 6 FROM rod),
+best AS (SELECT * EXCLUDE (r, k) FROM (SELECT *, row_number() OVER (PARTITION BY id, attr ORDER BY confidence DESC, r, new_value) AS k FROM allc) WHERE k = 1)"""
+
+
+@query(G6 + " SELECT id, attr, rule_id, old_value, new_value, cast(confidence AS double) AS confidence FROM best")
+def g9_best_of_all(spark, d):
+    """Of all six sources; g9_best is the part of subtype and name."""
+    return gaps.best(_AllGaps(spark, d).all()).select("id", "attr", "rule_id", "old_value", "new_value", F.round("confidence", 4).alias("confidence"))
+
+
+@query(G6 + " SELECT o.id, o.attr FROM own o WHERE o.attr <> 'Kolor' AND NOT EXISTS (SELECT 1 FROM eff e WHERE e.id = o.id AND e.attr = o.attr) AND NOT EXISTS (SELECT 1 FROM best b WHERE b.id = o.id AND b.attr = o.attr)")
+def g10_remaining_of_all(spark, d):
+    """What all six sources leave open."""
+    g = _AllGaps(spark, d)
+    return gaps.remaining(g.own, g.values, gaps.best(g.all()), spark.sql("SELECT 'Kolor' AS attr")).select("id", "attr")
+
+
 RECON = """WITH e AS (SELECT c_custkey AS k, cast(c_custkey AS varchar) AS id, CASE WHEN c_custkey % 3 > 0 THEN 'v' || cast(c_custkey % 2 AS varchar) END AS new_value, 0.5 + (c_custkey % 4) / 10.0 AS confidence FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 1),
 g AS (SELECT c_custkey AS k, cast(c_custkey AS varchar) AS id, CASE WHEN c_custkey % 5 > 0 THEN 'v0' END AS new_value, 0.65 AS confidence FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 2),
 b AS (SELECT e.id, CASE WHEN e.new_value IS NULL THEN 'g' WHEN g.new_value IS NULL THEN 'e' WHEN g.confidence >= e.confidence THEN 'g' ELSE 'e' END AS stay, e.new_value <> g.new_value AS clash FROM e JOIN g ON g.id = e.id)

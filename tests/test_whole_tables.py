@@ -5,16 +5,16 @@ import re
 from shelfwise.plans.registry import ORACLE_SQL
 from shelfwise.plans.bridge import view
 
-SF = "/root/testdata/sf0.001"
+SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 SUFFIXES = ("-drzwiowa z szufladami", "dwudrzwiowa", "z szuflada", "bez drzwi", "", "", "sr.", "z szufladami", "", "", "", "")
 
 
-def _duck(sql):
+def _duck(sql, sf=SF):
     import duckdb
 
     c = duckdb.connect()
     for name in ("part",):
-        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return c.execute(re.sub(r"\bstring\b", "varchar", sql)).fetchall()
 
 
@@ -34,3 +34,16 @@ def test_producers_of_all_tabs(spark):
     got = sorted(map(tuple, cells.f40_producer_of_tab_all(spark, SF).collect()))
     assert got == sorted(_duck(ORACLE_SQL["f40_producer_of_tab_all"]))
     assert len(got) == spark.read.parquet(f"{SF}/part.parquet").select("p_brand").distinct().count() and ("Brand#12 nowe produkty", "Brand#1") in got
+
+
+def test_gaps_of_all_sources(spark):
+    from shelfwise.plans import more
+
+    got = [tuple(r) for r in more.g9_best_of_all(spark, SF2).collect()]
+    sql = [(*r[:5], float(r[5])) for r in _duck(ORACLE_SQL["g9_best_of_all"], SF2)]
+    key = lambda r: tuple(map(str, (*r[:5], round(r[5], 4))))
+    assert sorted(map(key, got)) == sorted(map(key, sql))
+    assert {"L2-LUKA-" + x for x in ("PODTYP", "NAZWA", "ROZMIAR", "ROZMIAR-SPRZECZNE", "FUNKCJA-SPANIA", "ZDJECIE", "RODZINA")} <= {r[2] for r in got}
+    left = sorted(map(tuple, more.g10_remaining_of_all(spark, SF2).collect()))
+    print(len(got), len(left))
+    assert left == sorted(_duck(ORACLE_SQL["g10_remaining_of_all"], SF2)) and not set(left) & {r[:2] for r in got}
