@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold; Spark bounds its bytes too. Keeps a worker's memory small when texts are long.
 BATCH_ROWS = 512
+#: A key is hot when it holds more than this part of all rows; so there are fewer such keys.
+HOT_KEYS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,19 +24,35 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+@functools.cache
+def _temporary() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="shelfwise-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. A temporary one only where the session names none."""
+    """The folder that the driver and all executors see. Only where driver and executors are one process may the session name none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _temporary()
+    return f"{found.rstrip('/')}/shelfwise-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that this application's operators wrote in between. Results that were not yet read need them."""
+    remove(spark, shared_dir(spark))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later stages read files, so a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -54,6 +73,18 @@ def smallest(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.orderBy(hashed, *keys).limit(n)
 
 
+def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with one, which has each key once, and in `count` how many rows that key has.
+
+    Keys with more than total / HOT_KEYS rows are fewer than HOT_KEYS, whatever the data: that side is broadcast, so no
+    task gets all rows of such a key. The others meet in a shuffle, in which no key has more than that share.
+    """
+    most = max(1, total // HOT_KEYS)
+    hot = one.where(F.col(count) > most).drop(count)
+    warm = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col(count) <= most).drop(count), keys, how)
+    return warm.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def own_ids(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and text alone, of the rows that have an id: other columns can't clash with the operators' own."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")

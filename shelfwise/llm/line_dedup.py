@@ -2,19 +2,26 @@
 
 State, as tables in one folder: `postings` (key, doc_id) for every document that holds a long line, appended by each
 insertion; `deleted` (doc_id), appended by each deletion; `refs` (key, n_docs, last_doc), exact and replaced a version
-at a time; `filters` (shard, table), cuckoo filters of the keys that are repeated now. A key that becomes repeated is
-inserted in its shard's filter, one that no longer is gets deleted from it, so both directions stay incremental.
+at a time; `filters` (shard, keys, filter), cuckoo filters of the keys that are repeated now. A key that becomes repeated
+is inserted in its shard's filter, one that no longer is gets deleted from it, so both directions stay incremental; a
+filter that would be too full is built anew from the exact table. Filters are never gathered: postings are dealt to
+their shard and meet its filter there, and what passes meets the exact table. `manifest` is written last, so that
+LineStore.open() finds the last whole state after a lost driver. Many small tables are merged into one.
 
 A line's key is its 128-bit XXH3 after stripping [\\x20\\x09-\\x0D] at both ends and lower-casing A-Z. Lines of a
 repeated key go, but for those in the largest doc_id that holds it.
 
-Defined results: a null or empty text is one empty line; rows with a null doc_id take no part; every row counts as a
-document, so rows that repeat a doc_id count each; an empty table gives an empty result; extra columns are kept by
-dedup_lines(), but for its own n_lines and n_dropped, which replace an input's.
+Hot keys (more than a fixed share of all postings, so at most common.HOT_KEYS) are broadcast and need no filter.
+
+Defined results: a null or empty text is one empty line; very long texts and lines are read whole; rows with a null
+doc_id take no part; rows that repeat a doc_id are one document that holds the lines of all of them, and each gets a row;
+inserting a doc_id again replaces it; ties can't be (the largest doc_id is one); an empty table gives an empty result;
+extra columns are kept by dedup_lines(), but for its own n_lines and n_dropped, which replace an input's.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +33,13 @@ from pyspark.sql import functions as F
 from shelfwise.llm import common
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Keys that a filter shard is made for, and bytes of all filters up to which they are broadcast. Beyond, the exact join goes without them.
-SHARD_KEYS, BROADCAST_BYTES = 1 << 16, 64 << 20
-SLOTS = 4
+#: Keys that a filter shard is made for, and postings that meet a copy of it in one group.
+SHARD_KEYS, GROUP_ROWS = 1 << 12, 1 << 13
+#: Bits of the digest of documents that lose lines, at most: it is broadcast, and a fuller one only lets more documents pass.
+DIGEST_BITS = 1 << 28
+#: Tables of postings and deletions that a store keeps before it merges them.
+TABLES = 8
+SLOTS, LOAD = 4, 0.85
 
 
 class CuckooFilter:
@@ -39,7 +50,7 @@ class CuckooFilter:
 
     @classmethod
     def sized(cls, keys: int) -> CuckooFilter:
-        buckets = 1 << max(2, int(np.ceil(np.log2(max(1, keys) / (SLOTS * 0.85)))))
+        buckets = 1 << max(2, int(np.ceil(np.log2(max(1, keys) / (SLOTS * LOAD)))))
         return cls(np.zeros((buckets, SLOTS), np.uint16))
 
     def places(self, hi: np.ndarray, lo: np.ndarray):
@@ -155,23 +166,49 @@ def _shard(n: int):
     return F.pmod(F.col("hi").bitwiseXOR(F.col("lo")), F.lit(n)).cast("int").alias("shard")
 
 
-class Probe:
-    """Filters on an executor; `None` lets every key pass to the exact join."""
+class Digest:
+    """A bitmap of numbers with two bits each: says no only of numbers that it doesn't hold."""
 
-    def __init__(self, filters: list[tuple[int, bytes]] | None, n_shards: int):
-        self.filters, self.n, self.ready = filters, n_shards, None
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
 
-    def __call__(self, both: np.ndarray) -> np.ndarray:
-        if self.filters is None:
-            return np.ones(len(both), bool)
-        if self.ready is None:
-            self.ready = {k: CuckooFilter.from_bytes(v) for k, v in self.filters}
-        shard, found = np.mod(both[:, 0] ^ both[:, 1], self.n), np.zeros(len(both), bool)
-        for k in np.unique(shard):
-            if int(k) in self.ready:
-                at = np.flatnonzero(shard == k)
-                found[at] = self.ready[int(k)].holds(both[at, 0].copy(), both[at, 1].copy())
-        return found
+    @staticmethod
+    def places(ids: np.ndarray, mask: np.uint64):
+        x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x >> np.uint64(32) & mask, (x ^ x >> np.uint64(17)) & mask
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        one, two = self.places(ids, self.mask)
+        bit = lambda x: self.bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) & 1
+        return (bit(one) & bit(two)).astype(bool)
+
+    @classmethod
+    def of(cls, ids: DataFrame, n: int, most: int = DIGEST_BITS) -> Digest:
+        """Of a column of longs. Each task sends the bytes of its segments, so the driver gets the bitmap, not the ids."""
+        size = 1 << int(np.clip(np.ceil(np.log2(max(1, n) * 16)), 12, np.log2(most)))
+        segment, mask = min(size, 1 << 18), np.uint64(size - 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(size // 8, np.uint8)
+            for b in batches:
+                for at in cls.places(b.column(0).to_numpy(), mask):
+                    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            parts = bits.reshape(-1, segment // 8)
+            used = np.flatnonzero(parts.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["part", "bits"])
+
+        def either(pdf):
+            import pandas as pd
+
+            return pd.DataFrame({"part": [int(pdf.part.iloc[0])], "bits": [np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in pdf.bits])).tobytes()]})
+
+        found = ids.mapInArrow(run, "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary")
+        bits = np.zeros((size // segment, segment // 8), np.uint8)
+        for r in found.collect():
+            bits[r.part] = np.frombuffer(r.bits, np.uint8)
+        return cls(bits.reshape(-1))
 
 
 class LineStore:
@@ -180,40 +217,89 @@ class LineStore:
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
         common.small_batches(spark)
         self.spark, self.path, self.min_chars, self.min_docs = spark, path or common.new_path(spark, "lines"), min_chars, min_docs
-        self.version, self.n_shards, self.refs, self.filters = 0, 1, None, None
-        self.batches: list[DataFrame] = []
-        self.deleted: list[DataFrame] = []
+        self.version, self.n_shards, self.n_postings = 0, 1, 0
+        self.tables: dict[str, str] = {}
+        self.batches: list[tuple[int, str]] = []
+        self.deleted: list[tuple[int, str]] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineStore:
+        """The last whole state that was written in this folder."""
+        last = spark.read.schema("version long, state string").parquet(f"{path}/manifest-*").orderBy(F.desc("version")).first()
+        state = json.loads(last.state)
+        store = cls(spark, path, state.pop("min_chars"), state.pop("min_docs"))
+        for name, value in state.items():
+            setattr(store, name, value)
+        return store
+
+    def _kept(self) -> LineStore:
+        names = ("min_chars", "min_docs", "version", "n_shards", "n_postings", "tables", "batches", "deleted")
+        state = json.dumps({n: getattr(self, n) for n in names})
+        self.spark.range(1).select(F.lit(self.version).cast("long").alias("version"), F.lit(state).alias("state")).write.parquet(f"{self.path}/manifest-{self.version}")
+        return self
+
+    SCHEMAS = {"postings": "hi long, lo long, doc_id long", "deleted": "doc_id long", "refs": "hi long, lo long, n_docs long, last_doc long", "filters": "shard int, keys long, filter binary"}
 
-    def _table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(at := f"{self.path}/{name}-{self.version}")
-        return self.spark.read.schema(df.schema).parquet(at)
+    def _write(self, df: DataFrame, name: str) -> str:
+        at = f"{name}-{self.version}"
+        df.write.mode("overwrite").parquet(f"{self.path}/{at}")  # over what a lost driver left
+        return at
+
+    def _read(self, at: str) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMAS[at.split("-")[0]]).parquet(f"{self.path}/{at}")
+
+    @property
+    def refs(self) -> DataFrame:
+        return self._read(self.tables["refs"])
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._read(self.tables["filters"])
 
     def held(self) -> DataFrame:
         """Postings of all documents that are in the store."""
         out = None
-        for k, rows in self.batches:
+        for k, at in self.batches:
+            rows = self._read(at)
             for j, gone in self.deleted:
                 if j > k:  # a document may come back after its deletion
-                    rows = rows.join(gone, "doc_id", "left_anti").select("hi", "lo", "doc_id")
+                    rows = rows.join(self._read(gone), "doc_id", "left_anti").select("hi", "lo", "doc_id")
             out = rows if out is None else out.unionByName(rows)
-        return out
+        return out if out is not None else self.spark.createDataFrame([], self.SCHEMAS["postings"])
 
     def insert(self, docs: DataFrame) -> LineStore:
+        """Documents that the store holds already are replaced, so a batch that is inserted again changes nothing."""
+        own = common.own_ids(docs)
+        if self.batches:
+            ids = own.select("doc_id").distinct()
+            again = common.written(self.held().select("doc_id").distinct().join(ids, "doc_id", "left_semi"), "again")
+            if not again.isEmpty():
+                self.delete(again)
         self.version += 1
-        new = self._table(postings(docs, self.min_chars), "postings")
-        self.batches.append((self.version, new))
-        return self._count(reference_counts(new), None)
+        found = postings(own, self.min_chars)
+        twice = common.written(own.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+        if not twice.isEmpty():
+            found = common.written(found, "found")
+            found = found.join(twice, "doc_id", "left_anti").unionByName(found.join(twice, "doc_id", "left_semi").distinct()).select("hi", "lo", "doc_id")
+        at = self._write(found, "postings")
+        self.batches.append((self.version, at))
+        return self._count(reference_counts(self._read(at)), None)
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
         """doc_ids: a table with doc_id. Only keys that those documents hold are counted anew."""
         self.version += 1
-        gone = self._table(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "deleted")
-        touched = self.held().join(gone, "doc_id", "left_semi").select("hi", "lo").distinct()
-        self.deleted.append((self.version, gone))
+        at = self._write(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "deleted")
+        touched = self.held().join(self._read(at), "doc_id", "left_semi").select("hi", "lo").distinct()
+        touched = common.written(touched, "touched")
+        self.deleted.append((self.version, at))
         return self._count(None, touched)
 
+    def _merge(self) -> None:
+        if len(self.batches) + len(self.deleted) > TABLES:
+            self.batches, self.deleted = [(self.version, self._write(self.held(), "postings-merged"))], []
+
     def _count(self, new: DataFrame | None, touched: DataFrame | None) -> LineStore:
-        old = self.refs
+        old = self.refs if "refs" in self.tables else None
         if old is None:
             refs = new if new is not None else reference_counts(self.held())
         elif new is not None:
@@ -221,17 +307,19 @@ class LineStore:
         else:
             kept = reference_counts(self.held().join(touched, ["hi", "lo"], "left_semi"))
             refs = old.join(touched, ["hi", "lo"], "left_anti").unionByName(kept)
-        self.refs = self._table(refs.select("hi", "lo", "n_docs", "last_doc"), "refs")
-        return self._refilter(old)
+        self.tables["refs"] = self._write(refs.select("hi", "lo", "n_docs", "last_doc"), "refs")
+        self._merge()
+        return self._refilter(old)._kept()
 
     def repeated(self, refs: DataFrame | None = None) -> DataFrame:
         return (self.refs if refs is None else refs).where(F.col("n_docs") >= self.min_docs)
 
     def _refilter(self, old: DataFrame | None) -> LineStore:
         now = self.repeated()
-        if self.filters is None or old is None:
-            self.n_shards = max(1, -(-now.count() // SHARD_KEYS))
-            self.filters = self._table(build_filters(now, self.n_shards), "filters")
+        self.n_postings, keys = self.refs.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.count_if(F.col("n_docs") >= self.min_docs)).first()
+        if "filters" not in self.tables or old is None or keys > 2 * SHARD_KEYS * self.n_shards:
+            self.n_shards = max(1, -(-keys // SHARD_KEYS))
+            self.tables["filters"] = self._write(build_filters(now, self.n_shards), "filters")
             return self
         before, n = self.repeated(old), self.n_shards
         turn = now.join(before, ["hi", "lo"], "left_anti").select("hi", "lo", F.lit(True).alias("come")).unionByName(before.join(now, ["hi", "lo"], "left_anti").select("hi", "lo", F.lit(False).alias("come")))
@@ -240,39 +328,60 @@ class LineStore:
             import pandas as pd
 
             come, go = turns[turns.come], turns[~turns.come]
-            f = CuckooFilter.from_bytes(filters["filter"].iloc[0]) if len(filters) else CuckooFilter.sized(SHARD_KEYS)
+            keys = (int(filters["keys"].iloc[0]) if len(filters) else 0) + len(come) - len(go)
+            f = CuckooFilter.from_bytes(filters["filter"].iloc[0]) if len(filters) else CuckooFilter.sized(keys)
+            if keys > LOAD * f.table.size or f.stash:  # too full: to be built anew
+                return pd.DataFrame({"shard": [int(key[0])], "keys": [keys], "filter": [b""]})
             f.delete(go.hi.to_numpy(), go.lo.to_numpy())
             f.insert(come.hi.to_numpy(), come.lo.to_numpy())
-            keys = (int(filters["keys"].iloc[0]) if len(filters) else 0) + len(come) - len(go)
             return pd.DataFrame({"shard": [int(key[0])], "keys": [keys], "filter": [f.to_bytes()]})
 
-        moved = turn.select(_shard(n), "hi", "lo", "come").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(change, "shard int, keys long, filter binary")
-        self.filters = self._table(moved, "filters")
-        if self.filters.where(F.col("keys") > 2 * SHARD_KEYS).limit(1).count():  # grown out of its shards
-            self.n_shards = max(1, -(-now.count() // SHARD_KEYS))
-            self.version += 1
-            self.filters = self._table(build_filters(now, self.n_shards), "filters")
+        moved = turn.select(_shard(n), "hi", "lo", "come").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(change, self.SCHEMAS["filters"])
+        moved = common.written(moved, "moved")
+        full = moved.where(F.length("filter") == 0).select("shard")
+        anew = build_filters(now.withColumn("shard", _shard(n)).join(full, "shard", "left_semi"), n)
+        self.tables["filters"] = self._write(moved.where(F.length("filter") > 0).unionByName(anew), "filters")
         return self
 
-    def probe(self) -> Probe:
-        size = self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
-        return Probe([(r.shard, bytes(r.filter)) for r in self.filters.select("shard", "filter").collect()] if size <= BROADCAST_BYTES else None, self.n_shards)
+    def passing(self, rows: DataFrame) -> DataFrame:
+        """The postings whose key its shard's filter knows. Each group is a part of a shard's postings and a copy of its filter."""
+        parts = max(1, -(-self.n_postings // (self.n_shards * GROUP_ROWS)))
+        dealt = rows.withColumns({"shard": _shard(self.n_shards), "part": F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")})
+        copies = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+        def known(one: pa.Table, two: pa.Table) -> pa.Table:
+            one = one.select(["hi", "lo", "doc_id"])
+            if not one.num_rows or not two.num_rows:
+                return one.slice(0, 0)
+            f = CuckooFilter.from_bytes(two.column("filter")[0].as_py())
+            return one.filter(pa.array(f.holds(one.column("hi").to_numpy(), one.column("lo").to_numpy())))
+
+        return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(known, self.SCHEMAS["postings"])
+
+    def drops(self) -> DataFrame:
+        """(doc_id, __keys) of the documents that lose lines: keys that a filter passes and the exact table confirms."""
+        held, keys = self.held(), ["hi", "lo"]
+        sure, most = self.repeated().select("hi", "lo", "last_doc", "n_docs"), max(1, self.n_postings // common.HOT_KEYS)
+        hot = F.broadcast(sure.where(F.col("n_docs") > most).drop("n_docs"))
+        warm = self.passing(held.join(hot.select(*keys), keys, "left_anti")).join(sure.where(F.col("n_docs") <= most).drop("n_docs"), keys)
+        found = warm.unionByName(held.join(hot, keys)).where("doc_id < last_doc")
+        return common.written(found.groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("__keys")), "drops")
 
     def dedup(self, docs: DataFrame, kept: bool = True) -> DataFrame:
         """docs with repeated lines gone from text, and n_lines (before) and n_dropped. docs must be in the store.
 
-        Documents without a key that a filter knows are finished where they are read. The others' text is shuffled
-        once, to meet the keys that the exact table confirms, whatever the size. kept=False: (doc_id, n_lines, n_dropped, kept_sha256).
+        A digest of the documents that lose lines lets the others be finished where they are read; only the text of
+        those is shuffled, to meet its keys. kept=False: (doc_id, n_lines, n_dropped, kept_sha256).
         """
-        probe = self.spark.sparkContext.broadcast(self.probe())
-        drops = self._drops(probe)
+        drops = self.drops()
+        digest = self.spark.sparkContext.broadcast(Digest.of(drops.select("doc_id"), drops.count()))
         if not kept:
             docs = common.own_ids(docs)
         else:
             docs = docs.where("doc_id is not null").drop("n_lines", "n_dropped")
         hit, keys, other = (common.fresh(docs, name) for name in ("__hit", "__keys", "__doc_id"))
         unmarked = docs.withColumn(hit, F.lit(0))
-        marked = unmarked.mapInArrow(_mark(probe, self.min_chars, hit), unmarked.schema)
+        marked = unmarked.mapInArrow(_mark(digest, hit), unmarked.schema)
         lines = F.when(F.col("text").isNull(), 1).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
         first = marked.where(F.col(hit) == 0).select(*docs.columns, lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
         met = marked.where(F.col(hit) == 1).drop(hit).join(drops.withColumnsRenamed({"doc_id": other, "__keys": keys}).hint("merge"), F.col("doc_id") == F.col(other), "left").drop(other)
@@ -283,33 +392,13 @@ class LineStore:
             return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
         return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
-    def _drops(self, probe) -> DataFrame:
-        """(doc_id, __keys) of the documents that lose lines."""
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                both = np.stack([b.column("hi").to_numpy(), b.column("lo").to_numpy()], 1)
-                yield b.filter(pa.array(probe.value(both)))
-
-        held = self.held()
-        maybe = held.mapInArrow(pick, held.schema)
-        found = maybe.join(self.repeated().select("hi", "lo", "last_doc"), ["hi", "lo"]).where("doc_id < last_doc")
-        return common.written(found.groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("__keys")), "drops")
 
-
-def _mark(probe, min_chars: int, to: str):
-    """Sets a column to 1 on the documents with a line that a filter knows."""
+def _mark(digest, to: str):
+    """Sets a column to 1 on the documents that may lose lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, keys = [], []
-            for i, text in enumerate(common.raw(b.column("text"))):
-                own = {k for _, k in keyed_lines(text, min_chars) if k}
-                keys += own
-                at += [i] * len(own)
-            hit = np.zeros(b.num_rows, np.int32)
-            if keys:
-                hit[np.array(at)[probe.value(_halves(keys))]] = 1
+            hit = digest.value(b.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)).astype(np.int32)
             yield b.set_column(b.schema.get_field_index(to), to, pa.array(hit))
 
     return run
@@ -320,10 +409,10 @@ def _drop(min_chars: int, by: str):
         for b in batches:
             texts, counts, dropped = [], [], []
             for text, keys in zip(common.raw(b.column("text")), b.column(by).to_pylist(), strict=True):
-                lines = keyed_lines(text, min_chars)
+                lines = keyed_lines(text, min_chars) if keys else None
                 gone = {np.int64([k["hi"], k["lo"]]).tobytes() for k in keys or ()}
                 stay = [line for line, k in lines if k not in gone] if gone else None
-                counts.append(len(lines))
+                counts.append(len(lines) if lines else (text or b"").count(b"\n") + 1)
                 dropped.append(len(lines) - len(stay) if gone else 0)
                 texts.append((b"\n".join(stay) if gone else text))
             new = {"text": pa.array(texts, pa.binary()).cast(b.schema.field("text").type), "n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from shelfwise.llm import licenses, line_dedup, packing, pieces, quality, simhash, token_files, tokens
 
@@ -83,7 +84,48 @@ def test_line_store_is_reversible(spark):
         assert got == {k: t for k, (_, _, t) in plain_line_dedup(now).items()}
         fresh = line_dedup.LineStore(spark).insert(frame(now))
         assert sorted(store.refs.collect()) == sorted(fresh.refs.collect())
-    assert not store.probe()(np.array([[r.hi, r.lo] for r in store.refs.collect()])).any()
+    assert store.passing(store.held()).count() == 0
+
+
+def test_line_store_opens_again_and_inserts_once(spark):
+    texts = {k: f"{LINE}\nown {k}" for k in range(8)}
+    frame = lambda d: spark.createDataFrame([row(*x) for x in d.items()], DOCS)
+    store = line_dedup.LineStore(spark).insert(frame(texts))
+    refs = sorted(store.refs.collect())
+    again = line_dedup.LineStore.open(spark, store.path).insert(frame({k: texts[k] for k in (1, 2)}))
+    assert sorted(again.refs.collect()) == refs
+    for _ in range(6):  # more tables than it keeps
+        again.delete(spark.createDataFrame([(3,)], "doc_id long")).insert(frame({3: texts[3]}))
+    assert len(again.batches) + len(again.deleted) <= line_dedup.TABLES + 1 and sorted(again.refs.collect()) == refs
+    assert sorted(line_dedup.LineStore.open(spark, store.path).held().collect()) == sorted(store.held().collect())
+    twice = line_dedup.LineStore(spark).insert(frame(texts).unionAll(frame(texts)))
+    assert sorted(twice.refs.collect()) == refs
+
+
+def test_line_store_grows(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1 << 16)
+    line = lambda n: f"line number {n} is long enough to be one that is a key of its own"
+    frame = lambda d: spark.createDataFrame([row(*x) for x in d.items()], DOCS)
+    store = line_dedup.LineStore(spark, min_docs=1).insert(frame({0: line(0)}))
+    store.insert(frame({1 + k: "\n".join(map(line, range(1000 * k, 1000 * k + 1000))) for k in range(60)}))
+    sizes = [(r["keys"], line_dedup.CuckooFilter.from_bytes(r["filter"])) for r in store.filters.collect()]
+    assert sum(n for n, _ in sizes) == 60_000 and all(not f.stash and n <= 0.9 * f.table.size for n, f in sizes)
+    assert store.passing(store.held()).count() == 60_001
+    store.delete(spark.range(2, 61).select("id").withColumnRenamed("id", "doc_id"))
+    assert store.passing(store.held()).count() == store.held().count() == 1001
+
+
+def test_line_dedup_of_repeated_ids_counts_documents(spark):
+    docs = spark.createDataFrame([row(7, LINE)] * 9 + [row(8, LINE)], DOCS)
+    assert {(r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect()} == {(7, 0), (8, 0)}
+
+
+def test_digest_has_no_false_negatives(spark):
+    ids = spark.range(0, 20_000, 7).select((F.col("id") * 1_000_003 - 5_000_000).alias("id"))
+    for most in (1 << 28, 1 << 12):  # the second is far too full
+        d = line_dedup.Digest.of(ids, 2858, most)
+        assert d(np.array([r.id for r in ids.collect()])).all()
+    assert line_dedup.Digest.of(ids, 2858)(np.arange(10**9, 10**9 + 5000)).mean() < 0.05
 
 
 def test_cuckoo_filter():
