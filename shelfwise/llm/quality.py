@@ -1,16 +1,20 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text's bytes are cut into overlapping chunks that cover all of it. Each byte is embedded, learned filters run over
-the chunk, and the largest response of each filter in the chunk is kept. The chunks' responses are combined by their
-mean and their largest, and a small dense net makes one probability of them.
-
-It is trained on at most SAMPLE labelled rows (those with the smallest hash of doc_id; the bound is a parameter), on the
-driver, with a fixed seed. Rows whose crc32(doc_id as text) mod 5 is 0 are held out. labels, lang, source and doc_id are
-no inputs. Every text is scored whole.
-
-Defined results: null or empty text is scored as one chunk of padding; rows with a null doc_id take no part; labels that
-are null or are not 0 or 1 are left out; without any label all scores are 0.5; rows that repeat a doc_id get one row
-each; an empty table gives an empty result; reject() keeps extra columns, whatever their names.
+A text's bytes are cut into overlapping chunks that cover all of it. Each byte, with a mark of whether it repeats what
+stood a few bytes before, is embedded, learned filters run over the chunk, and the largest response of each filter in the
+chunk is kept. The chunks' responses are combined by their mean and their largest, and a small dense net makes one
+probability of them.
+
+It is trained on at most SAMPLE labelled rows (those with the smallest hash of doc_id) of together at most SAMPLE_BYTES
+bytes of text; both bounds are parameters. Training sees all chunks of those texts, and runs on the driver with a fixed
+seed. Rows whose crc32(doc_id as text) mod 5 is 0 are held out. labels, lang, source and doc_id are no inputs. Every text
+is scored whole.
+
+Defined results: null or empty text is scored as one chunk of padding; very long texts are scored by blocks of chunks;
+rows with a null doc_id take no part; labels that are null or are not 0 or 1 are left out; of a doc_id's labels the
+largest counts, of its texts the last in order is trained on; without any label all scores are 0.5; rows that repeat a
+doc_id get one row each; a score at the threshold is predicted 1; an empty table gives an empty result; reject() keeps
+extra columns, whatever their names, and rows without doc_id as any other.
 """
 
 from __future__ import annotations
@@ -19,27 +23,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm import common
 
-SAMPLE, SEED, THRESHOLD = 3000, 7, 0.3
-#: Bytes of a chunk and from one chunk's start to the next; bytes a filter sees and steps by.
-CHUNK, HOP, WIDTH, STEP = 512, 448, 8, 4
+SAMPLE, SAMPLE_BYTES, SEED, THRESHOLD = 3000, 48 << 20, 7, 0.3
+#: Bytes of a chunk and from one chunk's start to the next (odd, so that windows begin at all places); bytes a filter sees and steps by.
+CHUNK, HOP, WIDTH, STEP = 512, 449, 8, 4
 EMBED, FILTERS, HIDDEN = 8, 40, 24
 #: Chunks that go through the net at once.
 BLOCK = 512
 PAD = 0
+#: A symbol's offset for bytes that repeat what stood a few bytes before, and how few.
+SAME, LAGS = 256, 40
 
 
-def chunks(text: bytes | None) -> np.ndarray:
-    """(n, CHUNK) bytes; the last is filled up with PAD."""
+def symbols(text: bytes | None) -> np.ndarray:
+    """A symbol for each byte: the byte, and SAME more where it and the three after it stood the same up to LAGS bytes before."""
     data = np.frombuffer(text or b"", np.uint8)
+    out = data.astype(np.uint16)
+    if len(data) > 4:
+        four = data[:-3].astype(np.uint32)
+        for k in (1, 2, 3):
+            four |= data[k : len(data) - 3 + k].astype(np.uint32) << 8 * k
+        same = np.zeros(len(four), bool)
+        for lag in range(1, min(LAGS, len(four) - 1) + 1):
+            same[lag:] |= four[lag:] == four[:-lag]
+        out[: len(four)] += same.astype(np.uint16) * SAME
+    return out
+
+
+def chunks(text: bytes | None) -> np.ndarray:
+    """(n, CHUNK) symbols; the last is filled up with PAD."""
+    data = symbols(text)
     n = max(1, -(-max(0, len(data) - (CHUNK - HOP)) // HOP))
-    full = np.full((n - 1) * HOP + CHUNK, PAD, np.uint8)
+    full = np.full((n - 1) * HOP + CHUNK, PAD, np.uint16)
     full[: len(data)] = data
-    return np.lib.stride_tricks.as_strided(full, (n, CHUNK), (HOP, 1))
+    return np.lib.stride_tricks.as_strided(full, (n, CHUNK), (2 * HOP, 2))
 
 
 class ByteNet:
@@ -52,7 +73,7 @@ class ByteNet:
         draw = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
         return cls(
             {
-                "embed": draw(256, EMBED, by=0.5),
+                "embed": draw(2 * SAME, EMBED, by=0.5),
                 "conv": draw(WIDTH * EMBED, FILTERS, by=(1 / (WIDTH * EMBED)) ** 0.5),
                 "conv_b": np.zeros(FILTERS, np.float32),
                 "dense": draw(2 * FILTERS, HIDDEN, by=(1 / FILTERS) ** 0.5),
@@ -103,8 +124,8 @@ class ByteNet:
             responses.append(self.pooled(np.concatenate(held)))
         return self.head(self.combine(np.concatenate(responses), starts))[1].astype(np.float64)
 
-    def train(self, texts: list[bytes | None], labels: np.ndarray, rounds: int = 20, steps: int = 600, size: int = 48, rate: float = 4e-3, chunk_bound: int = 8, seed: int = SEED) -> ByteNet:
-        """Adam on log loss, for so many rounds and steps at least. In each round a text longer than chunk_bound chunks is trained on so many of its chunks, drawn anew."""
+    def train(self, texts: list[bytes | None], labels: np.ndarray, rounds: int = 5, steps: int = 320, size: int = 48, rate: float = 4e-3, seed: int = SEED) -> ByteNet:
+        """Adam on log loss, for so many rounds and steps at least, on all chunks of the texts."""
         rng, w = np.random.default_rng(seed), self.w
         parts = [chunks(t) for t in texts]
         first, second, t = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
@@ -114,8 +135,7 @@ class ByteNet:
             order = rng.permutation(len(parts))
             for at in range(0, len(order), size):
                 own = order[at : at + size]
-                picked = [parts[i] if len(parts[i]) <= chunk_bound else parts[i][np.sort(rng.choice(len(parts[i]), chunk_bound, False))] for i in own]
-                grads = self._gradients(picked, labels[own].astype(np.float32))
+                grads = self._gradients([parts[i] for i in own], labels[own].astype(np.float32))
                 t += 1
                 now = rate * min(1, t / 30) * (1 - 0.95 * t / (rounds * batches))
                 for k, g in grads.items():
@@ -147,7 +167,7 @@ class ByteNet:
         grads["conv"] = np.einsum("cf,cfk->kf", to_responses, window)
         to_window = (to_responses[:, :, None] * w["conv"].T[None]).reshape(-1, EMBED)
         which = seen.reshape(-1)
-        grads["embed"] = np.stack([np.bincount(which, to_window[:, k], 256) for k in range(EMBED)], 1)
+        grads["embed"] = np.stack([np.bincount(which, to_window[:, k], 2 * SAME) for k in range(EMBED)], 1)
         return {k: g.astype(np.float32) for k, g in grads.items()}
 
 
@@ -155,10 +175,19 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> ByteNet | None:
+def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES, label: str = "quality") -> DataFrame:
+    """(doc_id, text as bytes, label) to train on: the same rows for the same tables, bounded in rows and bytes."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").where(~held_out(F.col("doc_id")))
     chosen = common.smallest(marked.groupBy("doc_id").agg(F.max("label").alias("label")), sample, "doc_id")
-    rows = common.own_ids(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "label").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = common.own_ids(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max(F.col("text").cast("binary")).alias("text"))
+    rows = common.written(rows, "sample")
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample's rows alone
+    fits = rows.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= most).select("doc_id")
+    return rows.join(F.broadcast(fits), "doc_id").orderBy("doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> ByteNet | None:
+    rows = sample_of(docs, labels, sample, label=label).collect()
     if not rows:
         return None
     return ByteNet.start().train([bytes(r.text or b"") for r in rows], np.array([r.label for r in rows]))

@@ -159,6 +159,46 @@ def test_quality(spark, docs, none, rows):
     assert quality.reject(docs, labels).columns == docs.columns
 
 
+def test_quality_scores_as_by_hand():
+    net, w = quality.ByteNet.start(3), None
+    w = net.w
+    for text in (b"", b"abc", bytes(range(256)) * 3, "Größe und Maß. ".encode() * 60):
+        same = lambda p: p + 4 <= len(text) and any(text[p : p + 4] == text[p - lag : p - lag + 4] for lag in range(1, min(p, quality.LAGS) + 1))
+        marked = [x + 256 * same(p) for p, x in enumerate(text)]
+        rows = []
+        for k in range(max(1, -(-max(0, len(text) - (quality.CHUNK - quality.HOP)) // quality.HOP))):
+            own = marked[k * quality.HOP : k * quality.HOP + quality.CHUNK]
+            own += [0] * (quality.CHUNK - len(own))
+            best = [0.0] * quality.FILTERS
+            for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STEP):
+                seen = [x for byte in own[at : at + quality.WIDTH] for x in w["embed"][byte].tolist()]
+                for f in range(quality.FILTERS):
+                    best[f] = max(best[f], sum(x * y for x, y in zip(seen, w["conv"][:, f].tolist())) + float(w["conv_b"][f]))
+            rows.append(best)
+        pooled = [sum(c) / len(rows) for c in zip(*rows)] + [max(c) for c in zip(*rows)]
+        hidden = [np.tanh(sum(x * y for x, y in zip(pooled, w["dense"][:, h].tolist())) + w["dense_b"][h]) for h in range(quality.HIDDEN)]
+        by_hand = 1 / (1 + np.exp(-(sum(h * float(o) for h, o in zip(hidden, w["out"])) + float(w["out_b"][0]))))
+        assert abs(net.score([text])[0] - by_hand) < 1e-4 and abs(net.score([b"x" * 3000, text, b"y"])[1] - by_hand) < 1e-4
+
+
+def test_quality_sample_is_bounded_and_the_same(spark):
+    docs = spark.createDataFrame([row(k % 50, f"text {k} " * 20) for k in range(100)], DOCS)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    all_rows = quality.sample_of(docs, labels).collect()
+    assert len(all_rows) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(50)) and all_rows == quality.sample_of(docs.repartition(7), labels).collect()
+    few = quality.sample_of(docs, labels, most=2000).collect()
+    assert 0 < len(few) < len(all_rows) and sum(len(r.text) for r in few) <= 2000 and len(quality.sample_of(docs, labels, 5).collect()) == 5
+
+
+def test_quality_learns_what_stands_in_one_place_of_long_texts():
+    rng = random.Random(6)
+    plain = lambda: " ".join(rng.choice(["the", "river", "was", "cold", "and", "deep"]) for _ in range(rng.randint(1500, 2500)))
+    texts = [plain() for _ in range(120)]
+    texts = [t if k % 2 else t[: len(t) // 2] + " §$%&/()=?*+#§$%&/()=?* " + t[len(t) // 2 :] for k, t in enumerate(texts)]
+    net = quality.ByteNet.start().train([t.encode() for t in texts[:80]], np.array([k % 2 for k in range(80)]))
+    assert np.mean((net.score([t.encode() for t in texts[80:]]) > 0.5) == (np.arange(80, 120) % 2)) > 0.9
+
+
 def test_quality_sees_all_of_a_text():
     assert all(len(np.unique(np.concatenate([np.arange(k * quality.HOP, k * quality.HOP + quality.CHUNK) for k in range(len(quality.chunks(b"x" * n)))]))) >= n for n in (0, 1, 511, 512, 513, 960, 961, 5000))
 
