@@ -2,13 +2,15 @@
 
 A packer keeps a fixed number of open bins in a bitset keyed by free space: bit s is set while a bin with s free tokens
 is open. The best fit for a piece is the lowest set bit at or above its length. When a new bin would exceed the bound,
-the fullest open bin (the lowest set bit) closes first.
+the fullest open bin (the lowest set bit) closes first, whatever may still come.
 
 Documents are dealt to packers by a hash of doc_id, as many packers as the tokens call for, each with about SHARE
-tokens; a packer's memory is its open bins. Within a packer, longer pieces come first, so small ones fill the gaps.
+tokens. A packer takes its pieces as they arrive, in the order of a hash of doc_id, and holds back WINDOW of them: of
+those, longer ones are placed first. So it needs the memory of its open bins and one window, however much comes.
 
-Defined results: null text is empty and still a piece with the end id; rows with a null doc_id take no part; rows that
-repeat a doc_id are packed each; an empty table gives an empty result; columns other than doc_id and text play no part.
+Defined results: null text is empty and still a piece with the end id; very long texts are cut into many pieces; rows
+with a null doc_id take no part; rows that repeat a doc_id are packed each, in any order; pieces of one length are taken
+in order of arrival; an empty table gives an empty result; columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from shelfwise.llm import common, tokens
 
 CAPACITY, END_ID = 2048, 0
-#: Open bins of a packer, and tokens that a packer is to get.
-OPEN_BINS, SHARE = 16_384, 1 << 24
+#: Open bins of a packer, pieces that it holds back to order them, and tokens that it is to get.
+OPEN_BINS, WINDOW, SHARE = 256, 1024, 1 << 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -36,7 +39,7 @@ class BestFit:
     def __init__(self, capacity: int = CAPACITY, open_bins: int = OPEN_BINS):
         self.capacity, self.most = capacity, open_bins
         self.bits, self.bins = 0, defaultdict(list)  # bins: ids of the open ones by free space
-        self.open = self.made = 0
+        self.open = self.made = self.closed = 0
 
     def _take(self, free: int) -> int:
         bins = self.bins[free]
@@ -54,6 +57,7 @@ class BestFit:
         else:
             if self.open >= self.most:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             free, at = self.capacity, self.made
             self.made += 1
         if left := free - length:
@@ -90,33 +94,47 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return common.own_ids(docs).mapInArrow(run, PIECES + ", ids binary" * ids)
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, share: int = SHARE) -> DataFrame:
-    """Pieces with sequence_id and offset. found is read twice: give a written table."""
+def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, share: int = SHARE, window: int = WINDOW) -> DataFrame:
+    """Pieces with sequence_id, offset, and n_closed: bins that the packer had closed by its bound. found is read twice: give a written table."""
     total = found.agg(F.sum("length")).first()[0] or 0
     packers = max(1, round(total / share))
-    schema = pa.schema([(f.name, t) for f, t in zip(found.schema, _arrow(found), strict=True)] + [("sequence_id", pa.int64()), ("offset", pa.int64())])
+    new = ("sequence_id", "offset", "n_closed")
+    schema = pa.schema([(f.name, t) for f, t in zip(found.schema, _arrow(found), strict=True)] + [(n, pa.int64()) for n in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fit, packer = BestFit(capacity, open_bins), None
+        packer = fit = None
+        held: list[pa.RecordBatch] = []
+
+        def placed(rows: pa.Table) -> pa.RecordBatch:
+            lengths = rows.column("length").to_pylist()
+            out: list[tuple] = [()] * len(lengths)
+            for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+                at, offset = fit.add(lengths[k])
+                out[k] = (packer << 40 | at, offset, fit.closed)
+            columns = rows.drop_columns(["__packer"]).combine_chunks().to_batches()[0].columns
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], schema=schema)
+
         for b in batches:
-            number = b.column("__packer").to_pylist()
-            placed = []
-            for k, length in zip(number, b.column("length").to_pylist(), strict=True):
-                if k != packer:
-                    fit, packer = BestFit(capacity, open_bins), k
-                at, offset = fit.add(length)
-                placed.append((packer << 40 | at, offset))
-            columns = [c for c, name in zip(b.columns, b.schema.names, strict=True) if name != "__packer"]
-            ids, offsets = zip(*placed, strict=True) if placed else ((), ())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], schema=schema)
-
-    out = ", ".join(f"{n} {t}" for n, t in found.dtypes) + ", sequence_id long, offset long"
-    dealt = found.withColumn("__packer", F.pmod(F.xxhash64("doc_id"), F.lit(packers)))
-    if packers == 1:
-        dealt = dealt.coalesce(1)
-    else:
-        dealt = dealt.repartition(packers, "__packer")
-    return dealt.sortWithinPartitions("__packer", F.desc("length"), "doc_id", "piece").mapInArrow(run, out)
+            numbers = b.column("__packer").to_numpy()
+            for part in np.split(np.arange(len(numbers)), np.flatnonzero(np.diff(numbers)) + 1):
+                if not len(part):
+                    continue
+                if numbers[part[0]] != packer:
+                    if held:
+                        yield placed(pa.Table.from_batches(held))
+                    packer, fit, held = int(numbers[part[0]]), BestFit(capacity, open_bins), []
+                held.append(b.slice(part[0], len(part)))
+                while sum(h.num_rows for h in held) >= window:
+                    rows = pa.Table.from_batches(held)
+                    yield placed(rows.slice(0, window))
+                    held = rows.slice(window).to_batches()
+        if held:
+            yield placed(pa.Table.from_batches(held))
+
+    out = ", ".join(f"{n} {t}" for n, t in found.dtypes) + "".join(f", {n} long" for n in new)
+    dealt = found.withColumn("__packer", F.pmod(F.xxhash64("doc_id"), F.lit(packers)).cast("long"))
+    dealt = dealt.repartitionById(packers, F.col("__packer").cast("int"))
+    return dealt.sortWithinPartitions("__packer", F.xxhash64("doc_id", F.lit(1)), "doc_id", "piece").mapInArrow(run, out)
 
 
 def _arrow(df: DataFrame) -> list[pa.DataType]:

@@ -245,6 +245,21 @@ def test_packing_by_many_packers(docs):
     assert len(got) == found.count() and len({r.sequence_id >> 40 for r in got}) > 1
 
 
+def test_packing_closes_bins(spark):
+    """By the query's own bound, in arrival order: bins close, none is overfull, and few are wasted."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([row(k, "a b " * max(1, int(rng.lognormvariate(5.5, 0.8)) // 2)) for k in range(9000)], DOCS)
+    got = packing.pack_documents(docs).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:i]) for i in range(len(held))] and sum(n for _, n in held) <= 2048
+    total = sum(r.length for r in got)
+    assert max(r.n_closed for r in got) > 0 and len(bins) < 1.01 * total / 2048 + 2
+
+
 def test_token_files(docs, none, rows):
     encode = tokens._library(tokens.vocabulary("word_bpe_49k.json"))
     got = {r.doc_id: r for r in token_files.encode_to_files(docs).collect()}
