@@ -1,17 +1,21 @@
 """HTML extraction: a minimum cut separates content from boilerplate.
 
-A page is read into blocks of text. A logistic classifier on a block's place and shape gives two costs, those of calling
-it boilerplate and of calling it content; they are the capacities to the source and from it to the sink. Smoothness
-edges join a block with its neighbour, the stronger the nearer both are in the DOM, and with the last block of the same
-parent. The source side of the minimum cut is the main text.
-
-The classifier starts from prior weights and is fitted on at most SAMPLE pages (smallest hash of page_id): blocks inside
-landmarks (nav, footer, article and the like) are its examples; what it learns of lengths, links and tags then judges
-blocks outside of any landmark.
-
-Defined results: null or empty html gives an empty text; markup that is cut off or badly nested is read as far as it
-goes; a head without end tags ends at its first other content; of a skipped element without an end tag only the tag is
-skipped, but raw text (script, style, iframe, textarea) reaches to the body or the page's end, as in HTML; rows that repeat a page_id, or have none, get one row each; an empty table gives an empty result; other columns play no part.
+A page is read into blocks of text. A logistic classifier gives each block two costs, those of calling it boilerplate and
+of calling it content; they are the capacities to the source and from it to the sink. Smoothness edges join a block with
+its neighbour, the stronger the nearer both are in the DOM, and with the last block of the same parent; edges across the
+bounds of a named region are weaker. The source side of the minimum cut is the main text.
+
+A block's features are the parts that the elements around it name (by element, class, id or role), those that only its
+own paragraph names, which say little of a region and weigh less, and its shape: length, links, sentence, tag. Weights of
+names are a prior. Those of shape are learned on at most SAMPLE pages (smallest hash of page_id) of together at most
+SAMPLE_BYTES bytes, from blocks inside elements that HTML gives a meaning (nav, footer, aside, form and the like against
+article and main): no class, id or role labels an example, and names are masked while shape is learned.
+
+Defined results: null or empty html gives an empty text; very long and very deep pages are read whole, in time and memory
+linear in their length; markup that is cut off or badly nested is read as far as it goes; a head without end tags ends at
+its first other content; of a skipped element without an end tag only the tag is skipped, but raw text (script, style,
+iframe, textarea) reaches to the body or the page's end, as in HTML; a block that costs the same either way is boilerplate;
+rows that repeat a page_id, or have none, get one row each; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -28,9 +32,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import common
 
-SAMPLE = 300
-#: Strength of the edges between neighbours and between blocks of one parent; halved by each step between them in the DOM.
-ADJACENT, SIBLING = 3.0, 1.0
+SAMPLE, SAMPLE_BYTES = 300, 16 << 20
+#: Strength of the edges between neighbours, halved by each step between them in the DOM, and between blocks of one parent; what is left of it
+#: where one of both is in a named region that the other isn't in.
+ADJACENT, SIBLING, ACROSS = 6.0, 0.25, 0.25
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -70,10 +75,14 @@ for _part, _words in PARTS.items():
 GOOD = FLAG["article"] | FLAG["main"]
 BAD = (1 << len(PARTS)) - 1 & ~GOOD
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Prior weights: of the parts, then of shape. Fitting moves them.
+#: Elements of text rather than of regions. A name on one of them is a weaker sign, but for what such a name is seldom used for else.
+PARAGRAPHS = frozenset("p blockquote pre dt dd figcaption".split()) | HEADINGS | INLINE
+WEAKER = {"ad": 0.8, "notice": 0.8, "form": 0.8, "share": 0.6, "hidden": 1.0}
+#: Prior weights: of the parts, then of shape. Fitting moves those of shape.
 PRIOR = {"article": 4.0, "main": 4.0, "nav": -5.0, "header": -4.0, "footer": -6.0, "aside": -6.0, "ad": -7.0, "notice": -7.0, "form": -6.0, "comment": -9.0, "share": -5.0, "hidden": -7.0}
 SHAPE = {"bias": 0.0, "length": 0.5, "links": -4.0, "sentence": 0.5, "p": 1.0, "heading": 1.0, "li": -0.3}
-FEATURES = (*PRIOR, *SHAPE)
+N = len(PARTS)
+FEATURES = (*PRIOR, *("own " + part for part in PRIOR), *SHAPE)
 
 
 def own_flags(tag: str, attributes: str) -> int:
@@ -86,21 +95,51 @@ def own_flags(tag: str, attributes: str) -> int:
             elif name in ("class", "id", "role"):
                 for word in WORD.findall(value):
                     flags |= NAMED.get(word.lower(), 0)
-    return flags & ~GOOD if flags & BAD and tag not in ("article", "main", "body", "html") else flags & GOOD if tag in ("body", "html") else flags
+    if tag in ("body", "html"):  # names of the whole page tell no part of it
+        return 0
+    return flags & ~GOOD if flags & BAD and tag not in ("article", "main") else flags
 
 
 class Block:
-    __slots__ = ("text", "linked", "flags", "tag", "path")
+    """text; characters of it in links; parts that regions around it name, and that its paragraph names; what the elements around it mean; tag; place in the DOM."""
 
-    def __init__(self, text, linked, flags, tag, path):
-        self.text, self.linked, self.flags, self.tag, self.path = text, linked, flags, tag, path
+    __slots__ = ("text", "linked", "flags", "own", "meaning", "tag", "node")
 
+    def __init__(self, text, linked, flags, own, meaning, tag, node):
+        self.text, self.linked, self.flags, self.own, self.meaning, self.tag, self.node = text, linked, flags, own, meaning, tag, node
 
-def blocks(page: str) -> list[Block]:
+
+class Dom:
+    """Parent and depth of each element that is not inline."""
+
+    def __init__(self):
+        self.parent, self.depth = [0], [0]
+
+    def add(self, parent: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
+
+    def steps(self, a: int, b: int, most: int = 16) -> int:
+        """Edges between two elements, or most."""
+        n = 0
+        while a != b and n < most:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            n += 1
+        return n
+
+
+def blocks(page: str, dom: Dom | None = None) -> list[Block]:
+    dom = dom or Dom()
     out: list[Block] = []
-    stack = [("", 0, 0, False)]  # tag, number, flags of it and all above, within a link
+    # tag, flags of regions and of paragraphs here and above, meaning, within a link, nearest element that is not inline and its tag
+    stack = [("", 0, 0, 0, False, 0, "")]
+    opened: dict[str, int] = {}  # how many of a tag are on the stack
     buffer: list[str] = []
-    linked = made = place = 0
+    linked = place = 0
     end = len(page)
     unclosed: set[str] = set()  # skipped elements without an end tag in the rest of the page
 
@@ -109,18 +148,22 @@ def blocks(page: str) -> list[Block]:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                near = next((s for s in reversed(stack) if s[0] not in INLINE), stack[0])
-                path = tuple(s[1] for s in stack if s[0] not in INLINE)
-                out.append(Block(text, linked, stack[-1][2], near[0], path))
+                top = stack[-1]
+                out.append(Block(text, linked, top[1], top[2], top[3], top[6], top[5]))
             buffer, linked = [], 0
 
     def add(raw: str):
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
         buffer.append(text)
-        if stack[-1][3]:
+        if stack[-1][4]:
             linked += len(text)
 
+    def pop(at: int):
+        for s in stack[at:]:
+            opened[s[0]] -= 1
+        del stack[at:]
+
     while place < end:
         m = TAG.search(page, place)
         if m is None:
@@ -133,11 +176,11 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1]:  # an end tag
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if at:
-                if tag not in INLINE or stack[at][2] != stack[at - 1][2]:
+            if opened.get(tag):
+                at = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
+                if tag not in INLINE or stack[at][1:4] != stack[at - 1][1:4]:
                     flush()
-                del stack[at:]
+                pop(at)
             continue
         if tag == "head":  # its end tag is optional: what it may hold is skipped by itself, anything else is of the body
             flush()
@@ -172,15 +215,19 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag not in INLINE:
             closes = CLOSED_BY.get(tag, frozenset()) | ({"p"} if tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option") else frozenset())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
-        made += 1
-        top = stack[-1]
-        stack.append((tag, made, top[2] | flags, top[3] or tag == "a"))
+            if any(opened.get(c) for c in closes):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in closes:
+                        pop(k)
+                        break
+                    if stack[k][0] in SCOPE:
+                        break
+        top, text = stack[-1], tag in PARAGRAPHS
+        near = (top[5], top[6]) if tag in INLINE else (dom.add(top[5]), tag)
+        meaning = top[3] | FLAG.get(ELEMENTS.get(tag, ""), 0)
+        around = top[1] & ~GOOD if flags & BAD and not text else top[1]  # a named part of an article isn't the article's text
+        stack.append((tag, around | (0 if text else flags), top[2] | (flags if text else 0), meaning, top[4] or tag == "a", *near))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
@@ -188,37 +235,36 @@ def blocks(page: str) -> list[Block]:
 def features(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), len(FEATURES)))
     for row, b in zip(x, found, strict=True):
-        for i in range(len(PARTS)):
-            row[i] = b.flags >> i & 1
+        for i in range(N) if b.flags or b.own else ():
+            row[i], row[N + i] = b.flags >> i & 1, (b.own & ~b.flags) >> i & 1
         n = len(b.text)
-        row[len(PARTS) :] = (1, min(np.log1p(n), 6) - 3, min(1, b.linked / n), b.text[-1] in ".!?…:\"'”", b.tag == "p", b.tag in HEADINGS, b.tag == "li")
+        row[2 * N :] = (1, min(np.log1p(n), 6) - 3, min(1, b.linked / n), b.text[-1] in ".!?…:\"'”", b.tag == "p", b.tag in HEADINGS, b.tag == "li")
     return x
 
 
 def prior() -> np.ndarray:
-    return np.array([*PRIOR.values(), *SHAPE.values()])
+    return np.array([*PRIOR.values(), *(w * WEAKER.get(part, 0.3) for part, w in PRIOR.items()), *SHAPE.values()])
 
 
 def fit(pages: list[str], turns: int = 200, rate: float = 0.3, hold: float = 0.02) -> np.ndarray:
-    """Weights by gradient descent from the prior, which holds them by a penalty."""
-    start = prior()
-    found = [b for p in pages for b in blocks(p)]
-    known = [b for b in found if b.flags]
+    """Weights by gradient descent on shape from the prior, which holds them by a penalty."""
+    w = prior()
+    known = [b for p in pages for b in blocks(p) if b.meaning]
     if not known:
-        return start
-    x, y = features(known), np.array([not b.flags & BAD for b in known], float)
-    shape = x.copy()
-    shape[::2, : len(PARTS)] = 0  # half of the examples are judged by shape alone
-    w = start.copy()
+        return w
+    x, y = features(known)[:, 2 * N :], np.array([not b.meaning & BAD for b in known], float)
+    start, hold = w[2 * N :].copy(), hold + 5 / len(known)  # few examples move little
     for _ in range(turns):
-        p = 1 / (1 + np.exp(-np.clip(shape @ w, -30, 30)))
-        w -= rate * (shape.T @ (p - y) / len(y) + hold * (w - start))
+        p = 1 / (1 + np.exp(-np.clip(x @ w[2 * N :], -30, 30)))
+        w[2 * N :] -= rate * (x.T @ (p - y) / len(y) + hold * (w[2 * N :] - start))
     return w
 
 
 def cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which blocks stay with the source. scores: cost of calling it boilerplate less that of calling it content."""
     n = len(scores)
+    if n == 0 or min(scores) > 0 or max(scores) <= 0:
+        return [s > 0 for s in scores]
     source, sink = n, n + 1
     to, room, links = [], [], [[] for _ in range(n + 2)]
 
@@ -274,37 +320,34 @@ def cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
                 break
 
 
-def steps(a: tuple, b: tuple) -> int:
-    """Edges of the DOM between two elements."""
-    shared = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
-
-
-def main_text(page: str, weights: np.ndarray) -> str:
-    found = blocks(page)
-    if not found:
-        return ""
+def labelled(page: str, weights: np.ndarray) -> tuple[list[Block], list[float], list[bool]]:
+    """The page's blocks, their scores, and which of them the cut calls content."""
+    dom = Dom()
+    found = blocks(page, dom)
     scores = (features(found) @ weights).tolist()
     edges, last = [], {}
+    joined = lambda a, b, strength: edges.append((a, b, strength if found[a].flags == found[b].flags else ACROSS * strength))
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, ADJACENT / 2.0 ** steps(found[i - 1].path, b.path)))
-        parent = b.path[:-1]
-        if parent in last and last[parent] < i - 1:
-            edges.append((last[parent], i, SIBLING / 4))
+            joined(i - 1, i, ADJACENT / 2.0 ** dom.steps(found[i - 1].node, b.node))
+        parent = dom.parent[b.node]
+        if last.get(parent, i) < i - 1:
+            joined(last[parent], i, SIBLING)
         last[parent] = i
-    return " ".join(b.text for b, stays in zip(found, cut(scores, edges), strict=True) if stays)
+    return found, scores, cut(scores, edges)
+
+
+def main_text(page: str, weights: np.ndarray) -> str:
+    found, _, content = labelled(page, weights)
+    return " ".join(b.text for b, stays in zip(found, content, strict=True) if stays)
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars."""
     common.small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    chosen = common.smallest(own.where("html is not null"), sample, "page_id").select("html").collect()
+    chosen = common.written(common.smallest(own.where("html is not null"), sample, "page_id", "html"), "pages-sample")
+    chosen = common.within(chosen, F.octet_length("html"), SAMPLE_BYTES, "page_id", "html").orderBy("page_id", "html").select("html").collect()
     weights = fit([r.html for r in chosen])
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

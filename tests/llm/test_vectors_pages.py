@@ -127,6 +127,57 @@ def test_raw_text_without_end_tag_has_no_text():
     assert html_text.blocks(f"<body><script>{MAIN}") == [] and html_text.blocks("<body>" + "<svg>" * 50000) == []
 
 
+LONG = "<p>Here is a sentence of the story, which is long enough to be read as one, and has a comma.</p>"
+
+
+@pytest.mark.parametrize("kind", ["comment-quote", "banner", "author-note", "header-line more"])
+def test_names_of_paragraphs_are_no_regions(kind):
+    odd = f"<p class='{kind}'>This one is of the article too, whatever its class says of how it looks.</p>"
+    text = "Here is a sentence of the story, which is long enough to be read as one, and has a comma."
+    mine = "This one is of the article too, whatever its class says of how it looks."
+    for shell in ("<article>%s</article>", "<main>%s</main>"):
+        for body, want in ((LONG + odd + LONG, [text, mine, text]), (LONG + LONG + odd, [text, text, mine])):
+            page = PAGE % (shell % body)
+            assert html_text.main_text(page, html_text.fit([page])) == " ".join(want)
+
+
+def test_cut_acts_where_the_sign_of_the_score_fails():
+    """No name and no landmark helps: a paragraph that is one link, amid text, and a sentence amid links."""
+    link, links = "<p><a href='/x'>The whole of this is linked</a></p>", "".join(f"<li><a href='/{k}'>Part {k}</a></li>" for k in range(8))
+    page = f"<body><div><div>{links}<li>See.</li>{links}</div><div>{LONG * 3}{link}{LONG * 3}</div></div>"
+    found, scores, content = html_text.labelled(page, html_text.prior())
+    assert [b.text for b, s, c in zip(found, scores, content) if (s > 0) != c] == ["The whole of this is linked"]
+    assert [c for b, c in zip(found, content) if b.tag == "li"] == [False] * 17 and all(c for b, c in zip(found, content) if b.tag == "p")
+
+
+def test_fit_learns_shape_without_names():
+    page = PAGE % f"<article>{LONG * 4}</article>"
+    bare = page.replace("class=", "data-c=").replace("id=", "data-i=")
+    w = html_text.fit([page])
+    assert (w == html_text.fit([bare])).all() and (w[: 2 * html_text.N] == html_text.prior()[: 2 * html_text.N]).all()
+    assert (w[2 * html_text.N :] != html_text.prior()[2 * html_text.N :]).any()
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 200_000, "<div>x" * 100_000 + "</div>" * 100_000, "<b>" * 100_000 + "<hr>x" * 50_000, "<i>x</p></u>" * 100_000])
+def test_deep_pages_take_linear_time(page):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    html_text.main_text(page, html_text.prior())
+    assert time.process_time() - began < 8  # of a machine that others use; about 2 s alone
+    if page.startswith("<div>x<div>x") and "</div>" not in page:
+        tracemalloc.start()
+        html_text.main_text(page[: len(page) // 4], html_text.prior())
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+        tracemalloc.stop()
+
+
+def test_select_without_end_tag():
+    page = "<article><p>Use a <select><option>1</option> then more text here, and on.</p><p>End of text, here.</p></article>"
+    assert html_text.main_text(page, html_text.prior()) == "Use a then more text here, and on. End of text, here."
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):
