@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold; Spark bounds its bytes too. Keeps a worker's memory small when texts are long.
@@ -73,6 +73,12 @@ def smallest(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.orderBy(hashed, *keys).limit(n)
 
 
+def within(rows: DataFrame, size, most: int, *keys: str) -> DataFrame:
+    """Of a sample, bounded already, the rows with the smallest hashes whose sizes add up to most at the most."""
+    so_far, name = F.sum(F.coalesce(size, F.lit(0))).over(Window.orderBy(F.xxhash64(*keys), *keys)), fresh(rows, "__bytes")
+    return rows.withColumn(name, so_far).where(F.col(name) <= most).drop(name)
+
+
 def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with one, which has each key once, and in `count` how many rows that key has.
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm import common
@@ -180,10 +180,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: in
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").where(~held_out(F.col("doc_id")))
     chosen = common.smallest(marked.groupBy("doc_id").agg(F.max("label").alias("label")), sample, "doc_id")
     rows = common.own_ids(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max(F.col("text").cast("binary")).alias("text"))
-    rows = common.written(rows, "sample")
-    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample's rows alone
-    fits = rows.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= most).select("doc_id")
-    return rows.join(F.broadcast(fits), "doc_id").orderBy("doc_id")
+    return common.within(rows, F.length("text"), most, "doc_id").orderBy("doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> ByteNet | None:

@@ -409,6 +409,36 @@ def test_licenses_by_short_names(spark):
     assert got == {0: "mit", 1: "gpl", 2: "gpl", 3: "cc", 4: "unknown", 5: "unknown", 6: "apache"}
 
 
+def plain_scan(texts, model):
+    """(doc_id, paragraph, family) by plain Python, from the same weights."""
+    out, names = [], model["names"]
+    templates = {f: [set(licenses.hashes_of(licenses.words_of(s))) for s in t.split("\n")] for f, t in licenses.TEMPLATES.items()}
+    for doc_id, text in texts.items():
+        for n, paragraph in enumerate(re.split(licenses.BREAK, text or "")):
+            words = re.findall("[a-z0-9à-ɏ]+", re.sub(licenses.VERSIONED, r"\1 ", paragraph.lower()))
+            hashes = licenses.hashes_of(words)
+            p = [1 / (1 + np.exp(-(model["bias"][k] + sum(model["weights"][k][h % licenses.BUCKETS] for h in hashes) / max(1, len(words)) ** 0.5))) for k in range(len(names))]
+            if p[-1] >= model["bounds"][-1]:
+                k = max(range(len(names) - 1), key=lambda k: (p[k], names[k]))
+                alike = max(len(set(hashes) & t) / max(1, min(len(set(hashes)), len(t))) for t in templates[names[k]])
+                out.append((doc_id, n, names[k] if p[k] >= model["bounds"][k] and alike >= licenses.CONFIRMS else licenses.UNKNOWN, bool(p[k] >= model["bounds"][k] and alike >= licenses.CONFIRMS)))
+    return sorted(out)
+
+
+def test_licenses_as_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED", "This text is dedicated to the public domain (CC0).", "Under ISC or zlib terms.", "WTFPL version 2", "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files, to deal in the Software without restriction"]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
+    model = licenses.train(licenses.counter_examples(docs))
+    got = sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan(docs).collect())
+    assert got == plain_scan({r.doc_id: r.text for r in docs.collect()}, model)
+    assert {r[0] - 10**6 for r in got if r[0] >= 10**6} >= {0, 1, 4} and (10**6 + 4, 0, "mit", True) in got
+    held = model["held_out"]
+    for family, said in held.items():
+        n = sum(said.values())
+        assert said.get("missed", 0) <= 0.1 * n if family != "no licence" else said.get("missed", 0) >= 0.97 * n, (family, said)
+
+
 def test_native_licenses_have_no_python(docs):
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
