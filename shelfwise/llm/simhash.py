@@ -6,28 +6,33 @@ distance. Each distinct fingerprint is stored in its own cell and asks all cells
 the positive half), an equi-join on the cell whose condition verifies the Hamming distance exactly. Copies share a
 fingerprint and are one row of that join, so a group of copies makes no pairs.
 
-Defined results: a text with no word has fingerprint zero, linked like any other; null text is empty; rows with a null
-doc_id take no part; rows that repeat a doc_id get one row each; an empty table gives an empty result; other columns
-play no part in fingerprints().
+More segments make cells smaller and probes more; their number follows from the estimated rows of the join.
+
+Defined results: a text with no word has fingerprint zero, linked like any other; null text is empty; very long texts are
+read whole; rows with a null doc_id take no part; rows that repeat a doc_id get one row each; in a tie the smallest
+doc_id stands for a group; an empty table gives an empty result; other columns play no part in fingerprints(). keep_one()
+decides by row: of rows that repeat a doc_id each goes or stays by its own text, and one stays where several of one group
+have the id that stands for it (the smallest fingerprint, then the smallest text).
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm import common
 from shelfwise.llm.components import components
 
 WORDS, SEED, MAX_BITS = 3, 42, 2
-#: Segments of the embedding. More make cells smaller and probes more: 8 ask 73 cells, 16 ask 257. Any number finds all links.
-SEGMENTS, MANY_SEGMENTS, MANY = 8, 16, 1 << 23
+#: Segments that the embedding may have: 8 ask 73 cells, 16 ask 257. Any number finds all links.
+SEGMENTS = (8, 16)
 _BLOCK = 1 << 16
 
 
@@ -79,30 +84,76 @@ def _steps(segments: int, distance: int) -> list[int]:
     return sorted(found)
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b) ids of distinct (id, bits) rows whose bits differ in max_bits at most, each pair once."""
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS[0]) -> DataFrame:
+    """(a, b) fingerprints of distinct (bits) rows that differ in max_bits at most, each pair once."""
     placed = distinct.withColumn("cell", _cell(F.col("bits"), segments))
-    asks = placed.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"), F.col("cell").alias("from"), F.explode(F.array(*[F.lit(s) for s in _steps(segments, max_bits)])).alias("step"))
-    asks = asks.select("a", "bits_a", (F.col("from") + F.col("step")).alias("cell"), (F.col("step") == 0).alias("home"))
-    there = placed.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"), "cell")
-    near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= max_bits
-    return asks.join(there.hint("merge"), (asks.cell == there.cell) & near & (~F.col("home") | (F.col("bits_a") < F.col("bits_b")))).select("a", "b")
+    asks = placed.select(F.col("bits").alias("a"), F.col("cell").alias("from"), F.explode(F.array(*[F.lit(s) for s in _steps(segments, max_bits)])).alias("step"))
+    asks = asks.select("a", (F.col("from") + F.col("step")).alias("cell"), (F.col("step") == 0).alias("home"))
+    there = placed.select(F.col("bits").alias("b"), "cell")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    return asks.join(there.hint("merge"), (asks.cell == there.cell) & near & (~F.col("home") | (F.col("a") < F.col("b")))).select("a", "b")
+
+
+def segments_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """The number that makes the fewest rows: probes, and the pairs that random fingerprints would make in the cells probed.
+
+    The cells in use are about 2 to the entropy of a place in the grid; a segment of w random bits has about
+    log2(sqrt(pi * e * w / 2)) bits of it.
+    """
+
+    def rows(segments: int) -> float:
+        probes = len(_steps(segments, max_bits))
+        cells = 2 ** (segments * math.log2(math.sqrt(math.pi * math.e * (64 / segments) / 2)))
+        return n * probes * (1 + n / cells / 8)  # comparing a pair is less work than sending a probe
+
+    return min(SEGMENTS, key=rows)
+
+
+def _groups(prints: DataFrame, max_bits: int) -> tuple[DataFrame, int]:
+    """(bits, n, component_id, n_links) of each distinct fingerprint, and how many rows all have."""
+    distinct = common.written(prints.groupBy("bits").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "distinct")
+    different, total = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = common.written(links(distinct.select("bits"), max_bits, segments_for(different, max_bits)), "near")
+    ends = found.select(F.col("a").alias("bits")).unionAll(found.select(F.col("b").alias("bits"))).groupBy("bits").agg(F.count("*").alias("n_links"))
+    roots = components(found).withColumnsRenamed({"id": "bits", "root": "root_bits"})
+    classes = distinct.join(roots, "bits", "left").join(ends, "bits", "left").withColumn("root_bits", F.coalesce("root_bits", "bits"))
+    classes = common.written(classes, "classes")
+    least = common.written(classes.groupBy("root_bits").agg(F.min("id").alias("component_id"), F.count("*").alias("m")), "least")
+    return common.written(common.hot_join(classes, least, ["root_bits"], "m", different).select("bits", "n", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "groups"), total
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach), n_links (to other fingerprints)."""
     prints = common.written(fingerprints(docs), "fingerprints")
-    distinct = common.written(prints.groupBy("bits").agg(F.min("doc_id").alias("id")).select("id", "bits"), "distinct")
-    n = distinct.count()
-    found = common.written(links(distinct, max_bits, SEGMENTS if n < MANY else MANY_SEGMENTS), "near")
-    ends = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = distinct.join(components(found), "id", "left").join(ends, "id", "left")
-    classes = classes.select("bits", F.coalesce("root", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return prints.join(classes, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    groups, total = _groups(prints, max_bits)
+    return common.hot_join(prints, groups, ["bits"], "n", total).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+
+
+def with_bits(docs: DataFrame, to: str) -> DataFrame:
+    """docs with their fingerprint as a further column."""
+    out = docs.withColumn(to, F.lit(0).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.array([fingerprint(t) for t in common.raw(b.column("text"))], np.uint64).view(np.int64)
+            yield b.set_column(b.schema.get_field_index(to), pa.field(to, pa.int64(), False), pa.array(bits))
+
+    return out.mapInArrow(run, out.schema)
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without those that have a smaller doc_id in their group. Rows without doc_id stay."""
-    name = common.fresh(docs, "__gone")
-    gone = near_duplicates(docs, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(common.written(gone, "gone"), docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    prints = common.written(fingerprints(docs), "fingerprints")
+    groups, total = _groups(prints, max_bits)
+    name, bits, root, rank = (common.fresh(docs, n) for n in ("__gone", "__bits", "__root", "__rank"))
+    doc_id = docs["doc_id"].cast("long")
+    twice = common.written(prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), "twice")
+    judged = common.hot_join(prints, groups.select("bits", "n", "component_id"), ["bits"], "n", total)
+    gone = judged.where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    if twice.isEmpty():
+        return docs.join(common.written(gone, "gone"), doc_id == F.col(name), "left_anti")
+    alone = docs.join(common.written(gone.unionAll(twice), "gone"), doc_id == F.col(name), "left_anti")
+    again = with_bits(docs.join(twice, doc_id == F.col(name), "left_semi"), bits)
+    again = again.join(groups.select(F.col("bits").alias(bits), F.col("component_id").alias(root)), bits).where(F.col("doc_id").cast("long") == F.col(root))
+    order = Window.partitionBy(root).orderBy(bits, "text")
+    return alone.unionByName(again.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns))

@@ -336,9 +336,22 @@ def test_simhash_links_lose_none(spark, segments):
                 near ^= 1 << rng.randrange(64)
             bits.add(near)
     bits = sorted(bits)
-    rows = spark.createDataFrame([(k, b - 2**64 if b >> 63 else b) for k, b in enumerate(bits)], "id long, bits long")
-    got = [tuple(sorted(r)) for r in simhash.links(rows, 2, segments).collect()]
-    assert sorted(got) == [(a, b) for a in range(len(bits)) for b in range(a + 1, len(bits)) if (bits[a] ^ bits[b]).bit_count() <= 2]
+    rows = spark.createDataFrame([(b - 2**64 if b >> 63 else b,) for b in bits], "bits long")
+    got = [tuple(sorted(x % 2**64 for x in r)) for r in simhash.links(rows, 2, segments).collect()]
+    assert sorted(got) == [(a, b) for k, a in enumerate(bits) for b in bits[k + 1 :] if (a ^ b).bit_count() <= 2]
+
+
+def test_simhash_segments_follow_from_the_rows():
+    assert [simhash.segments_for(n) for n in (1, 10**5, 10**8, 10**11)] == [8, 8, 16, 16]
+
+
+def test_simhash_keeps_one_row_by_row(spark):
+    one, two = "the very same text stands in both of them, word by word", "quite another text, that has nothing of the first in it at all"
+    rows = [(5, one), (5, one), (5, two), (9, one), (9, two + " more"), (2, two), (None, one)]
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame([row(*r) for r in rows], DOCS)).collect()), key=str)
+    prints = [(k, t, plain_fingerprint(t)) for k, t in rows if k is not None]
+    assert (prints[2][2] ^ prints[4][2]).bit_count() > 2  # the text with one word more is no near copy
+    assert got == sorted([(None, one), (5, one), (2, two), (9, two + " more")], key=str)
 
 
 def test_components(spark):
