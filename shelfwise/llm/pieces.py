@@ -2,21 +2,23 @@
 
 Encoding is exact and takes linear time: Aho-Corasick finds all pieces in a stretch of text; from left to right the
 longest piece is taken that is compatible with the one before, and where none is left, the last piece gives way to its
-next shorter one. A bitfield marks the positions that failed, so none is tried twice. Two adjacent pieces are
-compatible if merging their joined characters anew gives just these two.
+next shorter one. A bitfield marks the positions that failed, so none is tried twice. Two adjacent pieces are compatible
+if merging their joined characters anew gives just these two: the merges that made the facing ends of both are followed
+again, to see whether one over their bound would have come first.
 
 No piece runs from another character into a space mark, nor over a line feed, so text is cut there, and a bounded memo
 holds the ids of the stretches between. Characters that are no piece become byte pieces.
 
-Defined results: a null text is empty and gives the begin and end ids alone; rows with a null doc_id take no part; rows
-that repeat a doc_id get one row each; an empty table gives an empty result; other columns play no part.
+Defined results: a null text is empty and gives the begin and end ids alone; very long texts, words and runs of spaces
+are encoded whole, in linear time; rows with a null doc_id take no part; rows that repeat a doc_id get one row each;
+pieces of one score merge leftmost first, as in the library; an empty table gives an empty result; other columns play no
+part.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -63,7 +65,11 @@ class PieceModel:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pair: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.half: dict[str, tuple[str, str] | None] = {}
+        self.spines: dict[tuple[int, int], list] = {}
+        #: Characters of each piece, and its longest proper prefix that is a piece.
+        self.size = [len(self.pieces.get(i, "")) for i in range(n)]
+        self.shorter = [next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), -1) for p in (self.pieces.get(i, "") for i in range(n))]
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging, best score first and leftmost among equals."""
@@ -76,35 +82,69 @@ class PieceModel:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that merging joins last into this one; None if it doesn't make it."""
+        if (known := self.half.get(piece, 0)) != 0:
+            return known
+        parts = list(piece)
+        while len(parts) > 2:
+            scored = [(self.score[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score]
+            if not scored:
+                break
+            k = -max(scored)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        self.half[piece] = found = tuple(parts) if len(parts) == 2 else None
+        return found
+
+    def spine(self, i: int, side: int) -> list[tuple[str, float, float]]:
+        """What stands at a piece's left (0) or right (1) end while it is merged: (piece, merged at, merged away at); times are negated scores."""
+        if (known := self.spines.get((i, side))) is None:
+            piece, until, known = self.pieces[i], float("inf"), []
+            while True:
+                since = -self.score[piece] if len(piece) > 1 else -float("inf")
+                known.append((piece, since, until))
+                if len(piece) == 1:
+                    break
+                piece, until = self.halves(piece)[side], since
+            self.spines[i, side] = known
+        return known
+
     def compatible(self, a: int, b: int) -> bool:
+        """Whether merging both pieces' characters anew gives just these two: no merge over their bound comes while its parts stand there."""
         if (known := self.pair.get((a, b))) is None:
             if len(self.pair) > MEMO:
                 self.pair.clear()
-            one, two = self.pieces[a], self.pieces[b]
-            known = self.pair[a, b] = self.merged(one + two) == [one, two]
+            known = self.pair[a, b] = self.reachable(a) and self.reachable(b) and self._apart(a, b)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        for one, s1, e1 in self.spine(a, 1):
+            for two, s2, e2 in self.spine(b, 0):
+                if (score := self.score.get(one + two)) is not None:
+                    at = max(-score, s1, s2)
+                    if -score <= max(s1, s2) or at in (e1, e2) or s1 >= e1 or s2 >= e2:  # out of order or at once: merge it all
+                        return self.merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+                    if at < e1 and at < e2:
+                        return False
+        return True
+
     def reachable(self, i: int) -> bool:
         """Whether merging a piece's characters gives that piece."""
-        if (known := self.whole.get(i)) is None:
-            known = self.whole[i] = self.merged(self.pieces[i]) == [self.pieces[i]]
-        return known
+        return len(self.pieces[i]) == 1 or self.halves(self.pieces[i]) is not None
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of text whose characters all are pieces."""
-        at: list[list[tuple[int, int]]] = [[] for _ in text]
+        n = len(text)
+        longest = [-1] * n
         for end, (length, i) in self.find.iter(text):
-            at[end - length + 1].append((length, i))  # from short to long
-        failed = bytearray((len(text) >> 3) + 1)
+            longest[end - length + 1] = i  # ends come in order, so the longest stays
+        failed = bytearray((n >> 3) + 1)
         ids: list[int] = []
-        taken: list[int] = []  # which of its position's pieces each is
-        pair, any_failed = self.pair, False
-        place, k, n, last = 0, len(at[0]) - 1, len(text), -1
+        pair, size, shorter, any_failed = self.pair, self.size, self.shorter, False
+        place, i, last = 0, longest[0], -1
         while place < n:
-            here = at[place]
-            while k >= 0:
-                length, i = here[k]
-                end = place + length
+            while i >= 0:
+                end = place + size[i]
                 if not any_failed or not failed[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         good = self.reachable(i)
@@ -112,58 +152,28 @@ class PieceModel:
                         good = self.compatible(last, i)
                     if good:
                         break
-                k -= 1
-            if k >= 0:
+                i = shorter[i]
+            if i >= 0:
                 ids.append(i)
-                taken.append(k)
                 last, place = i, end
-                k = len(at[place]) - 1 if place < n else 0
+                i = longest[place] if place < n else -1
             else:
                 failed[place >> 3] |= 1 << (place & 7)
                 any_failed = True
-                place -= len(self.pieces[ids.pop()])
-                k = taken.pop() - 1
+                i = ids.pop()
+                place -= size[i]
+                i = shorter[i]
                 last = ids[-1] if ids else -1
         return ids
 
     def stretch(self, text: str) -> list[int]:
         """Ids of a run of spaces (if any) and what follows up to the next."""
-        word = text.lstrip(" ")
-        run, ids = len(text) - len(word), []
-        if word:
-            word, run = SPACE * (run > 0) + word, max(0, run - 1)
-            place = 0
-            for m in self.unknown.finditer(word):
-                ids += self.backtrack(word[place : m.start()]) if m.start() > place else []
-                ids += [self.byte[b] for b in m[0].encode("utf-8", "replace")]
-                place = m.end()
-            ids += self.backtrack(word[place:]) if place < len(word) else []
-            if run and ids[0] == self.id[SPACE]:  # a mark that joins no letter belongs to its run
-                run, ids = run + 1, ids[1:]
-        return [self.id[p] for p in self.merged_long(SPACE * run)] + ids if run else ids
-
-    def merged_long(self, text: str) -> list[str]:
-        """As merged(), for any length: neighbours in a linked list, candidates in a heap."""
-        if len(text) <= 16:
-            return self.merged(text)
-        parts: list[str | None] = list(text)
-        n = len(parts)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(-self.score[a + b], k, len(a + b)) for k, (a, b) in enumerate(zip(text, text[1:], strict=False)) if a + b in self.score]
-        heapq.heapify(heap)
-        while heap:
-            _, k, size = heapq.heappop(heap)
-            if parts[k] is None or right[k] >= n or len(parts[k]) + len(parts[right[k]]) != size:
-                continue
-            gone = right[k]
-            parts[k], parts[gone] = parts[k] + parts[gone], None
-            right[k] = right[gone]
-            if right[k] < n:
-                left[right[k]] = k
-            for one, two in ((left[k], k), (k, right[k])):
-                if one >= 0 and two < n and (both := parts[one] + parts[two]) in self.score:
-                    heapq.heappush(heap, (-self.score[both], one, len(both)))
-        return [p for p in parts if p is not None]
+        text, ids, place = text.replace(" ", SPACE), [], 0
+        for m in self.unknown.finditer(text):
+            ids += self.backtrack(text[place : m.start()]) if m.start() > place else []
+            ids += [self.byte[b] for b in m[0].encode("utf-8", "replace")]
+            place = m.end()
+        return ids + (self.backtrack(text[place:]) if place < len(text) else [])
 
     def encode(self, text: str) -> bytes:
         """Ids with begin and end, as little-endian unsigned 32-bit bytes."""
