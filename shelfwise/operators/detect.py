@@ -13,10 +13,10 @@ from shelfwise.functions import text
 from shelfwise.operators import findings as f
 
 # Fixed values.
-KEY_ATTRIBUTES = ("Szerokość", "Wysokość", "Głębokość", "Materiał", "Kolor")
-FAMILY_ATTRIBUTES = ("Materiał", "Styl", "Kolor", "Wykończenie", "Kolekcja", "Rodzaj", "Materiał frontu", "Materiał korpusu")
+KEY_ATTRIBUTES = ("Szerokość", "Wysokość", "Głębokość", "Waga", "Materiał")
+FAMILY_ATTRIBUTES = ("Materiał", "Stopień montażu", "Liczba drzwi", "Liczba szuflad", "Liczba półek", "Styl", "Podparcie", "Rodzaj drzwi")
 SLEEPING = ("lozko", "lozko_dzieciece", "polkotapczan", "materac", "stelaz")
-SCALES, SCALE_MARGIN = ((10.0, "x10"), (0.1, "/10"), (0.01, "/100"), (100.0, "x100")), 1.5
+SCALES, SCALE_MARGIN = ((10.0, "×10"), (0.1, "÷10"), (0.01, "÷100"), (100.0, "×100")), 1.5
 PART_ATTRIBUTES = {"doors": "Liczba drzwi", "drawers": "Liczba szuflad", "shelves": "Liczba półek", "rods": "Liczba drążków"}
 REQUIRED, LEAST_VALUES, FAMILY_SIZE, FAMILY_SHARE = 0.95, 30, 4, 0.8
 
@@ -27,15 +27,20 @@ def analysed(products: DataFrame, norm: DataFrame, least: int = 3) -> DataFrame:
     return products.join(enough.select("id"), "id", "left_semi")
 
 
-def moved_components(components: DataFrame, raw: DataFrame, panel: DataFrame) -> DataFrame:
+def not_cut_off(components: DataFrame, cut_off: DataFrame | None) -> DataFrame:
+    """Components of products (id) that the shop has not cut off from them already."""
+    return components if cut_off is None else components.join(cut_off.select("id"), "id", "left_anti")
+
+
+def moved_components(components: DataFrame, raw: DataFrame, panel: DataFrame, cut_off: DataFrame | None = None) -> DataFrame:
     """L0-ZE-SKLADOWYCH: an attribute that only the components have and the panel (attr, status) knows as active."""
-    own = components.join(raw.select("id", "attr"), ["id", "attr"], "left_anti").join(F.broadcast(panel.where("status = 'ACTIVE'").select("attr").distinct()), "attr", "left_semi")
+    own = not_cut_off(components, cut_off).join(raw.select("id", "attr"), ["id", "attr"], "left_anti").join(F.broadcast(panel.where("status = 'ACTIVE'").select("attr").distinct()), "attr", "left_semi")
     return f.emit(own, "L0-ZE-SKLADOWYCH", "L0", f.MIDDLE, 0.90, new=F.col("value"), evidence="only among components", group=F.concat_ws("|", F.lit("L0-ZE-SKLADOWYCH"), "attr", text.norm(F.col("value"))))
 
 
-def component_conflicts(components: DataFrame, raw: DataFrame, panel: DataFrame) -> DataFrame:
+def component_conflicts(components: DataFrame, raw: DataFrame, panel: DataFrame, cut_off: DataFrame | None = None) -> DataFrame:
     """L0-KONFLIKT: both places have the attribute and differ."""
-    pairs = raw.join(components.select("id", "attr", F.col("value").alias("other")), ["id", "attr"]).where(text.norm(F.col("value")) != text.norm(F.col("other")))
+    pairs = raw.join(not_cut_off(components, cut_off).select("id", "attr", F.col("value").alias("other")), ["id", "attr"]).where(text.norm(F.col("value")) != text.norm(F.col("other")))
     pairs = pairs.withColumn("d", text.difference(F.col("value"), F.col("other"))).join(F.broadcast(panel.select("attr").distinct().withColumn("known", F.lit(True))), "attr", "left")
     severity = F.when(F.col("known").isNull(), f.INFO).otherwise(F.col("d.severity"))
     group = F.concat(F.lit("L0-KONFLIKT|"), "attr", F.lit("|"), text.norm(F.col("value")), F.lit("=>"), text.norm(F.col("other")))
@@ -55,7 +60,7 @@ def side_by_side(components: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def missing_photo(products: DataFrame) -> DataFrame:
-    return f.emit(products.where(F.trim(F.coalesce("photo", F.lit(""))) == ""), "L1-BRAK-ZDJECIA", "L1", f.CRITICAL, 0.99, attr=F.lit("zdjęcie"), evidence="no photo")
+    return f.emit(products.where(F.trim(F.coalesce("photo", F.lit(""))) == ""), "L1-BRAK-ZDJECIA", "L1", f.CRITICAL, 0.99, attr=F.lit("zdjecie"), evidence="no photo", group=F.lit("L1-BRAK-ZDJECIA"))
 
 
 def junk_keys(raw: DataFrame, junk: DataFrame) -> DataFrame:
@@ -69,10 +74,15 @@ def coverage(products: DataFrame, raw: DataFrame) -> DataFrame:
     return have.join(F.broadcast(size), "category").select("category", "attr", F.bround(F.col("n") / F.col("of"), 3).alias("share"), (F.col("n") / F.col("of") >= 0.90).alias("required"))
 
 
-def missing_required(products: DataFrame, raw: DataFrame, covered: DataFrame, least: float = REQUIRED) -> DataFrame:
-    need = products.select("id", "category").join(F.broadcast(covered.where(F.col("share") >= least).select("category", "attr", "share")), "category")
+def furniture(products: DataFrame, other: DataFrame | None) -> DataFrame:
+    """Products but for those of categories (category) that are no furniture, which rules learned of categories don't judge."""
+    return products if other is None else products.join(other.select("category"), "category", "left_anti")
+
+
+def missing_required(products: DataFrame, raw: DataFrame, covered: DataFrame, least: float = REQUIRED, non_furniture: DataFrame | None = None) -> DataFrame:
+    need = furniture(products, non_furniture).select("id", "category").join(F.broadcast(covered.where(F.col("share") >= least).select("category", "attr", "share")), "category")
     lacking = need.join(raw.where(F.trim("value") != "").select("id", "attr"), ["id", "attr"], "left_anti")
-    return f.emit(lacking, "L1-BRAK-WYMAGANEGO", "L1", F.when(F.col("attr").isin(*KEY_ATTRIBUTES), f.CRITICAL).otherwise(f.MIDDLE), 0.85, evidence="its category has it", group=F.concat_ws("|", F.lit("L1-BRAK-WYMAGANEGO"), "attr", "category"))
+    return f.emit(lacking, "L1-BRAK-WYMAGANEGO", "L1", F.when(F.col("attr").isin(*KEY_ATTRIBUTES), f.CRITICAL).otherwise(f.MIDDLE), 0.85, evidence="its category has it", group=F.concat_ws("|", F.lit("L1-BRAK-WYMAGANEGO"), "category", "attr"))
 
 
 def contradictions(values: DataFrame, conditions: DataFrame, forbidden: DataFrame) -> DataFrame:
@@ -80,7 +90,7 @@ def contradictions(values: DataFrame, conditions: DataFrame, forbidden: DataFram
     size = conditions.groupBy("rule_id").agg(F.count("*").alias("need"))
     hits = values.join(F.broadcast(conditions), ["attr", "value"]).groupBy("id", "rule_id").agg(F.count("*").alias("n")).join(F.broadcast(size), "rule_id").where("n = need").select("id", "rule_id")
     against = hits.join(F.broadcast(forbidden), "rule_id").join(values, ["id", "attr"])
-    return f.emit(against, F.col("rule_id"), "L2", f.CRITICAL, 0.80, old="value", evidence="contradicts another attribute", group=F.concat_ws("|", "rule_id", "attr"))
+    return f.emit(against, F.col("rule_id"), "L2", f.CRITICAL, 0.80, old="value", evidence="contradicts another attribute", group=F.concat_ws("|", "rule_id", "attr", "value"))
 
 
 def name_contradictions(products: DataFrame, values: DataFrame, conditions: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -96,7 +106,7 @@ def relations(nums: DataFrame, rules: DataFrame) -> DataFrame:
     """rules (rule_id, low, high, strict): low must be at most, or under, high."""
     low = nums.select("id", F.col("attr").alias("low"), F.col("num").alias("x")).join(F.broadcast(rules), "low")
     both = low.join(nums.select("id", F.col("attr").alias("high"), F.col("num").alias("y")), ["id", "high"]).where("x > y or (strict and x = y)")
-    return f.emit(both, F.col("rule_id"), "L2", f.CRITICAL, 0.85, attr=F.col("low"), old=text.number_text(F.col("x")), evidence=F.concat_ws(" ", "low", F.lit("over"), "high"), group=F.concat_ws("|", "rule_id", "low"))
+    return f.emit(both, F.col("rule_id"), "L2", f.CRITICAL, 0.85, attr=F.col("low"), old=text.number_text(F.col("x")), evidence=F.concat_ws(" ", "low", F.lit("over"), "high"), group=F.col("rule_id"))
 
 
 def learn_ranges(values: DataFrame, least: int = LEAST_VALUES) -> DataFrame:
@@ -117,10 +127,10 @@ def with_range(rows: DataFrame, ranges: DataFrame, parents: DataFrame) -> DataFr
     return out.withColumn("range", F.coalesce("own", "of_parent")).drop("own", "of_parent", "parent")
 
 
-def out_of_range(rows: DataFrame) -> DataFrame:
+def out_of_range(rows: DataFrame, non_furniture: DataFrame | None = None) -> DataFrame:
     """L2-SKALA where a change of unit lands in the middle, else L2-OUTLIER. rows come from with_range()."""
     v, r = F.col("num"), F.col("range")
-    out = rows.where(r.isNotNull() & ((v < r["low"]) | (v > r["high"])))
+    out = furniture(rows, non_furniture).where(r.isNotNull() & ((v < r["low"]) | (v > r["high"])))
     far = (v > r["high"] * SCALE_MARGIN) | (v < r["low"] / SCALE_MARGIN)
     tries = F.filter(F.array(*(F.struct((v * k).alias("v"), F.lit(name).alias("name")) for k, name in SCALES)), lambda s: s["v"].between(r["p1"], r["p99"]))
     out = out.withColumn("fit", F.when(far, F.get(tries, F.lit(0))))
@@ -174,13 +184,14 @@ def name_against_sizes(products: DataFrame, nums: DataFrame) -> DataFrame:
 
 def family_outliers(products: DataFrame, values: DataFrame, family: list[Column] | None = None, attrs: tuple[str, ...] = FAMILY_ATTRIBUTES, size: int = FAMILY_SIZE, share: float = FAMILY_SHARE) -> DataFrame:
     """L2-RODZINA: members of a family that differ from its dominant value."""
-    family = family or [F.col("producer"), F.col("collection"), text.base_name(F.col("name"))]
-    keyed = products.select("id", F.to_json(F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in family))).alias("family"))
+    base = text.base_name(F.col("name"))
+    family = family or [F.col("producer"), F.col("collection"), base]
+    keyed = products.where(base != "").select("id", base.alias("base"), F.to_json(F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in family))).alias("family"))
     own = values.where(F.col("attr").isin(*attrs) & (F.trim("value") != "")).join(keyed, "id")
     counts = own.groupBy("family", "attr", "value").agg(F.count("*").alias("n"))
     top = counts.groupBy("family", "attr").agg(F.sum("n").alias("of"), F.count("*").alias("kinds"), F.max_by("value", F.struct("n", "value")).alias("common"), F.max("n").alias("most")).where((F.col("of") >= size) & (F.col("kinds") >= 2) & (F.col("most") >= share * F.col("of")))
     odd = own.join(top, ["family", "attr"]).where("value <> common")
-    return f.emit(odd, "L2-RODZINA", "L2", f.MIDDLE, 0.72, old="value", new=F.col("common"), evidence=F.concat_ws(" of ", F.col("most").cast("string"), F.col("of").cast("string")), group=F.concat_ws("|", F.lit("L2-RODZINA"), "family", "attr"))
+    return f.emit(odd, "L2-RODZINA", "L2", f.MIDDLE, 0.72, old="value", new=F.col("common"), evidence=F.concat_ws(" of ", F.col("most").cast("string"), F.col("of").cast("string")), group=F.concat_ws("|", F.lit("L2-RODZINA"), "attr", "base"))
 
 
 def duplicates(products: DataFrame, nums: DataFrame, shown: int = 6) -> DataFrame:

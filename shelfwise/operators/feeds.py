@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import fuzzy, text
@@ -10,7 +10,9 @@ from shelfwise.operators import findings as f
 
 # Tolerances, scales and bounds.
 TOLERANCE, WEIGHT_TOLERANCE, WEIGHT = 0.03, 0.10, "Waga"
-SCALES, LEAST_PAIRS, LEAST_SHARE = (1.0, 0.1, 100.0, 0.001), 5, 0.5
+SCALES = {"Szerokość": (1.0, 0.1, 100.0), "Wysokość": (1.0, 0.1, 100.0), "Głębokość": (1.0, 0.1, 100.0), "Waga": (1.0, 0.001)}
+VALUE_UNITS = {"mm": 0.1, "m": 100.0, "g": 0.001}
+LEAST_PAIRS, LEAST_SHARE = 5, 0.5
 SCORE, MARGIN = 88.0, 6.0
 BASE = {"L4-UZUPELNIA": 0.80, "L4-ROZJAZD": 0.82}
 BY_NAME_MOST, MORE, MOST = 0.55, 0.05, 0.95
@@ -57,11 +59,16 @@ def load(long: DataFrame, mapping: DataFrame, key_fields: DataFrame) -> DataFram
     return own.groupBy("source", "key").agg(F.map_from_entries(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", "value")))).alias("mapped"), F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("raw"))
 
 
+def allowed_scales(attr) -> Column:
+    """The factors that an attribute's values may need, the likeliest first; others are taken as they are."""
+    return F.coalesce(*(F.when(attr == a, F.array(*map(F.lit, scales))) for a, scales in SCALES.items()), F.array(F.lit(1.0)))
+
+
 def scales(pairs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """pairs (source, attr, theirs, ours) → the factor that agrees most often, in the order of SCALES on a tie; from LEAST_PAIRS pairs and LEAST_SHARE on."""
-    tries = pairs.where("ours <> 0").withColumn("scale", F.explode(F.array(*map(F.lit, SCALES))))
+    """pairs (source, attr, theirs, ours) → the factor that agrees most often, of those its attribute allows and in their order on a tie; from LEAST_PAIRS pairs and LEAST_SHARE on."""
+    tries = pairs.where("ours <> 0").withColumn("scale", F.explode(allowed_scales(F.col("attr"))))
     share = tries.groupBy("source", "attr", "scale").agg(F.count("*").alias("n"), F.avg((F.abs(F.col("theirs") * F.col("scale") - F.col("ours")) / F.abs("ours") <= tolerance).cast("double")).alias("share"))
-    rank = -F.array_position(F.array(*map(F.lit, SCALES)), F.col("scale"))
+    rank = -F.array_position(allowed_scales(F.col("attr")), F.col("scale"))
     return share.where((F.col("n") >= LEAST_PAIRS) & (F.col("share") >= LEAST_SHARE)).groupBy("source", "attr").agg(F.max_by("scale", F.struct("share", rank)).alias("scale"), F.max("share").alias("share"))
 
 
@@ -152,7 +159,7 @@ def numeric_fields(long: DataFrame, matches: DataFrame, key_rec: DataFrame, nums
     """(source, attr, field, scale, share, n): how well each numeric field is each attribute, at each scale."""
     theirs = long.where(~text.is_package(F.col("field"))).withColumn("x", text.number(F.col("value"))).where("x is not null").select("source", "rec", "field", "x")
     own = theirs.join(key_rec, ["source", "rec"]).join(matches.select("source", "key", "id"), ["source", "key"]).join(nums.select("id", "attr", "num"), "id").where("num <> 0")
-    tries = own.withColumn("scale", F.explode(F.array(*map(F.lit, SCALES))))
+    tries = own.withColumn("scale", F.explode(allowed_scales(F.col("attr"))))
     out = tries.groupBy("source", "attr", "field", "scale").agg(F.count("*").alias("n"), F.avg((F.abs(F.col("x") * F.col("scale") - F.col("num")) / F.abs("num") <= tolerance).cast("double")).alias("share"))
     return out.where((F.col("n") >= LEAST_PAIRS) & (F.col("share") >= LEAST_SHARE))
 
@@ -170,18 +177,25 @@ def recommended(tabs: DataFrame, mapped: DataFrame, least: int = 5) -> DataFrame
 
 
 def producer_of_tab(tabs: DataFrame, producers: DataFrame) -> DataFrame:
-    """tabs (tab) → the shortest producer (producer) whose name starts the tab's core, or the other way round; cores under three signs don't count."""
+    """tabs (tab) → the shortest producer (producer) whose name, without spaces, starts the tab's core, or the other way round; cores under three signs don't count."""
     core = tabs.withColumn("core", text.producer_core(F.col("tab"))).where(F.length("core") >= 3)
-    known = producers.select("producer", text.norm(F.col("producer")).alias("p")).distinct().where(F.length("p") >= 3)
-    near = core.join(F.broadcast(known), F.substring("core", 1, 3) == F.substring("p", 1, 3)).where(F.expr("startswith(core, p) or startswith(p, core)"))
+    known = producers.select("producer", F.replace(text.norm(F.col("producer")), F.lit(" "), F.lit("")).alias("p")).distinct().where("p <> ''")
+    starts = lambda whole, k: F.substring(whole, 1, k)
+    short, long = known.where(F.length("p") < 3), known.where(F.length("p") >= 3)
+    near = core.join(long, starts("core", 3) == starts("p", 3)).where(F.expr("startswith(core, p) or startswith(p, core)"))
+    for k in (1, 2):  # names shorter than the block
+        near = near.unionByName(core.join(short.where(F.length("p") == k), starts("core", k) == F.col("p")))
     best = near.groupBy("tab").agg(F.min_by("producer", F.struct(F.length("p"), F.col("producer"))).alias("producer"))
     return tabs.join(best, "tab", "left")
 
 
-def scale_hints(long: DataFrame) -> DataFrame:
-    """(source, field, scale): what a field's name says, else the unit that most of its values end in."""
-    unit = F.lower(F.regexp_extract("value", r"(?i)\d\s*(mm|cm|m|kg|g)\s*$", 1))
-    own = long.where(F.trim("value") != "").groupBy("source", "field", unit.alias("unit")).agg(F.count("*").alias("n"))
-    most = own.groupBy("source", "field").agg(F.sum("n").alias("of"), F.max_by("unit", "n").alias("unit"), F.max("n").alias("n"))
-    suffix = F.when((F.col("n") * 2 > F.col("of")) & (F.col("unit") != ""), F.when(F.col("unit") == "mm", 0.1).when(F.col("unit") == "m", 100.0).when(F.col("unit") == "g", 0.001).otherwise(1.0))
-    return most.select("source", "field", F.coalesce(text.scale_from_field(F.col("field")), suffix).alias("scale"))
+def scale_hints(long: DataFrame, mapping: DataFrame) -> DataFrame:
+    """mapping (source, field, target) → (source, field, target, scale): what a field's name says, else the unit that most of its values end in; only factors that the target allows."""
+    unit = F.lower(F.regexp_extract("value", r"(?i)\d\s*([a-z]+)\s*$", 1))
+    own = long.groupBy("source", "field", unit.alias("unit")).agg(F.count("*").alias("n"))
+    said = own.where("unit <> ''").groupBy("source", "field").agg(F.max_by("unit", F.struct("n", "unit")).alias("unit"), F.max("n").alias("n"))
+    most = own.groupBy("source", "field").agg(F.sum("n").alias("of")).join(said, ["source", "field"], "left")
+    allowed = allowed_scales(F.col("target"))
+    suffix = F.coalesce(*(F.when((F.col("n") * 2 > F.col("of")) & (F.col("unit") == u) & F.array_contains(allowed, F.lit(x)), F.lit(x)) for u, x in VALUE_UNITS.items()))
+    hinted = mapping.join(most, ["source", "field"]).where(F.col("target").isin(*SCALES))
+    return hinted.select("source", "field", "target", F.coalesce(text.scale_from_field(F.col("field"), allowed), suffix).alias("scale"))

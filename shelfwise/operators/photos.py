@@ -10,12 +10,20 @@ from shelfwise.operators.review import AUTO_CONFIDENCE, VISIBLE, latest
 
 # Kinds of photos an attribute is looked for on, and the usual length of a call.
 PREFERRED = ("front", "arrangement", "drawing", "interior", "other")
+KINDS_OF = {
+    "Liczba szuflad": ("interior", "front", "drawing"), "Liczba półek": ("interior",), "Liczba drążków": ("interior",), "Liczba szafek": ("front", "interior", "drawing"),
+    "Liczba drzwi": ("front", "interior"), "Rodzaj drzwi": ("front", "interior"), "Rodzaj frontu": ("front",), "Podparcie": ("front", "drawing"), "Na nóżkach": ("front", "drawing"),
+    "Z pojemnikiem": ("interior",), "Materiał": ("front", "arrangement"), "Dekoracje": ("front", "arrangement"), "Styl": ("arrangement", "front"), "Oświetlenie": ("interior", "front"),
+    "Kształt blatu": ("front", "drawing", "arrangement"), "Tapicerowane": ("front", "arrangement"), "Zagłówek": ("front", "arrangement"), "Podłokietniki": ("front", "arrangement"),
+    "Szerokość": ("drawing",), "Wysokość": ("drawing",), "Głębokość": ("drawing",),
+}
+ONLY_INTERIOR = ("Liczba półek", "Liczba drążków", "Z pojemnikiem")
 MEAN_TOKENS, LEAST_CALLS = (1520, 70), 20
 
 
-def candidates(findings: DataFrame, products: DataFrame, verdicts: DataFrame, attr: str | None = None, producer: str | None = None, seed: int = 0, limit: int | None = None) -> DataFrame:
+def candidates(findings: DataFrame, products: DataFrame, verdicts: DataFrame, attr: str | None = None, producer: str | None = None, seed: int = 0, limit: int | None = None, visible: tuple[str, ...] = VISIBLE) -> DataFrame:
     """Unsure, visible, with a photo and not asked yet: a row for each (id, attr), in an order drawn by the seed."""
-    rows = findings.where((F.col("confidence") < AUTO_CONFIDENCE) & F.col("attr").isin(*VISIBLE))
+    rows = findings.where((F.col("confidence") < AUTO_CONFIDENCE) & F.col("attr").isin(*visible))
     rows = rows.where(F.col("attr") == attr) if attr else rows
     own = products.where("photo <> ''")
     own = own.where(F.col("producer") == producer) if producer else own
@@ -38,6 +46,20 @@ def best_photo(galleries: DataFrame, order: tuple[str, ...] = PREFERRED) -> Data
     return galleries.groupBy("id").agg(F.min_by("url", F.struct(rank, F.col("pos"))).alias("url"))
 
 
+def best_photo_of(cells: DataFrame, galleries: DataFrame) -> DataFrame:
+    """cells (id, attr) → the photo to ask about each: by the attribute's kinds, then the label's place in its kind, else the first photo.
+
+    Attributes that only the inside shows have none without a photo of it.
+    """
+    place = F.coalesce(*(F.when(F.col("kind") == k, text.photo_place(F.col("label"), k)) for k, _ in text.PHOTO_KINDS), F.lit(0))
+    shown = galleries.withColumn("kind", text.photo_kind(F.col("label"))).withColumn("place", place)
+    order = F.coalesce(*(F.when(F.col("attr") == a, F.array(*map(F.lit, kinds))) for a, kinds in KINDS_OF.items()), F.array().cast("array<string>"))
+    rank = F.nullif(F.array_position(order, F.col("kind")), F.lit(0))
+    best = F.min_by("url", F.struct(F.coalesce(rank, F.lit(99)), F.when(rank.isNull(), 0).otherwise(F.col("place")), F.col("pos")))
+    out = cells.join(shown, "id").groupBy("id", "attr").agg(best.alias("url"), F.bool_or(F.col("kind") == "interior").alias("inside"))
+    return out.where(F.col("inside") | ~F.col("attr").isin(*ONLY_INTERIOR)).select("id", "attr", "url")
+
+
 def extra_photos(galleries: DataFrame, main: DataFrame, most: int = 2) -> DataFrame:
     """Up to `most` others, one of each kind, none twice."""
     rows = galleries.join(main.withColumnRenamed("url", "main"), "id").where("url <> main").withColumn("kind", text.photo_kind(F.col("label"))).dropDuplicates(["id", "url"])

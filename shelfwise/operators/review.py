@@ -11,7 +11,11 @@ from shelfwise.functions.text import value_hash
 from shelfwise.operators.findings import severity_rank
 
 AUTO_CONFIDENCE = 0.85
-VISIBLE = ("A1", "A2", "A3", "Kolor", "Materiał", "Styl", "Liczba drzwi", "Liczba szuflad")
+# Attributes that a photo can show.
+VISIBLE = (
+    "Szerokość", "Wysokość", "Głębokość", "Liczba drzwi", "Liczba szuflad", "Liczba półek", "Liczba szafek", "Liczba drążków", "Materiał", "Oświetlenie", "Rodzaj drzwi",
+    "Kształt blatu", "Podparcie", "Tapicerowane", "Zagłówek", "Na nóżkach", "Podłokietniki", "Styl", "Dekoracje", "Rodzaj frontu", "Z pojemnikiem",
+)
 
 
 def latest(log: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFrame:
@@ -30,10 +34,10 @@ def base(findings: DataFrame, products: DataFrame, decisions: DataFrame, verdict
     return out
 
 
-def routing() -> Column:
+def routing(visible: tuple[str, ...] = VISIBLE) -> Column:
     """auto: sure and with a proposal; photo: unsure, visible and with a photo; human: the rest."""
     auto = (F.col("confidence") >= AUTO_CONFIDENCE) & F.col("new_value").isNotNull()
-    photo = (F.col("confidence") < AUTO_CONFIDENCE) & (F.coalesce("photo", F.lit("")) != "") & F.col("attr").isin(*VISIBLE)
+    photo = (F.col("confidence") < AUTO_CONFIDENCE) & (F.coalesce("photo", F.lit("")) != "") & F.col("attr").isin(*visible)
     return F.when(auto, "auto").when(photo, "photo").otherwise("human")
 
 
@@ -42,7 +46,7 @@ def scope(name: str) -> Column:
     return F.col("node") == int(name[1:]) if name[:1] == "w" and name[1:].isdigit() else F.col("category") == name
 
 
-def predicate(*, scope_name: str | None = None, producer: str | None = None, rule: str | None = None, layer: str | None = None, severity: str | None = None, attr: str | None = None, photo: bool | None = None, is_open: bool | None = None, search: str | None = None, route: str | None = None, verdict: str | None = None) -> Column:
+def predicate(*, scope_name: str | None = None, producer: str | None = None, rule: str | None = None, layer: str | None = None, severity: str | None = None, attr: str | None = None, photo: bool | None = None, is_open: bool | None = None, search: str | None = None, route: str | None = None, verdict: str | None = None, visible: tuple[str, ...] = VISIBLE) -> Column:
     """All filters that are given, and-ed. A rule that ends in * is a family; verdict 'none' is no verdict."""
     parts = [F.lit(True)]
     parts += [scope(scope_name)] if scope_name else []
@@ -51,7 +55,7 @@ def predicate(*, scope_name: str | None = None, producer: str | None = None, rul
     parts += [(F.coalesce("photo", F.lit("")) != "") == photo] if photo is not None else []
     parts += [F.col("status").isNull() if is_open else F.col("status").isNotNull()] if is_open is not None else []
     parts += [F.col("name").ilike(f"%{search}%") | (F.col("id") == search)] if search else []
-    parts += [routing() == route] if route else []
+    parts += [routing(visible) == route] if route else []
     parts += [F.col("verdict").isNull() if verdict == "none" else F.col("verdict") == verdict] if verdict else []
     out = parts[0]
     for p in parts[1:]:
@@ -101,10 +105,10 @@ def facets(rows: DataFrame, filters: dict, dimensions: dict[str, str], top: int
     return out
 
 
-def counters(rows: DataFrame) -> DataFrame:
+def counters(rows: DataFrame, visible: tuple[str, ...] = VISIBLE) -> DataFrame:
     """The queue's counters in one pass."""
     is_open = F.col("status").isNull()
-    route = routing()
+    route = routing(visible)
     return rows.agg(
         F.count("*").alias("findings"), F.count_if(is_open).alias("open"), F.count_if(~is_open).alias("decided"), F.countDistinct(F.when(is_open, F.col("grp"))).alias("open_groups"),
         F.countDistinct(F.when(is_open, F.col("id"))).alias("open_products"), F.count_if(is_open & (route == "auto")).alias("auto"), F.count_if(is_open & (route == "photo")).alias("photo"), F.count_if(is_open & (route == "human")).alias("human"),

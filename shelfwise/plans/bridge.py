@@ -58,6 +58,10 @@ SELECT event_id AS fid, cast(user_id AS string) AS id, 'A' || cast(event_id % 9
        'L' || cast(event_id % 5 AS string) AS layer, 'G' || cast(event_id % 997 AS string) AS grp, ts
 FROM events"""
 
+#: Products whose components the shop has cut off, and categories that are no furniture.
+CUT_OFF = "SELECT cast(p_partkey AS string) AS id FROM part WHERE p_partkey % 21 = 0"
+OTHER_CATEGORIES = "SELECT 'PROMO' AS category"
+
 #: A log: later rows of a key replace earlier ones.
 DECISIONS = """
 SELECT event_id AS seq, cast(user_id AS string) AS id, 'A' || cast(event_id % 9 AS string) AS attr,
@@ -72,8 +76,8 @@ SELECT cast(c_custkey AS string) AS id, c_name AS name, 'P' || cast(c_nationkey
        CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'https://img' END AS photo, cast(c_nationkey AS int) AS node
 FROM customer"""
 
-VIEWS = {"products": PRODUCTS, "attrs": ATTRS, "components": COMPONENTS, "dictionary": DICTIONARY, "aliases": ALIASES, "kinds": KINDS, "findings": FINDINGS, "decisions": DECISIONS, "people": PEOPLE}
-SOURCES = {"products": "part", "attrs": "part", "components": "part", "findings": "events", "decisions": "events", "people": "customer"}
+VIEWS = {"products": PRODUCTS, "attrs": ATTRS, "components": COMPONENTS, "dictionary": DICTIONARY, "aliases": ALIASES, "kinds": KINDS, "findings": FINDINGS, "decisions": DECISIONS, "people": PEOPLE, "cut_off": CUT_OFF, "others": OTHER_CATEGORIES}
+SOURCES = {"products": "part", "attrs": "part", "components": "part", "findings": "events", "decisions": "events", "people": "customer", "cut_off": "part"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -171,26 +171,38 @@ def d5_exact_and_alias(spark, d):
 PANEL = "SELECT * FROM (VALUES ('Szerokość', 'ACTIVE'), ('Materiał', 'ACTIVE'), ('Kolor', 'ACTIVE'), ('Styl', 'DRAFT')) AS t(attr, status)"
 
 
-@query(oracle("attrs", "components") + f""", panel AS ({PANEL}) SELECT c.id, c.attr, 'L0-ZE-SKLADOWYCH' AS rule_id, 'L0' AS layer, 'srednia' AS severity, 0.9 AS confidence, cast(NULL AS varchar) AS old_value, c.value AS new_value, 'L0-ZE-SKLADOWYCH|' || c.attr || '|' || {norm_sql('c.value')} AS grp
-FROM components c JOIN panel p ON p.attr = c.attr AND p.status = 'ACTIVE' WHERE NOT EXISTS (SELECT 1 FROM attrs a WHERE a.id = c.id AND a.attr = c.attr)""")
+MOVED = f"""SELECT c.id, c.attr, 'L0-ZE-SKLADOWYCH' AS rule_id, 'L0' AS layer, 'srednia' AS severity, 0.9 AS confidence, cast(NULL AS varchar) AS old_value, c.value AS new_value, 'L0-ZE-SKLADOWYCH|' || c.attr || '|' || {norm_sql('c.value')} AS grp
+FROM components c JOIN panel p ON p.attr = c.attr AND p.status = 'ACTIVE' WHERE NOT EXISTS (SELECT 1 FROM attrs a WHERE a.id = c.id AND a.attr = c.attr) AND c.id NOT IN (SELECT id FROM cut_off)"""
+
+
+@query(oracle("attrs", "components", "cut_off") + f", panel AS ({PANEL}) {MOVED}")
 def z1_moved_components(spark, d):
-    return seen(detect.moved_components(view(spark, d, "components"), view(spark, d, "attrs"), spark.sql(PANEL)))
+    return seen(_moved(spark, d))
+
+
+def _moved(spark, d):
+    return detect.moved_components(view(spark, d, "components"), view(spark, d, "attrs"), spark.sql(PANEL), view(spark, d, "cut_off"))
 
 
 def _conflicts(spark, d):
-    return detect.component_conflicts(view(spark, d, "components"), view(spark, d, "attrs"), spark.sql(PANEL))
+    return detect.component_conflicts(view(spark, d, "components"), view(spark, d, "attrs"), spark.sql(PANEL), view(spark, d, "cut_off"))
+
 
+CONFLICTS = f"""SELECT a.id, a.attr, a.value AS old_value, c.value AS new_value, 'L0-KONFLIKT|' || a.attr || '|' || {norm_sql('a.value')} || '=>' || {norm_sql('c.value')} AS grp
+FROM attrs a JOIN components c ON a.id = c.id AND a.attr = c.attr WHERE {norm_sql('a.value')} <> {norm_sql('c.value')} AND a.id NOT IN (SELECT id FROM cut_off)"""
 
-@query(oracle("attrs", "components") + f""" SELECT a.id, a.attr, a.value AS old_value, c.value AS new_value, 'L0-KONFLIKT|' || a.attr || '|' || {norm_sql('a.value')} || '=>' || {norm_sql('c.value')} AS grp
-FROM attrs a JOIN components c ON a.id = c.id AND a.attr = c.attr WHERE {norm_sql('a.value')} <> {norm_sql('c.value')}""")
+
+@query(oracle("attrs", "components", "cut_off") + " " + CONFLICTS)
 def z2_component_conflicts(spark, d):
     return _conflicts(spark, d).select("id", "attr", "old_value", "new_value", "grp")
 
 
-@query()
+@query(oracle("attrs", "components", "cut_off") + f""", panel AS ({PANEL}), moved AS ({MOVED}), con AS ({CONFLICTS}), q AS (SELECT *, {number_sql('old_value')} AS x, {number_sql('new_value')} AS y,
+list_distinct(list_transform(string_split(old_value, ','), lambda z: {norm_sql('z')})) AS s, list_distinct(list_transform(string_split(new_value, ','), lambda z: {norm_sql('z')})) AS t FROM con),
+j AS (SELECT *, attr IN (SELECT attr FROM panel) AND CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN abs(x - y) > 1 ELSE NOT list_has_all(s, t) AND NOT list_has_all(t, s) END AS critical FROM q)
+SELECT (SELECT count(*) FROM moved) AS to_move, count(*) AS conflicts, count(*) FILTER (critical) AS critical, (SELECT count(DISTINCT grp) FROM (SELECT grp FROM moved UNION ALL SELECT grp FROM con)) AS groups FROM j""")
 def z3_l0_summary(spark, d):
-    moved = detect.moved_components(view(spark, d, "components"), view(spark, d, "attrs"), spark.sql(PANEL))
-    return detect.l0_summary(moved.unionByName(_conflicts(spark, d)))
+    return detect.l0_summary(_moved(spark, d).unionByName(_conflicts(spark, d)))
 
 
 @query(oracle("attrs", "components") + f""" SELECT coalesce(a.id, c.id) AS id, coalesce(a.attr, c.attr) AS attr, c.value AS component, a.value AS own,
@@ -199,7 +211,7 @@ def z4_side_by_side(spark, d):
     return detect.side_by_side(view(spark, d, "components"), view(spark, d, "attrs")).drop("place")
 
 
-@query(oracle("products") + " SELECT id, 'zdjęcie' AS attr, 'L1-BRAK-ZDJECIA' AS rule_id, 'L1' AS layer, 'krytyczna' AS severity, 0.99 AS confidence, cast(NULL AS varchar) AS old_value, cast(NULL AS varchar) AS new_value, 'L1-BRAK-ZDJECIA|zdjęcie|' AS grp FROM products WHERE photo = ''")
+@query(oracle("products") + " SELECT id, 'zdjecie' AS attr, 'L1-BRAK-ZDJECIA' AS rule_id, 'L1' AS layer, 'krytyczna' AS severity, 0.99 AS confidence, cast(NULL AS varchar) AS old_value, cast(NULL AS varchar) AS new_value, 'L1-BRAK-ZDJECIA' AS grp FROM products WHERE photo = ''")
 def d9_missing_photo(spark, d):
     return seen(detect.missing_photo(view(spark, d, "products")))
 
@@ -218,23 +230,23 @@ def r2_coverage(spark, d):
     return detect.coverage(view(spark, d, "products"), view(spark, d, "attrs"))
 
 
-@query(COVER + """ SELECT p.id, c.attr, CASE WHEN c.attr IN ('Szerokość', 'Wysokość', 'Głębokość', 'Materiał', 'Kolor') THEN 'krytyczna' ELSE 'srednia' END AS severity, 'L1-BRAK-WYMAGANEGO|' || c.attr || '|' || p.category AS grp
-FROM products p JOIN cov c ON c.category = p.category AND round_even(c.share, 3) >= 0.85 WHERE NOT EXISTS (SELECT 1 FROM attrs a WHERE a.id = p.id AND a.attr = c.attr)""")
+@query(COVER + """ SELECT p.id, c.attr, CASE WHEN c.attr IN ('Szerokość', 'Wysokość', 'Głębokość', 'Waga', 'Materiał') THEN 'krytyczna' ELSE 'srednia' END AS severity, 'L1-BRAK-WYMAGANEGO|' || p.category || '|' || c.attr AS grp
+FROM products p JOIN cov c ON c.category = p.category AND round_even(c.share, 3) >= 0.85 WHERE p.category <> 'PROMO' AND NOT EXISTS (SELECT 1 FROM attrs a WHERE a.id = p.id AND a.attr = c.attr)""")
 def d11_missing_required(spark, d):
     p, a = view(spark, d, "products"), view(spark, d, "attrs")
-    return detect.missing_required(p, a, detect.coverage(p, a), 0.85).select("id", "attr", "severity", "grp")
+    return detect.missing_required(p, a, detect.coverage(p, a), 0.85, view(spark, d, "others")).select("id", "attr", "severity", "grp")
 
 
-@query(oracle("attrs") + """ SELECT x.id, x.attr, 'SPR-SZUFLADY' AS rule_id, x.value AS old_value FROM attrs x JOIN attrs a ON a.id = x.id AND a.attr = 'Liczba szuflad' AND a.value = 'bez szuflad' JOIN attrs b ON b.id = x.id AND b.attr = 'Styl' AND b.value = 'klasyczny' WHERE x.attr = 'Głębokość'""")
+@query(oracle("attrs") + """ SELECT x.id, x.attr, 'SPR-SZUFLADY' AS rule_id, x.value AS old_value, 'SPR-SZUFLADY|Głębokość|' || x.value AS grp FROM attrs x JOIN attrs a ON a.id = x.id AND a.attr = 'Liczba szuflad' AND a.value = 'bez szuflad' JOIN attrs b ON b.id = x.id AND b.attr = 'Styl' AND b.value = 'klasyczny' WHERE x.attr = 'Głębokość'""")
 def d12a_contradictions(spark, d):
     conditions = spark.sql("SELECT * FROM (VALUES ('SPR-SZUFLADY', 'Liczba szuflad', 'bez szuflad'), ('SPR-SZUFLADY', 'Styl', 'klasyczny')) AS t(rule_id, attr, value)")
-    return detect.contradictions(view(spark, d, "attrs"), conditions, spark.sql("SELECT 'SPR-SZUFLADY' AS rule_id, 'Głębokość' AS attr")).select("id", "attr", "rule_id", "old_value")
+    return detect.contradictions(view(spark, d, "attrs"), conditions, spark.sql("SELECT 'SPR-SZUFLADY' AS rule_id, 'Głębokość' AS attr")).select("id", "attr", "rule_id", "old_value", "grp")
 
 
-@query(oracle("products", "attrs") + """ SELECT a.id, a.attr, 'SPR-DRZWI-NAZWA' AS rule_id, a.value AS old_value FROM attrs a JOIN products p ON p.id = a.id WHERE a.attr = 'Liczba drzwi' AND a.value = '2-drzwiowe' AND p.name LIKE '%bez drzwi%'""")
+@query(oracle("products", "attrs") + """ SELECT a.id, a.attr, 'SPR-DRZWI-NAZWA' AS rule_id, a.value AS old_value, 'SPR-DRZWI-NAZWA|Liczba drzwi' AS grp FROM attrs a JOIN products p ON p.id = a.id WHERE a.attr = 'Liczba drzwi' AND a.value = '2-drzwiowe' AND p.name LIKE '%bez drzwi%'""")
 def d12b_name_contradictions(spark, d):
     conditions = spark.sql("SELECT 'SPR-DRZWI' AS rule_id, 'Liczba drzwi' AS attr, '2-drzwiowe' AS value")
-    return detect.name_contradictions(view(spark, d, "products"), view(spark, d, "attrs"), conditions, spark.sql("SELECT 'SPR-DRZWI' AS rule_id, 'bez drzwi' AS fragment")).select("id", "attr", "rule_id", "old_value")
+    return detect.name_contradictions(view(spark, d, "products"), view(spark, d, "attrs"), conditions, spark.sql("SELECT 'SPR-DRZWI' AS rule_id, 'bez drzwi' AS fragment")).select("id", "attr", "rule_id", "old_value", "grp")
 
 
 def _nums(spark, d):
@@ -244,9 +256,9 @@ def _nums(spark, d):
 NUMS = NUMBERS + ", num AS (SELECT id, attr, coalesce(whole, nums[1]) AS num FROM m WHERE whole IS NOT NULL OR (every AND same))"
 
 
-@query(NUMS + f""" SELECT a.id, a.attr, 'REL-SZER-WYS' AS rule_id, {number_text_sql('a.num')} AS old_value FROM num a JOIN num b ON a.id = b.id AND a.attr = 'Szerokość' AND b.attr = 'Wysokość' WHERE a.num > b.num""")
+@query(NUMS + f""" SELECT a.id, a.attr, 'REL-SZER-WYS' AS rule_id, {number_text_sql('a.num')} AS old_value, 'REL-SZER-WYS' AS grp FROM num a JOIN num b ON a.id = b.id AND a.attr = 'Szerokość' AND b.attr = 'Wysokość' WHERE a.num > b.num""")
 def d13_relations(spark, d):
-    return detect.relations(_nums(spark, d), spark.sql("SELECT 'REL-SZER-WYS' AS rule_id, 'Szerokość' AS low, 'Wysokość' AS high, false AS strict")).select("id", "attr", "rule_id", "old_value")
+    return detect.relations(_nums(spark, d), spark.sql("SELECT 'REL-SZER-WYS' AS rule_id, 'Szerokość' AS low, 'Wysokość' AS high, false AS strict")).select("id", "attr", "rule_id", "old_value", "grp")
 
 
 RANGES = """r0 AS (SELECT category, attr, count(*) AS n, median(num) AS med, mad(num) AS md, quantile_cont(num, 0.01) AS q1, quantile_cont(num, 0.99) AS q99 FROM val GROUP BY category, attr HAVING count(*) >= 30),
@@ -261,14 +273,15 @@ def r1_learn_ranges(spark, d):
 
 @query(NUMS + f""", val AS (SELECT 'all' AS category, attr, num FROM num), {RANGES},
 o AS (SELECT n.id, n.attr, n.num, r.* EXCLUDE (category, attr), n.num > r.high * 1.5 OR n.num < r.low / 1.5 AS far FROM num n JOIN ranges r ON r.attr = n.attr WHERE n.num < r.low OR n.num > r.high),
-s AS (SELECT *, CASE WHEN NOT far THEN NULL WHEN num * 10 BETWEEN p1 AND p99 THEN 'x10' WHEN num * 0.1 BETWEEN p1 AND p99 THEN '/10' WHEN num * 0.01 BETWEEN p1 AND p99 THEN '/100' WHEN num * 100 BETWEEN p1 AND p99 THEN 'x100' END AS fit FROM o)
-SELECT id, attr, CASE WHEN fit IS NULL THEN 'L2-OUTLIER' ELSE 'L2-SKALA' END AS rule_id, CASE WHEN fit IS NULL THEN 0.55 ELSE 0.88 END AS confidence, fit IS NOT NULL AS scaled FROM s""")
+s AS (SELECT *, CASE WHEN NOT far THEN NULL WHEN num * 10 BETWEEN p1 AND p99 THEN '×10' WHEN num * 0.1 BETWEEN p1 AND p99 THEN '÷10' WHEN num * 0.01 BETWEEN p1 AND p99 THEN '÷100' WHEN num * 100 BETWEEN p1 AND p99 THEN '×100' END AS fit FROM o)
+SELECT s.id, s.attr, CASE WHEN fit IS NULL THEN 'L2-OUTLIER' ELSE 'L2-SKALA' END AS rule_id, CASE WHEN fit IS NULL THEN 0.55 ELSE 0.88 END AS confidence, fit IS NOT NULL AS scaled,
+CASE WHEN fit IS NULL THEN 'L2-OUTLIER|' || p.p_type || '|' || s.attr ELSE 'L2-SKALA|' || s.attr || '|' || fit END AS grp FROM s JOIN part p ON cast(p.p_partkey AS varchar) = s.id WHERE p.p_type <> 'PROMO'""")
 def r3_d14_out_of_range(spark, d):
     nums = _nums(spark, d)
     ranges = detect.learn_ranges(nums.withColumn("category", F.lit("all")))
     rows = nums.join(view(spark, d, "products").select("id", "category"), "id")
     parents = view(spark, d, "products").select("category").distinct().withColumn("parent", F.lit("all"))
-    return detect.out_of_range(detect.with_range(rows, ranges, parents)).select("id", "attr", "rule_id", "confidence", F.col("new_value").isNotNull().alias("scaled"))
+    return detect.out_of_range(detect.with_range(rows, ranges, parents), view(spark, d, "others")).select("id", "attr", "rule_id", "confidence", F.col("new_value").isNotNull().alias("scaled"), "grp")
 
 
 @query()
@@ -285,7 +298,7 @@ def d17_d18_name_against_sizes(spark, d):
     return detect.name_against_sizes(view(spark, d, "products"), _nums(spark, d)).select("id", "attr", "rule_id", "old_value", "new_value")
 
 
-@query(oracle("products", "attrs") + """, own AS (SELECT a.*, p.producer, p.category FROM attrs a JOIN products p ON p.id = a.id WHERE a.attr IN ('Materiał', 'Styl')),
+@query(oracle("products", "attrs") + """, own AS (SELECT a.*, p.producer, p.category FROM attrs a JOIN products p ON p.id = a.id WHERE a.attr IN ('Materiał', 'Liczba drzwi', 'Liczba szuflad', 'Styl')),
 c AS (SELECT producer, category, attr, value, count(*) AS n FROM own GROUP BY ALL), t AS (SELECT producer, category, attr, sum(n) AS of, count(*) AS kinds, max(n) AS most, arg_max(value, n) AS common FROM c GROUP BY ALL HAVING sum(n) >= 4 AND count(*) >= 2 AND max(n) > 0.5 * sum(n))
 SELECT o.id, o.attr, o.value AS old_value, t.common AS new_value FROM own o JOIN t ON t.producer = o.producer AND t.category = o.category AND t.attr = o.attr WHERE o.value <> t.common""")
 def d12_family_outliers(spark, d):
@@ -316,7 +329,7 @@ def all_findings(spark, d):
     from shelfwise.plans import jobs, more
 
     g = more._Gaps(spark, d)
-    products, raw, components = (tables.written(df, n) for n, df in (("products", g.products), ("attrs", view(spark, d, "attrs")), ("components", view(spark, d, "components"))))  # some thirty detectors read them
+    products, raw, components = (tables.written(df, n) for n, df in (("products", g.products.join(view(spark, d, "cut_off").withColumn("cut_off", F.lit(True)), "id", "left").withColumn("cut_off", F.coalesce("cut_off", F.lit(False)))), ("attrs", view(spark, d, "attrs")), ("components", view(spark, d, "components"))))  # some thirty detectors read them
     long, cells = dictionary.normalise(raw, view(spark, d, "kinds"), view(spark, d, "dictionary"), view(spark, d, "aliases"))
     long = tables.written(long, "long")
     config = {
@@ -330,6 +343,7 @@ def all_findings(spark, d):
         "forbidden": spark.sql("SELECT 'SPR-SZUFLADY' AS rule_id, 'Głębokość' AS attr"),
         "fragments": spark.sql("SELECT 'SPR-DRZWI' AS rule_id, 'bez drzwi' AS fragment"),
         "relations": spark.sql("SELECT 'REL-SZER-WYS' AS rule_id, 'Szerokość' AS low, 'Wysokość' AS high, false AS strict"),
+        "non_furniture": view(spark, d, "others"),
         "node_filters": spark.sql(more.NODE_FILTERS),
         "category_filters": spark.sql(more.FILTERS),
         "subtypes": g.subtype_rules(),
@@ -361,9 +375,9 @@ def f14_members(spark, d):
     return view(spark, d, "attrs").select("id", "attr", "value", text.members(F.col("value")).alias("parts"))
 
 
-@query(oracle("attrs", "dictionary") + f" SELECT a.id, a.attr, a.value, (SELECT min(d.label) FROM dictionary d WHERE d.attr = a.attr AND {norm_sql('d.label')} = {norm_sql('a.value')}) AS canonical FROM attrs a WHERE a.attr IN ('Styl', 'Materiał')")
+@query(oracle("attrs", "dictionary") + f" SELECT a.id, a.attr, a.value, (SELECT min(d.label) FROM dictionary d WHERE d.attr = a.attr AND {norm_sql('d.label')} = {norm_sql('a.value')}) AS canonical FROM attrs a")
 def f17_canonical(spark, d):
-    return dictionary.canonical(view(spark, d, "attrs").where("attr in ('Styl', 'Materiał')"), view(spark, d, "dictionary"))
+    return dictionary.canonical(view(spark, d, "attrs"), view(spark, d, "dictionary"))
 
 
 @query(oracle("products") + f" SELECT id, CASE WHEN n % 2 = 0 THEN 'K' || id END AS code, regexp_replace(regexp_replace({norm_sql('name')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, list_sort(list_distinct(list_transform(string_split({norm_sql('name')}, ' '), lambda w: left(w, 5)))) AS stems FROM products")
@@ -372,24 +386,32 @@ def f18_f19_codes_and_slugs(spark, d):
     return view(spark, d, "products").select("id", text.producer_code(codes).alias("code"), text.slug(F.col("name")).alias("slug"), F.array_sort(text.stems(F.col("name"))).alias("stems"))
 
 
-@query(oracle("products") + " SELECT id, CASE WHEN n % 12 = 8 THEN p_name ELSE p_name END AS compared FROM products JOIN (SELECT cast(p_partkey AS varchar) AS id, p_name FROM part) USING (id) WHERE n % 12 > 8 OR n % 12 = 8")
+@query(oracle("products") + f""", w AS (SELECT id, list_filter(string_split(regexp_replace({norm_sql('name')}, '\\b\\d+(?:[.,x]\\d+)*\\s*(?:cm|mm|kg)?\\b', ' ', 'g'), ' '), lambda z: z <> '' AND z <> 'kolekcja' AND NOT (regexp_matches(z, '[0-9]') AND regexp_matches(z, '[a-z]'))) AS words FROM products)
+SELECT id, array_to_string(list_filter(words, lambda z, i: list_position(words, z) = i), ' ') AS compared FROM w""")
 def f23_comparable_name(spark, d):
-    return view(spark, d, "products").where("n % 12 >= 8").select("id", text.comparable_name(F.col("name"), F.lit("kolekcja")).alias("compared"))
+    return view(spark, d, "products").select("id", text.comparable_name(F.col("name"), F.lit("kolekcja")).alias("compared"))
 
 
 @query()
 def f23_comparable_name_all(spark, d):
-    """Of every product; f23_comparable_name is the part whose result SQL can tell."""
     return view(spark, d, "products").select("id", text.comparable_name(F.col("name"), F.lit("kolekcja")).alias("compared"))
 
 
-@query("SELECT 'S' AS source, field, scale FROM (VALUES ('Szer (mm)', 0.1), ('wys', 0.1), ('plain', NULL), ('Waga kg', 1.0)) AS t(field, scale)")
+#: Feeds with a unit in the field's name, or in some of the values, or in neither.
+HINTED = """SELECT p_brand AS source, field, target, cast(p_size AS string) || CASE WHEN p_partkey % 3 < wide THEN ' ' || unit ELSE '' END AS value FROM part
+JOIN (VALUES ('Szer (mm)', 'Szerokość', 'cm', 0), ('wys', 'Wysokość', 'mm', 2), ('gleb', 'Głębokość', 'mm', 1), ('Dł. m', 'Szerokość', '', 0), ('Waga gr', 'Waga', '', 0), ('waga netto', 'Waga', 'g', 3), ('waga mm', 'Waga', 'mm', 3), ('opis » wymiar mm', 'Szerokość', '', 0), ('inne mm', 'Kolor', 'mm', 3)) AS f(field, target, unit, wide) ON p_size IS NOT NULL"""
+
+
+@query(f"""WITH h AS ({HINTED}), u AS (SELECT source, field, target, count(*) AS n, regexp_extract(value, '[0-9] *([a-z]+)$', 1) AS unit FROM h GROUP BY ALL),
+t AS (SELECT source, field, target, sum(n) AS of, arg_max(unit, n) FILTER (unit <> '') AS unit, coalesce(max(n) FILTER (unit <> ''), 0) AS most FROM u GROUP BY ALL),
+n AS (SELECT *, CASE WHEN contains(field, '»') THEN NULL WHEN target <> 'Waga' AND regexp_matches(lower(field), '(^|[^a-z])mm([^a-z]|$)') THEN 0.1 WHEN target <> 'Waga' AND regexp_matches(lower(field), '(^|[^a-z])m([^a-z]|$)') THEN 100.0
+WHEN target = 'Waga' AND regexp_matches(lower(field), '(^|[^a-z])gr?([^a-z]|$)') THEN 0.001 END AS by_name, CASE WHEN 2 * most > of THEN CASE WHEN target <> 'Waga' AND unit = 'mm' THEN 0.1 WHEN target <> 'Waga' AND unit = 'm' THEN 100.0 WHEN target = 'Waga' AND unit = 'g' THEN 0.001 END END AS by_value FROM t)
+SELECT source, field, target, coalesce(by_name, by_value) AS scale FROM n WHERE target IN ('Szerokość', 'Wysokość', 'Głębokość', 'Waga')""")
 def f26_scale_hints(spark, d):
     from shelfwise.operators import feeds
-    from shelfwise.sources import readers
 
-    p = table(spark, d, "part").select(F.col("p_size").cast("string").alias("Szer (mm)"), F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(" mm")).alias("wys"), F.col("p_size").cast("string").alias("plain"), F.col("p_size").cast("string").alias("Waga kg"))
-    return feeds.scale_hints(readers.long_form(p, "S"))
+    rows = spark.sql(HINTED.replace("FROM part", "FROM {p}"), p=table(spark, d, "part"))
+    return feeds.scale_hints(rows, rows.select("source", "field", "target").distinct())
 
 
 @query("SELECT o_orderkey, cast(o_custkey AS varchar) AS ident, o_orderpriority AS other FROM orders")
@@ -402,30 +424,36 @@ def f34_bad_lists(spark, d):
     return dictionary.bad_lists(view(spark, d, "attrs"), spark.sql("SELECT 'Materiał' AS attr"))
 
 
-@query(oracle("products") + " SELECT id, n % 2 = 0 AS package, CASE n % 3 WHEN 0 THEN 'tak' WHEN 1 THEN 'nie' END AS yes_no, CASE WHEN photo = '' THEN 1 ELSE 2 END AS n_photos, CASE WHEN photo <> '' THEN 'Front: x' ELSE 'Wnętrze' END AS label FROM products")
+@query(oracle("products") + " SELECT id, n % 8 IN (0, 1, 3, 4, 6) AS package, CASE n % 3 WHEN 0 THEN 'tak' WHEN 1 THEN 'nie' END AS yes_no, CASE WHEN photo = '' THEN 1 ELSE 2 END AS n_photos, CASE WHEN photo <> '' THEN 'Front: x' ELSE 'Wnętrze' END AS label FROM products")
 def f36_f38_f39_fields(spark, d):
     p = view(spark, d, "products")
     photos = F.concat(F.when(F.col("photo") != "", F.concat(F.lit("Front: x: "), "photo", F.lit(" | none | "))).otherwise(""), F.lit("Wnętrze: http://b/2"))
     g = text.gallery(photos)
     answer = F.when(F.col("n") % 3 == 0, "TAK").when(F.col("n") % 3 == 1, " nie").otherwise("może")
-    return p.select("id", text.is_package(F.when(F.col("n") % 2 == 0, "Wymiar paczki").otherwise("Wymiar")).alias("package"), text.yes_no(answer).alias("yes_no"), F.size(g).alias("n_photos"), F.get(g, F.lit(0))["label"].alias("label"))
+    return p.select("id", text.is_package(F.element_at(F.array(*map(F.lit, ("Wymiar paczki", "package.pack@width", "Wymiar", "Koszt wysyłki", "Waga brutto", "box", "shipping weight", "waga"))), (F.col("n") % 8 + 1).cast("int"))).alias("package"), text.yes_no(answer).alias("yes_no"), F.size(g).alias("n_photos"), F.get(g, F.lit(0))["label"].alias("label"))
 
 
-@query("SELECT DISTINCT p_brand || ' nowe produkty' AS tab, p_brand AS producer FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2') AND length(p_brand) = 8")
-def f40_producer_of_tab(spark, d):
+#: Tabs named after each producer, with the endings that sheets give them.
+TABS = "SELECT DISTINCT replace(p_brand, '#', '') || CASE p_size % 6 WHEN 0 THEN 'Stock' WHEN 1 THEN 'Products' WHEN 2 THEN 'productV2' WHEN 3 THEN 'LogisticsOurs' WHEN 4 THEN '' ELSE ' nowe' END AS tab FROM part"
+TAB_PRODUCERS = f"""WITH tabs AS ({TABS}), b AS (SELECT DISTINCT p_brand AS producer FROM part), k AS (SELECT producer, replace({norm_sql('producer')}, ' ', '') AS p FROM b), c AS (SELECT tab, lower(regexp_replace(tab, '(?:stock|products?|logistics|fromimporter|ours|v[0-9]+)+$', '', 'i')) AS core FROM tabs)
+SELECT c.tab, (SELECT arg_min(k.producer, (length(k.p), k.producer)) FROM k WHERE length(c.core) >= 3 AND (starts_with(k.p, c.core) OR starts_with(c.core, k.p))) AS producer FROM c"""
+
+
+def _tab_producers(spark, d):
     from shelfwise.operators import feeds
 
-    brands = table(spark, d, "part").select(F.col("p_brand").alias("producer")).distinct().where(F.length("producer") == 8)
-    return feeds.producer_of_tab(brands.select(F.concat("producer", F.lit(" nowe produkty")).alias("tab")), brands)
+    part = table(spark, d, "part")
+    return feeds.producer_of_tab(spark.sql(TABS.replace("FROM part", "FROM {p}"), p=part), part.select(F.col("p_brand").alias("producer")).distinct())
 
 
-@query("WITH b AS (SELECT DISTINCT p_brand AS producer FROM part) SELECT t.producer || ' nowe produkty' AS tab, arg_min(p.producer, (length(p.producer), p.producer)) AS producer FROM b t JOIN b p ON starts_with(t.producer, p.producer) OR starts_with(p.producer, t.producer) GROUP BY t.producer")
-def f40_producer_of_tab_all(spark, d):
-    """Of every producer, where names that start alike clash and the shortest wins; f40_producer_of_tab is the part without clashes."""
-    from shelfwise.operators import feeds
+@query(TAB_PRODUCERS)
+def f40_producer_of_tab(spark, d):
+    return _tab_producers(spark, d)
 
-    brands = table(spark, d, "part").select(F.col("p_brand").alias("producer")).distinct()
-    return feeds.producer_of_tab(brands.select(F.concat("producer", F.lit(" nowe produkty")).alias("tab")), brands)
+
+@query(TAB_PRODUCERS)
+def f40_producer_of_tab_all(spark, d):
+    return _tab_producers(spark, d)
 
 
 @query(oracle("products") + " SELECT id, CASE WHEN category = 'ECONOMY' THEN 'Tanie' ELSE category END AS shown, category <> 'ECONOMY' AS furniture FROM products")

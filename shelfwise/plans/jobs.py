@@ -36,7 +36,8 @@ def find_all(products: DataFrame, raw: DataFrame, components: DataFrame, long: D
     spark = products.sparkSession
     for name in ("subtype", "collection", "node"):
         products = products if name in products.columns else products.withColumn(name, F.lit(None).cast("string"))
-    zero = [detect.moved_components(components, raw, config["panel"]), detect.component_conflicts(components, raw, config["panel"])]
+    cut_off = products.where("cut_off").select("id") if "cut_off" in products.columns else None
+    zero = [detect.moved_components(components, raw, config["panel"], cut_off), detect.component_conflicts(components, raw, config["panel"], cut_off)]
     parents = config.get("parents")
     parents = products.select("category").limit(0).withColumn("parent", F.col("category")) if parents is None else parents
     ranges = learn_ranges(products, long.where("num is not null").select("id", "attr", "num"), parents, folder)
@@ -47,7 +48,7 @@ def find_all(products: DataFrame, raw: DataFrame, components: DataFrame, long: D
     long = tables.written(long.join(ids, "id", "left_semi"), "analysed-attributes")
     raw = raw.join(ids, "id", "left_semi")
     nums, norm = long.where("num is not null").select("id", "attr", "num"), long.select("id", "attr", F.col("norm").alias("value"))
-    furniture = some if config.get("non_furniture") is None else some.join(F.broadcast(config["non_furniture"]), "category", "left_anti")
+    furniture = detect.furniture(some, config.get("non_furniture"))
     required = detect.missing_required(furniture, raw, covered, least)
     labels = dictionary.enum_label(detect.named_parts(some), config["dictionary"])
     ranged = detect.with_range(nums.join(furniture.select("id", "category"), "id"), ranges, parents)

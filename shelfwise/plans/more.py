@@ -427,20 +427,20 @@ PRICES = {"base": (1.0, 4.0), "big": (2.0, 8.0)}
 
 @query(V + " SELECT DISTINCT f.id, f.attr FROM findings f JOIN people p ON p.id = f.id AND p.photo <> '' WHERE f.confidence < 0.85 AND f.attr IN ('A1', 'A2', 'A3') AND NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.id = f.id AND v.attr = f.attr AND v.verdict <> 'blad')")
 def v1_candidates(spark, d):
-    return photos.candidates(view(spark, d, "findings"), view(spark, d, "people"), _verdicts(spark, d)).select("id", "attr")
+    return photos.candidates(view(spark, d, "findings"), view(spark, d, "people"), _verdicts(spark, d), visible=("A1", "A2", "A3")).select("id", "attr")
 
 
-GALLERY = "SELECT cast(p_partkey AS string) AS id, k AS pos, CASE (p_partkey + k) % 4 WHEN 0 THEN 'Wnętrze' WHEN 1 THEN 'Front' WHEN 2 THEN 'Rysunek' ELSE 'Inne' END AS label, 'u' || cast(p_partkey AS string) || '-' || cast(k AS string) AS url FROM part JOIN (VALUES (0), (1), (2)) AS v(k) ON k <= p_partkey % 4"
-GA = f"WITH gal AS ({GALLERY}), gk AS (SELECT *, CASE label WHEN 'Wnętrze' THEN 'interior' WHEN 'Front' THEN 'front' WHEN 'Rysunek' THEN 'drawing' ELSE 'other' END AS kind FROM gal), best AS (SELECT id, arg_min(url, (CASE kind WHEN 'front' THEN 1 WHEN 'drawing' THEN 3 WHEN 'interior' THEN 4 ELSE 5 END, pos)) AS url FROM gk GROUP BY 1)"
+GALLERY = "SELECT cast(p_partkey AS string) AS id, k AS pos, CASE (p_partkey + k) % 13 WHEN 0 THEN 'Wnętrze szafy – otwarte' WHEN 1 THEN 'Zamknięty - front' WHEN 2 THEN 'Rysunek techniczny' WHEN 3 THEN 'Inne' WHEN 4 THEN 'Otwarty - front' WHEN 5 THEN 'Widok z boku' WHEN 6 THEN 'Schemat/Infografika' WHEN 7 THEN 'Aranżacja' WHEN 8 THEN 'Przekrój' WHEN 9 THEN 'Tyłem' WHEN 10 THEN 'Szczegóły' WHEN 11 THEN 'Front' ELSE 'Zamknięty' END AS label, 'u' || cast(p_partkey AS string) || '-' || cast(k AS string) AS url FROM part JOIN (VALUES (0), (1), (2)) AS v(k) ON k <= p_partkey % 4"
+GA = f"WITH gal AS ({GALLERY}), gk AS (SELECT *, CASE WHEN label IN ('Wnętrze szafy – otwarte', 'Otwarty - front', 'Przekrój') THEN 'interior' WHEN label IN ('Rysunek techniczny', 'Schemat/Infografika') THEN 'drawing' WHEN label IN ('Zamknięty - front', 'Zamknięty', 'Widok z boku', 'Tyłem') THEN 'front' WHEN label IN ('Aranżacja', 'Szczegóły') THEN 'arrangement' ELSE 'other' END AS kind FROM gal), best AS (SELECT id, arg_min(url, (CASE kind WHEN 'front' THEN 1 WHEN 'arrangement' THEN 2 WHEN 'drawing' THEN 3 WHEN 'interior' THEN 4 ELSE 5 END, pos)) AS url FROM gk GROUP BY 1)"
 
 
 def _gallery(spark, d):
     return spark.sql(GALLERY.replace("FROM part", "FROM {p}"), p=table(spark, d, "part"))
 
 
-@query(GA + ", f AS (SELECT DISTINCT cast(l_partkey AS varchar) AS id, 'A' || cast(l_linenumber % 3 AS varchar) AS attr FROM lineitem WHERE l_linenumber < 4) SELECT f.id, f.attr FROM f WHERE f.attr <> 'A2' AND f.id IN (SELECT id FROM gk) AND (f.attr <> 'A1' OR f.id IN (SELECT id FROM gk WHERE kind = 'interior'))")
+@query(GA + ", f AS (SELECT DISTINCT cast(l_partkey AS varchar) AS id, 'A' || cast(l_linenumber % 3 AS varchar) AS attr FROM lineitem) SELECT f.id, f.attr FROM f WHERE f.attr <> 'A2' AND f.id IN (SELECT id FROM gk) AND (f.attr <> 'A1' OR f.id IN (SELECT id FROM gk WHERE kind = 'interior'))")
 def v2_gap_candidates(spark, d):
-    f = table(spark, d, "lineitem").where("l_linenumber < 4").select(F.col("l_partkey").cast("string").alias("id"), F.concat(F.lit("A"), (F.col("l_linenumber") % 3).cast("string")).alias("attr"), F.lit("L1-LUKA-BRAK").alias("rule_id"))
+    f = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("id"), F.concat(F.lit("A"), (F.col("l_linenumber") % 3).cast("string")).alias("attr"), F.lit("L1-LUKA-BRAK").alias("rule_id"))
     return photos.gap_candidates(f, _gallery(spark, d), spark.sql("SELECT 'A2' AS attr"), ("A1",)).select("id", "attr")
 
 
@@ -449,6 +449,18 @@ def v3_best_photo(spark, d):
     return photos.best_photo(_gallery(spark, d))
 
 
+ASKED = "SELECT id, attr FROM gal JOIN (VALUES ('Liczba półek'), ('Liczba szuflad'), ('Styl'), ('Szerokość'), ('Kolor')) AS a(attr) ON pos = 0"
+
+
+@query(GA + f""", asked AS ({ASKED}), r AS (SELECT a.id, a.attr, g.pos, g.url, g.kind, CASE WHEN attr = 'Liczba półek' AND kind = 'interior' THEN 1 WHEN attr = 'Liczba szuflad' THEN CASE kind WHEN 'interior' THEN 1 WHEN 'front' THEN 2 WHEN 'drawing' THEN 3 END
+WHEN attr = 'Styl' THEN CASE kind WHEN 'arrangement' THEN 1 WHEN 'front' THEN 2 END WHEN attr = 'Szerokość' AND kind = 'drawing' THEN 1 END AS rank,
+CASE label WHEN 'Otwarty - front' THEN 0 WHEN 'Wnętrze szafy – otwarte' THEN 3 WHEN 'Przekrój' THEN 5 WHEN 'Rysunek techniczny' THEN 0 WHEN 'Schemat/Infografika' THEN 1 WHEN 'Zamknięty - front' THEN 0 WHEN 'Zamknięty' THEN 1 WHEN 'Widok z boku' THEN 3 WHEN 'Tyłem' THEN 4 WHEN 'Aranżacja' THEN 0 WHEN 'Szczegóły' THEN 2 ELSE 0 END AS place FROM asked a JOIN gk g ON g.id = a.id)
+SELECT id, attr, arg_min(url, (coalesce(rank, 99), CASE WHEN rank IS NULL THEN 0 ELSE place END, pos)) AS url FROM r GROUP BY id, attr HAVING attr <> 'Liczba półek' OR bool_or(kind = 'interior')""")
+def v3_best_photo_of(spark, d):
+    g = _gallery(spark, d)
+    return photos.best_photo_of(spark.sql(ASKED.replace("FROM gal ", "FROM {g} "), g=g), g)
+
+
 @query(GA + ", o AS (SELECT g.*, row_number() OVER (PARTITION BY g.id ORDER BY pos, g.url) AS k FROM gk g JOIN best b ON b.id = g.id WHERE g.url <> b.url QUALIFY row_number() OVER (PARTITION BY g.id, kind ORDER BY pos, g.url) = 1) SELECT id, kind, url FROM o WHERE k <= 2")
 def v4_extra_photos(spark, d):
     g = _gallery(spark, d)

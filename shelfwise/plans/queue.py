@@ -13,6 +13,8 @@ BASE = oracle("findings", "people", "decisions") + CUR + """, b AS (SELECT f.*,
 CASE WHEN f.confidence >= 0.85 AND f.new_value IS NOT NULL THEN 'auto' WHEN f.confidence < 0.85 AND p.photo <> '' AND f.attr IN ('A1', 'A2', 'A3') THEN 'photo' ELSE 'human' END AS route,
 CASE f.severity WHEN 'krytyczna' THEN 0 WHEN 'srednia' THEN 1 ELSE 2 END AS rank
 FROM (SELECT *, substr(sha1(coalesce(old_value, '')), 1, 12) AS hash FROM findings) f JOIN people p ON p.id = f.id LEFT JOIN cur c ON c.id = f.id AND c.attr = f.attr AND c.hash = f.hash)"""
+#: Attributes of these findings that a photo can show.
+SHOWN = ("A1", "A2", "A3")
 READY = "confidence >= 0.85 AND new_value IS NOT NULL"
 
 
@@ -44,7 +46,7 @@ def q3_rule_family(spark, d):
 
 @query(BASE + " SELECT route, count(*) AS n FROM b WHERE status IS NULL GROUP BY route")
 def q4_routing(spark, d):
-    return base(spark, d).where(review.predicate(is_open=True)).groupBy(review.routing().alias("route")).agg(F.count("*").alias("n"))
+    return base(spark, d).where(review.predicate(is_open=True)).groupBy(review.routing(SHOWN).alias("route")).agg(F.count("*").alias("n"))
 
 
 @query(BASE + " SELECT count(*) AS findings, count(DISTINCT grp) AS groups FROM b WHERE name ILIKE '%99%'")
@@ -87,7 +89,7 @@ count(*) FILTER (status IS NULL AND route = 'auto') AS auto, count(*) FILTER (st
 count(*) FILTER (status IS NULL AND rank = 0) AS critical, count(*) FILTER (status IS NULL AND rank = 1) AS middle, count(*) FILTER (status IS NULL AND rank = 2) AS info,
 count(*) FILTER (status = 'zastosowana') AS applied, count(*) FILTER (status = 'falszywy_alarm') AS false_alarms FROM b""")
 def q11_counters(spark, d):
-    return review.counters(base(spark, d))
+    return review.counters(base(spark, d), SHOWN)
 
 
 @query(BASE + " SELECT fid, attr, status FROM b WHERE id = '8'")

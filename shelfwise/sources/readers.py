@@ -14,11 +14,11 @@ from shelfwise.functions import text
 ALIASES = {
     "id": ("id",), "name": ("nazwa", "name"), "producer": ("producent", "manufacturer"), "collection": ("kolekcja",), "photo": ("zdjecie",), "style": ("style",),
     "type": ("typ", "kategoria", "kategorie", "category", "kategoria_glowna"), "subtype": ("podtyp", "subtype"), "photos": ("zdjecia", "zdjęcia", "images"),
-    "attributes": ("atrybuty",), "components": ("atrybuty-skladowe", "atrybuty_skladowe", "atrybuty skladowe", "atrybuty-składowe", "atrybuty_składowe", "atrybuty składowe"),
+    "attributes": ("atrybuty",), "components": ("atrybuty-skladowe", "atrybuty-składowe", "atrybuty skladowe", "atrybuty z zakladki", "atrybuty z zakładki", "atrybuty skladowych"),
     "cut_off": ("omit_components_in_attributes",),
 }
 CODES = ("kod produktu", "kod producenta", "kod ean", "nasz kod ean", "unikatowy kod produktu", "sku", "ean")
-LABELLING = ("name", "nazwa", "key", "label", "title", "code", "param", "attribute")
+LABELLING = ("name", "nazwa", "key", "klucz", "code", "kod", "id", "attribute")
 
 
 def resolve(columns: list[str]) -> dict[str, str]:

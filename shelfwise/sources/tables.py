@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _temporary() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="shelfwise-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir; a temporary folder only where the session names none and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _temporary()
+    return f"{found.rstrip('/')}/shelfwise-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
