@@ -35,3 +35,26 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     else:
         at = np.arange(len(scores))
     return at[np.lexsort((ids[at], scores[at]))][:k]
+
+
+def nearest(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, at_once: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (with its own id, which is no candidate) the places and distances of its k nearest rows, ties to smaller ids.
+
+    One matrix product estimates all distances; rows within its error of the k-th estimate are then measured exactly.
+    """
+    norms, out = (x**2).sum(1), []
+    for start in range(0, len(queries), at_once):
+        block, block_own = queries[start : start + at_once], own[start : start + at_once]
+        sizes = (block**2).sum(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            about = norms[None] - 2 * (block @ x.T) + sizes[:, None]
+        error = 1e-14 * (x.shape[1] + 8) * (norms.max(initial=0) + sizes)
+        for q, i, estimate, slack in zip(block, block_own, about, error, strict=True):
+            other = np.flatnonzero(ids != i)
+            seen = estimate[other]
+            if len(other) > k and np.isfinite(seen).all() and np.isfinite(slack):
+                other = other[seen <= np.partition(seen, k - 1)[k - 1] + 2 * slack]
+            d = np.sqrt(((x[other] - q) ** 2).sum(1))
+            good = best(d, ids[other], k)
+            out.append((other[good], d[good]))
+    return out
