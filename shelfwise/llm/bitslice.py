@@ -6,9 +6,13 @@ its inner product is a sum of slices and complements, each at a power; carry-sav
 the sum. The k-th largest sum is found from the most significant slice downward. What quantising left out is bounded,
 and the rows that it could lift over that boundary are resolved exactly from their values.
 
+An exact search of stated queries compares each with each row; what is sent for it is an index block for each QUERIES
+queries, and those queries for each block, both a small part of the comparing.
+
 Defined results: see vectors.usable() (zero vectors take part); of repeated vec_ids each row is a candidate, and a
-query's own vec_id none; a repeated query is searched once; too few rows give shorter lists; an empty table gives an
-empty result; components beyond 2**31 / 256 are not supported and raise; other columns play no part.
+query's own vec_id none; a repeated query is searched once, by the last of its vectors in order; equal scores go to the
+smaller vec_id; too few rows give shorter lists; an empty table gives an empty result; whole numbers and scores beyond a
+long's range become its nearest bound, and sums are exact before that; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from pyspark.sql import functions as F
 from shelfwise.llm import common, vectors
 
 #: Rows of a block, slices kept of each component, queries that meet a block in one task.
-ROWS, SLICES, QUERIES = 16_384, 6, 512
+ROWS, SLICES, QUERIES = 16_384, 6, 4096
+LONG = 2**63 - 1
 
 
 def signed_powers(x: int) -> list[tuple[int, int]]:
@@ -40,25 +45,29 @@ def signed_powers(x: int) -> list[tuple[int, int]]:
 
 class Block:
     def __init__(self, ids: np.ndarray, values: np.ndarray, slices: int = SLICES):
-        self.ids, self.values = ids, values
+        self.ids, self.values, self.most = ids, values, None
         self.low = values.min(0)
-        above = values - self.low
+        above = values.view(np.uint64) - self.low.view(np.uint64)  # by wrapping, right for any two longs
         bits = max(1, int(above.max()).bit_length())
         self.shift = max(0, bits - slices)
-        high = above >> self.shift
+        high = above >> np.uint64(self.shift)
         self.n = bits - self.shift
         words = -(-len(ids) // 64)
-        self.maps = np.zeros((2, values.shape[1], self.n, words), np.uint64)
+        maps = np.zeros((values.shape[1], self.n, words), np.uint64)
         for b in range(self.n):
-            packed = np.packbits((high >> b & 1).T.astype(np.uint8), axis=1, bitorder="little")
+            packed = np.packbits((high >> np.uint64(b) & np.uint64(1)).T.astype(np.uint8), axis=1, bitorder="little")
             padded = np.zeros((values.shape[1], words * 8), np.uint8)
             padded[:, : packed.shape[1]] = packed
-            self.maps[1, :, b] = padded.view(np.uint64)
+            maps[:, b] = padded.view(np.uint64)
         self.all = np.zeros(words * 8, np.uint8)
         whole = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
         self.all[: len(whole)] = whole
         self.all = self.all.view(np.uint64)
-        self.maps[0] = ~self.maps[1] & self.all
+        self.with_complements(maps)
+
+    def with_complements(self, maps: np.ndarray) -> None:
+        """Only the slices are stored; their complements are made where they are used."""
+        self.slices, self.maps = maps, np.stack([~maps & self.all, maps])
 
     def sums(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices, least significant first, of the sum of query * high bits, moved up by a constant that all rows share."""
@@ -128,21 +137,28 @@ class Block:
         most = k + int((self.ids == query_id).sum())
         if len(self.ids) > most:
             slices = self.sums(query)
-            left_out = int(np.abs(query).sum()) * ((1 << self.shift) - 1)  # of both rows together, at most
+            left_out = sum(map(abs, query.tolist())) * ((1 << self.shift) - 1)  # of both rows together, at most
             at = self.at_least(slices, self.boundary(slices, most) - -(-left_out >> self.shift) - 1)
         else:
             at = np.arange(len(self.ids))
         at = at[self.ids[at] != query_id]
-        scores = self.values[at] @ query
-        order = vectors.best(-scores, self.ids[at], k)
+        scores = self.products(at, query)
+        order = vectors.best(~scores, self.ids[at], k)  # the order of -scores, without its overflow
         return self.ids[at][order], scores[order]
 
+    def products(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        own = self.values[at]
+        if self.most is None:
+            self.most = max(map(abs, (int(self.values.max()), int(self.values.min()))))
+        if self.most * sum(map(abs, query.tolist())) <= LONG:
+            return own @ query
+        exact = [sum(x * y for x, y in zip(row, query.tolist(), strict=True)) for row in own.tolist()]
+        return np.array([max(-LONG - 1, min(LONG, x)) for x in exact], np.int64)
+
 
 def whole_numbers(rows: DataFrame) -> DataFrame:
-    """vec_id, v: floor(256 * x) of each component."""
-    found = vectors.usable(rows, zero=True)
-    small = F.when(F.forall("v", lambda x: F.abs(x) < 2**23), F.col("v")).otherwise(F.raise_error(F.lit("a component is too large")).cast("array<double>"))
-    return found.select("vec_id", F.transform(small, lambda x: F.floor(x * 256)).alias("v"))
+    """vec_id, v: floor(256 * x) of each component, within a long's range."""
+    return vectors.usable(rows, zero=True).select("vec_id", F.transform("v", lambda x: F.floor(F.greatest(F.lit(-(2.0**63)), F.least(F.lit(2.0**63 - 1024), x * 256)))).alias("v"))
 
 
 def top_k(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -157,11 +173,12 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     def build(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
         b = Block(table.column("vec_id").to_numpy()[order], vectors.matrix(table.column("v"))[order].astype(np.int64))
-        parts = [b.ids, b.values.astype(np.int32), b.low, b.maps, b.all]
-        return pa.table([pa.array([int(table.column("block")[0].as_py())], pa.int32()), pa.array([b.shift], pa.int32()), pa.array([b.n], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names=["block", "shift", "n", *PARTS])
+        wide = np.dtype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= b.values.min() and b.values.max() <= np.iinfo(t).max))
+        parts = [b.ids, b.values.astype(wide), b.low, b.slices, b.all]
+        return pa.table([pa.array([int(table.column("block")[0].as_py())], pa.int32()), pa.array([b.shift], pa.int32()), pa.array([b.n], pa.int32()), pa.array([wide.itemsize], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names=["block", "shift", "n", "width", *PARTS])
 
-    index = common.written(own.groupBy("block").applyInArrow(build, "block int, shift int, n int, " + ", ".join(f"{p} binary" for p in PARTS)), "bit-slices")
-    queries = numbers.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"))
+    index = common.written(own.groupBy("block").applyInArrow(build, "block int, shift int, n int, width int, " + ", ".join(f"{p} binary" for p in PARTS)), "bit-slices")
+    queries = numbers.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"))
     left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -187,8 +204,8 @@ def _open(table: pa.Table) -> Block:
     get = lambda name, kind: np.frombuffer(table.column(name)[0].as_py(), kind)
     b.shift, b.n = table.column("shift")[0].as_py(), table.column("n")[0].as_py()
     b.ids, b.low, b.all = get("ids", np.int64), get("low", np.int64), get("used", np.uint64)
-    b.values = get("whole", np.int32).reshape(len(b.ids), -1).astype(np.int64)
-    b.maps = get("maps", np.uint64).reshape(2, len(b.low), b.n, len(b.all))
+    b.values, b.most = get("whole", f"<i{table.column('width')[0].as_py()}").reshape(len(b.ids), -1).astype(np.int64), None
+    b.with_complements(get("maps", np.uint64).reshape(len(b.low), b.n, len(b.all)))
     return b
 
 

@@ -81,6 +81,39 @@ def test_block_sums(seed):
     assert all(sum(s << p for s, p in bitslice.signed_powers(n)) == n for n in range(-200, 200))
 
 
+@pytest.mark.parametrize("power", [20, 40, 62])
+def test_block_scores_beyond_a_long(power):
+    rng = random.Random(power)
+    values = [[rng.randint(-(2**power), 2**power) for _ in range(5)] for _ in range(200)] + [[2**63 - 1, -(2**63), 0, 0, 2**63 - 1]]
+    b = bitslice.Block(np.arange(201), np.array(values, np.int64))
+    for q in (values[3], values[-1], [0] * 5, [1, 0, 0, 0, -1]):
+        exact = [max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(row, q)))) for row in values]
+        want = sorted(range(201), key=lambda i: (-exact[i], i))
+        ids, scores = b.top(np.array(q, np.int64), -1, 9)
+        true = sorted((sum(x * y for x, y in zip(row, q)) for row in values), reverse=True)[:9]
+        assert scores.tolist() == [max(-(2**63), min(2**63 - 1, s)) for s in true] and [exact[i] for i in ids] == [exact[i] for i in want[:9]]
+
+
+def test_top_k_of_huge_and_repeated_rows(spark):
+    rows = [(0, [1e300, -1.0]), (50, [3e15, 2.0]), (1, [float(2**60), 1.0]), (2, [-1e9, 5.0]), (50, [3e15, 2.0]), (50, [1.0, 2.0])]
+    got = bitslice.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = bitslice.top_k(spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.query_id for r in got} == {0, 50}
+    assert [r.score for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0][0] == 2**63 - 1
+
+
+def test_nearest_by_products_is_exact():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.standard_normal((300, 6)), np.repeat(rng.standard_normal((1, 6)), 40, 0), 1e6 + 1e-4 * rng.standard_normal((60, 6))])
+    ids = rng.permutation(len(x))
+    from shelfwise.llm import vectors
+
+    for i, (at, d) in zip(ids, vectors.nearest(x, ids, x, ids, 10)):
+        all_d = np.sqrt(((x - x[ids == i][0]) ** 2).sum(1))
+        want = [j for j in np.lexsort((ids, all_d)) if ids[j] != i][:10]
+        assert at.tolist() == want and (d == all_d[want]).all()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="main-page">
 <header class="site-header"><h1>My Site</h1><p>The best of all sites there are.</p></header><nav><ul><li><a href="/">Home</a><li><a href="/n">News</a></ul></nav>
 <div id="cookie-notice">We use cookies, as all of them do. <button>Fine</button></div><!-- an <article> in a comment -->
