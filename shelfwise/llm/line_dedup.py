@@ -414,7 +414,7 @@ def _drop(min_chars: int, by: str):
                 stay = [line for line, k in lines if k not in gone] if gone else None
                 counts.append(len(lines) if lines else (text or b"").count(b"\n") + 1)
                 dropped.append(len(lines) - len(stay) if gone else 0)
-                texts.append((b"\n".join(stay) if gone else text))
+                texts.append(b"\n".join(stay) if gone and text is not None else text)
             new = {"text": pa.array(texts, pa.binary()).cast(b.schema.field("text").type), "n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
             for name, column in new.items():
                 b = b.set_column(b.schema.get_field_index(name), name, column)
@@ -428,6 +428,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     return LineStore(docs.sparkSession, None, min_chars, min_docs).insert(docs).dedup(docs, kept)
 
 
+def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs with their own columns, repeated lines gone from text, and n_chars, if there is one, that of the new text.
+
+    Rows without doc_id stay as they are; columns named n_lines and n_dropped keep the input's values.
+    """
+    taken = {c: common.fresh(docs, "__" + c) for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    own = docs.withColumnsRenamed(taken)
+    out = dedup_lines(own, min_chars, min_docs).select(*own.columns)
+    return out.unionByName(own.where("doc_id is null")).withColumnsRenamed({v: k for k, v in taken.items()})
+
+
 ORACLE = """
 WITH line AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

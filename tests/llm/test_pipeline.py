@@ -32,6 +32,20 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, packed))
 
 
+def test_stages_keep_rows_and_columns(spark):
+    line = "This line stands in many of the documents, and it is long."
+    texts = [(k, f"{line}\nbut this is of document number {k} alone, which is {'very ' * k}long, and has words {k * 'of its own '}") for k in range(6)] + [(None, line), (None, None), (3, None)]
+    docs = spark.createDataFrame([row(*t) for t in texts], DOCS)
+    labels = common.table(spark, SF, "labels").limit(0)
+    kept = common.written(corpus_pipeline.quality.reject(docs, labels), "t")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    lines = common.written(corpus_pipeline.line_deduplication(spark, kept, SF), "t")
+    got = {(r.doc_id, r.text) for r in lines.collect()}
+    assert lines.columns == docs.columns and {r.n_lines for r in lines.collect()} == {9} and {(None, line), (None, None), (3, None), (5, texts[5][1]), (0, texts[0][1].split("\n")[1])} <= got
+    one = corpus_pipeline.near_deduplication(spark, lines, SF)
+    assert one.columns == docs.columns and {(r.doc_id, r.text) for r in one.collect()} == got
+
+
 def test_stages_take_odd_tables(spark):
     texts = {1: None, 2: "", 3: "The same text stands here, word by word, in two.", 4: "The same text stands here, word by word, in two."}
     for rows in ([row(*t) for t in texts.items()], []):
