@@ -12,8 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """links: (a, b) longs. Returns (id, root) for every id with a link to another; root is the component's smallest id.
 
     Each round is two stars: an id's larger neighbours, then its smaller ones, are linked to the smallest it knows.
-    Rounds grow with the logarithm of a component's size. Every round is a written table, and the one before goes. The
-    hub of a large star is joined as a hot key.
+    Rounds grow with the logarithm of a component's size. Every round is a written table. The other side of both joins
+    has each id once, so the hub of a large star makes no more rows than it has links; adaptive execution splits it.
 
     Defined results: links with a null end are left out, as are those of an id to itself; repeated links count once; an
     empty table gives an empty result.
@@ -22,11 +22,10 @@ def components(links: DataFrame) -> DataFrame:
     seen = _mark(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", "n", F.least("a", "low").alias("low"))
-        large = common.hot_join(both, common.written(low, "low"), ["a"], "n", 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = common.written(large, "large")
-        least = common.written(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "least")
-        small = common.hot_join(large, least, ["a"], "n", seen[0]).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = common.written(small.unionByName(least.select("a", F.col("low").alias("b"))).where("a <> b").distinct(), "links")
         now = _mark(edges)
         if now == seen:

@@ -110,23 +110,22 @@ def segments_for(n: int, max_bits: int = MAX_BITS) -> int:
 
 
 def _groups(prints: DataFrame, max_bits: int) -> tuple[DataFrame, int]:
-    """(bits, n, component_id, n_links) of each distinct fingerprint, and how many rows all have."""
+    """(bits, n, root_bits, component_id, n_links) of each distinct fingerprint, and how many rows all have. root_bits tells groups apart where a doc_id is repeated."""
     distinct = common.written(prints.groupBy("bits").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "distinct")
     different, total = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = common.written(links(distinct.select("bits"), max_bits, segments_for(different, max_bits)), "near")
     ends = found.select(F.col("a").alias("bits")).unionAll(found.select(F.col("b").alias("bits"))).groupBy("bits").agg(F.count("*").alias("n_links"))
     roots = components(found).withColumnsRenamed({"id": "bits", "root": "root_bits"})
     classes = distinct.join(roots, "bits", "left").join(ends, "bits", "left").withColumn("root_bits", F.coalesce("root_bits", "bits"))
-    classes = common.written(classes, "classes")
-    least = common.written(classes.groupBy("root_bits").agg(F.min("id").alias("component_id"), F.count("*").alias("m")), "least")
-    return common.written(common.hot_join(classes, least, ["root_bits"], "m", different).select("bits", "n", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "groups"), total
+    least = classes.groupBy("root_bits").agg(F.min("id").alias("component_id"))
+    return common.written(classes.join(least, "root_bits").select("bits", "n", "root_bits", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "groups"), total
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach), n_links (to other fingerprints)."""
     prints = common.written(fingerprints(docs), "fingerprints")
     groups, total = _groups(prints, max_bits)
-    return common.hot_join(prints, groups, ["bits"], "n", total).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    return common.hot_join(prints, groups.drop("root_bits"), ["bits"], "n", total).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
 def with_bits(docs: DataFrame, to: str) -> DataFrame:
@@ -145,7 +144,7 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without those that have a smaller doc_id in their group. Rows without doc_id stay."""
     prints = common.written(fingerprints(docs), "fingerprints")
     groups, total = _groups(prints, max_bits)
-    name, bits, root, rank = (common.fresh(docs, n) for n in ("__gone", "__bits", "__root", "__rank"))
+    name, bits, root, group, rank = (common.fresh(docs, n) for n in ("__gone", "__bits", "__root", "__group", "__rank"))
     doc_id = docs["doc_id"].cast("long")
     twice = common.written(prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), "twice")
     judged = common.hot_join(prints, groups.select("bits", "n", "component_id"), ["bits"], "n", total)
@@ -154,6 +153,6 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         return docs.join(common.written(gone, "gone"), doc_id == F.col(name), "left_anti")
     alone = docs.join(common.written(gone.unionAll(twice), "gone"), doc_id == F.col(name), "left_anti")
     again = with_bits(docs.join(twice, doc_id == F.col(name), "left_semi"), bits)
-    again = again.join(groups.select(F.col("bits").alias(bits), F.col("component_id").alias(root)), bits).where(F.col("doc_id").cast("long") == F.col(root))
-    order = Window.partitionBy(root).orderBy(bits, "text")
+    again = again.join(groups.select(F.col("bits").alias(bits), F.col("component_id").alias(root), F.col("root_bits").alias(group)), bits).where(F.col("doc_id").cast("long") == F.col(root))
+    order = Window.partitionBy(group).orderBy(bits, "text")
     return alone.unionByName(again.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns))
