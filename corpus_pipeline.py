@@ -1,4 +1,11 @@
-"""Corpus pipeline: low quality goes, repeated lines go, one document of each near-duplicate group stays, the rest is packed."""
+"""Corpus pipeline: low quality goes, repeated lines go, one document of each near-duplicate group stays, the rest is packed.
+
+Defined results, stage by stage: null and empty texts are scored, deduplicated and packed as empty; very long texts are
+read whole; rows without doc_id pass the first three stages by their text and are not packed, as a piece needs an id; rows
+that repeat a doc_id are judged each by their own text, but count as one document for lines; an empty table gives an empty
+result; without labels nothing is rejected; further columns keep their names and values, but for n_chars, which follows a
+text that lost lines. What the operators' docstrings state of ties holds here too.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +15,22 @@ from shelfwise.llm import common, line_dedup, packing, quality, simhash
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others stay as they are."""
     return quality.reject(docs, common.table(spark, sf_dir, "labels"))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Lines that many documents share stay in the largest doc_id that holds them. No document goes, even if no line is left."""
+    return line_dedup.without_repeats(docs)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links reach, the smallest doc_id stays, as it is."""
     return simhash.keep_one(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece, with its sequence and place."""
     return packing.pack_documents(docs)
 
 
