@@ -34,6 +34,12 @@ def base(findings: DataFrame, products: DataFrame, decisions: DataFrame, verdict
     return out
 
 
+def saved(rows: DataFrame, path: str) -> DataFrame:
+    """base() as a table: made once a run, and anew when decisions are added; pages, facets and counters then read it without a join."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def routing(visible: tuple[str, ...] = VISIBLE) -> Column:
     """auto: sure and with a proposal; photo: unsure, visible and with a photo; human: the rest."""
     auto = (F.col("confidence") >= AUTO_CONFIDENCE) & F.col("new_value").isNotNull()
@@ -94,15 +100,17 @@ def by_product(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
 
 def facets(rows: DataFrame, filters: dict, dimensions: dict[str, str], top: int = 40) -> DataFrame:
     """Counts of each dimension's values under all other filters; a chosen value stays, with 0 if need be."""
-    out = None
-    for key, column in dimensions.items():
-        part = rows.where(predicate(**{k: v for k, v in filters.items() if k != key})).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(top)
+    under = {key: predicate(**{k: v for k, v in filters.items() if k != key}) for key in dimensions}
+    cells = [F.when(under[key], F.struct(F.lit(key).alias("dimension"), F.col(column).cast("string").alias("value"))) for key, column in dimensions.items()]
+    counts = rows.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
+    place = Window.partitionBy("dimension").orderBy(F.desc("n"), "value")
+    chosen = F.coalesce(*(F.when((F.col("dimension") == k) & (F.col("value") == str(v)), F.lit(True)) for k, v in filters.items() if v and k in dimensions), F.lit(False)) if any(filters.get(k) for k in dimensions) else F.lit(False)
+    shown = counts.withColumn("place", F.row_number().over(place)).where((F.col("place") <= top) | chosen).select("dimension", "value", F.when((F.col("place") <= top), F.col("n")).otherwise(F.lit(0)).cast("long").alias("n"))
+    for key in dimensions:
         if filters.get(key):
-            chosen = rows.sparkSession.range(1).select(F.lit(str(filters[key])).alias("value"), F.lit(0).cast("long").alias("n"))
-            part = part.unionByName(chosen).groupBy("value").agg(F.max("n").alias("n"))
-        part = part.select(F.lit(key).alias("dimension"), "value", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+            zero = rows.sparkSession.range(1).select(F.lit(key).alias("dimension"), F.lit(str(filters[key])).alias("value"), F.lit(0).cast("long").alias("n"))
+            shown = shown.unionByName(zero)
+    return shown.groupBy("dimension", "value").agg(F.max("n").alias("n"))
 
 
 def counters(rows: DataFrame, visible: tuple[str, ...] = VISIBLE) -> DataFrame:

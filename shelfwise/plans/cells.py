@@ -38,8 +38,16 @@ def f4_dimensions(spark, d):
     return view(spark, d, "products").select("id", text.dimensions(F.col("name")).alias("x")).select("id", "x.a", "x.b", "x.diameter")
 
 
-@query(oracle("products") + """ SELECT id, CASE n % 12 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 3 THEN 0 WHEN 4 THEN 2 END AS doors,
-CASE n % 12 WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN 3 END AS drawers, n % 12 = 7 AS has_drawers FROM products""")
+PART_N = f"n0 AS (SELECT id, {norm_sql('name')} AS t FROM products)"
+PARTS_SQL = PART_N + r""", n1 AS (SELECT id, t, try_cast(regexp_extract(t, '(\d+)\s*-?\s*drzwiow', 1) AS integer) AS dd, try_cast(regexp_extract(t, '(\d+)\s*-?\s*szuflad', 1) AS integer) AS ds,
+CASE WHEN t LIKE '%jednodrzwiow%' THEN 1 WHEN t LIKE '%dwudrzwiow%' THEN 2 WHEN t LIKE '%trzydrzwiow%' THEN 3 WHEN t LIKE '%czterodrzwiow%' THEN 4 WHEN t LIKE '%pieciodrzwiow%' THEN 5 WHEN t LIKE '%szesciodrzwiow%' THEN 6 END AS wd,
+list_filter(string_split(t, ' '), lambda z: regexp_full_match(z, '(\d+d)?(\d+w)?(\d+s)?') AND regexp_matches(z, '\d'))[1] AS code FROM n0),
+n2 AS (SELECT *, CASE WHEN dd <= 20 THEN dd END AS a, CASE WHEN ds <= 20 THEN ds END AS b, regexp_matches(t, '\bz szuflad(a|ka|ami)?\b') AS has, regexp_matches(t, '\bz szuflad(a|ka)\b') AS single FROM n1),
+parts AS (SELECT id, coalesce(a, wd, CASE WHEN regexp_matches(t, '\bbez drzwi\b') THEN 0 END, try_cast(regexp_extract(code, '(\d+)d', 1) AS integer)) AS doors,
+coalesce(b, CASE WHEN has AND single THEN 1 END, CASE WHEN regexp_matches(t, '\bbez szuflad\b') THEN 0 END, try_cast(regexp_extract(code, '(\d+)s', 1) AS integer)) AS drawers, has AND b IS NULL AND NOT single AS has_drawers FROM n2)"""
+
+
+@query(oracle("products") + ", " + PARTS_SQL + " SELECT id, doors, drawers, has_drawers FROM parts")
 def f5_part_counts(spark, d):
     return view(spark, d, "products").select("id", text.part_counts(F.col("name")).alias("x")).select("id", "x.doors", "x.drawers", "x.has_drawers")
 
@@ -284,7 +292,14 @@ def r3_d14_out_of_range(spark, d):
     return detect.out_of_range(detect.with_range(rows, ranges, parents), view(spark, d, "others")).select("id", "attr", "rule_id", "confidence", F.col("new_value").isNotNull().alias("scaled"), "grp")
 
 
-@query()
+@query(oracle("products", "attrs", "dictionary") + ", " + PARTS_SQL + f""", said AS (SELECT id, 'Liczba drzwi' AS attr, doors AS n, false AS hint FROM parts WHERE doors IS NOT NULL UNION ALL SELECT id, 'Liczba szuflad', drawers, false FROM parts WHERE drawers IS NOT NULL UNION ALL SELECT id, 'Liczba szuflad', 1, true FROM parts WHERE has_drawers),
+lab AS (SELECT attr, pos, label, {norm_sql('label')} AS l, try_cast(regexp_extract({norm_sql('label')}, '^(\\d+)', 1) AS integer) AS k FROM dictionary),
+x AS (SELECT s.*, a.value, CASE WHEN {norm_sql('a.value')} LIKE 'bez%' THEN 0 ELSE try_cast(regexp_extract({norm_sql('a.value')}, '^(\\d+)', 1) AS integer) END AS held, {norm_sql('a.value')} LIKE '%wiecej%' AS more,
+ coalesce((SELECT arg_min(label, pos) FROM lab WHERE lab.attr = s.attr AND (CASE WHEN l LIKE 'bez%' THEN s.n = 0 ELSE lab.k = s.n AND l NOT LIKE '%wiecej%' END)), (SELECT arg_min(label, pos) FROM lab WHERE lab.attr = s.attr AND l LIKE '%wiecej%' AND s.n >= lab.k)) AS label
+ FROM said s LEFT JOIN attrs a ON a.id = s.id AND a.attr = s.attr),
+c AS (SELECT *, CASE WHEN hint AND value = 'bez szuflad' THEN 'none' WHEN NOT hint AND value IS NULL THEN 'gap' WHEN NOT hint AND held <> n AND NOT (more AND n >= held) THEN 'differs' END AS kind FROM x)
+SELECT id, attr, CASE kind WHEN 'gap' THEN 'L2-NAZWA-UZUPELNIA' ELSE 'L2-NAZWA-ROZJAZD' END AS rule_id, 'L2' AS layer, CASE kind WHEN 'gap' THEN 'srednia' ELSE 'krytyczna' END AS severity, CASE kind WHEN 'none' THEN 0.8 WHEN 'gap' THEN 0.7 ELSE 0.78 END AS confidence,
+value AS old_value, CASE WHEN kind <> 'none' THEN label END AS new_value, CASE kind WHEN 'gap' THEN 'L2-NAZWA-UZUPELNIA|' ELSE 'L2-NAZWA-ROZJAZD|' END || attr || CASE kind WHEN 'none' THEN '|bez' ELSE '' END AS grp FROM c WHERE kind IS NOT NULL""")
 def d15_d16_name_against_counts(spark, d):
     words = view(spark, d, "dictionary")
     parts = detect.named_parts(view(spark, d, "products"))

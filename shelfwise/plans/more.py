@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
@@ -24,14 +26,26 @@ def _tree(spark, d):
 T = f"WITH RECURSIVE nodes AS ({TREE}), tree AS (SELECT n.*, (SELECT arg_max(p.node, p.pos) FROM nodes p WHERE p.pos < n.pos AND p.level < n.level) AS parent FROM nodes n), clo(node, below, depth) AS (SELECT node, node, 0 FROM tree UNION ALL SELECT c.node, t.node, c.depth + 1 FROM clo c JOIN tree t ON t.parent = c.below)"
 
 
-@query(T + " SELECT node, parent FROM tree")
+#: A tree of brands and their sizes, which grows with the catalogue.
+BRAND_RANKS = "SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS r FROM (SELECT DISTINCT p_brand FROM part)"
+BRAND_TREE = f"""SELECT 0 AS node, 'ALL' AS name, 0 AS level, 0 AS pos, false AS hidden
+UNION ALL SELECT cast(r * 1000 AS int), p_brand, 1, cast(r * 1000 AS int), false FROM ({BRAND_RANKS}) AS b
+UNION ALL SELECT cast(r * 1000 + p_size AS int), p_brand || ' ' || cast(p_size AS string), 2, cast(r * 1000 + p_size AS int), false FROM (SELECT DISTINCT p_brand, p_size FROM part) AS s JOIN ({BRAND_RANKS}) AS b USING (p_brand)"""
+BT = T.replace(TREE, BRAND_TREE)
+
+
+def _brand_tree(spark, d):
+    return spark.sql(BRAND_TREE.replace("FROM part", "FROM {p}"), p=table(spark, d, "part"))
+
+
+@query(BT + " SELECT node, parent FROM tree")
 def n1_parents(spark, d):
-    return tree.parents(_tree(spark, d)).select("node", "parent")
+    return tree.parents(_brand_tree(spark, d)).select("node", "parent")
 
 
-@query(T + " SELECT node, below, depth FROM clo")
+@query(BT + " SELECT node, below, depth FROM clo")
 def n2_n3_closure(spark, d):
-    return tree.closure(tree.parents(_tree(spark, d)))
+    return tree.closure(tree.parents(_brand_tree(spark, d)))
 
 
 PAIRS = "SELECT r.r_name AS type, 'nation_' || cast(c_nationkey AS string) AS subtype FROM customer JOIN region r ON r.r_regionkey = c_custkey % 6"
@@ -64,16 +78,26 @@ def n6_without_node(spark, d):
     return tree.without_node(_pairs(spark, d), _assigned(spark, d))
 
 
-@query("SELECT n_nationkey AS node, unnest(CASE WHEN n_nationkey % 2 = 0 THEN ['width', 'Styl'] ELSE ['Styl'] END) AS attr FROM nation")
+#: Filters of tree nodes that the catalogue's brands and sizes make.
+BRANDS = "SELECT dense_rank() OVER (ORDER BY p_brand, p_size) AS node, p_brand, p_size FROM (SELECT DISTINCT p_brand, p_size FROM part)"
+
+
+def _brands(spark, d):
+    return spark.sql(BRANDS.replace("FROM part", "FROM {p}"), p=table(spark, d, "part"))
+
+
+@query(f"SELECT node, unnest(CASE WHEN p_size % 2 = 0 THEN ['width', 'Styl', p_brand] ELSE ['Styl', p_brand] END) AS attr FROM ({BRANDS})")
 def n7_node_filters(spark, d):
-    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("Szerokość"), F.lit("Styl"))).otherwise(F.array(F.lit("Styl"))).alias("attrs"))
+    b = _brands(spark, d)
+    rows = b.select("node", F.when(F.col("p_size") % 2 == 0, F.array(F.lit("Szerokość"), F.lit("Styl"), "p_brand")).otherwise(F.array(F.lit("Styl"), "p_brand")).alias("attrs"))
     return tree.node_filters(rows, spark.sql("SELECT 'Szerokość' AS old, 'width' AS new"))
 
 
-@query("SELECT n_nationkey AS node, unnest(['Rodzaj (typ)', 'Nieznany filtr']) AS filter, unnest(['Rodzaj', NULL]) AS attr FROM nation")
+@query(f"SELECT node, unnest(['Rodzaj (typ)', 'Nieznany filtr', p_brand]) AS filter, unnest(['Rodzaj', NULL, CASE WHEN p_brand = 'Brand#7' THEN 'Marka' END]) AS attr FROM ({BRANDS})")
 def s11_load_matrix(spark, d):
-    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_nationkey").alias("pos"), F.lit(1).alias("level"), F.col("n_name").alias("name"), F.array(F.lit("Rodzaj (typ)"), F.lit("Nieznany filtr")).alias("filters"))
-    return tree.load_matrix(rows, spark.sql("SELECT 'Rodzaj' AS attr, 'rodzaj-typ' AS slug"))[1]
+    b = _brands(spark, d)
+    rows = b.select("node", F.col("node").alias("pos"), F.lit(1).alias("level"), F.concat_ws(" ", "p_brand", "p_size").alias("name"), F.array(F.lit("Rodzaj (typ)"), F.lit("Nieznany filtr"), "p_brand").alias("filters"))
+    return tree.load_matrix(rows, spark.sql("SELECT * FROM (VALUES ('Rodzaj', 'rodzaj-typ'), ('Marka', 'brand-7')) AS t(attr, slug)"))[1]
 
 
 # ---- gaps
@@ -518,9 +542,9 @@ def v10_calibration(spark, d):
     return photos.calibration(spark.sql(RATED.replace("FROM verdicts", "FROM {v}"), v=v))
 
 
-@query(oracle("dictionary", "attrs") + ", p AS (SELECT DISTINCT attr, value AS label FROM attrs WHERE attr IN ('Styl', 'stary klucz')) SELECT coalesce(d.attr, p.attr) AS attr, coalesce(d.l, p.l) AS answers FROM (SELECT attr, list(DISTINCT label ORDER BY label) AS l FROM dictionary GROUP BY 1) d FULL JOIN (SELECT attr, list(label ORDER BY label) AS l FROM p GROUP BY 1) p ON p.attr = d.attr")
+@query(oracle("dictionary", "attrs") + ", p AS (SELECT DISTINCT attr, value AS label FROM attrs) SELECT coalesce(d.attr, p.attr) AS attr, coalesce(d.l, p.l) AS answers FROM (SELECT attr, list(DISTINCT label ORDER BY label) AS l FROM dictionary GROUP BY 1) d FULL JOIN (SELECT attr, list(label ORDER BY label) AS l FROM p GROUP BY 1) p ON p.attr = d.attr")
 def v11_allowed_answers(spark, d):
-    panel = view(spark, d, "attrs").where("attr in ('Styl', 'stary klucz')").select("attr", F.col("value").alias("label"))
+    panel = view(spark, d, "attrs").select("attr", F.col("value").alias("label"))
     return photos.allowed_answers(view(spark, d, "dictionary"), panel)
 
 
@@ -585,9 +609,20 @@ def m5_multi_valued(spark, d):
     return maintenance.multi_valued(view(spark, d, "attrs"), view(spark, d, "dictionary").select("attr", F.col("pos").cast("string").alias("pid"), "label"))
 
 
-@query(oracle("kinds", "dictionary") + " SELECT k.attr, k.kind AS status, coalesce((SELECT list(DISTINCT label ORDER BY label) FROM dictionary d WHERE d.attr = k.attr), []) AS labels, k.attr = 'Materiał' AS multi FROM kinds k WHERE EXISTS (SELECT 1 FROM dictionary d WHERE d.attr = k.attr AND d.label LIKE '%drzwi%') OR lower(k.attr) LIKE '%drzwi%'")
+#: The panel's attributes are those that the catalogue uses, and their values the whole single ones that it holds.
+CATALOGUE = """, used AS (SELECT attr, count(*) AS n FROM attrs GROUP BY attr), status AS (SELECT attr, CASE WHEN n * 20 >= (SELECT max(n) FROM used) THEN 'ACTIVE' ELSE 'DRAFT' END AS status FROM used),
+labels AS (SELECT DISTINCT attr, value AS label FROM attrs WHERE value NOT LIKE '%,%' AND NOT regexp_matches(value, '^[0-9]')), multi AS (SELECT attr FROM attrs WHERE value LIKE '%,%' GROUP BY attr HAVING count(DISTINCT value) > 1)"""
+
+
+@query(oracle("attrs") + CATALOGUE + f""" SELECT s.attr, s.status, coalesce((SELECT list(DISTINCT label ORDER BY label) FROM labels l WHERE l.attr = s.attr), []) AS labels, s.attr IN (SELECT attr FROM multi) AS multi FROM status s
+WHERE {norm_sql('s.attr')} LIKE '%drzwi%' OR EXISTS (SELECT 1 FROM labels l WHERE l.attr = s.attr AND {norm_sql('l.label')} LIKE '%drzwi%')""")
 def m6_catalogue(spark, d):
-    return maintenance.catalogue(view(spark, d, "kinds").withColumnRenamed("kind", "status"), view(spark, d, "dictionary"), spark.sql("SELECT 'Materiał' AS attr"), "Drzwi")
+    attrs = view(spark, d, "attrs")
+    used = attrs.groupBy("attr").agg(F.count("*").alias("n"))
+    status = used.withColumn("most", F.lit(used.agg(F.max("n")).first()[0])).select("attr", F.when(F.col("n") * 20 >= F.col("most"), "ACTIVE").otherwise("DRAFT").alias("status"))
+    labels = attrs.where("value not like '%,%'").where(~F.col("value").rlike("^[0-9]")).select("attr", F.col("value").alias("label"))
+    multi = attrs.where("value like '%,%'").groupBy("attr").agg(F.countDistinct("value").alias("kinds")).where("kinds > 1")
+    return maintenance.catalogue(status, labels, multi, "Drzwi")
 
 
 @query("SELECT DISTINCT CASE WHEN p_type = 'PROMO' THEN 'SALE' ELSE p_type END AS attr, p_brand AS column_name FROM part")
@@ -610,7 +645,8 @@ def s1_catalogue(spark, d):
     packed = view(spark, d, "attrs").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "attr", "value"))), " | ").alias("Atrybuty"))
     p = view(spark, d, "products").join(packed, "id", "left")
     rows = p.select(F.col("id").alias("ID"), F.col("name").alias("Nazwa"), F.col("producer").alias("Producent"), F.col("category").alias("Kategoria"), "Atrybuty", F.concat(F.lit("K"), "id").alias("SKU"), F.when(F.col("photo") != "", F.concat(F.lit("Front: "), "photo")).alias("Zdjęcia"))
-    c = readers.catalogue(rows)
+    readers.save_csv(rows, path := f"{tables.shared_dir(spark)}/export-{uuid.uuid4().hex}")
+    c = readers.read_catalogue(spark, path)
     return c.select("id", "name", "type", F.size("attributes").cast("long").alias("n_attrs"), F.col("codes")["sku"].alias("code"), F.size("photos").alias("n_photos"))
 
 
@@ -618,12 +654,14 @@ def s1_catalogue(spark, d):
 def s2_side_file(spark, d):
     p = view(spark, d, "products")
     side = p.where("n % 2 = 0").select(F.col("id").alias("short_id"), F.concat(F.lit("T"), (F.col("n") % 5).cast("string")).alias("type"), F.lit("s").alias("subtype"))
-    return readers.with_side_file(p.select("id", F.when(F.col("n") % 3 == 0, F.col("category")).otherwise(" ").alias("type"), "subtype"), side).select("id", "type")
+    side.write.csv(path := f"{tables.shared_dir(spark)}/side-{uuid.uuid4().hex}", header=True, sep=";")
+    return readers.with_side_file(p.select("id", F.when(F.col("n") % 3 == 0, F.col("category")).otherwise(" ").alias("type"), "subtype"), readers.read_side_file(spark, path)).select("id", "type")
 
 
 @query("SELECT field, count(*) AS n, count(*) FILTER (value = '') AS blank FROM (SELECT unnest(['s_name', 's_acctbal']) AS field, unnest([s_name, cast(s_acctbal AS varchar)]) AS value FROM supplier) GROUP BY 1")
 def s3_csv_feed(spark, d):
-    long = readers.long_form(table(spark, d, "supplier").select("s_name", "s_acctbal"), "S")
+    table(spark, d, "supplier").select("s_name", "s_acctbal").write.csv(path := f"{tables.shared_dir(spark)}/feed-{uuid.uuid4().hex}", header=True)
+    long = readers.read_csv_feed(spark, path, "S")
     return long.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("value") == "").alias("blank"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfwise.operators import analytics, decisions, review
 from shelfwise.plans.bridge import norm_sql, oracle, table, view
 from shelfwise.plans.registry import query
+from shelfwise.sources import tables
 
 CUR = """, cur AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY id, attr, hash ORDER BY ts DESC, seq DESC) AS rn FROM (SELECT *, substr(sha1(coalesce(old_value, '')), 1, 12) AS hash FROM decisions)) WHERE rn = 1)"""
 BASE = oracle("findings", "people", "decisions") + CUR + """, b AS (SELECT f.*, p.name, p.producer, p.category, p.photo, p.node, c.status, c.new_value AS decided_value, c.batch_id,
@@ -22,6 +25,18 @@ def base(spark, d):
     return review.base(view(spark, d, "findings"), view(spark, d, "people"), view(spark, d, "decisions"))
 
 
+#: Saved queues by application and tables.
+SAVED: dict[tuple, object] = {}
+
+
+def queue(spark, d):
+    """The queue as its pages read it: saved at the first page of an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in SAVED:
+        SAVED[key] = review.saved(base(spark, d), f"{tables.shared_dir(spark)}/queue-{uuid.uuid4().hex}")
+    return SAVED[key]
+
+
 @query(BASE + " SELECT fid, id, attr, hash, name, status, decided_value, batch_id FROM b")
 def q0_base(spark, d):
     return base(spark, d).select("fid", "id", "attr", "hash", "name", "status", "decided_value", "batch_id")
@@ -58,22 +73,22 @@ def q5_count(spark, d):
 arg_min({'id': id, 'attr': attr, 'rule_id': rule_id, 'old_value': old_value, 'new_value': new_value}, (rank, id, fid)) AS f FROM b WHERE status IS NULL GROUP BY grp)
 SELECT grp, n, proposals, olds, rank, proposals <= 1 AND olds <= 1 AS uniform, f.id, f.attr, f.rule_id, f.old_value, f.new_value FROM g ORDER BY rank, n DESC, grp LIMIT 50 OFFSET 10""")
 def q6_group_page(spark, d):
-    return review.group_page(base(spark, d).where("status is null"), 50, 10)
+    return review.group_page(queue(spark, d).where("status is null"), 50, 10)
 
 
 @query(BASE + " SELECT fid, id, confidence FROM b WHERE status IS NULL ORDER BY rank, confidence DESC, id, fid LIMIT 50 OFFSET 20")
 def q7_flat_page(spark, d):
-    return review.flat_page(base(spark, d).where("status is null"), 50, 20).select("fid", "id", "confidence")
+    return review.flat_page(queue(spark, d).where("status is null"), 50, 20).select("fid", "id", "confidence")
 
 
 @query(BASE + " SELECT fid, id FROM b WHERE grp = 'G5' ORDER BY producer, name, id, fid LIMIT 200")
 def q8_group_members(spark, d):
-    return review.group_members(base(spark, d), "G5").select("fid", "id")
+    return review.group_members(queue(spark, d), "G5").select("fid", "id")
 
 
 @query(BASE + f""", g AS (SELECT id, min(rank) AS rank, count(*) AS n, count(*) FILTER ({READY}) AS ready, list(fid ORDER BY rank, attr, fid) AS fids FROM b WHERE status IS NULL GROUP BY id) SELECT * FROM g ORDER BY rank, n DESC, id LIMIT 20""")
 def q9_by_product(spark, d):
-    return review.by_product(base(spark, d).where("status is null"))
+    return review.by_product(queue(spark, d).where("status is null"))
 
 
 @query(BASE + """, o AS (SELECT * FROM b WHERE status IS NULL), f AS (SELECT 'severity' AS dimension, severity AS value, count(*) AS n FROM o WHERE attr = 'A3' GROUP BY severity
@@ -81,7 +96,7 @@ UNION ALL SELECT 'attr', attr, count(*) FROM o WHERE severity = 'info' GROUP BY
 UNION ALL SELECT * FROM (SELECT 'producer', producer, count(*) AS n FROM o WHERE severity = 'info' AND attr = 'A3' GROUP BY producer ORDER BY n DESC, producer LIMIT 40)
 UNION ALL SELECT 'severity', 'info', 0 UNION ALL SELECT 'attr', 'A3', 0) SELECT dimension, value, max(n) AS n FROM f GROUP BY 1, 2""")
 def q10_facets(spark, d):
-    return review.facets(base(spark, d).where("status is null"), {"severity": "info", "attr": "A3"}, {"severity": "severity", "attr": "attr", "producer": "producer"})
+    return review.facets(queue(spark, d).where("status is null"), {"severity": "info", "attr": "A3"}, {"severity": "severity", "attr": "attr", "producer": "producer"})
 
 
 @query(BASE + """ SELECT count(*) AS findings, count(*) FILTER (status IS NULL) AS open, count(status) AS decided, count(DISTINCT CASE WHEN status IS NULL THEN grp END) AS open_groups, count(DISTINCT CASE WHEN status IS NULL THEN id END) AS open_products,
@@ -89,12 +104,12 @@ count(*) FILTER (status IS NULL AND route = 'auto') AS auto, count(*) FILTER (st
 count(*) FILTER (status IS NULL AND rank = 0) AS critical, count(*) FILTER (status IS NULL AND rank = 1) AS middle, count(*) FILTER (status IS NULL AND rank = 2) AS info,
 count(*) FILTER (status = 'zastosowana') AS applied, count(*) FILTER (status = 'falszywy_alarm') AS false_alarms FROM b""")
 def q11_counters(spark, d):
-    return review.counters(base(spark, d), SHOWN)
+    return review.counters(queue(spark, d), SHOWN)
 
 
 @query(BASE + " SELECT fid, attr, status FROM b WHERE id = '8'")
 def q12_product_card(spark, d):
-    return review.product_card(base(spark, d), "8").select("fid", "attr", "status")
+    return review.product_card(queue(spark, d), "8").select("fid", "attr", "status")
 
 
 @query(BASE + " SELECT 'w5' AS scope, count(*) AS n FROM b WHERE node = 5 UNION ALL SELECT 'MACHINERY', count(*) FROM b WHERE category = 'MACHINERY'")
@@ -158,12 +173,12 @@ def f32_p6_dictionary_values(spark, d):
     return _checked(spark, d)
 
 
-REQUESTS = "SELECT cast(c_custkey AS string) AS id, cast(CASE WHEN c_custkey % 3 = 0 THEN 1 END AS bigint) AS batch_id FROM customer WHERE c_custkey % 7 = 0"
+REQUESTS = "SELECT cast(c_custkey AS string) AS id, cast(CASE WHEN c_custkey % 3 = 0 THEN 1 END AS bigint) AS batch_id FROM customer"
 REQ = f", requests AS ({REQUESTS})"
 
 
 def _requests(spark, d):
-    return table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 3 == 0, 1).cast("bigint").alias("batch_id"))
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 3 == 0, 1).cast("bigint").alias("batch_id"))
 
 
 WAIT = ", w AS (SELECT * FROM cur WHERE status = 'zastosowana' AND new_value IS NOT NULL AND batch_id IS NULL)"

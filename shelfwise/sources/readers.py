@@ -27,10 +27,20 @@ def resolve(columns: list[str]) -> dict[str, str]:
     return {ours: next(low[a] for a in names if a in low) for ours, names in ALIASES.items() if any(a in low for a in names)}
 
 
-def separator(spark: SparkSession, path: str) -> str:
-    """';' if the first line has more of them than ','."""
-    line = (spark.read.text(path).limit(1).first() or [""])[0]
-    return ";" if line.count(";") > line.count(",") else ","
+def separator(spark: SparkSession, path: str, size: int = 4096) -> str:
+    """';' if the file's first `size` signs have more of them than ','. Of a folder, any of its files is looked at."""
+    head = "\n".join(r[0] for r in spark.read.text(path).limit(200).collect())[:size]
+    return ";" if head.count(";") > head.count(",") else ","
+
+
+def read_side_file(spark: SparkSession, path: str) -> DataFrame:
+    """A side file of types, whichever separator it has."""
+    return spark.read.csv(path, sep=separator(spark, path), header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+
+
+def read_csv_feed(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """A feed as long rows; the separator is looked for in its first 8 KB, signs that are no UTF-8 are replaced."""
+    return long_form(spark.read.csv(path, sep=separator(spark, path, 8192), header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8"), source)
 
 
 def catalogue(rows: DataFrame) -> DataFrame:
@@ -54,7 +64,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def with_side_file(products: DataFrame, side: DataFrame) -> DataFrame:
     """Type and subtype from a side file (short_id or id, type, subtype) where the export has none."""
     key = "short_id" if "short_id" in side.columns else "id"
-    s = side.select(F.trim(F.col(key)).alias("id"), F.col("type").alias("s_type"), F.col("subtype").alias("s_subtype")).dropDuplicates(["id"])
+    s = side.select(F.trim(F.col(key)).alias("id"), F.col("type").alias("s_type"), F.col("subtype").alias("s_subtype")).groupBy("id").agg(F.max(F.struct("s_type", "s_subtype")).alias("s")).select("id", "s.*")
     fill = lambda a, b: F.coalesce(F.nullif(F.trim(a), F.lit("")), b)
     return products.join(s, "id", "left").withColumns({"type": fill("type", F.col("s_type")), "subtype": fill("subtype", F.col("s_subtype"))}).drop("s_type", "s_subtype")
 
@@ -116,7 +126,10 @@ def record_tag(elements: DataFrame) -> DataFrame:
 
 
 def xml_records(docs: DataFrame, tag: str) -> DataFrame:
-    """docs (source, xml) → long rows of the elements named tag: paths 'a.b', attributes 'a@k', repeats 'a[2]', and 'a:Name' for leaves with a naming attribute."""
+    """docs (source, xml) → long rows of the elements named tag: paths 'a.b', attributes 'a@k', repeats 'a[2]', and 'a:Name' for leaves with a naming attribute.
+
+    A document that can't be parsed gives one row: rec -1, field '!error', and the parser's message.
+    """
     schema = pa.schema([("source", pa.string()), ("rec", pa.int64()), ("field", pa.string()), ("value", pa.string())])
 
     def flatten(e, prefix: str, out: dict) -> None:
@@ -140,7 +153,8 @@ def xml_records(docs: DataFrame, tag: str) -> DataFrame:
             for source, xml in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     found = ET.fromstring(xml or "").iter(tag)
-                except (ET.ParseError, ValueError):
+                except (ET.ParseError, ValueError) as e:
+                    rows.append((source, -1, "!error", str(e)))
                     continue
                 for rec, e in enumerate(found):
                     own = {f"@{k}": v.strip() for k, v in e.attrib.items()}
