@@ -41,6 +41,26 @@ def test_nearest(spark, rows, vectors):
     assert found / total >= 0.9
 
 
+def test_nearest_by_two_levels_of_leaves(spark, rows, vectors):
+    """Leaves grow with the rows: few upper leaves are split by lower trees, a leaf of copies alone can't be."""
+    index = ann.Index(rows, leaf_rows=20, leaves=6)
+    assert index.split and max(n for leaf, n in index.sizes.items()) <= 500 and len(index.sizes) > 3 * len(index.tops)
+    assert index.rows.count() == 1500 and sum(index.sizes.values()) == 1500
+    queries = index.rows.where("vec_id % 10 = 0").select("vec_id", "v")
+    visits, share, reached = index.calibrate(queries, 10, 0.95)
+    assert reached >= 0.9 and 0 <= share < 1
+    x, found = vectors.astype(float), 0
+    by = {}
+    for r in index.search(queries, 10, 0.95).collect():
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q, held in by.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        tenth = np.sort(np.delete(d, q))[9]
+        assert all(abs(d[i] - s) < 1e-12 for i, s in held)
+        found += sum(s <= tenth for _, s in held)
+    assert len(by) == 150 and found / 1500 >= 0.9
+
+
 def test_nearest_of_few_and_none(spark, rows):
     few = ann.nearest(rows.where("vec_id < 4"), every=2)
     assert sorted((r.query_id, r["rank"]) for r in few.collect()) == [(0, 1), (0, 2), (0, 3), (2, 1), (2, 2), (2, 3)]
