@@ -10,11 +10,12 @@ A file holds documents in ascending doc_id order. Layout, integers little-endian
 A reader takes the footer, the tables, and then only the frames that hold what it wants, each checked before use.
 
 Documents are range-partitioned by doc_id. A task writes its file under a name of its own and then moves it in place, so
-a task that runs again replaces nothing that was read. Files are written through pyarrow's file systems: any store with
-a URI that it knows.
+a task that runs again replaces nothing that was read; a task that fails removes what it began. Files are written through
+pyarrow's file systems: any store with a URI that it knows.
 
-Defined results: null text is empty, so the end id alone; rows with a null doc_id take no part; rows that repeat a
-doc_id are kept each, in any order; an empty table gives no file and no row; other columns play no part.
+Defined results: null text is empty, so the end id alone; a very long text is encoded whole and makes one frame, however
+large; rows with a null doc_id take no part; rows that repeat a doc_id are kept each, one after another, in any order
+among them; an empty table gives no file and no row; other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from shelfwise.llm import common, tokens
 END_ID = 1
 #: Bytes of ids after which a frame is closed, and bytes of text that a file is to get.
 FRAME_BYTES, FILE_BYTES = 1 << 20, 32 << 20
+GROUP = 1000
 DOC, FRAME, FOOT, MAGIC = struct.Struct("<qQ"), struct.Struct("<QQQQI"), struct.Struct("<QQQI4s"), b"TIDS"
 
 
@@ -132,17 +134,24 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         store, base = _file_system(folder)
         name = f"{base}/{part:06d}-{uuid.uuid4().hex}"
         out = first = None
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), common.words_of(b.column(1)), strict=True):
-                if out is None:
-                    store.create_dir(base, recursive=True)
-                    out, first = store.open_output_stream(name + ".tmp"), doc_id
-                    writer = Writer(out, frame_bytes)
-                writer.add(doc_id, encode(text) + end)
+        try:
+            for b in batches:
+                for doc_id, text in zip(b.column(0).to_pylist(), common.words_of(b.column(1)), strict=True):
+                    if out is None:
+                        store.create_dir(base, recursive=True)
+                        out, first = store.open_output_stream(name + ".tmp"), doc_id
+                        writer = Writer(out, frame_bytes)
+                    writer.add(doc_id, encode(text) + end)
+            if out is not None:
+                writer.finish()
+                out.close()
+                store.move(name + ".tmp", name + ".tids")
+        except BaseException:
+            if out is not None:
+                out.close()
+                store.delete_file(name + ".tmp")
+            raise
         if out is not None:
-            writer.finish()
-            out.close()
-            store.move(name + ".tmp", name + ".tids")
             uri = f"{folder}/{name.rsplit('/', 1)[1]}.tids"
             yield common.batch(schema, [part], [uri], [len(writer.docs)], [writer.ids], [first], [len(writer.frames)])
 
@@ -153,11 +162,14 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 def read(files: DataFrame) -> DataFrame:
     """Every document of the files: doc_id, start (ids before it), n_tokens, ids_crc32. A task reads single frames.
 
-    The ids before a file are summed over the files, a row each; those before a document in its frame come from the
-    file's own tables.
+    The ids before a file are summed within groups of GROUP files and over the groups; those before a document in its
+    frame come from the file's own tables.
     """
-    before = Window.orderBy("first_doc", "part").rowsBetween(Window.unboundedPreceding, -1)
-    frames = files.withColumn("ids_before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("path", "ids_before", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("frame"))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = files.withColumn("group", F.floor(F.col("part") / GROUP))  # parts are in the order of doc_id
+    groups = grouped.groupBy("group").agg(F.sum("n_ids").alias("n_ids")).select("group", before(Window.orderBy("group")).alias("group_before"))
+    placed = grouped.withColumn("in_group", before(Window.partitionBy("group").orderBy("part"))).join(groups, "group").withColumn("ids_before", F.col("group_before") + F.col("in_group"))
+    frames = placed.select("path", "ids_before", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("frame"))
     spark: SparkSession = files.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
