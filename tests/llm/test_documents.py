@@ -455,3 +455,29 @@ def test_licenses_as_by_hand(spark):
 def test_native_licenses_have_no_python(docs):
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_very_long_texts(spark):
+    """A megabyte of words, of one word, of spaces and of lines: each operator reads it whole."""
+    import sentencepiece
+
+    rng = random.Random(12)
+    words = "".join(rng.choice("abcdefgh ,.\n") for _ in range(1_000_000))
+    texts = {1: words + "\nReleased under the MIT License.", 2: "x" * 1_000_000, 3: " " * 300_000 + "end", 4: f"{LINE}\n" * 15_000}
+    docs = spark.createDataFrame([row(*t) for t in texts.items()], DOCS)
+    byte, word = (tokens._library(tokens.vocabulary(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    piece = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary("piece_bpe_32k.model"))
+    ids = {k: byte.encode(t, add_special_tokens=False).ids + [0] for k, t in texts.items()}
+    got = defaultdict(int)
+    for r in packing.pack_documents(docs).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        got[r.doc_id] += r.length
+    assert got == {k: len(v) for k, v in ids.items()}
+    assert {r.doc_id: r.ids_crc32 for r in token_files.encode_to_files(docs).collect()} == {k: zlib.crc32(np.array(word.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes()) for k, t in texts.items()}
+    assert {r.doc_id: r.ids_sha256 for r in pieces.encode_decode(docs).collect()} == {k: hashlib.sha256(np.array(piece.encode(t, add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest() for k, t in texts.items()}
+    assert {r.doc_id: r.n_lines for r in line_dedup.dedup_lines(docs, kept=False).collect()} == {k: t.count("\n") + 1 for k, t in texts.items()}
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs.where("doc_id > 1")).collect()} == {k: f"{plain_fingerprint(texts[k]):016x}" for k in (2, 3, 4)}
+    net = quality.ByteNet.start()
+    found = {r.doc_id: r.score for r in quality.scores(docs.select("doc_id", "text"), net).collect()}
+    assert found == pytest.approx({k: net.score([t.encode()])[0] for k, t in texts.items()}, abs=1e-5)
+    assert (1, "mit") in {(r.doc_id, r.family) for r in licenses.scan(docs).collect()}
