@@ -6,7 +6,8 @@ lower case, versions split from short names: "LGPLv3" is "lgpl 3"), hashed into
 may be a licence. For each licence family there is a logistic regression over these sparse features, and one more for
 "any licence at all", which every paragraph goes through. A paragraph that this one passes, but whose best family stays
 under its calibrated bound or isn't confirmed by comparison with the family's templates (by the n-grams' 64-bit hashes,
-not by buckets), is of the class `unknown`.
+not by buckets), is of the class `unknown`. Paragraphs that pass are scored again with the weights of n-grams seen in
+training alone, by their 64-bit hashes, so that n-grams which share a bucket with one of them don't count.
 
 The regressions are trained on the templates below and on paragraphs of at most SAMPLE_DOCS documents, at most SAMPLE of
 them and together SAMPLE_BYTES long, as counter-examples; that is a small loop on the driver. Bounds are calibrated on
@@ -38,7 +39,7 @@ SAMPLE, SAMPLE_DOCS, SAMPLE_BYTES, SEED = 2000, 400, 4 << 20, 3
 BUCKETS, LEAST = 1 << 17, 0.02
 #: Share of a family's held-out templates that its bound lets through, and of n-grams that a paragraph shares with a template.
 PASSES, CONFIRMS = 0.95, 0.5
-UNKNOWN = "unknown"
+UNKNOWN, START = "unknown", "^"
 
 # Short names that versions are written to, and typical sentences of each family.
 VERSIONED = "(?<![a-z0-9])([al]?gpl|[me]pl|eupl|cc|bsd|apache)v?(?=[0-9])"
@@ -138,18 +139,17 @@ def words_of(text: str) -> list[str]:
     return [w for w in _NO_WORD.split(_VERSIONED.sub(r"\1 ", text.lower())) if w]
 
 
-def _hash(*words: str | None) -> int:
-    """As Spark's xxhash64: each hash is the next one's seed, and null leaves it."""
+def _hash(*words: str) -> int:
+    """As Spark's xxhash64: each hash is the next one's seed."""
     h = 42
     for w in words:
-        if w is not None:
-            h = xxhash.xxh64_intdigest(w.encode(), h)
+        h = xxhash.xxh64_intdigest(w.encode(), h)
     return h
 
 
 def hashes_of(words: list[str]) -> list[int]:
-    """For each word the hashes of it, of it with the one before, and with the two before."""
-    out, a, b = [], None, None
+    """For each word the hashes of it, of it with the one before, and with the two before; a mark stands before the first."""
+    out, a, b = [], START, START
     for w in words:
         out += [_hash(w), _hash(b, w), _hash(a, b, w)]
         a, b = b, w
@@ -161,8 +161,9 @@ class Row:
 
     def __init__(self, text: str, family: str):
         words = words_of(text)
-        self.hashes, self.family, self.scale = set(hashes_of(words)), family, max(1, len(words)) ** -0.5
-        self.at, self.counts = np.unique(np.array([h & BUCKETS - 1 for h in hashes_of(words)], np.int64), return_counts=True)
+        every = hashes_of(words)
+        self.hashes, self.family, self.scale = set(every), family, max(1, len(words)) ** -0.5
+        self.at, self.counts = np.unique(np.array([h & BUCKETS - 1 for h in every], np.int64), return_counts=True)
 
 
 def _varied(text: str, filler: list[str], rng: random.Random) -> str:
@@ -235,7 +236,9 @@ def train(counter: list[str], copies: int = 12) -> dict:
         said = "missed" if x[-1] < bounds[-1] else names[best] if sure else UNKNOWN
         found = report.setdefault(r.family or "no licence", {})
         found[said] = found.get(said, 0) + 1
-    return {"names": names, "weights": w, "bias": bias, "bounds": np.round(bounds, 6), "held_out": report}
+    seen = np.array(sorted({h for r in rows for h in r.hashes}), np.uint64)
+    seen = seen[w[:, (seen & np.uint64(BUCKETS - 1)).astype(np.int64)].any(0)]
+    return {"names": names, "weights": w, "bias": bias, "bounds": np.round(bounds, 6), "seen": seen, "held_out": report}
 
 
 def _words(text: Column) -> Column:
@@ -246,8 +249,8 @@ def _score(words: Column, weights: np.ndarray, bias: float) -> Column:
     """A regression's probability, in one pass over the words that keeps the two before."""
     table = F.split(F.lit(",".join(f"{x:g}" for x in weights)), ",").cast("array<double>")
     weight = lambda *w: F.get(table, F.xxhash64(*w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    none = F.lit(None).cast("string")
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), none.alias("a"), none.alias("b"))
+    mark = F.lit(START)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), mark.alias("a"), mark.alias("b"))
     step = lambda x, w: F.struct((x["s"] + weight(w) + weight(x["b"], w) + weight(x["a"], x["b"], w)).alias("s"), (x["n"] + 1).alias("n"), x["b"].alias("a"), w.alias("b"))
     return F.aggregate(words, start, step, lambda x: 1 / (1 + F.exp(-(F.lit(float(bias)) + x["s"] / F.sqrt(F.greatest(x["n"], F.lit(1)))))))
 
@@ -256,7 +259,7 @@ def _hashes(words: Column, distinct: bool = True) -> Column:
     """The hashes of a short list of words; words is bound once."""
 
     def of(ws: Column) -> Column:
-        at = lambda i: F.when(i >= 0, F.get(ws, i))
+        at = lambda i: F.coalesce(F.get(ws, i), F.lit(START))
         found = F.flatten(F.transform(ws, lambda w, i: F.array(F.xxhash64(w), F.xxhash64(at(i - 1), w), F.xxhash64(at(i - 2), at(i - 1), w))))
         return F.array_distinct(found) if distinct else found
 
@@ -280,16 +283,16 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark, model = docs.sparkSession, train(counter_examples(docs, sample))
     names, bounds, keys = model["names"], [float(x) for x in model["bounds"]], ["doc_id", "row", "paragraph"]
     score = _score(_words(F.col("text")), model["weights"][-1], model["bias"][-1])
-    found = paragraphs(docs).where(score >= bounds[-1]).select(*keys, _hashes(_words(F.col("text")), False).alias("all"), score.alias("any"))
+    found = paragraphs(docs).where(score >= bounds[-1]).select(*keys, _hashes(_words(F.col("text")), False).alias("all"))
     found = common.written(found, "licence-paragraphs")
     table = lambda rows, kind: spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
-    used = np.flatnonzero(model["weights"][:-1].any(0))
-    weights = table([{"bucket": int(k), "w": model["weights"][:-1, k].tolist()} for k in used], "bucket:long,w:array<double>")  # BUCKETS rows at most
-    each = found.select(*keys, F.size("all").alias("n"), F.explode("all").alias("hash")).withColumn("bucket", F.col("hash").bitwiseAND(F.lit(BUCKETS - 1)))
-    each = each.join(F.broadcast(weights), "bucket", "left").groupBy(*keys).agg(F.first("n").alias("n"), *(F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)).alias(f"s{k}") for k in range(len(names) - 1)))
+    own = model["weights"][:, (model["seen"] & np.uint64(BUCKETS - 1)).astype(np.int64)].T
+    weights = table([{"hash": int(h), "w": w.tolist()} for h, w in zip(model["seen"].view(np.int64), own, strict=True)], "hash:long,w:array<double>")  # of the training sample, so bounded
+    each = found.select(*keys, F.size("all").alias("n"), F.explode("all").alias("hash"))
+    each = each.join(F.broadcast(weights), "hash", "left").groupBy(*keys).agg(F.first("n").alias("n"), *(F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)).alias(f"s{k}") for k in range(len(names))))
     p = lambda k: 1 / (1 + F.exp(-(F.lit(float(model["bias"][k])) + F.col(f"s{k}") / F.sqrt(F.col("n") / 3))))
     best = F.array_max(F.array(*(F.struct(p(k).alias("p"), F.lit(f).alias("family"), F.lit(bounds[k]).alias("bound")) for k, f in enumerate(names[:-1]))))
-    best = each.select(*(F.col(k).alias("_" + k) for k in keys), best.alias("best"))
+    best = each.select(*(F.col(k).alias("_" + k) for k in keys), best.alias("best"), p(-1 % len(names)).alias("any")).where(F.col("any") >= bounds[-1])
     judged = found.withColumn("hashes", F.array_distinct("all")).join(best.hint("merge"), [F.col(k) == F.col("_" + k) for k in keys]).drop("all", *("_" + k for k in keys))
     templates = table([{"of": f, "template": s} for f, text in TEMPLATES.items() for s in text.split("\n")], "of:string,template:string")
     templates = templates.select("of", _hashes(_words(F.col("template"))).alias("template"))

@@ -424,13 +424,17 @@ def test_licenses_by_short_names(spark):
 
 def plain_scan(texts, model):
     """(doc_id, paragraph, family) by plain Python, from the same weights."""
-    out, names = [], model["names"]
+    out, names, seen = [], model["names"], set(model["seen"].tolist())
     templates = {f: [set(licenses.hashes_of(licenses.words_of(s))) for s in t.split("\n")] for f, t in licenses.TEMPLATES.items()}
     for doc_id, text in texts.items():
         for n, paragraph in enumerate(re.split(licenses.BREAK, text or "")):
             words = re.findall("[a-z0-9à-ɏ]+", re.sub(licenses.VERSIONED, r"\1 ", paragraph.lower()))
             hashes = licenses.hashes_of(words)
             p = [1 / (1 + np.exp(-(model["bias"][k] + sum(model["weights"][k][h % licenses.BUCKETS] for h in hashes) / max(1, len(words)) ** 0.5))) for k in range(len(names))]
+            if p[-1] >= model["bounds"][-1]:
+                hashes = [h for h in hashes if h in seen]
+                p = [1 / (1 + np.exp(-(model["bias"][k] + sum(model["weights"][k][h % licenses.BUCKETS] for h in hashes) / max(1, len(words)) ** 0.5))) for k in range(len(names))]
+                hashes = licenses.hashes_of(words)
             if p[-1] >= model["bounds"][-1]:
                 k = max(range(len(names) - 1), key=lambda k: (p[k], names[k]))
                 alike = max(len(set(hashes) & t) / max(1, min(len(set(hashes)), len(t))) for t in templates[names[k]])
