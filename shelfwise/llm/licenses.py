@@ -37,8 +37,8 @@ from shelfwise.llm import common
 SAMPLE, SAMPLE_DOCS, SAMPLE_BYTES, SEED = 2000, 400, 4 << 20, 3
 #: Buckets of n-grams, and the smallest weight that is kept.
 BUCKETS, LEAST = 1 << 17, 0.02
-#: Share of a family's held-out templates that its bound lets through, and of n-grams that a paragraph shares with a template.
-PASSES, CONFIRMS = 0.95, 0.5
+#: Shares of held-out examples that a family's bound and that of "any" let through, and of n-grams that a paragraph shares with a template.
+PASSES, ANY_PASSES, CONFIRMS = 0.95, 0.99, 0.5
 UNKNOWN, START = "unknown", "^"
 
 # Short names that versions are written to, and typical sentences of each family.
@@ -226,9 +226,9 @@ def train(counter: list[str], copies: int = 12) -> dict:
     w, bias = _descend(rows, targets)
     p = [_probabilities(w, bias, r) for r in held]
     of = lambda k, keep: sorted(x[k] for x, r in zip(p, held, strict=True) if keep(r.family) and len(r.at)) or [0.5]
-    low = lambda xs: xs[int(len(xs) * (1 - PASSES))]
+    low = lambda xs, passes=PASSES: xs[int(len(xs) * (1 - passes))]
     bounds = [min(0.5, low(of(k, lambda f, own=f: f == own))) for k, f in enumerate(TEMPLATES)]
-    bounds.append(max(0.5, min(1.01 * of(-1, lambda f: f == "")[-1], low(of(-1, lambda f: f != "")))))
+    bounds.append(max(0.5, min(1.01 * of(-1, lambda f: f == "")[-1], low(of(-1, lambda f: f != ""), ANY_PASSES))))
     report = {}
     for x, r in zip(p, held, strict=True):
         best = max(range(len(TEMPLATES)), key=lambda k: (x[k], names[k]))
