@@ -53,7 +53,7 @@ def dictionary_values(cells: DataFrame, panel: DataFrame, columns: DataFrame) ->
     known = F.broadcast(columns.select("attr").distinct().withColumn("column", F.lit(True)))
     listed = F.broadcast(panel.select("attr").distinct().withColumn("listed", F.lit(True)))
     ids = panel.groupBy("attr", text.norm(F.col("label")).alias("n")).agg(F.countDistinct("pid").alias("kinds"), F.min("pid").alias("pid"), F.min("label").alias("label"))
-    parts = cells.select("id", "attr", "value", F.posexplode(text.members(F.col("value"))).alias("pos", "part")).withColumn("n", text.norm(F.col("part"))).join(F.broadcast(ids), ["attr", "n"], "left")
+    parts = cells.select("id", "attr", "value", F.posexplode(text.members(F.col("value"))).alias("pos", "part")).withColumn("n", text.norm(F.col("part"))).join(ids, ["attr", "n"], "left")
     fault = F.when(F.col("kinds").isNull(), "unknown").when(F.col("kinds") > 1, "ambiguous")
     made = parts.groupBy("id", "attr", "value").agg(F.min_by(fault, F.when(fault.isNotNull(), F.col("pos"))).alias("fault"), F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("|", "pid", "label").alias("text")))).alias("texts"))
     out = cells.join(made, ["id", "attr", "value"], "left").join(known, "attr", "left").join(listed, "attr", "left")
@@ -83,7 +83,7 @@ def plan(log: DataFrame, products: DataFrame, checked: DataFrame, limit: int, ca
     good = due.where("reason is null and text is not null")
     first = good.groupBy("id").agg(F.min(F.struct("ts", "seq")).alias("first")).orderBy("first", "id").limit(limit)
     before = current(log).where("batch_id is not null").groupBy("id").agg(F.max("batch_id").alias("last_batch"))
-    planned = good.join(F.broadcast(first.select("id")), "id", "left_semi").join(before, "id", "left")
+    planned = good.join(first.select("id"), "id", "left_semi").join(before, "id", "left")
     return planned, due.where("reason is not null or text is null")
 
 

@@ -71,7 +71,7 @@ def coverage(products: DataFrame, raw: DataFrame) -> DataFrame:
     """(category, attr, share, required): how many of a category's products have the attribute."""
     size = products.groupBy("category").agg(F.count("*").alias("of"))
     have = raw.where(F.trim("value") != "").select("id", "attr").distinct().join(products.select("id", "category"), "id").groupBy("category", "attr").agg(F.count("*").alias("n"))
-    return have.join(F.broadcast(size), "category").select("category", "attr", F.bround(F.col("n") / F.col("of"), 3).alias("share"), (F.col("n") / F.col("of") >= 0.90).alias("required"))
+    return have.join(size, "category").select("category", "attr", F.bround(F.col("n") / F.col("of"), 3).alias("share"), (F.col("n") / F.col("of") >= 0.90).alias("required"))
 
 
 def furniture(products: DataFrame, other: DataFrame | None) -> DataFrame:
@@ -80,7 +80,7 @@ def furniture(products: DataFrame, other: DataFrame | None) -> DataFrame:
 
 
 def missing_required(products: DataFrame, raw: DataFrame, covered: DataFrame, least: float = REQUIRED, non_furniture: DataFrame | None = None) -> DataFrame:
-    need = furniture(products, non_furniture).select("id", "category").join(F.broadcast(covered.where(F.col("share") >= least).select("category", "attr", "share")), "category")
+    need = furniture(products, non_furniture).select("id", "category").join(covered.where(F.col("share") >= least).select("category", "attr", "share"), "category")
     lacking = need.join(raw.where(F.trim("value") != "").select("id", "attr"), ["id", "attr"], "left_anti")
     return f.emit(lacking, "L1-BRAK-WYMAGANEGO", "L1", F.when(F.col("attr").isin(*KEY_ATTRIBUTES), f.CRITICAL).otherwise(f.MIDDLE), 0.85, evidence="its category has it", group=F.concat_ws("|", F.lit("L1-BRAK-WYMAGANEGO"), "category", "attr"))
 
@@ -113,7 +113,7 @@ def learn_ranges(values: DataFrame, least: int = LEAST_VALUES) -> DataFrame:
     """values (category, attr, num) → robust bounds of each (category, attr) with enough values."""
     keys = ["category", "attr"]
     first = values.where("num is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("num", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("p")).where(F.col("n") >= least)
-    spread = values.join(F.broadcast(first), keys).groupBy(*keys).agg(F.median(F.abs(F.col("num") - F.col("p")[1])).alias("mad"))
+    spread = values.join(first, keys).groupBy(*keys).agg(F.median(F.abs(F.col("num") - F.col("p")[1])).alias("mad"))
     out = first.join(spread, keys).select(*keys, "n", F.col("p")[1].alias("median"), "mad", F.col("p")[0].alias("p1"), F.col("p")[2].alias("p99"))
     low, high = F.least("p1", F.col("median") - 6 * F.col("mad")), F.greatest("p99", F.col("median") + 6 * F.col("mad"))
     return out.select(*keys, "n", F.bround("median", 2).alias("median"), F.bround("mad", 2).alias("mad"), F.bround("p1", 2).alias("p1"), F.bround("p99", 2).alias("p99"), F.bround(F.greatest(F.lit(0.0), F.when(F.col("mad") > 0, low).otherwise(F.col("p1"))), 1).alias("low"), F.bround(F.when(F.col("mad") > 0, high).otherwise(F.col("p99")), 1).alias("high"))
@@ -123,7 +123,7 @@ def with_range(rows: DataFrame, ranges: DataFrame, parents: DataFrame) -> DataFr
     """rows (category, attr, …) with the range of the category, else of its parent (category, parent)."""
     own = ranges.select("category", "attr", F.struct("n", "median", "p1", "p99", "low", "high").alias("own"))
     group = ranges.select(F.col("category").alias("parent"), "attr", F.struct("n", "median", "p1", "p99", "low", "high").alias("of_parent"))
-    out = rows.join(F.broadcast(parents), "category", "left").join(F.broadcast(own), ["category", "attr"], "left").join(F.broadcast(group), ["parent", "attr"], "left")
+    out = rows.join(parents, "category", "left").join(own, ["category", "attr"], "left").join(group, ["parent", "attr"], "left")
     return out.withColumn("range", F.coalesce("own", "of_parent")).drop("own", "of_parent", "parent")
 
 
@@ -149,7 +149,7 @@ def named_parts(products: DataFrame) -> DataFrame:
 
 def name_against_counts(products: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
     """L2-NAZWA-ROZJAZD and L2-NAZWA-UZUPELNIA for countable parts. labels: (attr, count, label)."""
-    rows = named_parts(products).join(values.select("id", "attr", "value"), ["id", "attr"], "left").join(F.broadcast(labels), ["attr", "count"], "left")
+    rows = named_parts(products).join(values.select("id", "attr", "value"), ["id", "attr"], "left").join(labels, ["attr", "count"], "left")
     some = F.col("part") == "has_drawers"
     held = text.count_in_label(F.col("value"))
     more = text.norm(F.col("value")).contains("wiecej") & (F.col("count") >= held)
@@ -215,7 +215,7 @@ def category_of_name(names: DataFrame, rules: DataFrame, unknown: str = "nieznan
 
 def assign_category(products: DataFrame, types: DataFrame, rules: DataFrame) -> DataFrame:
     """products (id, name, type) → category, source: of the shop's type (type, key), else of the name."""
-    mapped = products.withColumn("t", text.norm(F.col("type"))).join(F.broadcast(types.select(text.norm(F.col("type")).alias("t"), F.col("key").alias("by_type")).dropDuplicates(["t"])), "t", "left")
+    mapped = products.withColumn("t", text.norm(F.col("type"))).join(F.broadcast(types.select(text.norm(F.col("type")).alias("t"), F.col("key").alias("by_type")).groupBy("t").agg(F.min("by_type").alias("by_type"))), "t", "left")
     named = mapped.join(category_of_name(products, rules), "name", "left")
     source = F.when(F.col("by_type").isNotNull(), "sklep").when(F.col("t") != "", "sklep_niezmapowany").otherwise("nazwa")
     return named.select("id", F.coalesce("by_type", "category").alias("category"), source.alias("source"))

@@ -50,11 +50,11 @@ def match(values: DataFrame, dictionary: DataFrame, aliases: DataFrame, auto: fl
     own = values.select("attr", "value").distinct().withColumn("n", text.norm(F.col("value")))
     words = dictionary.withColumn("n", text.norm(F.col("label")))
     exact = words.groupBy("attr", "n").agg(F.min_by("label", "pos").alias("exact"))
-    named = aliases.select("attr", text.norm(F.col("alias")).alias("n"), F.col("label").alias("alias_of")).dropDuplicates(["attr", "n"])
-    first = own.join(F.broadcast(exact), ["attr", "n"], "left").join(F.broadcast(named), ["attr", "n"], "left")
+    named = aliases.select("attr", text.norm(F.col("alias")).alias("n"), F.col("label").alias("alias_of")).groupBy("attr", "n").agg(F.min("alias_of").alias("alias_of"))
+    first = own.join(exact, ["attr", "n"], "left").join(named, ["attr", "n"], "left")
     first = first.join(F.broadcast(dictionary.select("attr").distinct().withColumn("known", F.lit(True))), "attr", "left")
     missed = first.where("exact is null and alias_of is null and known").select("attr", "n").distinct()
-    pairs = missed.join(F.broadcast(words.select("attr", F.col("n").alias("m"), "label", "pos")), "attr")
+    pairs = missed.join(words.select("attr", F.col("n").alias("m"), "label", "pos"), "attr")
     scored = pairs.withColumn("score", fuzzy.score("n", "m")).groupBy("attr", "n").agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("pos"))).alias("best"))
     out = first.join(scored, ["attr", "n"], "left")
     s = F.col("best.score")
@@ -128,14 +128,14 @@ def normalise(cells: DataFrame, kinds: DataFrame, dictionary: DataFrame, aliases
 def enum_label(counts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """counts (attr, count) → label: the exact one, else 'bez…' for 0, else the first '… i więcej' that covers it."""
     words = dictionary.select("attr", "pos", "label", text.count_in_label(F.col("label")).alias("lo"), text.norm(F.col("label")).contains("wiecej").alias("more"))
-    near = counts.select("attr", "count").distinct().join(F.broadcast(words), "attr").where("(lo = count and not more) or (more and count >= lo)")
+    near = counts.select("attr", "count").distinct().join(words, "attr").where("(lo = count and not more) or (more and count >= lo)")
     return near.groupBy("attr", "count").agg(F.min_by("label", F.struct("more", "pos")).alias("label"))
 
 
 def canonical(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """cells with the shop's spelling of their value, null where the shop doesn't know it."""
-    spelled = labels.select("attr", text.norm(F.col("label")).alias("__n"), F.col("label").alias("canonical")).dropDuplicates(["attr", "__n"])
-    return cells.withColumn("__n", text.norm(F.col("value"))).join(F.broadcast(spelled), ["attr", "__n"], "left").drop("__n")
+    spelled = labels.select("attr", text.norm(F.col("label")).alias("__n"), F.col("label").alias("canonical")).groupBy("attr", "__n").agg(F.min("canonical").alias("canonical"))
+    return cells.withColumn("__n", text.norm(F.col("value"))).join(spelled, ["attr", "__n"], "left").drop("__n")
 
 
 def bad_lists(cells: DataFrame, multi: DataFrame) -> DataFrame:

@@ -27,14 +27,14 @@ def profile(long: DataFrame, examples: int = 3) -> DataFrame:
     w = Window.partitionBy("source", "field").orderBy("value")
     some = full.select("source", "field", F.substring("value", 1, 60).alias("value")).distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= examples)
     shown = some.groupBy("source", "field").agg(F.array_sort(F.collect_list("value")).alias("examples"))
-    return own.join(F.broadcast(size), "source").join(shown, ["source", "field"]).select("source", "field", F.round(F.col("n") / F.col("records"), 3).alias("fill"), (F.col("numeric") > 0.8).alias("numeric"), "kinds", "examples")
+    return own.join(size, "source").join(shown, ["source", "field"]).select("source", "field", F.round(F.col("n") / F.col("records"), 3).alias("fill"), (F.col("numeric") > 0.8).alias("numeric"), "kinds", "examples")
 
 
 def guess_key(long: DataFrame, keys: DataFrame, least_fill: float = 0.5) -> DataFrame:
     """(source, field, hits): the field whose normalised values hit most distinct keys (key)."""
     size = long.groupBy("source").agg(F.countDistinct("rec").alias("records"))
     rows = long.where(F.trim("value") != "").withColumn("key", text.norm(F.col("value")))
-    full = rows.groupBy("source", "field").agg(F.countDistinct("rec").alias("n")).join(F.broadcast(size), "source").where(F.col("n") >= least_fill * F.col("records"))
+    full = rows.groupBy("source", "field").agg(F.countDistinct("rec").alias("n")).join(size, "source").where(F.col("n") >= least_fill * F.col("records"))
     hits = rows.join(keys.select("key").distinct(), "key", "left_semi").groupBy("source", "field").agg(F.countDistinct("key").alias("hits"))
     return full.join(hits, ["source", "field"]).groupBy("source").agg(F.max_by("field", F.struct("hits", F.col("field"))).alias("field"), F.max("hits").alias("hits"))
 
@@ -53,7 +53,7 @@ def guess_mapping(profiles: DataFrame, words: DataFrame) -> DataFrame:
 
 def load(long: DataFrame, mapping: DataFrame, key_fields: DataFrame) -> DataFrame:
     """(source, key, mapped map, raw map): mapped fields of each record; the last record of a key counts; without key none."""
-    key = long.join(F.broadcast(key_fields.select("source", F.col("field"))), ["source", "field"]).select("source", "rec", text.norm(F.col("value")).alias("key")).where("key <> ''").dropDuplicates(["source", "rec"])
+    key = long.join(F.broadcast(key_fields.select("source", F.col("field"))), ["source", "field"]).select("source", "rec", text.norm(F.col("value")).alias("key")).where("key <> ''").groupBy("source", "rec").agg(F.min("key").alias("key"))
     last = key.groupBy("source", "key").agg(F.max("rec").alias("rec"))
     own = long.join(last, ["source", "rec"]).join(F.broadcast(mapping), ["source", "field"], "left")
     return own.groupBy("source", "key").agg(F.map_from_entries(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", "value")))).alias("mapped"), F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("raw"))
@@ -147,7 +147,7 @@ def recognise(long: DataFrame, index: DataFrame, products: DataFrame, least_fill
     """Of each tab: the field that hits most distinct products of index (key, id), their commonest producer and its share."""
     size = long.groupBy("source").agg(F.countDistinct("rec").alias("records"))
     rows = long.where(F.trim("value") != "").withColumn("key", text.norm(F.col("value")))
-    full = rows.groupBy("source", "field").agg(F.countDistinct("rec").alias("n")).join(F.broadcast(size), "source").where(F.col("n") >= least_fill * F.col("records")).select("source", "field")
+    full = rows.groupBy("source", "field").agg(F.countDistinct("rec").alias("n")).join(size, "source").where(F.col("n") >= least_fill * F.col("records")).select("source", "field")
     hit = rows.join(full, ["source", "field"]).join(index, "key").select("source", "field", "id").distinct()
     best = hit.groupBy("source", "field").agg(F.count("*").alias("hits")).groupBy("source").agg(F.max_by("field", F.struct("hits", "field")).alias("field"), F.max("hits").alias("hits"))
     makers = hit.join(best.select("source", "field"), ["source", "field"]).join(products.select("id", "producer"), "id").groupBy("source", "producer").agg(F.count("*").alias("n"))

@@ -87,8 +87,8 @@ def from_family(products: DataFrame, own: DataFrame, values: DataFrame, labels:
     rows = own.join(values, ["id", "attr"], "left").join(keyed, "id")
     counts = rows.where("value is not null").groupBy("family", "attr", "value").agg(F.count("*").alias("n"))
     top = counts.groupBy("family", "attr").agg(F.sum("n").alias("known"), F.max("n").alias("agree"), F.max_by("value", F.struct("n", "value")).alias("due")).where((F.col("known") >= FAMILY_KNOWN) & (F.col("agree") >= FAMILY_SHARE * F.col("known")))
-    spelled = labels.select("attr", text.norm(F.col("label")).alias("n_label"), "label").dropDuplicates(["attr", "n_label"])
-    good = top.withColumn("n_label", text.norm(F.col("due"))).join(F.broadcast(spelled), ["attr", "n_label"])
+    spelled = labels.select("attr", text.norm(F.col("label")).alias("n_label"), "label").groupBy("attr", "n_label").agg(F.min("label").alias("label"))
+    good = top.withColumn("n_label", text.norm(F.col("due"))).join(spelled, ["attr", "n_label"])
     out = rows.where("value is null").join(good, ["family", "attr"])
     sure = text.family_probability(F.col("agree"), F.col("known"), F.col("attr").isin(*equipment) if equipment else F.lit(False))
     return _row(out, "L2-LUKA-RODZINA", f.MIDDLE, sure, F.col("label"), "family")
@@ -96,8 +96,8 @@ def from_family(products: DataFrame, own: DataFrame, values: DataFrame, labels:
 
 def from_photos(own: DataFrame, values: DataFrame, reads: DataFrame, labels: DataFrame) -> DataFrame:
     """reads (id, attr, read, confidence): L2-LUKA-ZDJECIE, only in the shop's spelling."""
-    spelled = labels.select("attr", text.norm(F.col("label")).alias("n"), "label").dropDuplicates(["attr", "n"])
-    rows = reads.withColumn("n", text.norm(F.col("read"))).join(F.broadcast(spelled), ["attr", "n"]).join(own, ["id", "attr"]).join(values.select("id", "attr"), ["id", "attr"], "left_anti")
+    spelled = labels.select("attr", text.norm(F.col("label")).alias("n"), "label").groupBy("attr", "n").agg(F.min("label").alias("label"))
+    rows = reads.withColumn("n", text.norm(F.col("read"))).join(spelled, ["attr", "n"]).join(own, ["id", "attr"]).join(values.select("id", "attr"), ["id", "attr"], "left_anti")
     return _row(rows, "L2-LUKA-ZDJECIE", f.MIDDLE, F.least(F.col("confidence"), F.lit(PHOTO_MOST)), F.col("label"), "photo", layer="L3")
 
 

@@ -62,7 +62,7 @@ def best_photo_of(cells: DataFrame, galleries: DataFrame) -> DataFrame:
 
 def extra_photos(galleries: DataFrame, main: DataFrame, most: int = 2) -> DataFrame:
     """Up to `most` others, one of each kind, none twice."""
-    rows = galleries.join(main.withColumnRenamed("url", "main"), "id").where("url <> main").withColumn("kind", text.photo_kind(F.col("label"))).dropDuplicates(["id", "url"])
+    rows = galleries.join(main.withColumnRenamed("url", "main"), "id").where("url <> main").groupBy("id", "url", "main").agg(F.min_by(F.struct("pos", "label"), F.struct("pos", "label")).alias("x")).select("id", "url", "main", "x.*").withColumn("kind", text.photo_kind(F.col("label")))
     one = rows.withColumn("k", F.row_number().over(Window.partitionBy("id", "kind").orderBy("pos", "url"))).where("k = 1")
     return one.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("pos", "url"))).where(F.col("k") <= most).select("id", "k", "kind", "url")
 
@@ -85,8 +85,8 @@ def latest_reads(verdicts: DataFrame) -> DataFrame:
 
 def rewrite_gaps(findings: DataFrame, reads: DataFrame, labels: DataFrame) -> DataFrame:
     """Gaps with a reading become proposals; photo proposals without one become gaps again. changed tells which."""
-    spelled = labels.select("attr", text.norm(F.col("label")).alias("n"), "label").dropDuplicates(["attr", "n"])
-    known = reads.withColumn("n", text.norm(F.col("read"))).join(F.broadcast(spelled), ["attr", "n"]).select("id", "attr", "label", F.least("confidence", F.lit(0.80)).alias("sure"))
+    spelled = labels.select("attr", text.norm(F.col("label")).alias("n"), "label").groupBy("attr", "n").agg(F.min("label").alias("label"))
+    known = reads.withColumn("n", text.norm(F.col("read"))).join(spelled, ["attr", "n"]).select("id", "attr", "label", F.least("confidence", F.lit(0.80)).alias("sure"))
     rows = findings.where("rule_id in ('L1-LUKA-BRAK', 'L2-LUKA-ZDJECIE')").join(known, ["id", "attr"], "left")
     rule = F.when(F.col("label").isNotNull(), "L2-LUKA-ZDJECIE").otherwise("L1-LUKA-BRAK")
     changed = (F.col("rule_id") != rule) | ~F.col("new_value").eqNullSafe(F.col("label"))

@@ -55,7 +55,7 @@ def assign(pairs: DataFrame, nodes: DataFrame, below: DataFrame, pair_aliases: D
 
 def without_node(products: DataFrame, assigned: DataFrame) -> DataFrame:
     """(type, subtype) pairs that have no node, with the reason, by their number of products."""
-    return products.join(F.broadcast(assigned.where("node is null")), ["type", "subtype"]).groupBy("type", "subtype", "how").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type", "subtype")
+    return products.join(assigned.where("node is null"), ["type", "subtype"]).groupBy("type", "subtype", "how").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type", "subtype")
 
 
 def node_filters(filters: DataFrame, renames: DataFrame) -> DataFrame:
