@@ -33,7 +33,7 @@ def test_part_counts(spark, name, counts):
     assert tuple(one(spark, text.part_counts(F.lit(name)))) == counts
 
 
-@pytest.mark.parametrize(("name", "size"), [("Łóżko (90x200)", (90.0, 200.0, None, None)), ("Stół 120 x 80 x 75", (120.0, 80.0, 75.0, None)), ("Stolik śr. 60", (None, None, None, 60.0)), ("Model 1234x12", (None, None, None, None)), (None, (None, None, None, None))])
+@pytest.mark.parametrize(("name", "size"), [("Łóżko (90x200)", (90.0, 200.0, None, None)), ("Stół 120 x 80 x 75", (120.0, 80.0, 75.0, None)), ("Stolik śr. 60", (None, None, None, 60.0)), ("Model 1234x12", (None, None, None, None)), ("Łóżko 5 x 90x200", (90.0, 200.0, None, None)), ("Blat 12x20x3000", (12.0, 20.0, None, None)), ("Szafa 90x200.", (None, None, None, None)), ("Stolik fi 45", (None, None, None, 45.0)), (None, (None, None, None, None))])
 def test_dimensions(spark, name, size):
     assert tuple(one(spark, text.dimensions(F.lit(name).cast("string")))) == size
 
