@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators import analytics, detect, dictionary, feeds, gaps, maintenance, photos
+from shelfwise.operators import analytics, decisions, detect, dictionary, feeds, gaps, maintenance, photos
 from shelfwise.operators import findings as fs
 from shelfwise.sources import readers, tables
 
@@ -79,13 +79,27 @@ def find_all(products: DataFrame, raw: DataFrame, components: DataFrame, long: D
 
 
 def run_snapshot(products: DataFrame, components: DataFrame, config: dict[str, DataFrame], folder: str, run_id: int) -> DataFrame:
-    """Normalise, detect, assemble and save; returns the report. config: kinds, aliases, and what find_all() takes."""
+    """Normalise, detect, assemble, compare with feeds, save and verify; returns the report.
+
+    config: kinds, aliases, and what find_all() takes; and where there are any: votes (id, attr, source, num, method) of matched
+    feeds, which add layer 4 and close the gaps that they fill; decisions, batches (batch_id, created), withdrawn (batch_id)
+    and taken_at (one row), by which sent corrections are looked up in this snapshot: their states go to the folder too.
+    """
     raw = long_attributes(products)
     long, cells = dictionary.normalise(raw, config["kinds"], config["dictionary"], config["aliases"])
     long.write.mode("overwrite").parquet(f"{folder}/attributes")
     long = products.sparkSession.read.parquet(f"{folder}/attributes")
     found = find_all(products, raw, components, long, cells, config, folder)
+    if config.get("votes") is not None:
+        agreed = tables.written(feeds.consensus(config["votes"].join(products.select("id"), "id", "left_semi")), "consensus")
+        compared, conflicts = feeds.compare(agreed, long.where("num is not null").select("id", "attr", "num"), raw)
+        found = feeds.append(found, compared.select(*found.columns))
+        conflicts.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{folder}/conflicts")
     readers.save_run(products, found, folder, run_id)
+    if config.get("decisions") is not None:
+        taken_at = F.lit(config["taken_at"].first()[0])
+        states = decisions.verify(config["decisions"], config["batches"], config["withdrawn"], products, raw, taken_at)
+        states.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{folder}/verified")
     return analytics.report(products.sparkSession.read.parquet(f"{folder}/findings").where(F.col("run_id") == run_id))
 
 

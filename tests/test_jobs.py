@@ -1,5 +1,7 @@
 """Jobs: that every detector and every gap takes part."""
 
+from pyspark.sql import functions as F
+
 from shelfwise.plans import jobs
 from test_operators import CELL, frame
 
@@ -28,6 +30,12 @@ def test_all_findings_of_a_snapshot(spark, tmp_path):
         "category_filters": rule("category string, attr string", ("szafa", "Styl"), ("szafa", "Kolor"), ("szafa", "Głębia")),
         "optional": rule("attr string", ("Głębia",)),
     }
+    votes = [(k, a, s, x, "kod") for k, a, x in (("6", "Szerokość", 300.0), ("7", "Szerokość", 97.0), ("8", "Waga", 5.0), ("5", "Wysokość", 210.0), ("gone", "Waga", 5.0)) for s in ("S1", "S2")] + [("9", "Waga", "S1", 5.0, "kod"), ("9", "Waga", "S2", 9.0, "kod")]
+    config["votes"] = rule("id string, attr string, source string, num double, method string", *votes)
+    sent = ((1, "10", "Styl", "x", "zastosowana", "loft", 7), (2, "11", "Styl", "loft", "zastosowana", "glamour", 7), (3, "12", "Styl", "x", "zastosowana", "loft", 8), (4, "gone", "Styl", "x", "zastosowana", "loft", 7))
+    config["decisions"] = rule("seq long, id string, attr string, old_value string, status string, new_value string, batch_id long", *sent).withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
+    config["batches"] = rule("batch_id long, created string", (7, "2026-01-02"), (8, "2026-03-01")).withColumn("created", F.to_timestamp("created"))
+    config["withdrawn"], config["taken_at"] = rule("batch_id long"), rule("at string", ("2026-02-01",)).select(F.to_timestamp("at"))
     components = frame(spark, CELL, ("4", "Styl", "loft"))
     jobs.run_snapshot(p, components, config, str(tmp_path), 1)
     found = spark.read.parquet(f"{tmp_path}/findings").collect()
@@ -37,6 +45,9 @@ def test_all_findings_of_a_snapshot(spark, tmp_path):
     assert {x[1] for x in has if x[0] == "L1-LUKA-BRAK" and x[2] == "Kolor"} == {str(k) for k in range(n)} and not any(x[2] == "Głębia" for x in has)
     assert ("L1-BRAK-WYMAGANEGO", "5", "Wysokość") in has
     assert not any(x[1] == "sparse" for x in has)
+    assert {(r.id, r.attr, r.rule_id, r.new_value) for r in found if r.layer == "L4"} == {("6", "Szerokość", "L4-ROZJAZD", "300"), ("8", "Waga", "L4-UZUPELNIA", "5"), ("5", "Wysokość", "L4-UZUPELNIA", "210")}
+    assert [(r.id, r.reason) for r in spark.read.parquet(f"{tmp_path}/conflicts").collect()] == [("9", "zrodla")]
+    assert {(r.id, r.state) for r in spark.read.parquet(f"{tmp_path}/verified").collect()} == {("10", "weszlo"), ("11", "bez_zmian"), ("gone", "brak_produktu")}
     assert {r.grp for r in found if r.rule_id == "L1-LUKA-BRAK"} == {"L1-LUKA-BRAK|szafa|Kolor|p"}
 
 
