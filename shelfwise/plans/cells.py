@@ -401,13 +401,16 @@ def f18_f19_codes_and_slugs(spark, d):
     return view(spark, d, "products").select("id", text.producer_code(codes).alias("code"), text.slug(F.col("name")).alias("slug"), F.array_sort(text.stems(F.col("name"))).alias("stems"))
 
 
-@query(oracle("products") + f""", w AS (SELECT id, list_filter(string_split(regexp_replace({norm_sql('name')}, '\\b\\d+(?:[.,x]\\d+)*\\s*(?:cm|mm|kg)?\\b', ' ', 'g'), ' '), lambda z: z <> '' AND z <> 'kolekcja' AND NOT (regexp_matches(z, '[0-9]') AND regexp_matches(z, '[a-z]'))) AS words FROM products)
-SELECT id, array_to_string(list_filter(words, lambda z, i: list_position(words, z) = i), ' ') AS compared FROM w""")
+COMPARED = oracle("products") + f""", w AS (SELECT id, list_filter(string_split(regexp_replace({norm_sql('name')}, '\\b\\d+(?:[.,x]\\d+)*\\s*(?:cm|mm|kg)?\\b', ' ', 'g'), ' '), lambda z: z <> '' AND z <> 'kolekcja' AND NOT (regexp_matches(z, '[0-9]') AND regexp_matches(z, '[a-z]'))) AS words FROM products)
+SELECT id, array_to_string(list_filter(words, lambda z, i: list_position(words, z) = i), ' ') AS compared FROM w"""
+
+
+@query(COMPARED)
 def f23_comparable_name(spark, d):
     return view(spark, d, "products").select("id", text.comparable_name(F.col("name"), F.lit("kolekcja")).alias("compared"))
 
 
-@query()
+@query(COMPARED)
 def f23_comparable_name_all(spark, d):
     return view(spark, d, "products").select("id", text.comparable_name(F.col("name"), F.lit("kolekcja")).alias("compared"))
 
