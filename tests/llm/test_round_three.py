@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from shelfwise.llm import middle
+from shelfwise.llm import middle, minhash
 
 DOCS = "doc_id long, text string, form string, n long, node long, token long, score double, rank int"
 
@@ -62,3 +62,78 @@ def test_middle_takes_the_same_keys_in_any_order(spark):
     key = lambda docs: sorted((r.content, r.copy) for r in middle.pieces(docs).collect())
     one, two = (spark.createDataFrame([row(*r) for r in order], DOCS).coalesce(1) for order in (same, same[::-1]))
     assert key(one) == key(two) and len(set(key(one))) > 6 - 1
+
+
+def plain_minhash(rows):
+    """All pairs, on rows that may repeat a doc_id."""
+    found = [(k, minhash.shingles((t or "").encode())) for k, t in rows if k is not None]
+    root = {k: k for k, _ in found}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for at, (a, one) in enumerate(found):
+        for b, two in found[:at]:
+            if one and two and 100 * len(one & two) >= 80 * len(one | two):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return sorted((k, len(s), top(k) if s else k, (top(k) if s else k) == k) for k, s in found)
+
+
+@pytest.fixture(scope="module")
+def near_rows():
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, t) for k, t in enumerate([None, "", " \t\x0b", "one", "ONE", "one two", "One\x0ctwo\n", "a b c d e", "a b c d e f", "a b a b a b", "é É", "\x1c"])]
+    for group in range(30):
+        base = rng.choices(words, k=rng.randint(20, 120))
+        for _ in range(rng.randint(1, 6)):
+            text = list(base)
+            for _ in range(rng.randint(0, len(base) // 12)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    rng.shuffle(rows)
+    return rows + [(None, "one"), (max(k for k, _ in rows) + 1, "long " * 50000)]
+
+
+def test_minhash(spark, near_rows):
+    got = sorted(map(tuple, minhash.near_duplicates(frame(spark, near_rows)).collect()))
+    expected = plain_minhash(near_rows)
+    assert got == expected
+    assert 20 < sum(not r[3] for r in got) < len(got) - 30
+    assert minhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_minhash_of_repeated_ids(spark, near_rows):
+    rows = [r for r in near_rows if r[0] is not None][:60]
+    rows += [(rows[0][0], rows[5][1]), rows[7], rows[7], (rows[9][0], "a text of its own, of many words that are here alone")]
+    assert sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).collect())) == plain_minhash(rows)
+
+
+def chained(n, words=60):
+    """n texts, each similar to the next alone: a component that no leader is in the middle of."""
+    return [(k, " ".join(f"w{j}" for j in range(k * 5, k * 5 + words))) for k in range(n)]
+
+
+def test_minhash_of_a_chain_and_of_a_large_group(spark, monkeypatch):
+    base = [f"v{j}" for j in range(200)]
+    group = [(1000 + k, " ".join(base[:k] + [f"own{k}"] + base[k + 1 :])) for k in range(150)]
+    rows = chained(40) + group
+    expected = plain_minhash(rows)
+    assert {r[2] for r in expected} == {0, 1000}
+    for rounds, sparse in ((minhash.ROUNDS, minhash.SPARSE), (0, 0), (2, 0)):
+        monkeypatch.setattr(minhash, "ROUNDS", rounds)
+        monkeypatch.setattr(minhash, "SPARSE", sparse)
+        assert sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).collect())) == expected
+
+
+def test_near_groups_make_no_pairs_of_all(spark, monkeypatch):
+    seen = []
+    whole = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, texts: seen.append(pairs.count()) or whole(pairs, texts))
+    base = [f"v{j}" for j in range(200)]
+    rows = [(k, " ".join(base[:k] + [f"own{k}"] + base[k + 1 :])) for k in range(150)]
+    assert {r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()} == {0}
+    assert sum(seen) < 5 * len(rows) < 150 * 149 // 2
