@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import ann, bitslice, common, html_text, licenses, line_dedup, middle, minhash, packing, pieces, quality, simhash, token_files
+from shelfwise.llm import ann, bitslice, common, html_text, lexical, licenses, line_dedup, middle, minhash, packing, pieces, quality, simhash, token_files
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -49,9 +49,13 @@ def op11_fill_in_middle(spark, sf_dir):
     return middle.digests(common.table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark, sf_dir):
+    return lexical.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op13_minhash(spark, sf_dir):
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_best_fit_packing, op4_kmeans_tree, op5_token_files, op6_html_text, op7_licenses, op8_bit_sliced_top_k, op9_simhash, op10_pieces, op11_fill_in_middle, op13_minhash)}
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op8_bit_sliced_top_k": bitslice.ORACLE, "op11_fill_in_middle": middle.ORACLE, "op13_minhash": minhash.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_best_fit_packing, op4_kmeans_tree, op5_token_files, op6_html_text, op7_licenses, op8_bit_sliced_top_k, op9_simhash, op10_pieces, op11_fill_in_middle, op12_lexical_search, op13_minhash)}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op8_bit_sliced_top_k": bitslice.ORACLE, "op11_fill_in_middle": middle.ORACLE, "op12_lexical_search": lexical.ORACLE, "op13_minhash": minhash.ORACLE}

@@ -1,11 +1,16 @@
 """Fill-in-the-middle, ranked search and MinHash: against plain versions, and on odd rows."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from shelfwise.llm import middle, minhash
+from shelfwise.llm import lexical, middle, minhash
 
 DOCS = "doc_id long, text string, form string, n long, node long, token long, score double, rank int"
 
@@ -137,3 +142,101 @@ def test_near_groups_make_no_pairs_of_all(spark, monkeypatch):
     rows = [(k, " ".join(base[:k] + [f"own{k}"] + base[k + 1 :])) for k in range(150)]
     assert {r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()} == {0}
     assert sum(seen) < 5 * len(rows) < 150 * 149 // 2
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def plain_search(docs, items, top=20):
+    own = [(k, Counter(TERM.findall((t or "").translate(LOWER)))) for k, t in docs if k is not None]
+    own = [(k, c) for k, c in own if c]
+    n_docs, n_terms = len(own), sum(sum(c.values()) for _, c in own)
+    df = Counter(t for _, c in own for t in c)
+    asked = {}
+    for i, t in items:
+        if i is not None:
+            asked.setdefault(i, Counter()).update(TERM.findall((t or "").translate(LOWER)))
+    out = []
+    for i, want in asked.items():
+        scores = []
+        for k, c in own:
+            m = 100 - 25 + (25 * sum(c.values()) * n_docs) // n_terms
+            s = sum(q * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 12 * m)) for t, q in want.items() if t in c)
+            if s > 0:
+                scores.append((-s, k))
+        out += [(i, r, k, -s) for r, (s, k) in enumerate(sorted(scores)[:top], 1)]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def search_rows():
+    rng = random.Random(12)
+    words = [f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(4000)] + ["été", "Straße", "漢字", "🙂", "Don't", "x_1"]
+    docs = [(k, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for k in range(700)]
+    docs += [(1000 + k, docs[5][1]) for k in range(90)] + [(2000, None), (2001, ""), (2002, "!?"), (None, "w1 w2"), (3, "w1"), (3, "w1"), (2003, "w1 " * 30000)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 30)))) for k in range(25)]
+    return docs, [*items, (50, docs[5][1]), (51, None), (52, "nowhere"), (None, "w1"), (7, "w1 w1"), (53, "W1 w2 É é")]
+
+
+def item_frame(spark, items):
+    return spark.createDataFrame([(i, t, 1, "d", 0.1) for i, t in items], "item_id long, text string, rank int, doc_id string, score double")
+
+
+def test_lexical_search(spark, search_rows):
+    docs, items = search_rows
+    got = sorted(map(tuple, lexical.search(frame(spark, docs), item_frame(spark, items)).collect()))
+    assert got == plain_search(docs, items)
+    assert not {51, 52, None} & {r[0] for r in got}
+
+
+def test_lexical_search_in_groups_of_items(spark, search_rows, monkeypatch):
+    docs, items = search_rows
+    monkeypatch.setattr(lexical, "ITEM_TERMS", 100)
+    assert sorted(map(tuple, lexical.search(frame(spark, docs[:200]), item_frame(spark, items), 3).collect())) == plain_search(docs[:200], items, 3)
+    none, no_items = frame(spark, []), item_frame(spark, [])
+    assert lexical.search(none, item_frame(spark, items)).count() == 0 and lexical.search(frame(spark, docs[:9]), no_items).count() == 0
+
+
+def block_of(docs, number):
+    counts = [Counter(number[t] for t in TERM.findall(t) if t in number) for _, t in docs]
+    lists = pa.list_(pa.int32())
+    return pa.table([pa.array([k for k, _ in docs]), pa.array([len(TERM.findall(t)) for _, t in docs]), pa.array([list(c) for c in counts], lists), pa.array([list(c.values()) for c in counts], lists)], names=["doc_id", "n", "terms", "tfs"])
+
+
+def test_tree_bounds_leave_branches_out(monkeypatch):
+    """Bounds hold in every node, and most documents are never scored."""
+    rng = random.Random(1)
+    topics = [[f"t{k}_{j}" for j in range(60)] for k in range(40)]
+    docs = [(k, " ".join(rng.choices(topics[k % 40], k=40))) for k in range(4000)]
+    number = {t: n for n, t in enumerate(sorted({t for own in topics for t in own}))}
+    rank = np.arange(len(number))
+    tree = lexical.tree_of(block_of(docs, number), rank, 4000, 160000)
+    ranks, weights = np.arange(0, len(number), 7), np.arange(1, len(number) // 7 + 2)
+
+    def check(node):
+        bounds = node.bounds(ranks, weights)
+        if node.docs is not None:
+            return bounds.max()
+        below = [check(b) for b in node.branches]
+        assert all(x <= y for x, y in zip(below, bounds, strict=True))
+        return max(below)
+
+    check(tree.root)
+    want, best = np.array(sorted(number[t] for t in topics[3][:20])), []
+    scored = tree.search(want, np.ones(20, np.int64), best, 20)
+    assert len(best) == 20 and scored < len(docs) / 4
+
+
+def test_deep_trees_and_equal_paths():
+    """Each document lacks one more of the commonest terms, so every level branches; and many documents have equal terms."""
+    words = [f"w{k:04}" for k in range(700)]
+    number, rank = {t: k for k, t in enumerate(words)}, np.arange(700)
+    docs = [(k, " ".join(words[: 700 - k])) for k in range(690)] + [(1000 + k, "w0001 w0002") for k in range(300)]
+    tree, best = lexical.tree_of(block_of(docs, number), rank, 990, 10**6), []
+    tree.search(np.array([1, 2, 500]), np.array([5, 5, 1]), best, 20)
+    scores = Counter()
+    for k, t in docs:
+        own, m = t.split(), 75 + 25 * len(t.split()) * 990 // 10**6
+        scores[k] = sum(w * (10**9 // (1000 + 12 * m)) for x, w in ((1, 5), (2, 5), (500, 1)) if words[x] in own)
+    assert sorted(best, reverse=True) == [(s, -k) for s, k in sorted(((s, k) for k, s in scores.items()), key=lambda x: (-x[0], x[1]))[:20]]
