@@ -207,7 +207,7 @@ def block_of(docs, number):
 def test_tree_bounds_leave_branches_out(monkeypatch):
     """Bounds hold in every node, and most documents are never scored."""
     rng = random.Random(1)
-    topics = [[f"t{k}_{j}" for j in range(60)] for k in range(40)]
+    topics = [[f"t{k}x{j}" for j in range(60)] for k in range(40)]
     docs = [(k, " ".join(rng.choices(topics[k % 40], k=40))) for k in range(4000)]
     number = {t: n for n, t in enumerate(sorted({t for own in topics for t in own}))}
     rank = np.arange(len(number))
