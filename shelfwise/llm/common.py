@@ -74,9 +74,17 @@ def smallest(rows: DataFrame, n: int, *keys: str) -> DataFrame:
 
 
 def within(rows: DataFrame, size, most: int, *keys: str) -> DataFrame:
-    """Of a sample, bounded already, the rows with the smallest hashes whose sizes add up to most at the most."""
-    so_far, name = F.sum(F.coalesce(size, F.lit(0))).over(Window.orderBy(F.xxhash64(*keys), *keys)), fresh(rows, "__bytes")
-    return rows.withColumn(name, so_far).where(F.col(name) <= most).drop(name)
+    """Of a sample, whose rows are bounded already, what fits in most: rows are taken in the order of their hashes, and one
+    that doesn't fit is left out alone; those behind it may fit. Only sizes come to the driver."""
+    rows, place = written(rows, "sample"), fresh(rows, "__place")
+    size = F.coalesce(size, F.lit(0))
+    placed = rows.withColumn(place, F.row_number().over(Window.orderBy(F.xxhash64(*keys), *keys, size)))
+    taken, left = [], most
+    for at, n in sorted(tuple(r) for r in placed.select(place, size).collect()):
+        if n <= left:
+            taken.append(at)
+            left -= n
+    return placed.where(F.col(place).isin(taken)).drop(place)
 
 
 def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:

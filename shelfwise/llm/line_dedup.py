@@ -11,7 +11,8 @@ LineStore.open() finds the last whole state after a lost driver. Many small tabl
 A line's key is its 128-bit XXH3 after stripping [\\x20\\x09-\\x0D] at both ends and lower-casing A-Z. Lines of a
 repeated key go, but for those in the largest doc_id that holds it.
 
-Hot keys (more than a fixed share of all postings, so at most common.HOT_KEYS) are broadcast and need no filter.
+Every posting meets a filter. A shard with many postings, such as that of a hot key, has them dealt over as many copies of
+its filter. In the exact table hot keys (more than a fixed share of what passed, so at most common.HOT_KEYS) are broadcast.
 
 Defined results: a null or empty text is one empty line; very long texts and lines are read whole; rows with a null
 doc_id take no part; rows that repeat a doc_id are one document that holds the lines of all of them, and each gets a row;
@@ -39,6 +40,8 @@ SHARD_KEYS, GROUP_ROWS = 1 << 12, 1 << 13
 DIGEST_BITS = 1 << 28
 #: Tables of postings and deletions that a store keeps before it merges them.
 TABLES = 8
+#: So many shards that a number for each may be broadcast: 3 MB.
+FEW_SHARDS = 1 << 18
 SLOTS, LOAD = 4, 0.85
 
 
@@ -345,9 +348,11 @@ class LineStore:
 
     def passing(self, rows: DataFrame) -> DataFrame:
         """The postings whose key its shard's filter knows. Each group is a part of a shard's postings and a copy of its filter."""
-        parts = max(1, -(-self.n_postings // (self.n_shards * GROUP_ROWS)))
-        dealt = rows.withColumns({"shard": _shard(self.n_shards), "part": F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")})
-        copies = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        sizes = self.refs.select(_shard(self.n_shards), "n_docs").groupBy("shard").agg(F.sum("n_docs").alias("n"))
+        parts = sizes.select("shard", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts"))
+        few = F.broadcast if self.n_shards <= FEW_SHARDS else lambda x: x
+        dealt = rows.withColumn("shard", _shard(self.n_shards)).join(few(parts), "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
+        copies = self.filters.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
         def known(one: pa.Table, two: pa.Table) -> pa.Table:
             one = one.select(["hi", "lo", "doc_id"])
@@ -360,11 +365,8 @@ class LineStore:
 
     def drops(self) -> DataFrame:
         """(doc_id, __keys) of the documents that lose lines: keys that a filter passes and the exact table confirms."""
-        held, keys = self.held(), ["hi", "lo"]
-        sure, most = self.repeated().select("hi", "lo", "last_doc", "n_docs"), max(1, self.n_postings // common.HOT_KEYS)
-        hot = F.broadcast(sure.where(F.col("n_docs") > most).drop("n_docs"))
-        warm = self.passing(held.join(hot.select(*keys), keys, "left_anti")).join(sure.where(F.col("n_docs") <= most).drop("n_docs"), keys)
-        found = warm.unionByName(held.join(hot, keys)).where("doc_id < last_doc")
+        passed = common.written(self.passing(self.held()), "passed")
+        found = common.hot_join(passed, self.repeated().select("hi", "lo", "last_doc", "n_docs"), ["hi", "lo"], "n_docs", passed.count()).where("doc_id < last_doc")
         return common.written(found.groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("__keys")), "drops")
 
     def dedup(self, docs: DataFrame, kept: bool = True) -> DataFrame:

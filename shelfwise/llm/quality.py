@@ -186,6 +186,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: in
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> ByteNet | None:
     rows = sample_of(docs, labels, sample, label=label).collect()
     if not rows:
+        if not docs.join(labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))), "doc_id", "left_semi").isEmpty():
+            raise ValueError(f"no labelled text fits in {SAMPLE_BYTES} bytes")
         return None
     return ByteNet.start().train([bytes(r.text or b"") for r in rows], np.array([r.label for r in rows]))
 

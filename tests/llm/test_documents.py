@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from shelfwise.llm import licenses, line_dedup, packing, pieces, quality, simhash, token_files, tokens
+from shelfwise.llm import common, licenses, line_dedup, packing, pieces, quality, simhash, token_files, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hi long, bits long, cell long, score double, __hit int, n_lines long, sequence_id long"
 LINE = "This line stands in many of the documents, and it is long."
@@ -69,6 +69,39 @@ def test_line_dedup(docs, none, rows):
     assert line_dedup.dedup_lines(none, kept=False).count() == 0
 
 
+def test_every_posting_meets_a_filter(spark, monkeypatch):
+    """Those of a key that nearly all documents hold too, dealt over copies of their shard's filter."""
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", 20)
+    docs = spark.createDataFrame([row(k, f"{LINE}\n{LINE} {k % 9} and more of it here\nan own line of number {k}, longer than forty") for k in range(90)], DOCS)
+    met = []
+    passing = line_dedup.LineStore.passing
+    monkeypatch.setattr(line_dedup.LineStore, "passing", lambda self, rows: met.append(rows.count()) or passing(self, rows))
+    got = line_dedup.dedup_lines(docs)
+    assert {r.doc_id: r.n_dropped for r in got.collect()} == {k: int(k < 89) + int(k < 81) for k in range(90)}
+    assert met == [line_dedup.postings(docs).count()] == [270]
+
+
+def test_samples_leave_out_what_does_not_fit_alone(spark):
+    rows = spark.createDataFrame([(k, "x" * (5000 if k % 10 == 0 else 10)) for k in range(60)], "doc_id long, text string")
+    got = common.within(rows, F.length("text"), 700, "doc_id").collect()
+    assert sorted(r.doc_id for r in got) == [k for k in range(60) if k % 10]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    usable = {k for k in range(60) if zlib.crc32(str(k).encode()) % 5}
+    assert {r.doc_id for r in quality.sample_of(rows, labels, most=4000).collect()} == {k for k in usable if k % 10}
+    pages = [r.text for r in common.within(rows, F.octet_length("text"), 2000, "doc_id", "text").collect()]
+    assert len(pages) == 54
+    text = "\n\n".join(f"paragraph {k} of ordinary words that follow" for k in range(30)) + "\n\n" + "huge " * 2000
+    assert len(licenses.counter_examples(spark.createDataFrame([(1, text)], "doc_id long, text string"), 40, 3000)) == 30
+
+
+def test_no_usable_label_is_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "sample_of", lambda *a, **b: docs.limit(0))
+    with pytest.raises(ValueError, match="no labelled text"):
+        quality.fit(docs, labels)
+
+
 def test_line_store_is_reversible(spark):
     texts = {k: f"{LINE}\nown {k}" for k in range(8)}
     frame = lambda d: spark.createDataFrame([row(*x) for x in d.items()], DOCS)
