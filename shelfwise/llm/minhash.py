@@ -1,8 +1,9 @@
 """MinHash near-dedup: an inverted join of signature coordinates with prefix and skip merging.
 
-A document's set of word shingles has a signature of COORDINATES least hashes. Two sets of similarity s agree in each
-coordinate with probability s, so a pair is retained if MATCHES coordinates at least agree: at 0.8 that misses one
-in 100,000, above it far fewer. Retained pairs are confirmed on the full sets, so no pair that isn't a link passes.
+A document's set of word shingles has a signature of COORDINATES values, each made of the least hashes of ROWS permutations.
+Two sets of similarity s agree in a coordinate with probability s ** ROWS, so a pair is retained if MATCHES coordinates at
+least agree: at 0.8 that misses five in a million, above it far fewer. Two permutations a coordinate keep texts apart that
+merely have a common shingle. Retained pairs are confirmed on the full sets, so no pair that isn't a link passes.
 
 Documents are posted under each (coordinate, value). A value that one document alone has can match nothing. Of two
 documents with MATCHES agreements at least, ordered from the rarest value to the commonest, the first COORDINATES -
@@ -11,10 +12,10 @@ skipped and looked up in the signatures of the candidates alone, where all agree
 so many values of their own that nothing of them is left to merge.
 
 Equal sets are one node, so copies make no pairs. Nor do large groups of near copies: each list's documents are first
-held against one of them, its leader (the one whose values are the commonest, the likely origin), then components are
-formed, and lists matter only as far as they still join different components. After ROUNDS of leaders, or as soon as no
-more than SPARSE pairs a posting are left, all pairs that lists join across components are held against each other, those
-outside a list's largest component against all its members: exact whatever the leaders were.
+held against one of them, its leader (the one whose values are the commonest, the likely origin). Nodes that confirmed
+links join get one label, and lists matter only as far as they hold different labels. After ROUNDS of leaders, or as soon
+as no more than SPARSE pairs a posting are left, all pairs of a list whose labels differ are held against each other, those
+outside a list's commonest label against all its members: exact whatever the leaders were.
 
 Defined results: null text is empty; a text without words has an empty set and is linked with nothing; with fewer words
 than a shingle has, all are one shingle; very long texts are read whole; rows with a null doc_id take no part; rows that
@@ -37,14 +38,14 @@ from shelfwise.llm.components import components
 from shelfwise.llm.line_dedup import Digest
 
 WORDS, PERCENT = 2, 80
-COORDINATES, MATCHES = 64, 36
-ROUNDS, SPARSE = 4, 2
+COORDINATES, ROWS, MATCHES = 64, 2, 24
+ROUNDS, SPARSE = 2, 2
 _BLOCK = 1 << 14
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    """An odd factor and an addend for each coordinate, from a fixed generator."""
-    drawn = np.random.Generator(np.random.PCG64(13)).integers(0, 1 << 32, (2, COORDINATES), np.uint32)
+    """An odd factor and an addend for each permutation, from a fixed generator."""
+    drawn = np.random.Generator(np.random.PCG64(13)).integers(0, 1 << 32, (2, COORDINATES * ROWS), np.uint32)
     return drawn[0] | np.uint32(1), drawn[1]
 
 
@@ -59,15 +60,19 @@ def shingles(text: bytes | None, words: int = WORDS) -> set[bytes]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each coordinate's permutation over a set's 64-bit hashes."""
-    low, least = hashes.astype(np.uint32), np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+    """A set's values as tokens: 64 bits of each coordinate's number and its permutations' least values over the set's hashes."""
+    low, least = hashes.astype(np.uint32), np.full(COORDINATES * ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), _BLOCK):
         x = low[None, at : at + _BLOCK] * _TIMES[:, None]
         x += _PLUS[:, None]
         x ^= x >> np.uint32(16)
         x *= np.uint32(0x85EBCA6B)
         np.minimum(least, x.min(1), out=least)
-    return least
+    token = np.arange(1, COORDINATES + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        token = (token ^ least[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        token ^= token >> np.uint64(32)
+    return token.view(np.int64)
 
 
 def _name(hashes: np.ndarray) -> tuple[int, int]:
@@ -92,11 +97,11 @@ def _sized(one: Column | str, two: Column | str) -> Column:
 def sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n, hi, lo, content, least): size and name of the set, a hash of the text, and the signature."""
     common.small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("content", pa.int64()), ("least", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("content", pa.int64()), ("least", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, names, least = [], [], np.zeros((len(b), COORDINATES), np.uint32)
+            sizes, names, least = [], [], np.zeros((len(b), COORDINATES), np.int64)
             for k, text in enumerate(common.raw(b.column(1))):
                 found = shingles(text)
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
@@ -104,11 +109,11 @@ def sets(docs: DataFrame) -> DataFrame:
                 names.append(_name(hashes))
                 least[k] = signature(hashes)
             hi, lo = zip(*names, strict=True) if names else ((), ())
-            values = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * COORDINATES), pa.array(least.reshape(-1).view(np.int32)))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * COORDINATES), pa.array(least.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), b.column(2), values], schema=schema)
 
     own = common.own_ids(docs).withColumn("content", F.xxhash64("text"))
-    return own.mapInArrow(run, "doc_id long, n long, hi long, lo long, content long, least array<int>")
+    return own.mapInArrow(run, "doc_id long, n long, hi long, lo long, content long, least array<long>")
 
 
 def nodes(rows: DataFrame) -> DataFrame:
@@ -121,8 +126,7 @@ def nodes(rows: DataFrame) -> DataFrame:
 def prefixes(found: DataFrame) -> DataFrame:
     """(token, node, n, weight): the postings to be merged. weight is the sum of how many documents share each of a node's values."""
     smallest = -(-PERCENT // (100 - PERCENT))  # smaller sets are similar to equal ones only
-    posted = found.where(F.col("n") >= smallest).select("node", "n", F.posexplode("least").alias("k", "value"))
-    posted = posted.select("node", "n", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("token"))
+    posted = found.where(F.col("n") >= smallest).select("node", "n", F.explode("least").alias("token"))
     shared = common.written(posted.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "tokens")
     total = shared.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     repeated = common.hot_join(posted, shared.withColumn("lists", F.col("held")), ["token"], "held", total)
@@ -180,7 +184,7 @@ def _pair(one: str, two: str) -> list[Column]:
 
 
 def _against_leaders(posts: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each list's documents with its leader, where their components differ."""
+    """(a, b): each list's documents with its leader, where their labels differ."""
     order = F.struct("weight", -F.col("node")) if not turn else F.struct(F.xxhash64("node", F.lit(turn)), -F.col("node"))
     leads = posts.groupBy("token").agg(F.max(F.struct(order, F.col("node").alias("node"), F.col("n").alias("n"), F.col("root").alias("root"))).alias("lead"), F.count("*").alias("length"))
     leads = common.written(leads.where("length > 1").select("token", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.root").alias("leader_root"), "length"), "leaders")
@@ -189,8 +193,18 @@ def _against_leaders(posts: DataFrame, turn: int) -> DataFrame:
     return met.where((F.col("root") != F.col("leader_root")) & _sized("n", "leader_n")).select(*_pair("node", "leader")).distinct()
 
 
+def _labelled(posts: DataFrame, links: DataFrame) -> DataFrame:
+    """posts with root: the least node that few confirmed links reach. Nodes of one root belong together; those of different roots may too."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root"))
+    near = common.written(near, "near")
+    far = near.select(F.col("node").alias("root"), F.col("root").alias("further"))
+    near = near.join(far, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    return common.written(posts.join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+
+
 def _across(posts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a list whose components differ. Those outside the list's largest component meet all its members."""
+    """(a, b): all pairs of a list whose labels differ. Those outside the list's commonest label meet all its members."""
     major = parts.groupBy("token").agg(F.max(F.struct("held", "root")).alias("most"), F.count("*").alias("roots"))
     major = major.where("roots > 1").select("token", F.col("most.root").alias("major"))
     lists = common.written(posts.join(major, "token"), "lists")
@@ -219,8 +233,7 @@ def links(docs: DataFrame, found: DataFrame, repeated_ids: bool = False) -> Data
         if last:
             break
         tried = tried.unionByName(pairs)
-        roots = components(known)
-        placed = common.written(posts.join(roots.withColumnsRenamed({"id": "node"}), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        placed = _labelled(posts, known)
     return known
 
 
