@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
-from shelfwise.operators.review import AUTO_CONFIDENCE, latest
+from shelfwise.operators.review import AUTO_CONFIDENCE, UNDONE, latest
 
-APPLIED, FALSE_ALARM, POSTPONED, TO_IMPORT, UNDONE = "zastosowana", "falszywy_alarm", "odlozona", "do_importu", "cofnieta"
+APPLIED, FALSE_ALARM, POSTPONED, TO_IMPORT = "zastosowana", "falszywy_alarm", "odlozona", "do_importu"
 KEY = ("id", "attr", "hash")
 
 

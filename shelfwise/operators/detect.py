@@ -213,12 +213,20 @@ def category_of_name(names: DataFrame, rules: DataFrame, unknown: str = "nieznan
     return own.join(hit, "name", "left").select("name", F.coalesce("key", F.lit(unknown)).alias("category"))
 
 
+def with_category(products: DataFrame, types: DataFrame, rules: DataFrame, unknown: str = "nieznana") -> DataFrame:
+    """products (name, type, …) with category and category_source: of the shop's type (type, key), else of the name. Names and types are looked up once each."""
+    known = types.select(text.norm(F.col("type")).alias("__t"), F.col("key").alias("__by_type")).groupBy("__t").agg(F.min("__by_type").alias("__by_type"))
+    named = category_of_name(products, rules, unknown).select(F.col("name").alias("__name"), F.col("category").alias("__by_name"))
+    rows = products.drop("category", "category_source").withColumn("__t", text.norm(F.col("type")))
+    rows = rows.join(known, "__t", "left").join(named, F.col("name") == F.col("__name"), "left")
+    source = F.when(F.col("__by_type").isNotNull(), "sklep").when(F.col("__t") != "", "sklep_niezmapowany").otherwise("nazwa")
+    category = F.coalesce("__by_type", "__by_name", F.lit(unknown))
+    return rows.withColumns({"category": category, "category_source": source}).drop("__t", "__by_type", "__name", "__by_name")
+
+
 def assign_category(products: DataFrame, types: DataFrame, rules: DataFrame) -> DataFrame:
-    """products (id, name, type) → category, source: of the shop's type (type, key), else of the name."""
-    mapped = products.withColumn("t", text.norm(F.col("type"))).join(F.broadcast(types.select(text.norm(F.col("type")).alias("t"), F.col("key").alias("by_type")).groupBy("t").agg(F.min("by_type").alias("by_type"))), "t", "left")
-    named = mapped.join(category_of_name(products, rules), "name", "left")
-    source = F.when(F.col("by_type").isNotNull(), "sklep").when(F.col("t") != "", "sklep_niezmapowany").otherwise("nazwa")
-    return named.select("id", F.coalesce("by_type", "category").alias("category"), source.alias("source"))
+    """products (id, name, type) → id, category, source."""
+    return with_category(products, types, rules).select("id", "category", F.col("category_source").alias("source"))
 
 
 def assemble(layer0: list[DataFrame], others: list[DataFrame], gaps: DataFrame, disabled_rules: DataFrame, disabled_attrs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from shelfwise.functions.text import value_hash
 from shelfwise.operators.findings import severity_rank
 
 AUTO_CONFIDENCE = 0.85
+#: A decision that is taken back.
+UNDONE = "cofnieta"
 # Attributes that a photo can show.
 VISIBLE = (
     "Szerokość", "Wysokość", "Głębokość", "Liczba drzwi", "Liczba szuflad", "Liczba półek", "Liczba szafek", "Liczba drążków", "Materiał", "Oświetlenie", "Rodzaj drzwi",
@@ -24,22 +26,23 @@ def latest(log: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFra
     return log.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def decision_state() -> Column:
+    """The status that a decision gives its finding: none if it is taken back."""
+    return F.when(F.col("status") != UNDONE, F.col("status"))
+
+
 def base(findings: DataFrame, products: DataFrame, decisions: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """Findings ⋈ products ⟕ the latest decision on (id, attr, hash of the old value) ⟕ the latest verdict on (id, attr)."""
+    """Findings ⋈ products ⟕ the latest decision on (id, attr, hash of the old value) ⟕ the latest verdict on (id, attr). standing.Queue keeps it as a table."""
     own = findings.withColumn("hash", value_hash(F.col("old_value")))
     last = latest(decisions.withColumn("hash", value_hash(F.col("old_value"))), ("id", "attr", "hash"), ("ts", "seq"))
-    out = own.join(products, "id").join(last.select("id", "attr", "hash", F.col("status"), F.col("new_value").alias("decided_value"), F.col("batch_id")), ["id", "attr", "hash"], "left")
+    state = decision_state()
+    held = last.select("id", "attr", "hash", state.alias("status"), F.when(state.isNotNull(), F.col("new_value")).alias("decided_value"), F.when(state.isNotNull(), F.col("batch_id").cast("long")).alias("batch_id"), F.col("ts").alias("decided_ts"), F.col("seq").cast("long").alias("decided_seq"))
+    out = own.join(products, "id").join(held, ["id", "attr", "hash"], "left")
     if verdicts is not None:
-        out = out.join(latest(verdicts, ("id", "attr"), ("seq",)).select("id", "attr", F.col("verdict")), ["id", "attr"], "left")
+        out = out.join(latest(verdicts, ("id", "attr"), ("seq",)).select("id", "attr", F.col("verdict"), F.col("seq").cast("long").alias("verdict_seq")), ["id", "attr"], "left")
     return out
 
 
-def saved(rows: DataFrame, path: str) -> DataFrame:
-    """base() as a table: made once a run, and anew when decisions are added; pages, facets and counters then read it without a join."""
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def routing(visible: tuple[str, ...] = VISIBLE) -> Column:
     """auto: sure and with a proposal; photo: unsure, visible and with a photo; human: the rest."""
     auto = (F.col("confidence") >= AUTO_CONFIDENCE) & F.col("new_value").isNotNull()

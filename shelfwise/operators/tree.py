@@ -53,6 +53,16 @@ def assign(pairs: DataFrame, nodes: DataFrame, below: DataFrame, pair_aliases: D
     return out.select("type", "subtype", node.alias("node"), how.alias("how"))
 
 
+def with_node(products: DataFrame, nodes: DataFrame, pair_aliases: DataFrame, type_aliases: DataFrame, excluded: DataFrame) -> DataFrame:
+    """products (type, subtype, …) with node and node_by, by their distinct pairs. nodes: (node, name, level, pos, hidden)."""
+    said = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    pairs = products.select(said("type").alias("type"), said("subtype").alias("subtype")).distinct()
+    found = assign(pairs, nodes, closure(parents(nodes)), pair_aliases, type_aliases, excluded)
+    found = found.select(F.col("type").alias("__type"), F.col("subtype").alias("__subtype"), "node", F.col("how").alias("node_by"))
+    rows = products.drop("node", "node_by")
+    return rows.join(found, (said("type") == F.col("__type")) & (said("subtype") == F.col("__subtype")), "left").drop("__type", "__subtype")
+
+
 def without_node(products: DataFrame, assigned: DataFrame) -> DataFrame:
     """(type, subtype) pairs that have no node, with the reason, by their number of products."""
     return products.join(assigned.where("node is null"), ["type", "subtype"]).groupBy("type", "subtype", "how").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type", "subtype")

@@ -484,10 +484,12 @@ def s13_s21_save_and_read(spark, d):
     """A run written as tables and read back."""
     import uuid
 
-    from shelfwise.sources import readers
+    from shelfwise.sources import log, readers
 
     folder = f"{tables.shared_dir(spark)}/run-{uuid.uuid4().hex}"
     products = view(spark, d, "products")
     readers.save_run(products, detect.missing_photo(products), folder, 7)
-    found = spark.read.parquet(f"{folder}/findings").where("run_id = 7 and old_hash = 'da39a3ee5e6b'")
-    return found.agg(F.count("*").alias("n")).select(F.lit("photo").alias("what"), "n").unionByName(spark.read.parquet(f"{folder}/products").agg(F.count("*").alias("n")).select(F.lit("products").alias("what"), "n"))
+    runs = log.Runs(spark, folder)
+    runs.commit(7)
+    found = runs.table("findings").where("run_id = 7 and old_hash = 'da39a3ee5e6b'")
+    return found.agg(F.count("*").alias("n")).select(F.lit("photo").alias("what"), "n").unionByName(runs.table("products").agg(F.count("*").alias("n")).select(F.lit("products").alias("what"), "n"))

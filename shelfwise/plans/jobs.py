@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators import analytics, decisions, detect, dictionary, feeds, gaps, maintenance, photos
+from shelfwise.operators import analytics, decisions, detect, dictionary, feeds, gaps, maintenance, photos, tree
 from shelfwise.operators import findings as fs
-from shelfwise.sources import readers, tables
+from shelfwise.sources import log, readers, tables
 
 
 def long_attributes(products: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def find_all(products: DataFrame, raw: DataFrame, components: DataFrame, long: D
         return detect.assemble(zero, [*others, required], none, config["disabled_rules"], config["disabled_attrs"])
     by_node = spark.createDataFrame([], "node string, attr string") if filters[0] is None else filters[0]
     by_category = spark.createDataFrame([], "category string, attr string") if filters[1] is None else filters[1]
-    values = tables.written(gaps.effective(norm, components.join(ids, "id", "left_semi")), "effective")
+    values = tables.written(gaps.effective(norm, detect.not_cut_off(components.join(ids, "id", "left_semi"), cut_off)), "effective")
     own = tables.written(gaps.cells(some, by_node, by_category, values), "filter-cells")
     proposed = gaps.candidates(some, own, values, config["dictionary"].select("attr", "label"), subtypes=config.get("subtypes"), names=config.get("names"), reads=config.get("reads"))
     best = tables.written(gaps.best(proposed, config["disabled_rules"]), "gaps")
@@ -78,29 +80,63 @@ def find_all(products: DataFrame, raw: DataFrame, components: DataFrame, long: D
     return detect.assemble(zero, [existing], missing, config["disabled_rules"], config["disabled_attrs"])
 
 
-def run_snapshot(products: DataFrame, components: DataFrame, config: dict[str, DataFrame], folder: str, run_id: int) -> DataFrame:
-    """Normalise, detect, assemble, compare with feeds, save and verify; returns the report.
+def prepared(products: DataFrame, config: dict[str, DataFrame]) -> DataFrame:
+    """Scanned products with type and subtype of the side file where they have none, and with category and node.
+
+    config: types (type, key) and name_rules (priority, key, pattern); where there are any: side, and nodes with
+    pair_aliases, type_aliases and excluded. An id that the file repeats counts once, by its last row as text orders them.
+    """
+    if config.get("side") is not None:
+        products = readers.with_side_file(products, config["side"])
+    names = [c for c in products.columns if c != "id"]
+    one = F.max_by(F.struct(*names), F.struct("name", F.to_json(F.struct(*names)))).alias("one")
+    repeated = products.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    twice = products.join(repeated, "id", "left_semi").groupBy("id").agg(one).select("id", "one.*")
+    products = products.join(repeated, "id", "left_anti").unionByName(twice)
+    products = detect.with_category(products, config["types"], config["name_rules"])
+    if config.get("nodes") is not None:
+        products = tree.with_node(products, config["nodes"], config["pair_aliases"], config["type_aliases"], config["excluded"])
+    return products
+
+
+def import_products(scanned: DataFrame, config: dict[str, DataFrame], folder: str, run_id: int) -> DataFrame:
+    """A scanned file (readers.catalogue) as a run, from category and node to verification; returns its report.
+
+    A run that is committed is left as it is, so a batch may come again; what a run that broke off left is replaced.
+    """
+    runs = log.Runs(scanned.sparkSession, folder)
+    if not runs.done(run_id):
+        products = runs.save(prepared(scanned, config), "products", run_id)
+        components = products.select("id", F.explode("components").alias("attr", "value"))
+        run_snapshot(products, components, config, folder, run_id, True)
+    return analytics.report(runs.table("findings", run_id))
+
+
+def run_snapshot(products: DataFrame, components: DataFrame, config: dict[str, DataFrame], folder: str, run_id: int, products_saved: bool = False) -> DataFrame:
+    """Normalise, detect, assemble, compare with feeds, save, verify and commit; returns the report.
 
     config: kinds, aliases, and what find_all() takes; and where there are any: votes (id, attr, source, num, method) of matched
     feeds, which add layer 4 and close the gaps that they fill; decisions, batches (batch_id, created), withdrawn (batch_id)
     and taken_at (one row), by which sent corrections are looked up in this snapshot: their states go to the folder too.
     """
+    runs = log.Runs(products.sparkSession, folder)
+    if runs.done(run_id):
+        return analytics.report(runs.table("findings", run_id))
     raw = long_attributes(products)
     long, cells = dictionary.normalise(raw, config["kinds"], config["dictionary"], config["aliases"])
-    long.write.mode("overwrite").parquet(f"{folder}/attributes")
-    long = products.sparkSession.read.parquet(f"{folder}/attributes")
-    found = find_all(products, raw, components, long, cells, config, folder)
+    long = tables.written(long, "attributes")
+    found = find_all(products, raw, components, long, cells, config, f"{tables.shared_dir(products.sparkSession)}/find-{uuid.uuid4().hex}")
     if config.get("votes") is not None:
         agreed = tables.written(feeds.consensus(config["votes"].join(products.select("id"), "id", "left_semi")), "consensus")
         compared, conflicts = feeds.compare(agreed, long.where("num is not null").select("id", "attr", "num"), raw)
         found = feeds.append(found, compared.select(*found.columns))
-        conflicts.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{folder}/conflicts")
-    readers.save_run(products, found, folder, run_id)
+        runs.save(conflicts, "conflicts", run_id)
+    saved = readers.save_run(None if products_saved else products, found, folder, run_id)
     if config.get("decisions") is not None:
         taken_at = F.lit(config["taken_at"].first()[0])
-        states = decisions.verify(config["decisions"], config["batches"], config["withdrawn"], products, raw, taken_at)
-        states.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{folder}/verified")
-    return analytics.report(products.sparkSession.read.parquet(f"{folder}/findings").where(F.col("run_id") == run_id))
+        runs.save(decisions.verify(config["decisions"], config["batches"], config["withdrawn"], products, raw, taken_at), "verified", run_id)
+    runs.commit(run_id, findings=saved.count())
+    return analytics.report(saved)
 
 
 def photo_round(findings: DataFrame, products: DataFrame, verdicts: DataFrame, cache: DataFrame, model: str, limit: int) -> tuple[DataFrame, DataFrame]:

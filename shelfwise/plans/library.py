@@ -1,6 +1,6 @@
 """All queries of the engine. Importing a module registers its queries."""
 
-from shelfwise.plans import cells, more, queue  # noqa: F401
+from shelfwise.plans import cells, imports, more, queue  # noqa: F401
 from shelfwise.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 #: Columns whose SQL type is a decimal or a wide integer by its literals or sums, and the type of the query's column.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import analytics, decisions, review
+from shelfwise.operators import analytics, decisions, review, standing
 from shelfwise.plans.bridge import norm_sql, oracle, table, view
 from shelfwise.plans.registry import query
 from shelfwise.sources import tables
@@ -25,16 +26,29 @@ def base(spark, d):
     return review.base(view(spark, d, "findings"), view(spark, d, "people"), view(spark, d, "decisions"))
 
 
-#: Saved queues by application and tables.
-SAVED: dict[tuple, object] = {}
+def standing_queue(spark, d) -> standing.Queue:
+    """The application's queue of these tables: made at the first page, and anew when a table's files change."""
+    queue = standing.Queue(spark, f"{tables.shared_dir(spark)}/queue-{hashlib.sha1(d.encode()).hexdigest()}")
+    inputs = standing.inputs_of(spark, f"{d}/events.parquet", f"{d}/customer.parquet")
+    if not queue.follows(inputs):
+        queue.build(view(spark, d, "findings"), view(spark, d, "people"), view(spark, d, "decisions"), inputs=inputs)
+    return queue
 
 
 def queue(spark, d):
-    """The queue as its pages read it: saved at the first page of an application."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in SAVED:
-        SAVED[key] = review.saved(base(spark, d), f"{tables.shared_dir(spark)}/queue-{uuid.uuid4().hex}")
-    return SAVED[key]
+    """The queue as its pages read it: the latest version."""
+    return standing_queue(spark, d).read()
+
+
+@query(BASE + " SELECT fid, id, attr, hash, name, status, decided_value, batch_id FROM b")
+def q0_standing_queue(spark, d):
+    """A queue made with every third decision, and the others added as two changes: the same as all joined at once."""
+    at = standing.Queue(spark, f"{tables.shared_dir(spark)}/queue-{uuid.uuid4().hex}")
+    log = view(spark, d, "decisions")
+    at.build(view(spark, d, "findings"), view(spark, d, "people"), log.where("seq % 3 = 1"))
+    for rest in (2, 0):
+        at.decide(log.where(f"seq % 3 = {rest}"))
+    return at.read().select("fid", "id", "attr", "hash", "name", "status", "decided_value", "batch_id")
 
 
 @query(BASE + " SELECT fid, id, attr, hash, name, status, decided_value, batch_id FROM b")

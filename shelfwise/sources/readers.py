@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
+from shelfwise.sources import log
 
 # Header spellings, the first present one counts; code columns; names that label a value in XML.
 ALIASES = {
@@ -186,10 +187,12 @@ def mined(long: DataFrame) -> DataFrame:
     return long.unionByName(more.select("source", "rec", F.concat_ws(" » ", "of", "field").alias("field"), "value"))
 
 
-def save_run(products: DataFrame, findings: DataFrame, folder: str, run_id: int) -> None:
-    """Products are replaced, findings are appended under their run."""
-    products.write.mode("overwrite").parquet(f"{folder}/products")
-    findings.withColumns({"run_id": F.lit(run_id), "old_hash": text.value_hash(F.col("old_value"))}).write.mode("append").partitionBy("run_id").parquet(f"{folder}/findings")
+def save_run(products: DataFrame | None, findings: DataFrame, folder: str, run_id: int) -> DataFrame:
+    """Products (None: saved already) and findings as a run's partitions, replacing what an earlier attempt at the run left; returns the findings as saved. log.Runs.commit() makes the run count."""
+    runs = log.Runs(findings.sparkSession, folder)
+    if products is not None:
+        runs.save(products, "products", run_id)
+    return runs.save(findings.withColumn("old_hash", text.value_hash(F.col("old_value"))), "findings", run_id)
 
 
 def save_csv(rows: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
+from shelfwise.plans import jobs
 from shelfwise.sources import readers
 
 
@@ -15,3 +16,8 @@ def watch(spark: SparkSession, folder: str, columns: list[str], checkpoint: str,
     schema = ", ".join(f"`{c}` string" for c in columns)
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).csv(folder, sep=";", header=True, multiLine=True, quote='"', escape='"')
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, n: run(readers.catalogue(batch), n)).start()
+
+
+def imports(spark: SparkSession, folder: str, columns: list[str], checkpoint: str, config: dict[str, DataFrame], out: str) -> StreamingQuery:
+    """The whole import of each new file, as the run of its batch's number. A batch that Spark replays after a lost driver finds its run committed, or what is left of it replaced."""
+    return watch(spark, folder, columns, checkpoint, lambda products, n: jobs.import_products(products, config, out, n))
