@@ -74,12 +74,15 @@ def scopes(log: DataFrame, requests: DataFrame, products: DataFrame) -> DataFram
     return part("category").unionByName(part("producer"))
 
 
-def plan(log: DataFrame, products: DataFrame, checked: DataFrame, limit: int, category: str | None = None, producer: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(planned, skipped) waiting changes. checked: (id, attr, value, text, reason) of dictionary_values(). The first `limit` products by their first decision, with all their changes."""
+def plan(log: DataFrame, products: DataFrame, checked: DataFrame, limit: int, category: str | None = None, producer: str | None = None, disabled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(planned, skipped) waiting changes. checked: (id, attr, value, text, reason) of dictionary_values(). The first `limit` products by their first decision, with all their changes. disabled: (attr) taken out of circulation, skipped for that reason."""
     due = waiting(log).join(products.select("id", "category", "producer"), "id")
     due = due.where(F.col("category") == category) if category else due
     due = due.where(F.col("producer") == producer) if producer else due
     due = due.join(checked.select("id", "attr", F.col("value").alias("new_value"), "text", "reason").dropDuplicates(["id", "attr", "new_value"]), ["id", "attr", "new_value"], "left")
+    if disabled is not None:
+        off = disabled.select("attr").distinct().withColumn("__off", F.lit(True))
+        due = due.join(off, "attr", "left").withColumn("reason", F.when(F.col("__off"), "disabled").otherwise(F.col("reason"))).drop("__off")
     good = due.where("reason is null and text is not null")
     first = good.groupBy("id").agg(F.min(F.struct("ts", "seq")).alias("first")).orderBy("first", "id").limit(limit)
     before = current(log).where("batch_id is not null").groupBy("id").agg(F.max("batch_id").alias("last_batch"))

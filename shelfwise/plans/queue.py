@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import analytics, decisions, review, standing
+from shelfwise.operators import analytics, batches, decisions, review, standing
 from shelfwise.plans.bridge import norm_sql, oracle, table, view
 from shelfwise.plans.registry import query
 from shelfwise.sources import tables
@@ -247,6 +247,20 @@ def p11_batches(spark, d):
     return decisions.batches(view(spark, d, "decisions"), _made(spark, d), spark.sql(GONE))
 
 
+@query(oracle("people", "decisions") + CUR + WAIT + CHECKED + """, good AS (SELECT w.*, chk.text FROM w JOIN people p ON p.id = w.id JOIN chk ON chk.id = w.id AND chk.attr = w.attr AND chk.value = w.new_value WHERE chk.reason IS NULL AND chk.text IS NOT NULL AND w.attr <> 'A0'),
+f AS (SELECT id, row_number() OVER (ORDER BY min((ts, seq)), id) AS rn FROM good GROUP BY id), t AS (SELECT * FROM (VALUES (1, 1, 25, true), (2, 26, 50, false), (4, 1, 25, false)) AS v(batch_id, low, high, withdrawn))
+SELECT t.batch_id, t.withdrawn, g.id, g.attr, g.hash, g.text FROM good g JOIN f ON f.id = g.id JOIN t ON f.rn BETWEEN t.low AND t.high""")
+def p11_take_and_withdraw(spark, d):
+    """Two batches of 25 products, the first withdrawn, and one more, which takes the same decisions again. One attribute is out of circulation."""
+    kept = batches.Batches(spark, f"{tables.shared_dir(spark)}/batches-{uuid.uuid4().hex}")
+    log, people, checked, off = tables.written(view(spark, d, "decisions"), "log"), view(spark, d, "people"), tables.written(_checked(spark, d), "checked"), spark.sql("SELECT 'A0' AS attr")
+    for _ in range(2):
+        kept.take(log, people, checked, 25, disabled=off)
+    kept.withdraw(1)
+    kept.take(log, people, checked, 25, disabled=off)
+    return kept.rows(withdrawn=True).join(kept.table().select("batch_id", "withdrawn"), "batch_id").select("batch_id", "withdrawn", "id", "attr", "hash", "text")
+
+
 @query(oracle("decisions") + CUR + WAIT + " SELECT id, attr, old_value, new_value FROM w")
 def p12_waiting(spark, d):
     return decisions.waiting(view(spark, d, "decisions")).select("id", "attr", "old_value", "new_value")

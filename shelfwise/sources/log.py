@@ -70,11 +70,13 @@ class Versions:
             raise e
         return True
 
-    def append(self, make, tries: int = 20) -> tuple[int, dict]:
-        """Commits make(version that is the latest) as the next version; makes it anew each time another writer was first."""
+    def append(self, make, tries: int = 20) -> tuple[int, dict | None]:
+        """Commits make(version that is the latest) as the next version; makes it anew each time another writer was first. Where make gives None nothing is committed."""
         for _ in range(tries):
             last = self.latest()
             entry = make(last)
+            if entry is None:
+                return last, None
             if self.commit(last + 1, entry):
                 return last + 1, entry
         raise RuntimeError(f"{self.folder}: other writers were first {tries} times")
