@@ -11,11 +11,15 @@ MATCHES + 1 values of each must share one: only those are merged (prefix), and t
 skipped and looked up in the signatures of the candidates alone, where all agreements are counted. Most documents have
 so many values of their own that nothing of them is left to merge.
 
-Equal sets are one node, so copies make no pairs. Nor do large groups of near copies: each list's documents are first
-held against one of them, its leader (the one whose values are the commonest, the likely origin). Nodes that confirmed
-links join get one label, and lists matter only as far as they hold different labels. After ROUNDS of leaders, or as soon
-as no more than SPARSE pairs a posting are left, all pairs of a list whose labels differ are held against each other, those
-outside a list's commonest label against all its members: exact whatever the leaders were.
+Equal sets are one node, so copies make no pairs. Nor do large groups of near copies, whose members share most lists. Each
+list has a leader, the document whose values are the commonest and so the likely origin, and all that agree with it in
+NEAR coordinates are measured against it: what differs from the leader, shingles more or less, is a set D, and the
+symmetric difference of two documents is that of their Ds. Two sets are similar if and only if they differ in no more than
+a ninth of their sizes' sum; a document that is not similar to the leader therefore is similar to none whose D has no
+part in common with its own, and how large that part must be follows from the sizes. So of a list's pairs only those are
+candidates where one is a straggler, not similar to the leader, and both have a difference in common among the first of
+their Ds (a prefix again). Pairs with one who is far from the leader are candidates as they are. Nothing is lost by it:
+pairs that are both similar to the leader are joined through it.
 
 Defined results: null text is empty; a text without words has an empty set and is linked with nothing; with fewer words
 than a shingle has, all are one shingle; very long texts are read whole; rows with a null doc_id take no part; rows that
@@ -25,6 +29,7 @@ repeat a doc_id get a row each and are one document for links: what any of them
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,8 @@ from shelfwise.llm.line_dedup import Digest
 
 WORDS, PERCENT = 2, 80
 COORDINATES, ROWS, MATCHES = 64, 2, 24
-ROUNDS, SPARSE = 2, 2
+#: Agreements with a list's leader from which a document is measured against it.
+NEAR = 12
 _BLOCK = 1 << 14
 
 
@@ -151,11 +157,11 @@ def _texts(docs: DataFrame, found: DataFrame, posts: DataFrame, repeated_ids: bo
     return common.written(texts, "texts")
 
 
-def retained(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in MATCHES coordinates at least."""
+def retained(pairs: DataFrame, found: DataFrame, least: int = MATCHES) -> DataFrame:
+    """The pairs whose signatures agree in so many coordinates at least."""
     side = lambda end: found.select(F.col("node").alias(end), F.col("least").alias("least_" + end)).hint("merge")
     agree = F.size(F.filter(F.zip_with("least_a", "least_b", lambda x, y: x == y), lambda x: x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(agree >= MATCHES).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(agree >= least).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -193,48 +199,76 @@ def _against_leaders(posts: DataFrame, turn: int) -> DataFrame:
     return met.where((F.col("root") != F.col("leader_root")) & _sized("n", "leader_n")).select(*_pair("node", "leader")).distinct()
 
 
-def _labelled(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """posts with root: the least node that few confirmed links reach. Nodes of one root belong together; those of different roots may too."""
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = ends.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root"))
-    near = common.written(near, "near")
-    far = near.select(F.col("node").alias("root"), F.col("root").alias("further"))
-    near = near.join(far, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-    return common.written(posts.join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+def differences(own: set[bytes], leader: set[bytes]) -> tuple[bool, list[int]]:
+    """Whether the sets are similar, and the first differences by which a straggler and any other of this leader must meet: additions first, they are rare."""
+    more, less = own - leader, leader - own
+    linked, apart = similar(own, leader), len(more) + len(less)
+    least = apart - len(own) / 4 if not linked else (apart + (len(leader) - len(own)) / 9) / 2  # of differences in common
+    both = sorted(xxhash.xxh3_64_intdigest(x) >> 2 for x in more) + sorted((xxhash.xxh3_64_intdigest(x) >> 2) + (1 << 62) for x in less)
+    return linked, both[: apart - max(1, math.floor(least)) + 1]
 
 
-def _across(posts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a list whose labels differ. Those outside the list's commonest label meet all its members."""
-    major = parts.groupBy("token").agg(F.max(F.struct("held", "root")).alias("most"), F.count("*").alias("roots"))
-    major = major.where("roots > 1").select("token", F.col("most.root").alias("major"))
-    lists = common.written(posts.join(major, "token"), "lists")
-    minor = lists.where("root <> major").select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
-    met = lists.hint("merge").join(minor, "token").where((F.col("root") != F.col("other_root")) & ((F.col("root") == F.col("major")) | (F.col("node") < F.col("other"))) & _sized("n", "other_n"))
-    return met.select(*_pair("node", "other")).distinct()
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (leader, node) → (leader, node, linked, differences)."""
+    schema = pa.schema([("leader", pa.int64()), ("node", pa.int64()), ("linked", pa.bool_()), ("differences", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leader = None, set()
+        for b in batches:
+            found = []
+            for x, one, two in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if x != at:
+                    at, leader = x, shingles(one.as_py().encode())
+                found.append(differences(shingles(two.as_py().encode()), leader))
+            yield common.batch(schema, b.column(0), b.column(1), *(zip(*found, strict=True) if found else ([], [])))
+
+    side = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias("text_" + end)).hint("merge")
+    met = pairs.join(side("node"), "node").join(side("leader"), "leader").select("leader", "node", "text_leader", "text_node")
+    return met.mapInArrow(run, "leader long, node long, linked boolean, differences array<long>")
+
+
+def _pair(one: str, two: str) -> list[Column]:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
+def _leaders(posts: DataFrame) -> DataFrame:
+    """posts (token, node, n) with their list's leader, of lists that have other members."""
+    lead = F.max(F.struct("weight", -F.col("node"))).alias("lead")
+    lists = posts.groupBy("token").agg(lead, F.count("*").alias("length")).where("length > 1")
+    lists = common.written(lists.select("token", (-F.col("lead.col2")).alias("leader"), "length"), "leaders")
+    total = lists.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return common.written(common.hot_join(posts.select("token", "node", "n"), lists, ["token"], "length", total), "lists")
+
+
+def _stragglers(near: DataFrame) -> DataFrame:
+    """(a, b): a straggler and another of the same leader that have one of the first differences in common."""
+    rows = near.select("leader", "node", "linked", F.explode("differences").alias("difference"))
+    other = rows.where("not linked").select("leader", "difference", F.col("node").alias("other"))
+    met = rows.hint("merge").join(other, ["leader", "difference"]).where((F.col("node") != F.col("other")) & (F.col("linked") | (F.col("node") < F.col("other"))))
+    return met.select(*_pair("node", "other"))
+
+
+def _far(lists: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b): pairs of a list in which one at least is far from the leader. The leader is similar to none of those."""
+    known = near.select("leader", "node", F.lit(True).alias("near"))
+    rows = lists.where("node <> leader").join(known, ["leader", "node"], "left").select("token", "node", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    rows = common.written(rows, "members")
+    far = rows.where("not near").select("token", F.col("node").alias("other"), F.col("n").alias("other_n"))
+    met = rows.hint("merge").join(far, "token").where((F.col("node") != F.col("other")) & (F.col("near") | (F.col("node") < F.col("other"))) & _sized("n", "other_n"))
+    return met.select(*_pair("node", "other"))
 
 
 def links(docs: DataFrame, found: DataFrame, repeated_ids: bool = False) -> DataFrame:
     """(a, b) nodes that are similar: enough links to reach, from each node, all that links reach. Each is confirmed."""
     posts = common.written(prefixes(found), "postings")
-    n_posts = posts.count()
     texts = _texts(docs, found, posts, repeated_ids)
-    empty = docs.sparkSession.createDataFrame([], "a long, b long")
-    tried, known, placed = empty, empty, posts.withColumn("root", F.col("node"))
-    for turn in range(ROUNDS + 1):
-        parts = common.written(placed.groupBy("token", "root").agg(F.count("*").alias("held")), "parts")
-        lists = parts.groupBy("token").agg(F.sum("held").alias("n"), F.sum(F.col("held") * F.col("held")).alias("own"), F.count("*").alias("roots")).where("roots > 1")
-        left = lists.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        last = turn == ROUNDS or left <= SPARSE * n_posts
-        pairs = _across(placed, parts) if last else _against_leaders(placed, turn)
-        pairs = common.written(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
-        known = known.unionByName(common.written(confirmed(retained(pairs, found), texts), "confirmed"))
-        if last:
-            break
-        tried = tried.unionByName(pairs)
-        placed = _labelled(posts, known)
-    return known
+    lists = _leaders(posts)
+    pairs = lists.where("node <> leader").select("leader", "node").distinct()
+    near = retained(pairs.withColumnsRenamed({"leader": "a", "node": "b"}), found, NEAR).withColumnsRenamed({"a": "leader", "b": "node"})
+    near = common.written(measured(near, texts), "measured")
+    others = common.written(_stragglers(near).unionByName(_far(lists, near)).distinct(), "pairs")
+    more = common.written(confirmed(retained(others, found), texts), "confirmed")
+    return near.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

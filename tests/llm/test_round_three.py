@@ -122,26 +122,56 @@ def chained(n, words=60):
     return [(k, " ".join(f"w{j}" for j in range(k * 5, k * 5 + words))) for k in range(n)]
 
 
-def test_minhash_of_a_chain_and_of_a_large_group(spark, monkeypatch):
+def test_minhash_of_a_chain_and_of_a_large_group(spark):
     base = [f"v{j}" for j in range(200)]
     group = [(1000 + k, " ".join(base[:k] + [f"own{k}"] + base[k + 1 :])) for k in range(150)]
     rows = chained(40) + group
     expected = plain_minhash(rows)
     assert {r[2] for r in expected} == {0, 1000}
-    for rounds, sparse in ((minhash.ROUNDS, minhash.SPARSE), (0, 0), (2, 0)):
-        monkeypatch.setattr(minhash, "ROUNDS", rounds)
-        monkeypatch.setattr(minhash, "SPARSE", sparse)
-        assert sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).collect())) == expected
+    assert sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).collect())) == expected
 
 
-def test_near_groups_make_no_pairs_of_all(spark, monkeypatch):
-    seen = []
+def altered(rng, base, n, most):
+    """n texts of base, each with up to `most` of its words gone, replaced or with another put in."""
+    out = []
+    for k in range(n):
+        text = list(base)
+        for _ in range(rng.randint(0, most)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.choice((1, 1, 0))] = rng.choice(([f"x{rng.randrange(60)}"], [f"y{k}_{at}"], []))
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_groups_lose_no_link_and_make_few_pairs(spark, monkeypatch, seed):
+    """Many members aren't similar to the leader; some of them are similar to one another."""
+    seen, rng = [], random.Random(seed)
     whole = minhash.confirmed
     monkeypatch.setattr(minhash, "confirmed", lambda pairs, texts: seen.append(pairs.count()) or whole(pairs, texts))
-    base = [f"v{j}" for j in range(200)]
-    rows = [(k, " ".join(base[:k] + [f"own{k}"] + base[k + 1 :])) for k in range(150)]
-    assert {r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()} == {0}
-    assert sum(seen) < 5 * len(rows) < 150 * 149 // 2
+    base = [f"v{j}" for j in range(120)]
+    texts = altered(rng, base, 150, 22)
+    second = altered(rng, texts[-1].split(), 25, 3) + altered(rng, base[:88], 12, 2) + altered(rng, base[20:] + [f"z{k}" for k in range(15)], 12, 2)
+    rows = list(enumerate(texts + second))
+    expected = plain_minhash(rows)
+    assert sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).collect())) == expected
+    assert 3 < len({r[2] for r in expected}) < 150 and sum(seen) < len(rows) * (len(rows) - 1) // 2 / 3
+
+
+def test_differences_find_each_link():
+    """All pairs of a leader's group: a similar pair with a straggler always meets in the first differences."""
+    rng, n = random.Random(5), 0
+    for _ in range(12):
+        base = [f"v{j}" for j in range(rng.randint(6, 80))]
+        found = [minhash.shingles(t.encode()) for t in [" ".join(base), *altered(rng, base, 40, len(base) // 4), *altered(rng, base[: len(base) * 3 // 4], 15, 2)]]
+        found = [s for s in found if s]
+        met = [minhash.differences(s, found[0]) for s in found]
+        for i, (one, (linked_one, first)) in enumerate(zip(found, met, strict=True)):
+            for two, (linked_two, second) in list(zip(found, met, strict=True))[:i]:
+                if minhash.similar(one, two) and one != two and not (linked_one and linked_two):
+                    n += 1
+                    assert set(first) & set(second)
+    assert n > 200
 
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
