@@ -23,11 +23,16 @@ FIELD_UNITS = (("mm", 0.1), ("m", 100.0), ("g|gr", 0.001))
 PART_LETTERS = {"doors": "d", "drawers": "s"}
 PART_PHRASES = {"doors": [("bez drzwi", 0)], "drawers": [("z szuflad(?:a|ka)", 1), ("bez szuflad", 0)]}
 SOME_DRAWERS = "z szuflad(?:ami)?"
+# Units of numbers, and those of sizes in names.
+NUMBER_UNITS = ("cm", "mm", "m", "kg", "g")
+NAME_UNITS = ("cm", "mm", "kg")
 #: A number with a unit or none; a chain of whatever numbers with crosses between; sizes, measures and longer numbers in a normal form.
-NUMBER = r"(?i)^(-?\d+(?:[.,]\d+)?)\s*(?:[cm]?m|k?g)?$"
+NUMBER = rf"(?i)^(-?\d+(?:[.,]\d+)?)\s*(?:{'|'.join(NUMBER_UNITS)})?$"
 CROSS = "[x×]"
 CROSSED = rf"[\d.,]+(?:\s*{CROSS}\s*[\d.,]+)+"
-MEASURED = r"(?<![\d.,])\d{2,3}(?: ?x ?\d{2,3}){1,2}(?![\d.,])|\b\d+ ?(?:[cm]m|kg)\b|\b\d{2,}\b"
+MEASURED = rf"(?<![\d.,])\d{{2,3}}(?: ?x ?\d{{2,3}}){{1,2}}(?![\d.,])|\b\d+ ?(?:{'|'.join(NAME_UNITS)})\b|\b\d{{2,}}\b"
+#: What feeds' names are not compared by: a model code of few letters and digits, and a number with or without a unit right behind it.
+CODE_WORD, NUMBER_WORD = r"[a-z]{1,3}\d{1,4}[a-z]?", rf"\d+(?:[.,]\d+)?(?:{'|'.join(NAME_UNITS)})?"
 DIAMETER = r"(?iu)(?:ś|s)r\.?\s*(\d{2,3})|(?:fi|ø)\s*(\d{2,3})"
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -172,15 +177,18 @@ def described_fields(text: Column) -> Column:
 
 
 def comparable_name(name: Column, collection: Column) -> Column:
-    """A name to compare feeds by: no codes, measures, or words of the collection."""
-    words = F.split(F.regexp_replace(F.regexp_replace(norm(name), r"\b\d+([.,x]\d+)*\s*(cm|mm|kg)?\b", " "), r"\b(?=\w*\d)(?=\w*[a-z])\w+\b", " "), r"\s+")
-    return F.array_join(F.filter(F.array_except(words, F.split(norm(collection), " ")), lambda w: w != ""), " ")
+    """A name to compare feeds by: without model codes, plain numbers and the words of the collection; other words stay, repeated ones too."""
+    bare = F.regexp_replace(norm(name), rf"\b(?:{CODE_WORD}|{NUMBER_WORD})\b", " ")
+    own = F.filter(F.split(F.coalesce(norm(collection), F.lit("")), " "), lambda w: w != "")
+    any_of = F.concat(F.lit(r"\b(?:"), F.array_join(F.transform(own, lambda w: F.replace(w, F.lit("."), F.lit(r"\."))), "|"), F.lit(r")\b"))
+    left = F.when(F.size(own) > 0, F.regexp_replace(bare, any_of, F.lit(" "))).otherwise(bare)
+    return F.trim(F.regexp_replace(left, r"\s+", " "))
 
 
 def product_keys(name: Column, product_id: Column, codes: Column) -> Column:
-    """Candidate keys: the id, codes of three signs and more, and capital tokens of the name with a digit."""
-    tokens = F.filter(F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"\b([A-Z0-9][A-Z0-9./-]{3,})"), F.lit(1)), lambda t: t.rlike(r"\d") & t.rlike("[A-Z]"))
-    long = F.filter(F.transform(codes, norm), lambda c: F.length(c) >= 3)
+    """Candidate keys: the id, codes of three signs and more, and words of the name, in capitals, of four signs and more with a digit."""
+    tokens = F.filter(F.regexp_extract_all(F.upper(F.coalesce(name, F.lit(""))), F.lit(r"(?U)\b([A-Z0-9][A-Z0-9/-]{3,})\b"), F.lit(1)), lambda t: t.rlike(r"\d"))
+    long = F.transform(F.filter(codes, lambda c: F.length(F.trim(c)) >= 3), norm)
     return F.array_distinct(F.filter(F.concat(F.array(norm(product_id)), long, F.transform(tokens, norm)), lambda k: k != ""))
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import fuzzy, text
+from shelfwise.functions import text
 from shelfwise.operators import findings as f
+from shelfwise.operators import similar
 from shelfwise.sources import tables
 
 #: Scores from which a fuzzy match is taken over, or suggested.
@@ -46,7 +47,7 @@ def number_findings(cells: DataFrame) -> DataFrame:
 
 
 def match(values: DataFrame, dictionary: DataFrame, aliases: DataFrame, auto: float = AUTO, suggest: float = SUGGEST) -> DataFrame:
-    """distinct (attr, value) → label (null if the attribute has no dictionary), how, score: exact, alias, fuzzy, near, outside, free."""
+    """distinct (attr, value) → label (null if the attribute has no dictionary), how, score: exact, alias, fuzzy, near, outside, free. score is that of fuzzy and near ones: labels that can't reach `suggest` are not compared."""
     own = values.select("attr", "value").distinct().withColumn("n", text.norm(F.col("value")))
     words = dictionary.withColumn("n", text.norm(F.col("label")))
     exact = words.groupBy("attr", "n").agg(F.min_by("label", "pos").alias("exact"))
@@ -54,8 +55,9 @@ def match(values: DataFrame, dictionary: DataFrame, aliases: DataFrame, auto: fl
     first = own.join(exact, ["attr", "n"], "left").join(named, ["attr", "n"], "left")
     first = first.join(F.broadcast(dictionary.select("attr").distinct().withColumn("known", F.lit(True))), "attr", "left")
     missed = first.where("exact is null and alias_of is null and known").select("attr", "n").distinct()
-    pairs = missed.join(words.select("attr", F.col("n").alias("m"), "label", "pos"), "attr")
-    scored = pairs.withColumn("score", fuzzy.score("n", "m")).groupBy("attr", "n").agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("pos"))).alias("best"))
+    labels = words.groupBy("attr", F.col("n").alias("m")).agg(F.min_by("label", "pos").alias("label"), F.min("pos").alias("pos"))
+    pairs = similar.scored(missed, labels, ["attr"], "n", "m", suggest).join(labels, ["attr", "m"])
+    scored = pairs.groupBy("attr", "n").agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("pos"))).alias("best"))
     out = first.join(scored, ["attr", "n"], "left")
     s = F.col("best.score")
     how = F.when(F.col("known").isNull(), "free").when(F.col("exact").isNotNull(), "exact").when(F.col("alias_of").isNotNull(), "alias").when(s >= auto, "fuzzy").when(s >= suggest, "near").otherwise("outside")

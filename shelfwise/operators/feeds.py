@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions import fuzzy, text
+from shelfwise.functions import text
 from shelfwise.operators import findings as f
+from shelfwise.operators import similar
 
 # Tolerances, scales and bounds.
 TOLERANCE, WEIGHT_TOLERANCE, WEIGHT = 0.03, 0.10, "Waga"
@@ -51,11 +52,13 @@ def guess_mapping(profiles: DataFrame, words: DataFrame) -> DataFrame:
     return once.withColumn("j", F.row_number().over(best)).where("j = 1").select("source", "target", "field")
 
 
-def load(long: DataFrame, mapping: DataFrame, key_fields: DataFrame) -> DataFrame:
-    """(source, key, mapped map, raw map): mapped fields of each record; the last record of a key counts; without key none."""
-    key = long.join(F.broadcast(key_fields.select("source", F.col("field"))), ["source", "field"]).select("source", "rec", text.norm(F.col("value")).alias("key")).where("key <> ''").groupBy("source", "rec").agg(F.min("key").alias("key"))
+def load(long: DataFrame, mapping: DataFrame, key_fields: DataFrame, name: str = "nazwa") -> DataFrame:
+    """(source, key, mapped map, raw map): mapped fields of each record; the last record of a key counts; without key none. A source without a key field takes the field that is mapped to the name."""
+    named = mapping.where(F.col("target") == name).select("source", "field").join(key_fields.select("source").distinct(), "source", "left_anti")
+    fields = key_fields.select("source", "field").unionByName(named)
+    key = long.join(fields, ["source", "field"]).select("source", "rec", text.norm(F.col("value")).alias("key")).where("key <> ''").groupBy("source", "rec").agg(F.min("key").alias("key"))
     last = key.groupBy("source", "key").agg(F.max("rec").alias("rec"))
-    own = long.join(last, ["source", "rec"]).join(F.broadcast(mapping), ["source", "field"], "left")
+    own = long.join(last, ["source", "rec"]).join(mapping, ["source", "field"], "left")
     return own.groupBy("source", "key").agg(F.map_from_entries(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", "value")))).alias("mapped"), F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("raw"))
 
 
@@ -77,28 +80,39 @@ def rescaled(items: DataFrame, factors: DataFrame) -> DataFrame:
     return items.join(F.broadcast(factors.select("source", "attr", "scale")), ["source", "attr"], "left").withColumn("num", F.col("num") * F.coalesce("scale", F.lit(1.0))).drop("scale")
 
 
-def match_by_code(keys: DataFrame, items: DataFrame) -> DataFrame:
-    """keys (id, key) ⋈ items (source, key): (source, id, key), the smallest key on several."""
-    return keys.join(items.select("source", "key").distinct(), "key").groupBy("source", "id").agg(F.min("key").alias("key")).withColumn("method", F.lit("kod"))
+def of_makers(found: DataFrame, products: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """Matches (source, id, …) without those of a source that is one producer's, with products of another. sources: (source, producer), null for any."""
+    if sources is None:
+        return found
+    own = sources.where(F.coalesce("producer", F.lit("")) != "").groupBy("source").agg(F.min("producer").alias("__maker"))
+    made = products.select("id", F.col("producer").alias("__made"))
+    return found.join(own, "source", "left").join(made, "id", "left").where(F.col("__maker").isNull() | (F.col("__maker") == F.col("__made"))).select(*found.columns)
 
 
-def match_by_name(products: DataFrame, items: DataFrame, least: float = SCORE, margin: float = MARGIN) -> DataFrame:
-    """Best name within a block of producer and collection, clear of the second best. Only distinct pairs of names are scored."""
+def match_by_code(keys: DataFrame, items: DataFrame, products: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """keys (id, key) ⋈ items (source, key): (source, id, key), the smallest key on several. With products (id, producer) and sources, only products of a source's producer."""
+    met = of_makers(keys.join(items.select("source", "key").distinct(), "key"), products, sources)
+    return met.groupBy("source", "id").agg(F.min("key").alias("key")).withColumn("method", F.lit("kod"))
+
+
+def match_by_name(products: DataFrame, items: DataFrame, least: float = SCORE, margin: float = MARGIN, sources: DataFrame | None = None) -> DataFrame:
+    """Best name within a block of producer and collection, clear of the second best. Names that can't come within the margin of the least score are not compared."""
     ours = products.select("id", F.col("producer").alias("p"), text.norm(F.col("collection")).alias("c"), text.comparable_name(F.col("name"), F.col("collection")).alias("a"))
     theirs = items.select("source", "key", F.col("producer").alias("p"), text.norm(F.col("collection")).alias("c"), text.comparable_name(F.col("name"), F.col("collection")).alias("b"))
-    pairs = ours.select("p", "c", "a").distinct().join(theirs.select("source", "p", "c", "b").distinct(), ["p", "c"]).where("a <> '' and b <> ''")
-    names = pairs.select("a", "b").distinct().withColumn("score", fuzzy.score("a", "b"))
+    names = similar.scored(ours, theirs, ["p", "c"], "a", "b", least - margin)
+    pairs = names.join(theirs.select("source", "p", "c", "b").distinct(), ["p", "c", "b"])
     w = Window.partitionBy("source", "p", "c", "a").orderBy(F.desc("score"), "b")
-    ranked = pairs.join(names, ["a", "b"]).withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
+    ranked = pairs.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
     top = ranked.where((F.col("k") == 1) & (F.col("score") >= least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin)))
     alone = theirs.groupBy("source", "p", "c", "b").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
-    return ours.join(top.select("source", "p", "c", "a", "b"), ["p", "c", "a"]).join(alone, ["source", "p", "c", "b"]).select("source", "id", "key", F.lit("nazwa").alias("method"))
+    found = ours.join(top.select("source", "p", "c", "a", "b"), ["p", "c", "a"]).join(alone, ["source", "p", "c", "b"]).select("source", "id", "key", F.lit("nazwa").alias("method"))
+    return of_makers(found, products, sources)
 
 
-def match_all(products: DataFrame, keys: DataFrame, items: DataFrame) -> DataFrame:
-    """Codes first, then names of what codes left, for each source."""
-    coded = match_by_code(keys, items)
-    named = match_by_name(products, items).join(coded.select("source", "id"), ["source", "id"], "left_anti")
+def match_all(products: DataFrame, keys: DataFrame, items: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Codes first, then names of what codes left, for each source; sources (source, producer) may be limited to a producer."""
+    coded = match_by_code(keys, items, products, sources)
+    named = match_by_name(products, items, sources=sources).join(coded.select("source", "id"), ["source", "id"], "left_anti")
     return coded.unionByName(named)
 
 

@@ -60,25 +60,37 @@ def from_name(products: DataFrame, own: DataFrame, values: DataFrame, rules: Dat
 
 
 def from_size(own: DataFrame, values: DataFrame, size_attr: str, targets: tuple[str, str]) -> DataFrame:
-    """A size like 90x200 fills width and length: L2-LUKA-ROZMIAR; L2-LUKA-ROZMIAR-SPRZECZNE where they say otherwise."""
+    """A size like 90x200 fills width and length: L2-LUKA-ROZMIAR; L2-LUKA-ROZMIAR-SPRZECZNE where they say otherwise, or nothing that can be read."""
     size = values.where(F.col("attr") == size_attr).select("id", text.size_pair(F.col("value")).alias("s")).where("s is not null")
     due = size.select("id", F.stack(F.lit(2), F.lit(targets[0]), F.col("s.short"), F.lit(targets[1]), F.col("s.long")).alias("attr", "due"))
     rows = due.join(own, ["id", "attr"]).join(values, ["id", "attr"], "left").withColumn("empty", F.col("value").isNull())
-    rows = rows.where(F.col("empty") | (F.abs(text.number(F.col("value")) - F.col("due")) > 0.5))
+    rows = rows.where(F.col("empty") | F.coalesce(F.abs(text.number(F.col("value")) - F.col("due")) > 0.5, F.lit(True)))
     rule = F.when(F.col("empty"), "L2-LUKA-ROZMIAR").otherwise("L2-LUKA-ROZMIAR-SPRZECZNE")
     return _row(rows, rule, F.when(F.col("empty"), f.MIDDLE).otherwise(f.CRITICAL), F.when(F.col("empty"), 0.95).otherwise(1.0), F.when(F.col("empty"), F.col("due").cast("string")), "size", old="value")
 
 
-def from_sleep(products: DataFrame, own: DataFrame, values: DataFrame, attr: str = "Funkcje", label: str = "z funkcją spania", old_field: str = "Funkcja spania", mechanism: str = "Mechanizm") -> DataFrame:
-    """L2-LUKA-FUNKCJA-SPANIA from an old field, a mechanism, or the name: the surest evidence wins; it stops at 'bez…'."""
+def from_sleep(products: DataFrame, own: DataFrame, values: DataFrame, attr: str = "Funkcje", label: str = "z funkcją spania", old_field: str = "Funkcja spania", mechanism: str = "Mechanizm", named: str = "rozkladan|z funkcja spania", not_named: str | None = None, node_named: str | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """L2-LUKA-FUNKCJA-SPANIA: the surest evidence of an old field that begins 'z funkcj…', a mechanism, the node's name or the product's.
+
+    products may have node_name. Patterns are of normalised names; a product named by not_named is no evidence. What says
+    'bez…' in the old field stays as it is. labels (attr, label): the shop's spelling of the value; unknown to it, nothing
+    is proposed.
+    """
     pick = lambda a: F.max(F.when(F.col("attr") == a, F.col("value")))
     held = values.where(F.col("attr").isin(attr, old_field, mechanism)).groupBy("id").agg(pick(attr).alias("now"), pick(old_field).alias("old"), pick(mechanism).alias("mechanism"))
-    rows = own.where(F.col("attr") == attr).join(products.select("id", "name"), "id").join(held, "id", "left")
+    said = products.select("id", "name", (F.col("node_name") if "node_name" in products.columns else F.lit(None).cast("string")).alias("node_name"))
+    rows = own.where(F.col("attr") == attr).join(said, "id").join(held, "id", "left")
     n = lambda c: text.norm(F.col(c))
-    said = F.array_compact(F.array(F.when(n("old").rlike("^tak|rozklad"), F.lit(0.92)), F.when((n("mechanism") != "") & ~n("mechanism").startswith("bez"), F.lit(0.90)), F.when(n("name").rlike("rozkladan|z funkcja spania"), F.lit(0.80))))
-    rows = rows.withColumn("sure", F.array_max(said)).where("sure is not null").where(~n("old").startswith("bez") & ~n("now").contains("spania") & ~n("now").startswith("bez"))
-    new = F.when(n("now") == "", F.lit(label)).otherwise(F.concat_ws(", ", "now", F.lit(label)))
-    return _row(rows, "L2-LUKA-FUNKCJA-SPANIA", f.MIDDLE, F.col("sure"), new, "sleep", old="now")
+    by_name = n("name").rlike(named) & (~n("name").rlike(not_named) if not_named else F.lit(True))
+    by_node = n("node_name").rlike(node_named) if node_named else F.lit(False)
+    proofs = F.array_compact(F.array(F.when(n("old").startswith("z funkcj"), F.lit(0.92)), F.when(F.trim(F.coalesce("mechanism", F.lit(""))) != "", F.lit(0.90)), F.when(by_node, F.lit(0.92)), F.when(by_name, F.lit(0.80))))
+    has = F.exists(text.members(F.coalesce("now", F.lit(""))), lambda m: text.norm(m) == text.norm(F.lit(label)))
+    rows = rows.withColumn("sure", F.array_max(proofs)).where("sure is not null").where(~n("old").startswith("bez") & ~has)
+    new = F.lit(label)
+    if labels is not None:
+        spelled = labels.where(F.col("attr") == attr).where(text.norm(F.col("label")) == text.norm(F.lit(label))).groupBy("attr").agg(F.min("label").alias("spelled"))
+        rows, new = rows.join(spelled, "attr"), F.col("spelled")
+    return _row(rows, "L2-LUKA-FUNKCJA-SPANIA", f.MIDDLE, F.col("sure"), F.when(n("now") == "", new).otherwise(F.concat_ws(", ", "now", new)), "sleep", old="now")
 
 
 def from_family(products: DataFrame, own: DataFrame, values: DataFrame, labels: DataFrame, family: list, equipment: tuple[str, ...] = ()) -> DataFrame:
@@ -102,9 +114,12 @@ def from_photos(own: DataFrame, values: DataFrame, reads: DataFrame, labels: Dat
 
 
 def candidates(products: DataFrame, own: DataFrame, values: DataFrame, labels: DataFrame, *, subtypes: DataFrame | None = None, names: DataFrame | None = None, reads: DataFrame | None = None, size: tuple[str, tuple[str, str]] = ("Rozmiar", ("Szerokość powierzchni spania", "Długość powierzchni spania")), family: list | None = None) -> DataFrame:
-    """What all six sources propose. Rules of subtypes and names, and reads of photos, only where there are any; products without a collection have no family."""
+    """What all six sources propose. Rules of subtypes and names, and reads of photos, only where there are any; products without a collection have no family by it, and those with a producer_code have one by that."""
     family = family or [F.col("producer"), F.col("category"), text.norm(F.col("collection"))]
     found = [from_size(own, values, *size), from_sleep(products, own, values), from_family(products.where(F.trim("collection") != ""), own, values, labels, family)]
+    if "producer_code" in products.columns:  # variants of one model
+        code = text.norm(F.col("producer_code"))
+        found.append(from_family(products.where(code != ""), own, values, labels, [F.col("producer"), F.col("category"), F.lit("model"), code]))
     if subtypes is not None:
         found.append(from_subtype(products, own, values, subtypes))
     if names is not None:

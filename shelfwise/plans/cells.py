@@ -101,9 +101,12 @@ def f22_described_fields(spark, d):
     return table(spark, d, "part").select("p_partkey", F.inline(text.described_fields(line)))
 
 
-@query(oracle("products") + f""" SELECT id, CASE WHEN n % 12 = 8 THEN ['p-' || id, {norm_sql("'K' || id || 'Z'")}, 'ab12x'] ELSE ['p-' || id, {norm_sql("'K' || id || 'Z'")}] END AS keys FROM products""")
+@query(oracle("products") + f""", t AS (SELECT id, upper(name || ' ' || producer || '-' || n || ' x/' || size || 'a.b7') AS name FROM products),
+k AS (SELECT id, list_filter(regexp_extract_all(name, '\\b([A-Z0-9][A-Z0-9/-]{{3,}})\\b', 1), lambda z: regexp_matches(z, '[0-9]')) AS codes FROM t)
+SELECT id, list_concat([{norm_sql("'P-' || id")}, {norm_sql("'K' || id || 'Z'")}], list_filter(list_transform(codes, lambda z: {norm_sql("z")}), lambda z, i: list_position(list_transform(codes, lambda y: {norm_sql("y")}), z) = i)) AS keys FROM k""")
 def f24_product_keys(spark, d):
-    return view(spark, d, "products").select("id", text.product_keys(F.col("name"), F.concat(F.lit("P-"), "id"), F.array(F.concat(F.lit("K"), "id", F.lit("Z")), F.lit("xy"))).alias("keys"))
+    name = F.concat("name", F.lit(" "), "producer", F.lit("-"), "n", F.lit(" x/"), "size", F.lit("a.b7"))
+    return view(spark, d, "products").select("id", text.product_keys(name, F.concat(F.lit("P-"), "id"), F.array(F.concat(F.lit("K"), "id", F.lit("Z")), F.lit("xy"))).alias("keys"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, (abs(l_quantity * 10 - l_extendedprice) <= 0.5 * abs(l_extendedprice)) OR (abs(l_quantity * 100 - l_extendedprice) <= 0.5 * abs(l_extendedprice)) OR (abs(l_quantity * 1000 - l_extendedprice) <= 0.5 * abs(l_extendedprice)) OR (abs(l_extendedprice * 10 - l_quantity) <= 0.5 * abs(l_quantity)) OR (abs(l_extendedprice * 100 - l_quantity) <= 0.5 * abs(l_quantity)) OR (abs(l_extendedprice * 1000 - l_quantity) <= 0.5 * abs(l_quantity)) AS factor FROM lineitem")
@@ -401,18 +404,20 @@ def f18_f19_codes_and_slugs(spark, d):
     return view(spark, d, "products").select("id", text.producer_code(codes).alias("code"), text.slug(F.col("name")).alias("slug"), F.array_sort(text.stems(F.col("name"))).alias("stems"))
 
 
-COMPARED = oracle("products") + f""", w AS (SELECT id, list_filter(string_split(regexp_replace({norm_sql('name')}, '\\b\\d+(?:[.,x]\\d+)*\\s*(?:cm|mm|kg)?\\b', ' ', 'g'), ' '), lambda z: z <> '' AND z <> 'kolekcja' AND NOT (regexp_matches(z, '[0-9]') AND regexp_matches(z, '[a-z]'))) AS words FROM products)
-SELECT id, array_to_string(list_filter(words, lambda z, i: list_position(words, z) = i), ' ') AS compared FROM w"""
+COMPARED = oracle("products") + f""", w AS (SELECT id, regexp_replace(regexp_replace({norm_sql("name || ' ' || name")}, '\\b([a-z]{{1,3}}[0-9]{{1,4}}[a-z]?|[0-9]+([.,][0-9]+)?(cm|mm|kg)?)\\b', ' ', 'g'), '\\b(gadget|red)\\b', ' ', 'g') AS n FROM products)
+SELECT id, trim(regexp_replace(n, '\\s+', ' ', 'g')) AS compared FROM w"""
+#: The name twice, as repeated words stay, and a collection whose words are in some names.
+TWICE = F.concat_ws(" ", "name", "name")
 
 
 @query(COMPARED)
 def f23_comparable_name(spark, d):
-    return view(spark, d, "products").select("id", text.comparable_name(F.col("name"), F.lit("kolekcja")).alias("compared"))
+    return view(spark, d, "products").select("id", text.comparable_name(TWICE, F.lit("Gadget Red")).alias("compared"))
 
 
 @query(COMPARED)
 def f23_comparable_name_all(spark, d):
-    return view(spark, d, "products").select("id", text.comparable_name(F.col("name"), F.lit("kolekcja")).alias("compared"))
+    return view(spark, d, "products").select("id", text.comparable_name(TWICE, F.lit("Gadget Red")).alias("compared"))
 
 
 #: Feeds with a unit in the field's name, or in some of the values, or in neither.

@@ -165,21 +165,33 @@ def g4_from_name(spark, d):
     return _Gaps(spark, d).name().select("id", "attr", "rule_id", "old_value", "new_value", "confidence")
 
 
-@query("""WITH s AS (SELECT cast(p_partkey AS varchar) AS id, p_size + 60 AS w, p_partkey % 4 AS k FROM part), t AS (SELECT id, k, 'W' AS attr, least(w, 200) AS due FROM s UNION ALL SELECT id, k, 'L', greatest(w, 200) FROM s)
-SELECT id, attr, CASE WHEN attr = 'W' AND k = 0 THEN 'L2-LUKA-ROZMIAR-SPRZECZNE' ELSE 'L2-LUKA-ROZMIAR' END AS rule_id, CASE WHEN NOT (attr = 'W' AND k = 0) THEN cast(due AS varchar) END AS new_value FROM t WHERE NOT (attr = 'W' AND k = 1)""")
+SIZES = "SELECT cast(p_partkey AS string) AS id, cast(p_size + 60 AS string) || 'x' || cast(150 + p_partkey % 101 AS string) AS size, CASE p_partkey % 5 WHEN 0 THEN cast(p_size + 65 AS string) WHEN 1 THEN cast(least(p_size + 60, 150 + p_partkey % 101) AS string) || ' cm' WHEN 2 THEN 'szeroka' END AS given FROM part"
+
+
+@query(f"""WITH s AS ({SIZES}), p AS (SELECT *, cast(string_split(size, 'x')[1] AS integer) AS a, cast(string_split(size, 'x')[2] AS integer) AS b FROM s),
+t AS (SELECT id, 'W' AS attr, least(a, b) AS due, given FROM p UNION ALL SELECT id, 'L', greatest(a, b), NULL FROM p), j AS (SELECT *, try_cast(regexp_replace(given, ' cm$', '') AS double) AS num FROM t)
+SELECT id, attr, CASE WHEN given IS NULL THEN 'L2-LUKA-ROZMIAR' ELSE 'L2-LUKA-ROZMIAR-SPRZECZNE' END AS rule_id, given AS old_value, CASE WHEN given IS NULL THEN cast(due AS varchar) END AS new_value FROM j WHERE given IS NULL OR num IS NULL OR abs(num - due) > 0.5""")
 def g5_from_size(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") + 60).alias("w"), (F.col("p_partkey") % 4).alias("k"))
-    size = p.select("id", F.lit("S").alias("attr"), F.concat(F.col("w").cast("string"), F.lit("x200")).alias("value"))
-    given = p.where("k < 2").select("id", F.lit("W").alias("attr"), F.when(F.col("k") == 0, F.col("w") + 5).otherwise(F.least("w", F.lit(200))).cast("string").alias("value"))
+    """Widths that agree, differ, can't be read, or are missing."""
+    p = spark.sql(SIZES.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    values = p.select("id", F.lit("S").alias("attr"), F.col("size").alias("value")).unionByName(p.where("given is not null").select("id", F.lit("W").alias("attr"), F.col("given").alias("value")))
     own = p.select("id", F.explode(F.array(F.lit("W"), F.lit("L"))).alias("attr"))
-    return gaps.from_size(own, size.unionByName(given), "S", ("W", "L")).select("id", "attr", "rule_id", "new_value")
+    return gaps.from_size(own, values, "S", ("W", "L")).select("id", "attr", "rule_id", "old_value", "new_value")
+
+
+SLEEP = """SELECT cast(p_partkey AS string) AS id, CASE WHEN p_partkey % 7 = 2 THEN 'Sofa rozkładana' WHEN p_partkey % 7 = 3 THEN 'Fotel rozkładany do stołu' ELSE 'Sofa ' || p_name END AS name, CASE WHEN p_partkey % 11 = 4 THEN 'Kanapy' ELSE 'Meble' END AS node_name,
+CASE p_partkey % 8 WHEN 0 THEN 'Z funkcją spania' WHEN 1 THEN 'bez funkcji' WHEN 2 THEN 'tak' END AS old, CASE WHEN p_partkey % 9 = 1 THEN 'DL' WHEN p_partkey % 9 = 2 THEN 'bez mechanizmu' END AS mechanism,
+CASE p_partkey % 10 WHEN 1 THEN 'z barkiem' WHEN 2 THEN 'z barkiem, Z funkcją spania' WHEN 3 THEN 'bez funkcji spania' END AS now FROM part"""
 
 
-@query("""WITH p AS (SELECT cast(p_partkey AS varchar) AS id, p_partkey % 5 AS k FROM part) SELECT id, CASE k WHEN 0 THEN 0.92 WHEN 1 THEN 0.9 ELSE 0.8 END AS confidence, CASE k WHEN 1 THEN 'z barkiem, z funkcją spania' ELSE 'z funkcją spania' END AS new_value FROM p WHERE k < 3""")
+@query(f"""WITH s AS ({SLEEP}), e AS (SELECT *, greatest(CASE WHEN old LIKE 'Z funkcj%' THEN 0.92 ELSE 0 END, CASE WHEN mechanism <> '' THEN 0.9 ELSE 0 END, CASE WHEN node_name = 'Kanapy' THEN 0.92 ELSE 0 END, CASE WHEN name LIKE '%rozkładan%' AND name NOT LIKE '%do stołu%' THEN 0.8 ELSE 0 END) AS sure FROM s)
+SELECT id, cast(sure AS double) AS confidence, CASE WHEN now IS NULL THEN 'z funkcją spania' ELSE now || ', z funkcją spania' END AS new_value FROM e WHERE sure > 0 AND coalesce(old, '') NOT LIKE 'bez%' AND coalesce(now, '') NOT LIKE '%, Z funkcją spania'""")
 def g6_from_sleep(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_partkey") % 5).alias("k")).withColumn("name", F.when(F.col("k") == 2, "Sofa rozkładana").when(F.col("k") == 4, "Sofa rozkładana").otherwise("Sofa"))
-    v = p.select("id", "k", F.inline(F.array(*(F.struct(F.lit(a).alias("attr"), c.alias("value")) for a, c in (("Funkcja spania", F.when(F.col("k") == 0, "tak").when(F.col("k") == 4, "bez funkcji")), ("Mechanizm", F.when(F.col("k") <= 1, "DL")), ("Funkcje", F.when(F.col("k") == 1, "z barkiem"))))))).where("value is not null").drop("k")
-    return gaps.from_sleep(p, p.select("id", F.lit("Funkcje").alias("attr")), v).select("id", "confidence", "new_value")
+    """Evidence of the old field, a mechanism, the node and the name, alone and together."""
+    p = spark.sql(SLEEP.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    values = p.select("id", F.inline(F.array(*(F.struct(F.lit(a).alias("attr"), F.col(c).alias("value")) for a, c in (("Funkcja spania", "old"), ("Mechanizm", "mechanism"), ("Funkcje", "now")))))).where("value is not null")
+    labels = spark.sql("SELECT 'Funkcje' AS attr, 'z funkcją spania' AS label")
+    return gaps.from_sleep(p, p.select("id", F.lit("Funkcje").alias("attr")), values, not_named="do stolu", node_named="^kanap", labels=labels).select("id", "confidence", "new_value")
 
 
 @query(G + """, fam AS (SELECT o.id, p.category, p.producer, e.value FROM own o JOIN products p ON p.id = o.id LEFT JOIN eff e ON e.id = o.id AND e.attr = o.attr AND e.value NOT IN ('bez drzwi', '3-drzwiowe') WHERE o.attr = 'Liczba drzwi'),
@@ -215,7 +227,7 @@ class _AllGaps(_Gaps):
     def __init__(self, spark, d):
         super().__init__(spark, d)
         promo = self.products.where("category = 'PROMO'")
-        said = ((F.col("n") % 5 == 0, "Funkcja spania", "tak"), (F.col("n") % 5 == 2, "Funkcje", "z funkcją spania"), (F.col("n") % 5 == 2, "Rozmiar", "90x200"), (F.col("n") % 10 == 2, "Szerokość powierzchni spania", "95"))
+        said = ((F.col("n") % 5 == 0, "Funkcja spania", "z funkcją spania"), (F.col("n") % 5 == 2, "Funkcje", "z funkcją spania"), (F.col("n") % 5 == 2, "Rozmiar", "90x200"), (F.col("n") % 10 == 2, "Szerokość powierzchni spania", "95"))
         cells = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(a).alias("attr"), F.lit(v).alias("value"))) for when, a, v in said)))
         self.values = tables.written(self.values.unionByName(promo.select("id", F.inline(cells))), "effective")  # six sources read both
         self.own = tables.written(gaps.cells(self.products, spark.sql(NODE_FILTERS), spark.sql(FILTERS), self.values), "filter-cells")
@@ -227,7 +239,7 @@ class _AllGaps(_Gaps):
 
 
 G6 = oracle("products", "attrs", "components") + f""", filters AS ({FILTERS}), nodefil AS ({NODE_FILTERS}), eff AS (SELECT id, attr, value FROM attrs UNION ALL SELECT id, attr, value FROM components c WHERE NOT EXISTS (SELECT 1 FROM attrs a WHERE a.id = c.id AND a.attr = c.attr)
- UNION ALL SELECT p.id, v.attr, v.value FROM products p JOIN (VALUES (5, 0, 'Funkcja spania', 'tak'), (5, 2, 'Funkcje', 'z funkcją spania'), (5, 2, 'Rozmiar', '90x200'), (10, 2, 'Szerokość powierzchni spania', '95')) AS v(m, k, attr, value) ON p.n % v.m = v.k WHERE p.category = 'PROMO'),
+ UNION ALL SELECT p.id, v.attr, v.value FROM products p JOIN (VALUES (5, 0, 'Funkcja spania', 'z funkcją spania'), (5, 2, 'Funkcje', 'z funkcją spania'), (5, 2, 'Rozmiar', '90x200'), (10, 2, 'Szerokość powierzchni spania', '95')) AS v(m, k, attr, value) ON p.n % v.m = v.k WHERE p.category = 'PROMO'),
 own0 AS (SELECT p.id, f.attr FROM products p JOIN nodefil f ON f.node = 1 WHERE p.n % 10 = 1 UNION SELECT p.id, f.attr FROM products p JOIN filters f ON f.category = p.category WHERE p.n % 10 <> 1),
 own AS (SELECT * FROM own0 o WHERE NOT (attr LIKE '%powierzchni spania' AND id IN (SELECT id FROM own0 WHERE attr = 'Funkcje') AND NOT EXISTS (SELECT 1 FROM eff e WHERE e.id = o.id AND e.attr = 'Funkcje'))),
 {SUB}, {NAM},

@@ -6,7 +6,7 @@ from shelfwise.plans.registry import ORACLE_SQL
 from shelfwise.plans.bridge import view
 
 SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-SUFFIXES = ("-drzwiowa z szufladami", "dwudrzwiowa", "z szuflada", "bez drzwi", "", "", "sr.", "z szufladami", "", "", "", "")
+SUFFIXES = ("-drzwiowa z szufladami", "dwudrzwiowa", "z szuflada", "bez drzwi", "2d1w3s", "{size}", "sr.", "z szufladami", "cm", "", "", "")
 
 
 def _duck(sql, sf=SF):
@@ -21,11 +21,12 @@ def _duck(sql, sf=SF):
 def test_comparable_names_of_all_products(spark):
     from shelfwise.plans import cells
 
-    plain = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    plain = {r.p_partkey: (r.p_name, f"{10 + r.p_size}x{100 + r.p_partkey % 90}") for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
     got = {int(r.id): r.compared for r in cells.f23_comparable_name_all(spark, SF).collect()}
     assert {k % 12 for k in got} == set(range(12)) and len(got) == view(spark, SF, "products").count()
-    for k, name in plain.items():
-        assert got[k] == f"{name} {SUFFIXES[k % 12]}".strip(), k
+    for k, (name, size) in plain.items():
+        one = f"{name} {SUFFIXES[k % 12].format(size=size)}".strip()
+        assert got[k] == " ".join(w for w in f"{one} {one}".split() if w not in ("gadget", "red")), k
 
 
 def test_producers_of_all_tabs(spark):
