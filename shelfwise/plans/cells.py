@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
-from shelfwise.operators import detect, dictionary
+from shelfwise.operators import detect, dictionary, quantiles
 from shelfwise.operators import findings as fs
 from shelfwise.plans.bridge import norm_sql, number_sql, number_text_sql, oracle, table, view
 from shelfwise.plans.registry import query
@@ -282,6 +282,18 @@ def r1_learn_ranges(spark, d):
     return detect.learn_ranges(table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("category"), F.lit("q").alias("attr"), F.col("l_quantity").alias("num")))
 
 
+@query("""WITH v AS (SELECT 'all' AS category, l_extendedprice - l_partkey * 3.7 AS num FROM lineitem UNION ALL SELECT 'flag ' || l_returnflag, l_extendedprice FROM lineitem UNION ALL SELECT 'few ' || l_suppkey, l_quantity FROM lineitem WHERE l_orderkey < 500)
+SELECT category, count(*) AS n, round(quantile_cont(num, 0.01), 6) AS p1, round(median(num), 6) AS middle, round(quantile_cont(num, 0.99), 6) AS p99 FROM v GROUP BY category""")
+def r1_exact_percentiles(spark, d):
+    """One group of all rows, three large ones and many small, by selection with intervals of at most 500 values."""
+    line = table(spark, d, "lineitem")
+    values = line.select(F.lit("all").alias("category"), (F.col("l_extendedprice") - F.col("l_partkey") * 3.7).alias("num"))
+    values = values.unionByName(line.select(F.concat(F.lit("flag "), "l_returnflag").alias("category"), F.col("l_extendedprice").alias("num")))
+    values = values.unionByName(line.where("l_orderkey < 500").select(F.concat(F.lit("few "), F.col("l_suppkey").cast("string")).alias("category"), F.col("l_quantity").alias("num")))
+    found = quantiles.percentiles(values, ["category"], "num", [0.01, 0.5, 0.99], leaf=500, bins=64)
+    return found.select("category", "n", *(F.round(F.col("p")[k], 6).alias(c) for k, c in enumerate(("p1", "middle", "p99"))))
+
+
 @query(NUMS + f""", val AS (SELECT 'all' AS category, attr, num FROM num), {RANGES},
 o AS (SELECT n.id, n.attr, n.num, r.* EXCLUDE (category, attr), n.num > r.high * 1.5 OR n.num < r.low / 1.5 AS far FROM num n JOIN ranges r ON r.attr = n.attr WHERE n.num < r.low OR n.num > r.high),
 s AS (SELECT *, CASE WHEN NOT far THEN NULL WHEN num * 10 BETWEEN p1 AND p99 THEN '×10' WHEN num * 0.1 BETWEEN p1 AND p99 THEN '÷10' WHEN num * 0.01 BETWEEN p1 AND p99 THEN '÷100' WHEN num * 100 BETWEEN p1 AND p99 THEN '×100' END AS fit FROM o)
