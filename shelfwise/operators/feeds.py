@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import text
 from shelfwise.operators import findings as f
 from shelfwise.operators import similar
+from shelfwise.sources import tables
 
 # Tolerances, scales and bounds.
 TOLERANCE, WEIGHT_TOLERANCE, WEIGHT = 0.03, 0.10, "Waga"
@@ -179,11 +180,21 @@ def numeric_fields(long: DataFrame, matches: DataFrame, key_rec: DataFrame, nums
 
 
 def assign_fields(candidates: DataFrame) -> DataFrame:
-    """Best field of each attribute, and best attribute of each field: what both sides prefer."""
-    order = [F.desc("share"), F.desc("n"), F.abs(F.col("scale") - 1)]
-    a = Window.partitionBy("source", "attr").orderBy(*order, "field")
-    b = Window.partitionBy("source", "field").orderBy(*order, "attr")
-    return candidates.withColumn("ka", F.row_number().over(a)).withColumn("kb", F.row_number().over(b)).where("ka = 1 and kb = 1").select("source", "attr", "field", "scale", "share", "n")
+    """(source, attr, field, scale, share, n): the greedy assignment, the best pair first, each attribute and field once.
+
+    A pair that is the best of both its ends is in the greedy assignment whatever else is; so each round takes all such pairs,
+    of all sources at once, and leaves out what they use, until no candidate is left. An attribute whose first field is
+    taken gets its second. Ties go by attribute, field and scale, so the order is total.
+    """
+    order = [F.desc("share"), F.desc("n"), F.abs(F.col("scale") - 1), "attr", "field", "scale"]
+    a, b = Window.partitionBy("source", "attr").orderBy(*order), Window.partitionBy("source", "field").orderBy(*order)
+    left, taken = tables.written(candidates.select("source", "attr", "field", "scale", "share", "n"), "fields"), None
+    while taken is None or not left.isEmpty():
+        best = left.withColumn("ka", F.row_number().over(a)).withColumn("kb", F.row_number().over(b)).where("ka = 1 and kb = 1").drop("ka", "kb")
+        best = tables.written(best, "assigned")
+        taken = best if taken is None else taken.unionByName(best)
+        left = tables.written(left.join(best.select("source", "attr"), ["source", "attr"], "left_anti").join(best.select("source", "field"), ["source", "field"], "left_anti").select(*left.columns), "fields")
+    return taken
 
 
 def recommended(tabs: DataFrame, mapped: DataFrame, least: int = 5) -> DataFrame:
