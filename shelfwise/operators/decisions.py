@@ -5,11 +5,11 @@ log: (seq, id, attr, old_value, status, new_value, ts, batch_id). status 'cofnie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
-from shelfwise.operators.review import AUTO_CONFIDENCE, UNDONE, latest
+from shelfwise.operators.review import AUTO_CONFIDENCE, UNDONE, facets, latest
 
 APPLIED, FALSE_ALARM, POSTPONED, TO_IMPORT = "zastosowana", "falszywy_alarm", "odlozona", "do_importu"
 KEY = ("id", "attr", "hash")
@@ -158,6 +158,41 @@ def decided_page(log: DataFrame, products: DataFrame, status: str | None = None,
     return rows.orderBy(F.desc("ts"), F.desc("seq")).offset(offset).limit(limit)
 
 
+def decided(log: DataFrame, products: DataFrame, findings: DataFrame, made: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """Decisions that hold with their product, the first finding (fid) of their cell, and their batch: rule_id, severity, layer, grp, batch_created, batch_withdrawn. What is missing is null."""
+    about = products.groupBy("id").agg(*(F.min(c).alias(c) for c in ("name", "producer", "category", "photo")))
+    first = findings.withColumn("hash", text.value_hash(F.col("old_value"))).groupBy(*KEY).agg(F.min_by(F.struct("rule_id", "severity", "layer", "grp"), "fid").alias("of")).select(*KEY, "of.*")
+    sent = made.groupBy("batch_id").agg(F.min("created").alias("batch_created")).join(withdrawn.select("batch_id").distinct().withColumn("batch_withdrawn", F.lit(True)), "batch_id", "left")
+    rows = current(log).join(about, "id", "left").join(first, list(KEY), "left").join(sent, "batch_id", "left")
+    return rows.withColumn("batch_withdrawn", F.coalesce("batch_withdrawn", F.lit(False)))
+
+
+def decided_predicate(*, status: str | None = None, attr: str | None = None, rule: str | None = None, producer: str | None = None, category: str | None = None, export: str | None = None, search: str | None = None) -> Column:
+    """All filters that are given, and-ed. export: 'waiting' (applied, in no batch) or 'sent'; search: a part of the name, or the id."""
+    out = F.lit(True)
+    for column, value in (("status", status), ("attr", attr), ("rule_id", rule), ("producer", producer), ("category", category)):
+        out &= F.coalesce(F.col(column) == value, F.lit(False)) if value else F.lit(True)
+    if export == "waiting":
+        out &= F.col("batch_id").isNull() & (F.col("status") == APPLIED)
+    elif export == "sent":
+        out &= F.col("batch_id").isNotNull()
+    if search:
+        out &= F.coalesce(F.contains(F.lower("name"), F.lit(search.lower())), F.lit(False)) | (F.col("id") == search)
+    return out
+
+
+def decided_list(rows: DataFrame, limit: int = 100, offset: int = 0, **filters) -> tuple[DataFrame, DataFrame]:
+    """(a page, the latest first; the number of all) of decided() under filters."""
+    found = rows.where(decided_predicate(**filters))
+    return found.orderBy(F.desc("ts"), F.desc("seq")).offset(offset).limit(limit), found.agg(F.count("*").alias("n"))
+
+
+def decided_facets(rows: DataFrame, filters: dict, top: int = 40) -> DataFrame:
+    """(dimension, value, n): attributes, rules, producers (the top ones) and categories, each under all other filters; a chosen value stays, with 0 if need be."""
+    dimensions = {"attr": "attr", "rule": "rule_id", "producer": "producer", "category": "category"}
+    return facets(rows, filters, dimensions, top, decided_predicate, ("producer",)).where("value is not null and value <> ''")
+
+
 def decided_counters(log: DataFrame) -> DataFrame:
     s = F.col("status")
     return current(log).agg(F.count("*").alias("n"), F.count_if(s == APPLIED).alias("applied"), F.count_if(s == FALSE_ALARM).alias("false_alarms"), F.count_if(s == POSTPONED).alias("postponed"), F.count_if(F.col("batch_id").isNotNull()).alias("exported"), F.count_if((s == APPLIED) & F.col("batch_id").isNull()).alias("waiting"))

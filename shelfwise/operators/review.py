@@ -101,14 +101,15 @@ def by_product(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     return page.join(own, "id").select("id", "rank", "n", "ready", F.transform("findings", lambda x: x["fid"]).alias("fids"))
 
 
-def facets(rows: DataFrame, filters: dict, dimensions: dict[str, str], top: int = 40) -> DataFrame:
-    """Counts of each dimension's values under all other filters; a chosen value stays, with 0 if need be."""
-    under = {key: predicate(**{k: v for k, v in filters.items() if k != key}) for key in dimensions}
+def facets(rows: DataFrame, filters: dict, dimensions: dict[str, str], top: int = 40, of=predicate, limited: tuple[str, ...] | None = None) -> DataFrame:
+    """Counts of each dimension's values under all other filters, the top ones (of all dimensions, or of the limited ones); a chosen value stays, with 0 if need be. `of` makes the condition of filters."""
+    under = {key: of(**{k: v for k, v in filters.items() if k != key}) for key in dimensions}
     cells = [F.when(under[key], F.struct(F.lit(key).alias("dimension"), F.col(column).cast("string").alias("value"))) for key, column in dimensions.items()]
     counts = rows.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
     place = Window.partitionBy("dimension").orderBy(F.desc("n"), "value")
     chosen = F.coalesce(*(F.when((F.col("dimension") == k) & (F.col("value") == str(v)), F.lit(True)) for k, v in filters.items() if v and k in dimensions), F.lit(False)) if any(filters.get(k) for k in dimensions) else F.lit(False)
-    shown = counts.withColumn("place", F.row_number().over(place)).where((F.col("place") <= top) | chosen).select("dimension", "value", F.when((F.col("place") <= top), F.col("n")).otherwise(F.lit(0)).cast("long").alias("n"))
+    within = (F.col("place") <= top) if limited is None else (F.col("place") <= top) | ~F.col("dimension").isin(*limited)
+    shown = counts.withColumn("place", F.row_number().over(place)).where(within | chosen).select("dimension", "value", F.when(within, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n"))
     for key in dimensions:
         if filters.get(key):
             zero = rows.sparkSession.range(1).select(F.lit(key).alias("dimension"), F.lit(str(filters[key])).alias("value"), F.lit(0).cast("long").alias("n"))

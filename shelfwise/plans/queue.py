@@ -313,6 +313,34 @@ def w5_decided_page(spark, d):
     return decisions.decided_page(view(spark, d, "decisions"), view(spark, d, "people"), "odlozona", False).select("id", "attr", "seq", "name")
 
 
+DECIDED = oracle("people", "decisions", "findings") + CUR + f""", made AS ({MADE}), gone AS ({GONE}), ff AS (SELECT *, row_number() OVER (PARTITION BY id, attr, substr(sha1(coalesce(old_value, '')), 1, 12) ORDER BY fid) AS k, substr(sha1(coalesce(old_value, '')), 1, 12) AS hash FROM findings),
+dec AS (SELECT c.*, p.name, p.producer, p.category, f.rule_id, f.severity, f.grp, m.created AS batch_created, g.batch_id IS NOT NULL AS batch_withdrawn FROM cur c LEFT JOIN people p ON p.id = c.id LEFT JOIN ff f ON f.k = 1 AND f.id = c.id AND f.attr = c.attr AND f.hash = c.hash
+LEFT JOIN made m ON m.batch_id = c.batch_id LEFT JOIN gone g ON g.batch_id = m.batch_id)"""
+
+
+def _decided(spark, d):
+    return decisions.decided(view(spark, d, "decisions"), view(spark, d, "people"), view(spark, d, "findings"), _made(spark, d), spark.sql(GONE))
+
+
+@query(DECIDED + """, s AS (SELECT * FROM dec WHERE status = 'zastosowana' AND batch_id IS NOT NULL AND (name ILIKE '%1%' OR id = '1')), w AS (SELECT * FROM dec WHERE status = 'zastosowana' AND batch_id IS NULL AND rule_id = 'L1-ZAPIS' AND category = 'MACHINERY')
+SELECT 'sent' AS list, (SELECT count(*) FROM s) AS n, id, attr, seq, rule_id, severity, grp, batch_created, batch_withdrawn FROM (SELECT * FROM s ORDER BY ts DESC, seq DESC LIMIT 60 OFFSET 20)
+UNION ALL SELECT 'waiting', (SELECT count(*) FROM w), id, attr, seq, rule_id, severity, grp, batch_created, batch_withdrawn FROM (SELECT * FROM w ORDER BY ts DESC, seq DESC LIMIT 60)""")
+def w5_decided_list(spark, d):
+    """Two lists under several filters, with finding, batch and count."""
+    rows, out = tables.written(_decided(spark, d), "decided"), []
+    for name, offset, filters in (("sent", 20, {"status": "zastosowana", "export": "sent", "search": "1"}), ("waiting", 0, {"export": "waiting", "rule": "L1-ZAPIS", "category": "MACHINERY"})):
+        page, n = decisions.decided_list(rows, 60, offset, **filters)
+        out.append(page.select(F.lit(name).alias("list"), F.lit(n.first().n).alias("n"), "id", "attr", "seq", "rule_id", "severity", "grp", "batch_created", "batch_withdrawn"))
+    return out[0].unionByName(out[1])
+
+
+@query(DECIDED + """, f AS (SELECT 'attr' AS dimension, attr AS value, count(*) AS n FROM dec WHERE status = 'zastosowana' AND producer = 'P3' GROUP BY attr UNION ALL SELECT 'rule', rule_id, count(*) FROM dec WHERE status = 'zastosowana' AND producer = 'P3' AND attr = 'A3' GROUP BY rule_id
+UNION ALL SELECT 'category', category, count(*) FROM dec WHERE status = 'zastosowana' AND producer = 'P3' AND attr = 'A3' GROUP BY category UNION ALL SELECT * FROM (SELECT 'producer', producer, count(*) AS n FROM dec WHERE status = 'zastosowana' AND attr = 'A3' GROUP BY producer ORDER BY n DESC, producer LIMIT 40)
+UNION ALL SELECT 'attr', 'A3', 0 UNION ALL SELECT 'producer', 'P3', 0) SELECT dimension, value, max(n) AS n FROM f WHERE value IS NOT NULL AND value <> '' GROUP BY 1, 2""")
+def w6_decided_facets(spark, d):
+    return decisions.decided_facets(_decided(spark, d), {"status": "zastosowana", "attr": "A3", "producer": "P3"})
+
+
 @query(oracle("decisions") + CUR + """ SELECT count(*) AS n, count(*) FILTER (status = 'zastosowana') AS applied, count(*) FILTER (status = 'falszywy_alarm') AS false_alarms, count(*) FILTER (status = 'odlozona') AS postponed, count(batch_id) AS exported, count(*) FILTER (status = 'zastosowana' AND batch_id IS NULL) AS waiting FROM cur""")
 def w6_decided_counters(spark, d):
     return decisions.decided_counters(view(spark, d, "decisions"))
