@@ -10,7 +10,7 @@ from shelfwise.functions import text
 from shelfwise.operators import feeds, gaps, maintenance, photos, tree
 from shelfwise.plans.bridge import norm_sql, number_text_sql, oracle, table, view
 from shelfwise.plans.registry import query
-from shelfwise.sources import readers, tables
+from shelfwise.sources import mixed, readers, tables
 
 # ---- tree: regions and nations; a root above
 
@@ -719,3 +719,41 @@ def s8_sheet_records(spark, d):
 def s23_mined(spark, d):
     long = readers.mined(_long(spark, d))
     return long.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("field").contains("»")).alias("mined"))
+
+
+#: A feed of each brand, by its number: XML, JSON, CSV, XML that breaks off, and tabs of XML, JSON and a table.
+LINE = "'wymiary: ' || cast(p_size * 10 + 600 AS string) || 'x' || cast(p_size * 10 + 1000 AS string) || 'x400 mm'"
+MIXED = f"SELECT replace(p_brand, '#', '') AS source, p_partkey AS n, p_name AS name, {LINE} AS desc, cast(replace(p_brand, 'Brand#', '') AS int) % 7 AS kind FROM part"
+
+
+def _documents(spark, d):
+    p = spark.sql(MIXED.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    fields = {"id": F.col("n").cast("string"), "name": F.col("name"), "desc": F.col("desc")}
+    tag = lambda name, *inside: F.concat(F.lit(f"<{name}>"), *inside, F.lit(f"</{name}>"))
+    as_xml = tag("offer", *(tag(k, c) for k, c in fields.items()))
+    as_json = F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+    as_csv = F.concat_ws(";", *(F.concat(F.lit('"'), c, F.lit('"')) for c in fields.values()))
+    return p.select("source", "n", "kind", *(c.alias(k) for k, c in (("xml", as_xml), ("json", as_json), ("csv", as_csv))), F.array(*fields.values()).alias("cells"))
+
+
+def _mixed(spark, d):
+    p = tables.written(_documents(spark, d), "documents")
+    whole = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]), by)
+    kind = F.col("kind")
+    body = F.when(kind == 0, F.concat(F.lit('<?xml version="1.0"?><feed><shop/>'), whole("xml", "\n"), F.lit("</feed>"))).when(kind == 1, F.concat(F.lit('{"meta": [1], "items": ['), whole("json", ","), F.lit("]}")))
+    body = body.when(kind == 2, F.concat(F.lit("id;name;desc\n"), whole("csv", "\n"))).when(kind == 3, F.concat(F.lit("<feed>"), whole("xml", ""), F.lit("<offer>")))
+    made = p.where("kind < 4").groupBy("source", "kind").agg(body.alias("text")).select("source", "text")
+    made.repartition("source").write.partitionBy("source").text(at := f"{tables.shared_dir(spark)}/mixed-{uuid.uuid4().hex}")
+    cells = p.where("kind >= 4").select(F.col("source").alias("tab"), F.col("n").alias("row_no"), F.when(kind == 4, F.array("xml")).when(kind == 5, F.array("json")).otherwise(F.col("cells")).alias("cells"))
+    heads = p.where("kind = 6").select(F.col("source").alias("tab"), F.lit(-1).cast("long").alias("row_no"), F.array(F.lit("id"), F.lit("name"), F.lit("desc"), F.lit("")).alias("cells")).distinct()
+    return mixed.scan(mixed.files(spark, at, "source=([^/]+)/"), cells.unionByName(heads))
+
+
+@query(f"""WITH m AS ({MIXED}), f AS (SELECT source, kind, unnest(['id', 'name', 'desc', 'desc » wymiar 1', 'desc » wymiar 2', 'desc » wymiar 3']) AS field, unnest([cast(n AS varchar), name, "desc", split_part(split_part("desc", ' ', 2), 'x', 1), split_part(split_part("desc", ' ', 2), 'x', 2), '400']) AS value FROM m),
+v AS (SELECT source, field, CASE WHEN field LIKE '%»%' THEN cast(cast(value AS integer) // 10 AS varchar) ELSE value END AS value FROM f)
+SELECT source, field, count(*) AS n, min(value) AS low, max(value) AS high FROM v GROUP BY ALL UNION ALL SELECT source, '!error', 1, 'broken', 'broken' FROM m WHERE kind = 3 GROUP BY source""")
+def s8_s23_mixed_sources(spark, d):
+    """Files and tabs of all formats in one scan, with what their descriptions hold; feeds that break off keep what came before."""
+    long = _mixed(spark, d)
+    value = F.when(F.col("field") == "!error", "broken").otherwise(F.col("value"))
+    return long.groupBy("source", "field").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))

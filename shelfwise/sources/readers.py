@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
@@ -78,11 +78,16 @@ def long_form(rows: DataFrame, source: str) -> DataFrame:
     return numbered.select(F.lit(source).alias("source"), F.col("__rec").alias("rec"), F.inline(cells))
 
 
-def sniff(files: DataFrame) -> DataFrame:
-    """files (path, content) → format by the first sign that isn't blank, else by the name."""
-    head = F.ltrim(F.replace(F.replace(F.replace(F.decode(F.substring("content", 1, 200), "UTF-8"), F.lit("﻿"), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
+def with_format(files: DataFrame) -> DataFrame:
+    """files (path, content, …) with format: by the first sign that isn't blank, else by the name."""
+    head = F.ltrim(F.replace(F.replace(F.replace(F.substring("content", 1, 200).cast("string"), F.lit("\ufeff"), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
     name = F.lower("path")
-    return files.select("path", F.when(head.startswith("<"), "xml").when(head.rlike(r"^[\[{]"), "json").when(name.endswith(".xml"), "xml").when(name.endswith(".json"), "json").otherwise("csv").alias("format"))
+    return files.withColumn("format", F.when(head.startswith("<"), "xml").when(head.rlike(r"^[\[{]"), "json").when(name.endswith(".xml"), "xml").when(name.endswith(".json"), "json").otherwise("csv"))
+
+
+def sniff(files: DataFrame) -> DataFrame:
+    """files (path, content) → (path, format)."""
+    return with_format(files).select("path", "format")
 
 
 def json_records(docs: DataFrame) -> DataFrame:
@@ -126,6 +131,22 @@ def record_tag(elements: DataFrame) -> DataFrame:
     return repeated.groupBy("doc").agg(F.min_by("tag", F.struct("depth", -F.col("n"), "tag")).alias("tag"))
 
 
+def flatten(e, prefix: str, out: dict) -> None:
+    """What an XML element holds, by paths, into out: names without namespaces."""
+    local = lambda tag: tag.rpartition("}")[2]
+    seen: dict[str, int] = {}
+    for child in e:
+        label = next((child.get(a) for a in LABELLING if child.get(a)), None) if len(child) == 0 else None
+        name = f"{local(child.tag)}:{label.strip()}" if label else local(child.tag)
+        seen[name] = seen.get(name, 0) + 1
+        path = (f"{prefix}." if prefix else "") + name + (f"[{seen[name]}]" if seen[name] > 1 else "")
+        out.update({f"{path}@{local(k)}": v.strip() for k, v in child.attrib.items() if not (label and k in LABELLING)})
+        if len(child):
+            flatten(child, path, out)
+        else:
+            out[path] = (child.text or "").strip()
+
+
 def xml_records(docs: DataFrame, tag: str) -> DataFrame:
     """docs (source, xml) → long rows of the elements named tag: paths 'a.b', attributes 'a@k', repeats 'a[2]', and 'a:Name' for leaves with a naming attribute.
 
@@ -133,19 +154,6 @@ def xml_records(docs: DataFrame, tag: str) -> DataFrame:
     """
     schema = pa.schema([("source", pa.string()), ("rec", pa.int64()), ("field", pa.string()), ("value", pa.string())])
 
-    def flatten(e, prefix: str, out: dict) -> None:
-        seen: dict[str, int] = {}
-        for child in e:
-            label = next((child.get(a) for a in LABELLING if child.get(a)), None) if len(child) == 0 else None
-            name = f"{child.tag}:{label.strip()}" if label else child.tag
-            seen[name] = seen.get(name, 0) + 1
-            path = (f"{prefix}." if prefix else "") + name + (f"[{seen[name]}]" if seen[name] > 1 else "")
-            out.update({f"{path}@{k}": v.strip() for k, v in child.attrib.items() if not (label and k in LABELLING)})
-            if len(child):
-                flatten(child, path, out)
-            else:
-                out[path] = (child.text or "").strip()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xml.etree.ElementTree as ET
 
@@ -166,10 +174,10 @@ def xml_records(docs: DataFrame, tag: str) -> DataFrame:
     return docs.select(F.col("source").cast("string"), F.col("xml").cast("string")).mapInArrow(run, "source string, rec long, field string, value string")
 
 
-def sheet_kind(cells: DataFrame) -> DataFrame:
-    """cells (tab, row_no, cells array) → what a tab's first column mostly holds: xml, json or table."""
-    first = F.trim(F.get("cells", F.lit(0)))
-    rows = cells.withColumn("a", first).where("a <> ''")
+def sheet_kind(cells: DataFrame, looked_at: int = 200) -> DataFrame:
+    """cells (tab, row_no, cells array) → what a tab's first column mostly holds in its first filled rows: xml, json or table."""
+    rows = cells.select("tab", "row_no", F.trim(F.get("cells", F.lit(0))).alias("a")).where("a <> ''")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("tab").orderBy("row_no"))).where(F.col("k") <= looked_at)
     return rows.groupBy("tab").agg(F.avg(F.col("a").startswith("<").cast("int")).alias("x"), F.avg(F.col("a").startswith("{").cast("int")).alias("j")).select("tab", F.when(F.col("x") > 0.5, "xml").when(F.col("j") > 0.5, "json").otherwise("table").alias("kind"))
 
 
