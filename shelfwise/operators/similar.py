@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import fuzzy
+from shelfwise.sources import tables
 
 # Fixed values of the score: its weights and bounds of length.
 WORDS, PART, APART, FAR = 0.95, 0.9, 1.5, 8.0
 _SLACK = 1e-9
+#: Pairs of all blocks together up to which an index costs more than it saves.
+FEW = 100_000
 
 
 def words(c: Column | str) -> Column:
@@ -72,10 +75,14 @@ def possible(rows: DataFrame, a: str, b: str, least: float) -> Column:
     return ok
 
 
-def candidates(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: float) -> DataFrame:
-    """left (keys, a) and right (keys, b) → (keys, a, b), a superset of the pairs whose score is least at least. Blank texts have none."""
-    ours = _with_parts(left.select(*keys, a).where(F.col(a) != "").distinct(), a)
-    theirs = _with_parts(right.select(*keys, b).where(F.col(b) != "").distinct(), b)
+def candidates(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: float, few: int = FEW) -> DataFrame:
+    """left (keys, a) and right (keys, b) → (keys, a, b), a superset of the pairs whose score is least at least. Blank texts have none. So few pairs as `few` in all are held against their bounds without the index."""
+    ours = tables.written(_with_parts(left.select(*keys, a).where(F.col(a) != "").distinct(), a), "ours")
+    theirs = tables.written(_with_parts(right.select(*keys, b).where(F.col(b) != "").distinct(), b), "theirs")
+    sizes = (rows.groupBy(*keys).agg(F.count("*").alias(n)) for rows, n in ((ours, "__n"), (theirs, "__m")))
+    if next(sizes).join(next(sizes), keys).agg(F.coalesce(F.sum(F.col("__n") * F.col("__m")), F.lit(0))).first()[0] <= few:
+        pairs = ours.join(theirs, keys)
+        return pairs.where(possible(pairs, a, b, least)).select(*keys, a, b)
     full, part = least / 100, min(1.0, least / (100 * PART))
     held = theirs.select(*keys, F.explode(f"{b}_grams").alias("__gram")).groupBy(*keys, "__gram").agg(F.count("*").alias("__held"))
     own = ours.select(*keys, F.explode(f"{a}_grams").alias("__gram")).groupBy(*keys, "__gram").agg(F.count("*").alias("__held"))
@@ -103,8 +110,8 @@ def candidates(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: st
     return pairs.where(possible(pairs, a, b, least)).select(*keys, a, b)
 
 
-def scored(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: float) -> DataFrame:
+def scored(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: float, few: int = FEW) -> DataFrame:
     """(keys, a, b, score) of the pairs that reach the score; each two texts are compared once."""
-    pairs = candidates(left, right, keys, a, b, least)
+    pairs = candidates(left, right, keys, a, b, least, few)
     names = pairs.select(a, b).distinct().withColumn("score", fuzzy.score(a, b)).where(F.col("score") >= least)
     return pairs.join(names, [a, b])

@@ -29,7 +29,8 @@ def names(seed, n, stems=STEMS):
 def test_candidates_lose_no_pair(spark, least):
     ours, theirs = names(1, 60), names(2, 60)
     a, b = (spark.createDataFrame([("block", x) for x in rows], f"k string, {c} string") for rows, c in ((ours, "a"), (theirs, "b")))
-    got = {(r.a, r.b): r.score for r in similar.scored(a, b, ["k"], "a", "b", least).collect()}
+    got = {(r.a, r.b): r.score for r in similar.scored(a, b, ["k"], "a", "b", least, 0).collect()}
+    assert {(r.a, r.b): r.score for r in similar.scored(a, b, ["k"], "a", "b", least).collect()} == got
     assert got == {(x, y): s for x in ours for y in theirs if (s := fuzzy.similarity(x, y)) >= least}
 
 
@@ -38,7 +39,7 @@ def test_candidates_are_few_among_names_that_differ(spark):
     stems = ["".join(rng.choice("abcdefghijklmnoprstuwz") for _ in range(rng.randint(4, 9))) for _ in range(400)]
     ours, theirs = names(3, 250, stems), names(4, 250, stems)
     a, b = (spark.createDataFrame([(x,) for x in rows], f"{c} string").withColumn("k", F.lit("block")) for rows, c in ((ours, "a"), (theirs, "b")))
-    assert similar.candidates(a, b, ["k"], "a", "b", 78.0).count() < len(ours) * len(theirs) / 10
+    assert similar.candidates(a, b, ["k"], "a", "b", 78.0, 0).count() < len(ours) * len(theirs) / 10
     assert similar.candidates(a.limit(0), b, ["k"], "a", "b", 78.0).count() == 0
     blank = spark.createDataFrame([("block", ""), ("block", None), (None, "szafa")], "k string, a string")
     assert similar.candidates(blank, b, ["k"], "a", "b", 78.0).count() == 0
