@@ -114,10 +114,11 @@ def relations(nums: DataFrame, rules: DataFrame) -> DataFrame:
 def learn_ranges(values: DataFrame, least: int = LEAST_VALUES) -> DataFrame:
     """values (category, attr, num) → robust bounds of each (category, attr) with enough values; however large a group is, no task holds it."""
     keys = ["category", "attr"]
-    first = quantiles.of_groups(values, keys, "num", [0.01, 0.5, 0.99]).where(F.col("n") >= least)
-    first = tables.written(first, "first")
+    large = quantiles.large_groups(values, keys, "num")
+    first = quantiles.of_groups(values, keys, "num", [0.01, 0.5, 0.99], large).where(F.col("n") >= least)
+    first = first if large is None else tables.written(first, "first")
     apart = values.join(first.select(*keys, F.col("p")[1].alias("median")), keys).select(*keys, F.abs(F.col("num") - F.col("median")).alias("apart"))
-    spread = quantiles.of_groups(apart, keys, "apart", [0.5]).select(*keys, F.col("p")[0].alias("mad"))
+    spread = quantiles.of_groups(apart, keys, "apart", [0.5], large).select(*keys, F.col("p")[0].alias("mad"))
     out = first.join(spread, keys).select(*keys, "n", F.col("p")[1].alias("median"), "mad", F.col("p")[0].alias("p1"), F.col("p")[2].alias("p99"))
     low, high = F.least("p1", F.col("median") - 6 * F.col("mad")), F.greatest("p99", F.col("median") + 6 * F.col("mad"))
     return out.select(*keys, "n", F.bround("median", 2).alias("median"), F.bround("mad", 2).alias("mad"), F.bround("p1", 2).alias("p1"), F.bround("p99", 2).alias("p99"), F.bround(F.greatest(F.lit(0.0), F.when(F.col("mad") > 0, low).otherwise(F.col("p1"))), 1).alias("low"), F.bround(F.when(F.col("mad") > 0, high).otherwise(F.col("p99")), 1).alias("high"))

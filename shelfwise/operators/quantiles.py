@@ -68,12 +68,17 @@ def percentiles(values: DataFrame, keys: list[str], num: str, ps: list[float], l
     return found.join(sizes, keys).select(*keys, "n", F.array(*(at(p) for p in ps)).alias("p"))
 
 
-def of_groups(values: DataFrame, keys: list[str], num: str, ps: list[float], leaf: int = LEAF) -> DataFrame:
-    """The same, by one aggregation for groups of at most leaf values, which fit in memory, and by selection for larger ones."""
+def large_groups(values: DataFrame, keys: list[str], num: str, leaf: int = LEAF) -> DataFrame | None:
+    """The keys of groups of more than leaf values; None if there are none."""
+    found = values.where(F.col(num).isNotNull() & ~F.isnan(F.col(num).cast("double"))).groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > leaf).select(*keys)
+    found = tables.written(found, "large")
+    return None if found.isEmpty() else found
+
+
+def of_groups(values: DataFrame, keys: list[str], num: str, ps: list[float], large: DataFrame | None, leaf: int = LEAF) -> DataFrame:
+    """The same, by selection for the large groups, and by one aggregation for all others, which fit in memory."""
     rows = values.select(*keys, F.col(num).cast("double").alias(num)).where(F.col(num).isNotNull() & ~F.isnan(num))
-    sizes = tables.written(rows.groupBy(*keys).agg(F.count("*").alias("__n")), "sizes")
     one = lambda some: some.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(num, F.array(*map(F.lit, ps))).alias("p"))
-    large = sizes.where(F.col("__n") > leaf).select(*keys)
-    if large.isEmpty():
+    if large is None:
         return one(rows)
     return one(rows.join(large, keys, "left_anti")).unionByName(percentiles(rows.join(large, keys, "left_semi"), keys, num, ps, leaf))

@@ -40,6 +40,7 @@ def test_selection_equals_percentile(spark, leaf, bins):
 def test_ranges_of_large_and_small_groups(spark, monkeypatch):
     rows = values(spark).where("g in ('even', 'ties', 'same', 'odd')").select(F.lit("c").alias("category"), F.col("g").alias("attr"), "num")
     whole = sorted(map(tuple, detect.learn_ranges(rows).collect()))
-    groups = quantiles.of_groups
-    monkeypatch.setattr(quantiles, "of_groups", lambda v, keys, num, ps: groups(v, keys, num, ps, 850))
+    groups, large = quantiles.of_groups, quantiles.large_groups
+    monkeypatch.setattr(quantiles, "of_groups", lambda v, keys, num, ps, found: groups(v, keys, num, ps, found, 850))
+    monkeypatch.setattr(quantiles, "large_groups", lambda v, keys, num: large(v, keys, num, 850))
     assert sorted(map(tuple, detect.learn_ranges(rows).collect())) == whole and len(whole) == 3
