@@ -418,18 +418,21 @@ def f18_f19_codes_and_slugs(spark, d):
 
 COMPARED = oracle("products") + f""", w AS (SELECT id, regexp_replace(regexp_replace({norm_sql("name || ' ' || name")}, '\\b([a-z]{{1,3}}[0-9]{{1,4}}[a-z]?|[0-9]+([.,][0-9]+)?(cm|mm|kg)?)\\b', ' ', 'g'), '\\b(gadget|red)\\b', ' ', 'g') AS n FROM products)
 SELECT id, trim(regexp_replace(n, '\\s+', ' ', 'g')) AS compared FROM w"""
-#: The name twice, as repeated words stay, and a collection whose words are in some names.
-TWICE = F.concat_ws(" ", "name", "name")
+
+
+def _compared(spark, d):
+    """Of the name twice, as repeated words stay, and a collection whose words are in some names."""
+    return view(spark, d, "products").select("id", text.comparable_name(F.concat_ws(" ", "name", "name"), F.lit("Gadget Red")).alias("compared"))
 
 
 @query(COMPARED)
 def f23_comparable_name(spark, d):
-    return view(spark, d, "products").select("id", text.comparable_name(TWICE, F.lit("Gadget Red")).alias("compared"))
+    return _compared(spark, d)
 
 
 @query(COMPARED)
 def f23_comparable_name_all(spark, d):
-    return view(spark, d, "products").select("id", text.comparable_name(TWICE, F.lit("Gadget Red")).alias("compared"))
+    return _compared(spark, d)
 
 
 #: Feeds with a unit in the field's name, or in some of the values, or in neither.

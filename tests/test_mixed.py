@@ -64,3 +64,11 @@ def test_rows_go_on_while_reading(spark, monkeypatch):
     feed = "<a>" + "".join(f"<o><n>{k}</n></o>" for k in range(20000)) + "</a>"
     docs = spark.createDataFrame([("s", "xml", bytearray(feed.encode()))], "source string, format string, content binary")
     assert mixed.records(docs).selectExpr("count(*)", "max(rec)", "count(distinct value)").first()[:] == (20000, 19999, 20000)
+
+
+def test_queries_register_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, cwd=__file__.rsplit("/", 2)[0]).returncode == 0
