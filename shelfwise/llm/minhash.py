@@ -18,8 +18,8 @@ symmetric difference of two documents is that of their Ds. Two sets are similar
 a ninth of their sizes' sum; a document that is not similar to the leader therefore is similar to none whose D has no
 part in common with its own, and how large that part must be follows from the sizes. So of a list's pairs only those are
 candidates where one is a straggler, not similar to the leader, and both have a difference in common among the first of
-their Ds (a prefix again). Pairs with one who is far from the leader are candidates as they are. Nothing is lost by it:
-pairs that are both similar to the leader are joined through it.
+their Ds, rarest first (a prefix again). Pairs with one who is far from the leader are candidates as they are. Nothing is lost by
+it: pairs that are both similar to the leader are joined through it.
 
 Defined results: null text is empty; a text without words has an empty set and is linked with nothing; with fewer words
 than a shingle has, all are one shingle; very long texts are read whole; rows with a null doc_id take no part; rows that
@@ -29,7 +29,6 @@ repeat a doc_id get a row each and are one document for links: what any of them
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,32 +184,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _pair(one: str, two: str) -> list[Column]:
-    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
-
-
-def _against_leaders(posts: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each list's documents with its leader, where their labels differ."""
-    order = F.struct("weight", -F.col("node")) if not turn else F.struct(F.xxhash64("node", F.lit(turn)), -F.col("node"))
-    leads = posts.groupBy("token").agg(F.max(F.struct(order, F.col("node").alias("node"), F.col("n").alias("n"), F.col("root").alias("root"))).alias("lead"), F.count("*").alias("length"))
-    leads = common.written(leads.where("length > 1").select("token", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.root").alias("leader_root"), "length"), "leaders")
-    total = leads.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    met = common.hot_join(posts, leads, ["token"], "length", total)
-    return met.where((F.col("root") != F.col("leader_root")) & _sized("n", "leader_n")).select(*_pair("node", "leader")).distinct()
-
-
-def differences(own: set[bytes], leader: set[bytes]) -> tuple[bool, list[int]]:
-    """Whether the sets are similar, and the first differences by which a straggler and any other of this leader must meet: additions first, they are rare."""
-    more, less = own - leader, leader - own
-    linked, apart = similar(own, leader), len(more) + len(less)
-    least = apart - len(own) / 4 if not linked else (apart + (len(leader) - len(own)) / 9) / 2  # of differences in common
-    both = sorted(xxhash.xxh3_64_intdigest(x) >> 2 for x in more) + sorted((xxhash.xxh3_64_intdigest(x) >> 2) + (1 << 62) for x in less)
-    return linked, both[: apart - max(1, math.floor(least)) + 1]
+def differences(own: set[bytes], leader: set[bytes]) -> tuple[bool, int, list[int]]:
+    """Whether the sets are similar; how many differences a straggler and any other of this leader have in common at least, if they are similar; and all differences."""
+    apart = own ^ leader
+    linked, n = similar(own, leader), len(apart)
+    least = -((len(own) - 4 * n) // 4) if not linked else -((len(own) - len(leader) - 9 * n) // 18)
+    return linked, max(1, least), [xxhash.xxh3_64_intdigest(x) >> 1 for x in apart]
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (leader, node) → (leader, node, linked, differences)."""
-    schema = pa.schema([("leader", pa.int64()), ("node", pa.int64()), ("linked", pa.bool_()), ("differences", pa.list_(pa.int64()))])
+    """pairs (leader, node) → (leader, node, linked, least, differences)."""
+    schema = pa.schema([("leader", pa.int64()), ("node", pa.int64()), ("linked", pa.bool_()), ("least", pa.int64()), ("differences", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, leader = None, set()
@@ -220,11 +204,11 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if x != at:
                     at, leader = x, shingles(one.as_py().encode())
                 found.append(differences(shingles(two.as_py().encode()), leader))
-            yield common.batch(schema, b.column(0), b.column(1), *(zip(*found, strict=True) if found else ([], [])))
+            yield common.batch(schema, b.column(0), b.column(1), *(zip(*found, strict=True) if found else ([], [], [])))
 
     side = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias("text_" + end)).hint("merge")
     met = pairs.join(side("node"), "node").join(side("leader"), "leader").select("leader", "node", "text_leader", "text_node")
-    return met.mapInArrow(run, "leader long, node long, linked boolean, differences array<long>")
+    return met.mapInArrow(run, "leader long, node long, linked boolean, least long, differences array<long>")
 
 
 def _pair(one: str, two: str) -> list[Column]:
@@ -240,11 +224,27 @@ def _leaders(posts: DataFrame) -> DataFrame:
     return common.written(common.hot_join(posts.select("token", "node", "n"), lists, ["token"], "length", total), "lists")
 
 
+def _shared(near: DataFrame) -> DataFrame:
+    """(leader, difference, node, loose): the first of each one's differences, from the rarest to the commonest.
+
+    One that no straggler has, or a single document, can join no pair that is wanted: those come first and use up a
+    document's prefix.
+    """
+    rows = near.select("leader", "node", (~F.col("linked")).alias("loose"), "least", F.explode("differences").alias("difference"))
+    held = rows.groupBy("leader", "difference").agg(F.count("*").alias("held"), F.count_if("loose").alias("stray")).where("held > 1 and stray > 0")
+    held = common.written(held.withColumn("length", F.col("held")), "differences")
+    total = held.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    own = Window.partitionBy("leader", "node")
+    some = common.hot_join(rows, held, ["leader", "difference"], "length", total)
+    some = some.select("*", F.row_number().over(own.orderBy("stray", "held", "difference")).alias("rank"), F.count("*").over(own).alias("of"))
+    return common.written(some.where(F.col("rank") <= F.col("of") - F.col("least") + 1).select("leader", "difference", "node", "loose"), "shared")
+
+
 def _stragglers(near: DataFrame) -> DataFrame:
     """(a, b): a straggler and another of the same leader that have one of the first differences in common."""
-    rows = near.select("leader", "node", "linked", F.explode("differences").alias("difference"))
-    other = rows.where("not linked").select("leader", "difference", F.col("node").alias("other"))
-    met = rows.hint("merge").join(other, ["leader", "difference"]).where((F.col("node") != F.col("other")) & (F.col("linked") | (F.col("node") < F.col("other"))))
+    rows = _shared(near)
+    other = rows.where("loose").select("leader", "difference", F.col("node").alias("other"))
+    met = rows.hint("merge").join(other, ["leader", "difference"]).where((F.col("node") != F.col("other")) & (~F.col("loose") | (F.col("node") < F.col("other"))))
     return met.select(*_pair("node", "other"))
 
 

@@ -159,21 +159,44 @@ def test_near_groups_lose_no_link_and_make_few_pairs(spark, monkeypatch, seed):
 
 
 def test_differences_find_each_link():
-    """All pairs of a leader's group: a similar pair with a straggler always meets in the first differences."""
+    """All pairs of a leader's group: a similar pair with a straggler has at least as many differences in common as either calls for."""
     rng, n = random.Random(5), 0
     for _ in range(12):
         base = [f"v{j}" for j in range(rng.randint(6, 80))]
         found = [minhash.shingles(t.encode()) for t in [" ".join(base), *altered(rng, base, 40, len(base) // 4), *altered(rng, base[: len(base) * 3 // 4], 15, 2)]]
         found = [s for s in found if s]
         met = [minhash.differences(s, found[0]) for s in found]
-        for i, (one, (linked_one, first)) in enumerate(zip(found, met, strict=True)):
-            for two, (linked_two, second) in list(zip(found, met, strict=True))[:i]:
+        for i, (one, (linked_one, least_one, first)) in enumerate(zip(found, met, strict=True)):
+            for two, (linked_two, least_two, second) in list(zip(found, met, strict=True))[:i]:
                 if minhash.similar(one, two) and one != two and not (linked_one and linked_two):
                     n += 1
-                    assert set(first) & set(second)
+                    assert len(set(first) & set(second)) >= max(least_one, least_two) >= 1
     assert n > 200
 
 
+def inserted(rng, base, groups, n, passage):
+    """Near copies of base, of which each group has a passage of its own somewhere, and some have the passages of two."""
+    held = [[f"g{g}_{j}" for j in range(passage)] for g in range(groups)]
+    out = []
+    for g in range(groups):
+        for k in range(n):
+            text = list(base)
+            text[rng.randrange(len(text))] = f"own{g}_{k}"
+            at = len(base) // 2
+            out.append(" ".join(text[:at] + held[g] + (held[g - 1] if k % 8 == 7 else []) + text[at:]))
+    return out
+
+
+def test_groups_within_a_group_lose_no_link(spark):
+    """Near copies that share a passage which their leader lacks."""
+    rng = random.Random(2)
+    base = [f"v{j}" for j in range(60)]
+    rows = list(enumerate([" ".join(base), *altered(rng, base, 60, 2), *inserted(rng, base, 5, 48, 18)]))
+    expected = plain_minhash(rows)
+    assert sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).collect())) == expected
+    assert len({r[2] for r in expected}) > 5
+
+
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
