@@ -192,7 +192,7 @@ class Tree:
 
     def search(self, ranks: np.ndarray, weights: np.ndarray, best: list[tuple[int, int]], k: int) -> int:
         """Puts what is among the k best in the heap of (score, -doc_id). Returns how many documents it scored."""
-        scored, stack = 0, [(1, self.root)] if self.root else []
+        scored, stack = 0, [(math.inf, self.root)] if self.root else []  # what was found in other trees says nothing of this root
         while stack:
             bound, node = stack.pop()
             if bound < (best[0][0] if len(best) == k else 1):

@@ -293,3 +293,23 @@ def test_deep_trees_and_equal_paths():
         own, m = t.split(), 75 + 25 * len(t.split()) * 990 // 10**6
         scores[k] = sum(w * (10**9 // (1000 + 12 * m)) for x, w in ((1, 5), (2, 5), (500, 1)) if words[x] in own)
     assert sorted(best, reverse=True) == [(s, -k) for s, k in sorted(((s, k) for k, s in scores.items()), key=lambda x: (-x[0], x[1]))[:20]]
+
+
+def test_search_of_several_trees_keeps_the_best_of_all():
+    """The heap is full after the first tree; what is better in the next must still be found."""
+    number, best = {"w": 0}, []
+    for first, times in ((0, 1), (100, 9), (200, 4)):
+        docs = [(first + k, " ".join(["w"] * times + ["x"] * (10 - times))) for k in range(30)]
+        lexical.tree_of(block_of(docs, number), np.arange(1), 90, 900).search(np.array([0]), np.array([5000]), best, 20)
+    assert sorted(-k for _, k in best) == list(range(100, 120))
+
+
+def test_lexical_search_of_tasks_with_several_blocks(spark):
+    """One task has more documents than a block holds; the best ones are in the last."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(rng.choices(words, k=4 + k % 9) + ["w7", "w9"] * (k // 3000))) for k in range(3 * lexical.BLOCK_DOCS)]
+    items = [(k, f"w{k} w7 w9") for k in range(5)]
+    expected = plain_search(docs, items)
+    assert max(r[2] for r in expected) > 2 * lexical.BLOCK_DOCS
+    assert sorted(map(tuple, lexical.search(frame(spark, docs, 1), item_frame(spark, items)).collect())) == expected
