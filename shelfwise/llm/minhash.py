@@ -18,8 +18,9 @@ symmetric difference of two documents is that of their Ds. Two sets are similar
 a ninth of their sizes' sum; a document that is not similar to the leader therefore is similar to none whose D has no
 part in common with its own, and how large that part must be follows from the sizes. So of a list's pairs only those are
 candidates where one is a straggler, not similar to the leader, and both have a difference in common among the first of
-their Ds, rarest first (a prefix again). Pairs with one who is far from the leader are candidates as they are. Nothing is lost by
-it: pairs that are both similar to the leader are joined through it.
+their Ds, rarest first (a prefix again). Where two meet first, no more is in common than what either has left from there on, so
+what the sizes of these two call for must fit in it. Pairs with one who is far from the leader are candidates as they are. Nothing
+is lost by it: pairs that are both similar to the leader are joined through it.
 
 Defined results: null text is empty; a text without words has an empty set and is linked with nothing; with fewer words
 than a shingle has, all are one shingle; very long texts are read whole; rows with a null doc_id take no part; rows that
@@ -193,8 +194,12 @@ def differences(own: set[bytes], leader: set[bytes]) -> tuple[bool, int, list[in
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (leader, node) → (leader, node, linked, least, differences)."""
-    schema = pa.schema([("leader", pa.int64()), ("node", pa.int64()), ("linked", pa.bool_()), ("least", pa.int64()), ("differences", pa.list_(pa.int64()))])
+    """pairs (leader, node) → (leader, node, linked, least, cost, differences).
+
+    A and B with Ds of a and b members, c of them in common, are similar if and only if a + b - 2 * c <= (|A| + |B|) / 9, that is
+    if 18 * c reaches the sum of their costs, which are 9 * a - |A| and 9 * b - |B|.
+    """
+    schema = pa.schema([("leader", pa.int64()), ("node", pa.int64()), ("linked", pa.bool_()), ("least", pa.int64()), ("cost", pa.int64()), ("differences", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, leader = None, set()
@@ -203,12 +208,14 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for x, one, two in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
                 if x != at:
                     at, leader = x, shingles(one.as_py().encode())
-                found.append(differences(shingles(two.as_py().encode()), leader))
-            yield common.batch(schema, b.column(0), b.column(1), *(zip(*found, strict=True) if found else ([], [], [])))
+                own = shingles(two.as_py().encode())
+                linked, least, apart = differences(own, leader)
+                found.append((linked, least, 9 * len(apart) - len(own), apart))
+            yield common.batch(schema, b.column(0), b.column(1), *(zip(*found, strict=True) if found else ([], [], [], [])))
 
     side = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias("text_" + end)).hint("merge")
     met = pairs.join(side("node"), "node").join(side("leader"), "leader").select("leader", "node", "text_leader", "text_node")
-    return met.mapInArrow(run, "leader long, node long, linked boolean, least long, differences array<long>")
+    return met.mapInArrow(run, "leader long, node long, linked boolean, least long, cost long, differences array<long>")
 
 
 def _pair(one: str, two: str) -> list[Column]:
@@ -225,26 +232,42 @@ def _leaders(posts: DataFrame) -> DataFrame:
 
 
 def _shared(near: DataFrame) -> DataFrame:
-    """(leader, difference, node, loose): the first of each one's differences, from the rarest to the commonest.
+    """(leader, difference, node, loose, cost, room): the first of each one's differences, from the rarest to the commonest.
 
     One that no straggler has, or a single document, can join no pair that is wanted: those come first and use up a
-    document's prefix.
+    document's prefix. room: how many differences a document has from this one on, those counted out that can't be shared.
     """
-    rows = near.select("leader", "node", (~F.col("linked")).alias("loose"), "least", F.explode("differences").alias("difference"))
+    rows = near.select("leader", "node", (~F.col("linked")).alias("loose"), "least", "cost", F.explode("differences").alias("difference"))
     held = rows.groupBy("leader", "difference").agg(F.count("*").alias("held"), F.count_if("loose").alias("stray")).where("held > 1 and stray > 0")
     held = common.written(held.withColumn("length", F.col("held")), "differences")
     total = held.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     own = Window.partitionBy("leader", "node")
     some = common.hot_join(rows, held, ["leader", "difference"], "length", total)
-    some = some.select("*", F.row_number().over(own.orderBy("stray", "held", "difference")).alias("rank"), F.count("*").over(own).alias("of"))
-    return common.written(some.where(F.col("rank") <= F.col("of") - F.col("least") + 1).select("leader", "difference", "node", "loose"), "shared")
+    some = some.withColumn("room", F.count("*").over(own) - F.row_number().over(own.orderBy("stray", "held", "difference")) + 1)
+    return _met(common.written(some.where("room >= least").select("leader", "difference", "node", "loose", "cost", "room"), "shared"))
+
+
+def _fits(room: Column, other_room: Column, cost: Column, other_cost: Column) -> Column:
+    """Two that have their first difference in common here can be similar: no more than the smaller room is common to both."""
+    return 18 * F.least(room, other_room) >= cost + other_cost
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Of rows of _shared, those that fit the largest room and the smallest cost among whom they could meet in their list."""
+    best = [f(F.when(F.col("loose"), F.col(c)) if stray else F.col(c)).alias(("loose_" if stray else "any_") + c) for f, c in ((F.max, "room"), (F.min, "cost")) for stray in (True, False)]
+    lists = common.written(rows.groupBy("leader", "difference").agg(*best, F.count("*").alias("length")).where("length > 1 and loose_room is not null"), "differences")
+    total = lists.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    other = lambda c: F.when(F.col("loose"), F.col("any_" + c)).otherwise(F.col("loose_" + c))
+    kept = common.hot_join(rows, lists, ["leader", "difference"], "length", total).where(_fits(F.col("room"), other("room"), F.col("cost"), other("cost")))
+    return common.written(kept.select(rows.columns), "met")
 
 
 def _stragglers(near: DataFrame) -> DataFrame:
-    """(a, b): a straggler and another of the same leader that have one of the first differences in common."""
+    """(a, b): a straggler and another of the same leader that have one of the first differences in common, and room for as many as they need."""
     rows = _shared(near)
-    other = rows.where("loose").select("leader", "difference", F.col("node").alias("other"))
-    met = rows.hint("merge").join(other, ["leader", "difference"]).where((F.col("node") != F.col("other")) & (~F.col("loose") | (F.col("node") < F.col("other"))))
+    other = rows.where("loose").select("leader", "difference", F.col("node").alias("other"), F.col("cost").alias("other_cost"), F.col("room").alias("other_room"))
+    wanted = (F.col("node") != F.col("other")) & (~F.col("loose") | (F.col("node") < F.col("other")))
+    met = rows.hint("merge").join(other, ["leader", "difference"]).where(wanted & _fits(F.col("room"), F.col("other_room"), F.col("cost"), F.col("other_cost")))
     return met.select(*_pair("node", "other"))
 
 

@@ -197,6 +197,22 @@ def test_groups_within_a_group_lose_no_link(spark):
     assert len({r[2] for r in expected}) > 5
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_stragglers_meet_where_their_sizes_allow(spark, seed):
+    """Every similar pair with a straggler meets, and few of the pairs that share a first difference do."""
+    rng = random.Random(seed)
+    base = [f"v{j}" for j in range(60)]
+    texts = [" ".join(base), *altered(rng, base, 90, 9), *inserted(rng, base, 4, 30, 20), *altered(rng, inserted(rng, base, 1, 1, 12)[0].split(), 40, 4)]
+    found = {k: minhash.shingles(t.encode()) for k, t in enumerate(texts)}
+    frames = [spark.createDataFrame(rows, form).repartition(3) for rows, form in (([(0, k) for k in found if k], "leader long, node long"), (list(enumerate(texts)), "node long, text string"))]
+    near = minhash.common.written(minhash.measured(*frames), "measured")
+    loose = {r.node for r in near.where("not linked").collect()}
+    met = [tuple(r) for r in minhash._stragglers(near).collect()]
+    links = {(a, b) for b in found for a in range(1, b) if found[a] != found[b] and (a in loose or b in loose) and minhash.similar(found[a], found[b])}
+    assert len(loose) > 60 and len(links) > 100 and links <= set(met)
+    assert len(set(met)) < 2 * len(links) and len(met) < 10 * len(links)
+
+
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
