@@ -105,7 +105,13 @@ def bool_findings(cells: DataFrame) -> DataFrame:
 
 
 def normalise(cells: DataFrame, kinds: DataFrame, dictionary: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All cells by their kind: (id, attr, raw, norm, num), and the findings.
+    """All cells by their kind: (id, attr, raw, norm, num), and the findings."""
+    long, found = normalise_by_kind(cells, kinds, dictionary, aliases)
+    return long, f.union(found)
+
+
+def normalise_by_kind(cells: DataFrame, kinds: DataFrame, dictionary: DataFrame, aliases: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The same with the findings apart, by the detectors that make them.
 
     The matches of distinct values are written once: both outputs use them several times, and they are few.
     """
@@ -124,7 +130,7 @@ def normalise(cells: DataFrame, kinds: DataFrame, dictionary: DataFrame, aliases
         .unionByName(rest)
     )
     found = [number_findings(nums), twice, lists_found, match_findings(single.select("id", "attr", "value"), matched), match_findings(members_of(multis).select("id", "attr", "value"), matched), bool_findings(of("bool"))]
-    return long, f.union(found)
+    return long, found
 
 
 def enum_label(counts: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
+from shelfwise.sources import tables
 
 
 def parents(nodes: DataFrame) -> DataFrame:
@@ -54,10 +55,11 @@ def assign(pairs: DataFrame, nodes: DataFrame, below: DataFrame, pair_aliases: D
 
 
 def with_node(products: DataFrame, nodes: DataFrame, pair_aliases: DataFrame, type_aliases: DataFrame, excluded: DataFrame) -> DataFrame:
-    """products (type, subtype, …) with node and node_by, by their distinct pairs. nodes: (node, name, level, pos, hidden)."""
+    """products (type, subtype, …) with node and node_by, by their distinct pairs. nodes: (node, name, level, pos, hidden). The tree and the pairs are few, and written, so that plans stay short."""
     said = lambda c: F.trim(F.coalesce(c, F.lit("")))
     pairs = products.select(said("type").alias("type"), said("subtype").alias("subtype")).distinct()
-    found = assign(pairs, nodes, closure(parents(nodes)), pair_aliases, type_aliases, excluded)
+    below = tables.written(closure(tables.written(parents(nodes), "parents")), "closure")
+    found = tables.written(assign(pairs, nodes, below, pair_aliases, type_aliases, excluded), "pairs")
     found = found.select(F.col("type").alias("__type"), F.col("subtype").alias("__subtype"), "node", F.col("how").alias("node_by"))
     rows = products.drop("node", "node_by")
     return rows.join(found, (said("type") == F.col("__type")) & (said("subtype") == F.col("__subtype")), "left").drop("__type", "__subtype")

@@ -29,7 +29,8 @@ def find_all(products: DataFrame, raw: DataFrame, components: DataFrame, long: D
 
     Ranges and coverage are learned over all rows; detectors then leave out products with too little data, layer 0 does
     not. Where filters are known, a missing filter is a gap and no L1-BRAK-WYMAGANEGO; switched-off rules go before gaps
-    are reconciled, so that they take no cell from others.
+    are reconciled, so that they take no cell from others. The findings of each detector are written by a job of its own:
+    one plan of all took the driver hundreds of MB.
 
     config: dictionary, panel, junk, disabled_rules, disabled_attrs; and where there are any: parents (category, parent),
     non_furniture (category), conditions, forbidden, fragments, relations, node_filters, category_filters, subtypes,
@@ -39,7 +40,7 @@ def find_all(products: DataFrame, raw: DataFrame, components: DataFrame, long: D
     for name in ("subtype", "collection", "node"):
         products = products if name in products.columns else products.withColumn(name, F.lit(None).cast("string"))
     cut_off = products.where("cut_off").select("id") if "cut_off" in products.columns else None
-    zero = [detect.moved_components(components, raw, config["panel"], cut_off), detect.component_conflicts(components, raw, config["panel"], cut_off)]
+    zero = [tables.gathered([detect.moved_components(components, raw, config["panel"], cut_off), detect.component_conflicts(components, raw, config["panel"], cut_off)], "layer-0")]
     parents = config.get("parents")
     parents = products.select("category").limit(0).withColumn("parent", F.col("category")) if parents is None else parents
     ranges = learn_ranges(products, long.where("num is not null").select("id", "attr", "num"), parents, folder)
@@ -65,8 +66,8 @@ def find_all(products: DataFrame, raw: DataFrame, components: DataFrame, long: D
 
     filters = [config.get("node_filters"), config.get("category_filters")]
     if filters[0] is None and filters[1] is None:
-        none = fs.without(others[1].where("false"))
-        return detect.assemble(zero, [*others, required], none, config["disabled_rules"], config["disabled_attrs"])
+        existing = tables.gathered([fs.without(x) for x in (*others, required)], "existing")
+        return detect.assemble(zero, [existing], existing.where("false"), config["disabled_rules"], config["disabled_attrs"])
     by_node = spark.createDataFrame([], "node string, attr string") if filters[0] is None else filters[0]
     by_category = spark.createDataFrame([], "category string, attr string") if filters[1] is None else filters[1]
     values = tables.written(gaps.effective(norm, detect.not_cut_off(components.join(ids, "id", "left_semi"), cut_off)), "effective")
@@ -74,8 +75,8 @@ def find_all(products: DataFrame, raw: DataFrame, components: DataFrame, long: D
     proposed = gaps.candidates(some, own, values, config["dictionary"].select("attr", "label"), subtypes=config.get("subtypes"), names=config.get("names"), reads=config.get("reads"))
     best = tables.written(gaps.best(proposed, config["disabled_rules"]), "gaps")
     optional = spark.createDataFrame([], "attr string") if config.get("optional") is None else config["optional"]
-    missing = fs.without(gaps.grouped(best.unionByName(gaps.remaining(own, values, best, optional)), some), config["disabled_rules"])
-    existing = tables.written(fs.without(fs.union([*others, required.join(own, ["id", "attr"], "left_anti")]), config["disabled_rules"]), "existing")
+    missing = tables.gathered([fs.without(gaps.grouped(x, some), config["disabled_rules"]) for x in (best, gaps.remaining(own, values, best, optional))], "missing")
+    existing = tables.gathered([fs.without(x, config["disabled_rules"]) for x in (*others, required.join(own, ["id", "attr"], "left_anti"))], "existing")
     existing, missing = gaps.reconcile(existing, missing)
     return detect.assemble(zero, [existing], missing, config["disabled_rules"], config["disabled_attrs"])
 
@@ -85,14 +86,17 @@ def prepared(products: DataFrame, config: dict[str, DataFrame]) -> DataFrame:
 
     config: types (type, key) and name_rules (priority, key, pattern); where there are any: side, and nodes with
     pair_aliases, type_aliases and excluded. An id that the file repeats counts once, by its last row as text orders them.
+    The file is read once: what is scanned is written before anything is made of it.
     """
     if config.get("side") is not None:
         products = readers.with_side_file(products, config["side"])
-    names = [c for c in products.columns if c != "id"]
-    one = F.max_by(F.struct(*names), F.struct("name", F.to_json(F.struct(*names)))).alias("one")
-    repeated = products.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    twice = products.join(repeated, "id", "left_semi").groupBy("id").agg(one).select("id", "one.*")
-    products = products.join(repeated, "id", "left_anti").unionByName(twice)
+    products = tables.written(products, "scanned")
+    repeated = tables.written(products.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    if not repeated.isEmpty():
+        names = [c for c in products.columns if c != "id"]
+        one = F.max_by(F.struct(*names), F.struct("name", F.to_json(F.struct(*names)))).alias("one")
+        twice = products.join(repeated, "id", "left_semi").groupBy("id").agg(one).select("id", "one.*")
+        products = tables.gathered([products.join(repeated, "id", "left_anti"), twice], "single")
     products = detect.with_category(products, config["types"], config["name_rules"])
     if config.get("nodes") is not None:
         products = tree.with_node(products, config["nodes"], config["pair_aliases"], config["type_aliases"], config["excluded"])
@@ -122,9 +126,9 @@ def run_snapshot(products: DataFrame, components: DataFrame, config: dict[str, D
     runs = log.Runs(products.sparkSession, folder)
     if runs.done(run_id):
         return analytics.report(runs.table("findings", run_id))
-    raw = long_attributes(products)
-    long, cells = dictionary.normalise(raw, config["kinds"], config["dictionary"], config["aliases"])
-    long = tables.written(long, "attributes")
+    raw = tables.written(long_attributes(products), "raw")
+    long, cells = dictionary.normalise_by_kind(raw, config["kinds"], config["dictionary"], config["aliases"])
+    long, cells = tables.written(long, "attributes"), tables.gathered(cells, "cells")
     found = find_all(products, raw, components, long, cells, config, f"{tables.shared_dir(products.sparkSession)}/find-{uuid.uuid4().hex}")
     if config.get("votes") is not None:
         agreed = tables.written(feeds.consensus(config["votes"].join(products.select("id"), "id", "left_semi")), "consensus")

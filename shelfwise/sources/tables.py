@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 @functools.cache
@@ -29,3 +30,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def gathered(parts: list[DataFrame], name: str) -> DataFrame:
+    """parts as one table, in the columns of the first. Each is a job of its own, so the driver never holds a plan of them all."""
+    path = f"{shared_dir(parts[0].sparkSession)}/{name}-{uuid.uuid4().hex}"
+    schema = StructType([StructField(f.name, f.dataType) for f in parts[0].schema])
+    for part in parts:
+        part.to(schema).write.mode("append").parquet(path)
+    return parts[0].sparkSession.read.schema(schema).parquet(path)
